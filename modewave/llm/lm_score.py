@@ -7,10 +7,10 @@ map from the combined logit and the bits so far to the observed share refines th
 word, but for a state: which of a few classes of accented letter the last words showed. So the bits of a word
 follow from (word, state), and are counted once for each distinct pair of the corpus rather than at each place.
 
-Learning is online in each shard of the vocabulary, frequent pairs first: a block is counted, predicted as if one
-occurrence of each pair were still to come, and weights and map take a step. A slot of a table belongs to the first
-context that claims it, known by a check byte, so that rare contexts don't blur frequent ones. Tables of shards
-are summed, weights and maps averaged. Scores are taken from the finished model, so that a text's score doesn't hang on
+Each shard of the vocabulary is learned apart. Its pairs are counted, frequent ones first; a slot of a table belongs to the
+first context that claims it, known by a check byte, so that rare contexts don't blur frequent ones. Weights and map are
+then learned online, block by block in hashed order: a block is predicted from the tables less one occurrence of
+each pair, as if that were still to come, and they take a step. Tables of shards are summed, weights and maps averaged. Scores are taken from the finished model, so that a text's score doesn't hang on
 its neighbours. Tables have a fixed size whatever the corpus; the vocabulary is dealt by hash and never leaves the executors.
 """
 
@@ -114,19 +114,28 @@ def bucket(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(2 * x) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int64)
 
 
+def add_counts(model: Model, words: list[bytes], states: np.ndarray, counts: np.ndarray) -> None:
+    """Adds a block of pairs to the tables; a slot belongs to the first context that claims it."""
+    s = Spelled(words, states)
+    added = counts.astype(np.float32)[s.word]
+    for bit in range(8):
+        _, value, slots, checks = s.step(bit)
+        for i, c in zip(slots, checks, strict=True):
+            free = model.check[i] == 0
+            model.check[i[free]] = c[free]
+            own = model.check[i] == c
+            np.add.at(model.counts, (i[own], value[own]), added[own])
+
+
 def learn(model: Model, words: list[bytes], states: np.ndarray, counts: np.ndarray) -> None:
-    """One online step over a block: count, predict as before one of the occurrences, move weights and map."""
+    """One online step over a block: each pair is predicted from the tables less one of its occurrences, then weights and map move."""
     s = Spelled(words, states)
     weight = counts.astype(np.float64)[s.word]
-    added = weight.astype(np.float32)
     for bit in range(8):
         node, value, slots, checks = s.step(bit)
         inputs, often = [], []
         for i, c in zip(slots, checks, strict=True):
-            free = model.check[i] == 0
-            model.check[i[free]] = c[free]
             own = model.check[i] == c
-            np.add.at(model.counts, (i[own], value[own]), added[own])
             n = model.counts[i] * own[:, None]
             n[np.arange(len(i)), value] -= own
             np.maximum(n, 0, out=n)
@@ -296,8 +305,12 @@ def trained(vocab: DataFrame, n_shards: int) -> Scorer:
         states, counts = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         words = [w for p in parts for w in p[3]]
         order = np.argsort(-counts, kind="stable")
+        for a in range(0, len(words), BLOCK):
+            i = order[a : a + BLOCK]
+            add_counts(model, [words[x] for x in i.tolist()], states[i], counts[i])
+        mixed = np.argsort(np.concatenate([p[0] for p in parts]) * ODD, kind="stable")
         for a in range(0, len(words), LEARN_BLOCK):
-            i = order[a : a + LEARN_BLOCK]
+            i = mixed[a : a + LEARN_BLOCK]
             learn(model, [words[x] for x in i.tolist()], states[i], counts[i])
         rows = [(i, c.tobytes() + k.tobytes()) for i, (c, k) in enumerate(zip(np.array_split(model.counts, SEGMENTS), np.array_split(model.check, SEGMENTS), strict=True))]
         rows.append((SEGMENTS, np.concatenate([[1.0], model.weights.ravel(), model.seen.ravel(), model.ones.ravel()]).tobytes()))
@@ -364,7 +377,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
 
     seen = vocab.mapInArrow(sizes, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, n_distinct = int(seen["n"] or 0), int(seen["v"] or 0)
-    model = trained(vocab, max(6, n_buckets // 8))
+    model = trained(vocab, max(2, n_buckets // 8))
     shared = spark.sparkContext.broadcast(model)
     chunks = chunks.select("chunk", "tag", "doc_id", "held_out", "text")
 
