@@ -51,17 +51,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, all columns as they came. Of rows that repeat id and text one stays."""
-    marked = exact_groups(df, id_col, text_col)
-    kept = marked.where("kept").select(
-        F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha")
-    ).distinct()
+    """The rows of ``df`` that stay, all columns as they came. Of rows that repeat both id and text any one stays."""
+    kept = exact_groups(df, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
     sha = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256)
-    rows = df.withColumn("__sha", sha)
-    out = rows.join(
-        kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi"
-    )
-    return out.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    keys = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n").alias("__n"))
+    rows = df.join(keys, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")))
+    single = rows.where("__n = 1").drop("__id", "__sha", "__n")
+    if kept.where("n > 1").isEmpty():
+        return single
+    return single.unionByName(rows.where("__n > 1").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha", "__n"))
 
 
 SQL = """

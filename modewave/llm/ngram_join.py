@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import U64, grams, in_chunks, mix, word_hashes
@@ -300,3 +300,23 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
     )
     drop_stash(candidates)
     return out
+
+
+def one_of_each(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the row with the smallest id stays, nulls last.
+
+    All columns as they came. Documents without words stay; rows that repeat id and text stay or go together.
+    """
+    near = near_duplicates(df, k, t, id_col, text_col)
+    keep = (
+        near.groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("tag")).alias("alone"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("first"))
+        .select(F.col("first.tag").alias("__tag"))
+    )
+    return df.withColumn("__own", spread_of(id_col, text_col)).join(keep.distinct(), F.col("__own") == F.col("__tag"), "left_semi").drop("__own")
+
+
+def spread_of(id_col: str, text_col: str) -> Column:
+    """The tag of a row, as ``in_chunks`` gives it."""
+    zero = F.lit("\0")
+    return F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), zero), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))

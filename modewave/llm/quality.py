@@ -85,6 +85,19 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words"))
 
 
+def accepted(df: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` that the base rules and the cutoffs keep, all columns as they came.
+
+    Columns travel as a struct under their places, so no name can clash and null or repeated ids do no harm.
+    """
+    cols, schema = df.columns, df.schema
+    whole = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)))
+    at = {x: cols.index(x) for x in (id_col, text_col, lang_col)}
+    carried = whole.select(F.struct(*whole.columns).alias("doc_id"), F.col(f"c{at[text_col]}").alias("text"), F.col(f"c{at[lang_col]}").alias("lang"))
+    kept = judged(measured(carried), cuts).where("kept")
+    return kept.select(*(F.col(f"doc_id.c{i}").alias(c) for i, c in enumerate(cols))).to(schema)
+
+
 def upper_bound(bad: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest p at which ``bad`` or fewer of ``n`` still has probability ``delta``."""
     if n <= 0 or bad >= n:
