@@ -4,12 +4,17 @@ A document's set is its distinct word shingles. For a size band the hashes of a
 each part keeps the XOR of its hashes: one cell of a parity sketch. An element that two sets do not share
 changes at most one cell, so the number of unequal cells is a lower bound of the symmetric difference. The
 similarity bounds that difference by D, hence two similar sets of a band agree in at least m - D cells
-(pigeonhole), and an equal cell is a join key. m leaves room for cells that are empty in a set; a set with more
-empty cells than that has keys for them too, so no pair is lost.
+(pigeonhole), and an equal cell is a join key. Small sets, whose cells would be small too, have half as many: then some
+cell differs by one element at most, and the keys are the cell's XOR and those of the cell less one element.
 
-Documents that share a key meet in a cluster. Within a cluster a finer sketch of parity bits rules out pairs
+m leaves room for cells that say little: empty ones, and frequent ones, whose key many sets share (one common
+passage may fill a small cell). Two sets that agree in more cells than both have room for agree in one that
+is rare. A set with more empty or more frequent cells than room uses those as keys too, but only against sets that
+also do. So no pair is lost, and a common passage does not bind strangers.
+
+Sets that share a key meet in a cluster. Within a cluster a finer sketch of parity bits rules out pairs
 whose Hamming distance exceeds D, and the others are verified on the sets themselves. Clusters beyond
-BLOCK documents are dealt into blocks, and pairs of blocks are compared apart.
+BLOCK sets are dealt into blocks, and pairs of blocks are compared apart.
 """
 
 from __future__ import annotations
@@ -22,14 +27,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import U64, grams, in_chunks, mix, word_hashes
+from .chunks import CHUNK_BYTES, U64, grams, in_chunks, mix, word_hashes
 from .common import documents, drop_stash, stash
 from .components import components
 
 #: Documents of one cluster that one task compares.
-BLOCK = 2048
+BLOCK = 8192
 SKETCH_BITS = 4096
 KEYS_PER_BUCKET = 1 << 20
+#: A key that more sets than this share is frequent.
+FREQUENT = 16
+#: Sets up to this size have keys for cells less one element.
+SMALL = 96
+#: Share of the sets of a band that may have more empty cells than there is room for.
+CROWDED = 1e-4
 
 
 def shingles(texts: list[str], k: int) -> list[np.ndarray]:
@@ -67,49 +78,65 @@ def band_of(size: int, t: int) -> int:
     return bisect.bisect_right(bands(t), size) - 1
 
 
-def poisson_tail(mean: float, below: float = 1e-9) -> int:
-    """The least q that a Poisson count exceeds with probability under ``below``."""
-    q, term, left = 0, math.exp(-mean), 1 - math.exp(-mean)
-    while left > below and q < mean + 40 * math.sqrt(mean + 1):
-        q += 1
-        term *= mean / q
-        left -= term
-    return q
+def poisson_above(mean: float, q: int) -> float:
+    """Probability that a Poisson count exceeds q."""
+    term = total = math.exp(-mean)
+    for i in range(1, q + 1):
+        term *= mean / i
+        total += term
+    return max(0.0, 1.0 - total)
 
 
 @functools.cache
-def parts_of(band: int, t: int) -> tuple[int, int]:
-    """(m, room): cells of the join of a band with itself and the next, and how many empty ones m allows for."""
+def parts_of(band: int, t: int) -> tuple[int, int, int, bool]:
+    """(m, room for empty cells, room for frequent ones, whether keys allow one difference in a cell) of the join of a band with itself and the next."""
     lo, hi = bands(t)[band], bands(t)[band + 1] - 1
     top = hi + hi * 100 // t
     d = max(max_difference(s, t) for s in range(max(2, top - 3), top + 1))
     if d <= 0:
-        return 1, 0
-    m, room = d + 1, 0
-    for _ in range(50):
-        room_now = poisson_tail(m * math.exp(-lo / m)) if m > 1 else 0
-        if d + 1 + room_now == m:
+        return 1, 0, 0, False
+    small = hi <= SMALL
+    spoilt = d // 2 if small else d  # cells that differences can spoil
+    best = None
+    for room in range(max(1, lo // 3) + 1):
+        often = 1 + (spoilt + 1 + room) // 20 if spoilt else 0
+        m = spoilt + 1 + room + often
+        p = poisson_above(m * math.exp(-lo / m) * (1 + lo / m if small else 1), room) if m > 1 else 0.0
+        if best is None or p < best[0]:
+            best = (p, (m, room, often, small))
+        if p < CROWDED or p > 2 * best[0]:
             break
-        room, m = room_now, d + 1 + room_now
-    return m, room
+    return best[1]
 
 
-def keys_of(own: np.ndarray, t: int) -> np.ndarray:
-    """The join keys of a set, for the joins that its size takes part in."""
+def keys_of(own: np.ndarray, t: int) -> list[np.ndarray]:
+    """The join keys of a set, for the join of its band and for that of the band before (none before the first)."""
     band, out = band_of(len(own), t), []
     for b in (band, band - 1) if band else (band,):
-        m, room = parts_of(b, t)
-        cell = (mix(own + U64(b + 1)) >> U64(32)) % U64(m) if m > 1 else np.zeros(len(own), dtype=U64)
+        m, room, _, less_one = parts_of(b, t)
+        salt = U64(b + 1) << U64(40)
+        one = mix(own + U64(b + 1))
+        cell = (one >> U64(32)) % U64(m)
         order = np.argsort(cell, kind="stable")
-        sorted_cells = cell[order]
+        sorted_cells, one = cell[order], mix(one[order])
         starts = np.flatnonzero(np.r_[True, sorted_cells[1:] != sorted_cells[:-1]])
-        parity = np.bitwise_xor.reduceat(own[order], starts)
-        where = sorted_cells[starts]
-        out.append(mix(parity ^ mix(where + (U64(b + 1) << U64(40)))))
-        if m - len(where) > room:  # more empty cells than m allows for: they are keys too
-            empty = np.setdiff1d(np.arange(m, dtype=U64), where)
-            out.append(mix(~mix(empty + (U64(b + 1) << U64(40)))))
-    return np.concatenate(out)
+        parity = np.bitwise_xor.reduceat(one, starts)
+        where = mix(sorted_cells[starts] + salt)
+        sizes = np.diff(np.r_[starts, len(one)])
+        found = [mix(parity ^ where)]
+        if less_one:
+            more = np.repeat(sizes > 1, sizes)
+            found.append(mix((np.repeat(parity, sizes) ^ one ^ np.repeat(where, sizes))[more]))
+        # cells that are empty, or are but for one element, agree without saying much: keys only where there are too many
+        little = np.setdiff1d(np.arange(m, dtype=U64), sorted_cells[starts][sizes > 1] if less_one else sorted_cells[starts])
+        if len(little) > room:
+            found.append(mix(mix(little + salt)))
+        out.append(np.unique(np.concatenate(found)))
+    return out
+
+
+def room_for_frequent(size: int, join: int, t: int) -> int:
+    return parts_of(band_of(size, t) - join, t)[2]
 
 
 def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,65 +195,113 @@ def linked(sets: list[np.ndarray], t: int, side: np.ndarray | None = None) -> li
     return out
 
 
+def prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit print of each set in two halves; the first names its class in links."""
+    one = np.array([mix(s + U64(7)).sum(dtype=U64) for s in sets], dtype=U64)
+    two = np.array([mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) for s in sets], dtype=U64)
+    sizes = np.array([len(s) for s in sets], dtype=U64)
+    return mix(one + sizes).view(np.int64), two.view(np.int64)
+
+
 def measured(chunks: DataFrame, k: int) -> DataFrame:
-    """tag, chunk, n_shingles and a 128-bit print of the set, for each document of the chunks."""
+    """doc_id, tag, chunk, n_shingles and the print of the set, for each document. No shuffle."""
     id_type = chunks.schema["doc_id"].dataType.simpleString()
 
-    def run(t: pa.Table) -> pa.Table:
-        sets = shingles(t.column("text").to_pylist(), k)
-        n = [len(s) for s in sets]
-        one = np.array([mix(s + U64(7)).sum(dtype=U64) for s in sets], dtype=U64).view(np.int64)
-        two = np.array([mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) for s in sets], dtype=U64).view(np.int64)
-        return pa.table({"doc_id": t.column("doc_id"), "tag": t.column("tag"), "chunk": t.column("chunk"), "n_shingles": pa.array(n, pa.int64()), "p1": pa.array(one, pa.int64()), "p2": pa.array(two, pa.int64())})
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                sets = shingles(b.column("text").to_pylist(), k)
+                one, two = prints(sets)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), b.column("chunk"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "tag", "chunk", "n_shingles", "node", "print"])
 
-    return chunks.groupBy("chunk").applyInArrow(run, f"doc_id {id_type}, tag long, chunk int, n_shingles long, p1 long, p2 long")
+    return chunks.select("doc_id", "tag", "chunk", "text").mapInArrow(run, f"doc_id {id_type}, tag long, chunk int, n_shingles long, node long, print long")
 
 
-def candidate_links(chunks: DataFrame, reps: DataFrame, k: int, t: int, n_buckets: int) -> DataFrame:
-    """(a, b): links that connect all representatives that share a key. A representative is chunk << 32 | idx."""
+def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> DataFrame:
+    """(a, b): links that connect all classes (nodes) that share a rare key, or a frequent one where both have too many.
 
-    def keys(docs: pa.Table, mine: pa.Table) -> pa.Table:
-        idx = dict(zip(mine.column("tag").to_pylist(), mine.column("idx").to_pylist(), strict=True))
-        tags = docs.column("tag").to_pylist()
-        rows = [i for i, tag in enumerate(tags) if tag in idx]
-        own_keys, own_idx, done = [], [], set()
-        for i, s in zip(rows, shingles(docs.column("text").take(pa.array(rows, pa.int64())).to_pylist(), k) if rows else [], strict=True):
-            if tags[i] not in done:
-                done.add(tags[i])
-                own_keys.append(keys_of(s, t))
-                own_idx.append(np.full(len(own_keys[-1]), idx[tags[i]], dtype=np.uint32))
-        out: dict[str, list] = {"bucket": [], "chunk": [], "keys": [], "idx": []}
-        if own_keys:
-            key, who = np.concatenate(own_keys), np.concatenate(own_idx)
+    Keys leave a task in bundles, one per bucket; of the texts of a bundle with equal sets one counts, so a
+    set that a third of all rows share is one entry per bundle.
+    """
+
+    def bundle(texts: list[str]) -> pa.RecordBatch:
+        sets = shingles(texts, k)
+        node = prints(sets)[0]
+        _, first = np.unique(node, return_index=True)
+        key_parts, who_parts, names, joins, rooms = [], [], [], [], []
+        for i in first.tolist():
+            for join, found in enumerate(keys_of(sets[i], t) if len(sets[i]) else ()):
+                key_parts.append(found)
+                who_parts.append(np.full(len(found), len(names)))
+                names.append(node[i])
+                joins.append(join)
+                rooms.append(room_for_frequent(len(sets[i]), join, t))
+        out: list[list] = [[] for _ in range(6)]
+        if names:
+            key, who = np.concatenate(key_parts), np.concatenate(who_parts)
+            name, join, room = np.array(names, dtype=np.int64), np.array(joins, dtype=np.uint8), np.array(rooms, dtype=np.int32)
             bucket = (key >> U64(33)) * U64(n_buckets) >> U64(31)
             order = np.argsort(bucket, kind="stable")
             bucket, key, who = bucket[order], key[order], who[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            chunk = docs.column("chunk")[0].as_py()
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
             for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
-                out["bucket"].append(int(bucket[a]))
-                out["chunk"].append(chunk)
-                out["keys"].append(key[a:b].tobytes())
-                out["idx"].append(who[a:b].tobytes())
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "idx": pa.array(out["idx"], pa.binary())})
+                own, idx = np.unique(who[a:b], return_inverse=True)
+                for col, x in zip(out, (int(bucket[a]), key[a:b].tobytes(), idx.astype(np.uint16).tobytes(), name[own].tobytes(), join[own].tobytes(), room[own].tobytes()), strict=True):
+                    col.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "keys", "idx", "nodes", "joins", "rooms"])
+
+    def keys(batches):
+        texts, size = [], 0
+        for b in batches:
+            for x in b.column(0):
+                texts.append(x.as_py())
+                size += len(texts[-1]) + 8
+                if size >= CHUNK_BYTES or len(texts) >= 30_000:
+                    yield bundle(texts)
+                    texts, size = [], 0
+        if texts:
+            yield bundle(texts)
 
     def runs(tbl: pa.Table) -> pa.Table:
+        idx = [np.frombuffer(x.as_py(), dtype=np.uint16) for x in tbl.column("idx")]
+        of = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), dtype=kind)[i] for x, i in zip(tbl.column(c), idx, strict=True)])
         key = np.concatenate([np.frombuffer(x.as_py(), dtype=U64) for x in tbl.column("keys")])
-        who = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32).astype(np.int64) + (c << 32) for x, c in zip(tbl.column("idx"), tbl.column("chunk").to_pylist(), strict=True)])
+        who, join, room = of("nodes", np.int64), of("joins", np.uint8), of("rooms", np.int32)
+        order = np.lexsort((who, key))
+        key, who, join, room = key[order], who[order], join[order], room[order]
+        # a set that several bundles saw counts once
+        new = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])] if len(key) else np.zeros(0, dtype=bool)
+        key, who, join, room = key[new], who[new], join[new], room[new]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[starts, len(key)])
+        often = np.repeat(n > FREQUENT, n)
+        same = (key[1:] == key[:-1]) & ~often[1:]
+        a, b = forest(who[1:][same], who[:-1][same]) if same.any() else (who[:0], who[:0])
+        m = int(often.sum())
+        return pa.table({
+            "a": pa.array(np.concatenate([a, who[often]]), pa.int64()), "b": pa.array(np.concatenate([b, key[often].view(np.int64)]), pa.int64()),
+            "join": pa.array(np.concatenate([np.full(len(a), -1), join[often].astype(np.int64)]), pa.int32()), "room": pa.array(np.concatenate([np.zeros(len(a), dtype=np.int64), room[often].astype(np.int64)]), pa.int32()),
+        }) if m or len(a) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "join": pa.array([], pa.int32()), "room": pa.array([], pa.int32())})
+
+    def shared(tbl: pa.Table) -> pa.Table:
+        who, key = np.asarray(tbl.column("a")), np.asarray(tbl.column("b"))
         order = np.lexsort((who, key))
-        key, who = key[order], who[order]
+        who, key = who[order], key[order]
         same = key[1:] == key[:-1]
-        if not same.any():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        a, b = forest(who[1:][same], who[:-1][same])
+        a, b = forest(who[1:][same], who[:-1][same]) if same.any() else (who[:0], who[:0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    blobs = chunks.groupBy("chunk").cogroup(reps.select("chunk", "tag", "idx").groupBy("chunk")).applyInArrow(keys, "bucket int, chunk int, keys binary, idx binary")
-    return blobs.groupBy("bucket").applyInArrow(runs, "a long, b long")
+    blobs = chunks.select("text").mapInArrow(keys, "bucket int, keys binary, idx binary, nodes binary, joins binary, rooms binary")
+    found = stash(blobs.groupBy("bucket").applyInArrow(runs, "a long, b long, join int, room int"), "ngram-keys")
+    frequent = found.where("join >= 0")
+    crowded = frequent.groupBy("a", "join").agg(F.count(F.lit(1)).alias("n"), F.max("room").alias("most")).where("n > most").select("a", "join")
+    again = frequent.join(crowded, ["a", "join"]).select("a", "b", F.pmod(F.xxhash64("b"), F.lit(n_buckets)).alias("bucket")).groupBy("bucket").applyInArrow(shared, "a long, b long")
+    return found.where("join < 0").select("a", "b").unionByName(again)
 
 
 def verified_links(chunks: DataFrame, members: DataFrame, k: int, t: int) -> DataFrame:
-    """(a, b): links that connect all similar representatives. ``members``: chunk, tag, node, cluster, block, n_blocks."""
+    """(a, b): links that connect all similar classes. ``members`` (chunk, tag, node, cluster, block, n_blocks) has a text of each."""
 
     def fetch(docs: pa.Table, mine: pa.Table) -> pa.Table:
         of = {x["tag"]: x for x in mine.to_pylist()}
@@ -271,15 +346,10 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
     chunks, n_chunks = in_chunks(docs)
     chunks = chunks.select("chunk", "tag", "doc_id", "text")
     rows = stash(measured(chunks, k), "ngram-rows")
-    classes = rows.where("n_shingles > 0").groupBy("n_shingles", "p1", "p2").agg(F.min("doc_id").alias("low"), F.min(F.struct("chunk", "tag")).alias("rep"))
-    reps = stash(
-        classes.select("n_shingles", "p1", "p2", "low", "rep.chunk", "rep.tag")
-        .selectExpr("*", "row_number() over (partition by chunk order by tag, n_shingles, p1, p2) as idx")
-        .withColumn("node", F.expr("shiftleft(cast(chunk as long), 32) + idx")),
-        "ngram-classes",
-    )
+    classes = rows.where("n_shingles > 0").groupBy("node", "print").agg(F.min("doc_id").alias("low"), F.min(F.struct("chunk", "tag")).alias("rep"), F.first("n_shingles").alias("n_shingles"))
+    reps = stash(classes.select("node", "print", "low", "rep.chunk", "rep.tag", "n_shingles"), "ngram-classes")
     total = reps.agg(F.sum("n_shingles")).first()[0] or 0
-    candidates = stash(candidate_links(chunks, reps, k, t, max(1, min(1 << 30, total // (2 * KEYS_PER_BUCKET)) + 8)), "ngram-candidates")
+    candidates = stash(candidate_links(chunks, k, t, max(1, min(1 << 30, total // (2 * KEYS_PER_BUCKET)) + 8)), "ngram-candidates")
     clusters = stash(components(candidates), "ngram-clusters")
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     members = (
@@ -294,8 +364,8 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
     roots = components(links)
     named = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_class = named.join(lows, "root").select("n_shingles", "p1", "p2", "component_id")
-    out = rows.join(of_class, ["n_shingles", "p1", "p2"], "left").select(
+    of_class = named.join(lows, "root").select("node", "print", "component_id")
+    out = rows.join(of_class, ["node", "print"], "left").select(
         "doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     drop_stash(candidates)
