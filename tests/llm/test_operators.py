@@ -1,0 +1,625 @@
+"""Each text operator against a plain one, and on odd tables."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from modewave.llm import bpe, chunks, components, exact_dedup, lm_score, ngram_join, packing, quality, queries, sharding, suffix_dedup, toxicity, url_filter
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tag string, chunk int, key string"
+LONG = " ".join(f"w{i}" for i in range(30_000))
+
+
+def table(spark, texts, first=0):
+    """Documents, with columns whose names the operators use inside."""
+    rows = [(first + i, t, "en", "s", 0, "x", 7, "k") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def odd(spark):
+    """Nulls everywhere, empty and white texts, a very long one, ties, repeated rows."""
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one"), (5, "one"), (None, "one"), (None, None), (6, LONG), (7, LONG + " x"), (8, "é" * 50), (9, "a " * 400)]
+    return spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def docs(spark, name="documents"):
+    return spark.read.parquet(f"{DATA}/{name}.parquet")
+
+
+def prose(seed, n=60, vocabulary=400):
+    rng = random.Random(seed)
+    return [" ".join(f"w{rng.randrange(vocabulary)}" for _ in range(rng.randrange(1, 120))) for _ in range(n)]
+
+
+# ---------------------------------------------------------------- 1
+
+
+def test_toxicity_finds_held_out_words(spark):
+    rng = random.Random(1)
+    bad = ["idiot", "lowei", "stupid"]
+    texts, labels = [], []
+    for _ in range(1200):
+        ws = [f"n{rng.randrange(300)}" for _ in range(rng.randrange(5, 60))]
+        label = rng.random() < 0.2
+        if label:
+            ws.insert(rng.randrange(len(ws)), "lowei" + rng.choice("abcdefgh") * 3 if rng.random() < 0.5 else rng.choice(bad))
+        texts.append(" ".join(ws))
+        labels.append(int(label))
+    d = table(spark, texts)
+    lab = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(d, lab).collect()}
+    assert len(got) == 1200
+    held = [i for i in got if got[i]["held_out"]]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    right = sum(got[i]["predicted"] == labels[i] for i in held)
+    assert right / len(held) > 0.97 and all(0 <= got[i]["score"] <= 1 for i in got)
+
+
+def test_toxicity_neutral_mentions_stay_clean(spark, monkeypatch):
+    """A group that is named in most toxic texts: the penalty takes the name's weight away."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(1500):
+        ws = [f"n{rng.randrange(200)}" for _ in range(20)]
+        label = int(rng.random() < 0.3)
+        if label:
+            ws.append("muslim" if rng.random() < 0.9 else "christian")
+            if rng.random() < 0.8:
+                ws.append("idiot")
+        elif rng.random() < 0.3:
+            ws.append("christian")
+        rows.append((" ".join(ws), label))
+    train = spark.createDataFrame(rows, "text string, label int")
+    neutral = [" ".join([*(f"n{rng.randrange(200)}" for _ in range(20)), "muslim"]) for _ in range(200)]
+    rate = {}
+    for weight in (0.0, toxicity.COUNTERFACTUAL):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
+        score = toxicity.fit(train).scorer()
+        rate[weight] = sum(score(t) >= 0.5 for t in neutral) / len(neutral)
+        assert score("n1 n2 you idiot") > 0.5
+    assert rate[0.0] > 0.5 and rate[1.0] < 0.1
+
+
+def test_toxicity_odd(spark):
+    lab = spark.createDataFrame([(1, 1), (4, None), (None, 1), (5, 0), (6, 0)], "doc_id long, toxic int")
+    got = toxicity.scored(odd(spark), lab).collect()
+    assert len(got) == 12 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.scored(empty(spark), lab).count() == 0
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.scored(odd(spark), none).count() == 12
+
+
+# ---------------------------------------------------------------- 2
+
+
+def check_packing(rows, ids_of, max_tokens=1024):
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+    for doc, own in by_doc.items():
+        ids, at = ids_of[doc], 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0 and r["doc_tokens"] == len(ids)
+            part = np.array(ids[at : at + r["length"]], dtype="<u4").tobytes()
+            assert r["ids_crc32"] == zlib.crc32(part)
+            at += r["length"]
+        assert at == len(ids)
+    padding = total = 0
+    for own in by_seq.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= max_tokens
+        total += at
+        padding += 0 if at & (at - 1) == 0 else max_tokens - at
+    assert padding == 0 and total == sum(map(len, ids_of.values()))
+
+
+def test_packing_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    d = docs(spark)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    rows = queries.op2_packing(spark, DATA).collect()
+    check_packing(rows, ids)
+    small = packing.packed(d, public_tokenizers.path("byte_bpe_50k.json"), group_rows=16)
+    check_packing(small.collect(), ids)
+    one = small.where("length < 1024").first()
+    assert np.frombuffer(one["ids"], dtype="<u4").tolist() == ids[one["doc_id"]][one["start"] : one["start"] + one["length"]]
+
+
+def test_assignment_balances_cost():
+    assert packing.capacities(2 * 1024 + 13) == [1024, 1024, 8, 4, 1]
+    lengths = sorted((random.Random(3).randrange(1, 1024) for _ in range(400)), reverse=True)
+    out = packing.assign(lengths)
+    cost = collections.defaultdict(float)
+    for _, _, n, s, _ in out:
+        cost[s] += n + n * n / packing.QUADRATIC
+    full = [c for s, c in cost.items() if s < sum(lengths) // 1024]
+    in_order = collections.defaultdict(float)  # filled one after another instead
+    at = 0
+    for n in lengths:
+        while n:
+            take = min(n, 1024 - at % 1024)
+            in_order[at // 1024] += take + take * take / packing.QUADRATIC
+            at, n = at + take, n - take
+    assert np.std(full) < 0.6 * np.std([c for s, c in in_order.items() if s < sum(lengths) // 1024])
+    # the rule itself: a piece goes to the cheapest sequence that has room
+    room, spent = packing.capacities(sum(lengths)), collections.defaultdict(float)
+    for _, _, n, s, _ in out[:50]:
+        fit = [i for i, r in enumerate(room) if r >= n]
+        assert s == min(fit, key=lambda i: (spent[i], i))
+        room[s] -= n
+        spent[s] += n + n * n / packing.QUADRATIC
+
+
+def test_packing_odd(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = packing.packed(odd(spark), path).collect()
+    assert sum(r["length"] for r in rows if r["start"] == 0 and r["doc_tokens"] == 1) >= 3
+    assert len({r["sequence_id"] for r in rows}) < len(rows)
+    assert packing.packed(empty(spark), path).count() == 0
+
+
+# ---------------------------------------------------------------- 3
+
+
+def duck(name="pages"):
+    con = duckdb.connect()
+    con.execute(f"create view {name} as select * from '{DATA}/{name}.parquet'")
+    return con
+
+
+def test_url_filter_equals_sql(spark):
+    got = queries.op3_url_filter(spark, DATA).toPandas().sort_values("page_id").reset_index(drop=True)
+    want = duck().execute(url_filter.SQL).df().sort_values("page_id").reset_index(drop=True)[list(got.columns)]
+    assert got.astype(object).where(got.notna(), None).values.tolist() == want.astype(object).where(want.notna(), None).values.tolist()
+
+
+def plain_verdict(url, listed):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host, path = rest[:cut].lower(), rest[cut:]
+    path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+    best = max((r for r in url_filter.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])), key=lambda r: len(r[1] + r[2]), default=None)
+    canon = host.removeprefix("www.") + (path[:-5] if path.endswith(".html") else path[:-1] if path.endswith("/") else path)
+    return host, path, best and best[1] + best[2], best[0] if best else "block" if canon in listed else "allow"
+
+
+def test_url_filter_on_odd_urls(spark):
+    urls = [None, "", "x", "://", "http://COM/en/", "http://a.com/en/7", "http://example.com/en/7", "http://notexample.com/en/71", "http://b.example.com/en/71?x#y", "http://net/de/8", "http://example.net/de/8", "http://a.example.net/de/", "http://org?/es/", "http://x.org/es/#f", "http://x.org/es", "http://.com/en/", "http://com./en/", "ftp://q/listed/", "ftp://www.q/listed.html", "http://a://b.com/en/", "http://a.b.c.d.e.com/en/1", "http://q\n.com/en/1"] * 3
+    pages = spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    listed = url_filter.listing(url_filter.RULES, spark.createDataFrame([("q/listed",), (None,)], "canon string"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judged(pages, listed, [4, 5]).collect()}
+    assert got == {i: plain_verdict(u, {"q/listed"}) for i, u in enumerate(urls)}
+    nothing = pages.where("false")
+    assert url_filter.judged(nothing, listed, [4, 5]).count() == 0
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    words = url_filter.blocked_filter(keys, url_filter.blocks_for(3000))
+    probe = spark.range(9000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    hit = probe.select("id", url_filter.block_of(F.col("key"), url_filter.blocks_for(3000)).alias("block"), F.xxhash64("key", F.lit(1)).alias("h")).join(words, "block").where(f"word & ({url_filter.BITS}) = ({url_filter.BITS})")
+    found = {r["id"] for r in hit.collect()}
+    assert found >= set(range(3000)) and len(found) < 4500
+
+
+# ---------------------------------------------------------------- 4
+
+
+def test_sharding(spark):
+    d = docs(spark)
+    rows, stored = sharding.sharded(d, 8)
+    got = rows.collect()
+    assert len(got) == d.count()
+    for s in range(8):
+        places = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert places == list(range(len(places)))
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in d.collect()}
+    assert all(r["size"] == len(text[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) for r in got)
+    assert all(r["grown_shard"] in (r["shard"], 8) for r in got) and any(r["grown_shard"] == 8 for r in got)
+    few = {r["doc_id"]: r["shard"] for r in sharding.sharded(d.where("doc_id % 3 = 0"), 8)[0].collect()}
+    assert all(few[r["doc_id"]] == r["shard"] for r in got if r["doc_id"] in few)
+    assert stored.agg(F.sum("bytes")).first()[0] == sum(r["size"] for r in got)
+
+
+def test_slot_maps():
+    m = sharding.SlotMap.of(8, 4096)
+    assert collections.Counter(m.shard_of) == {s: 512 for s in range(8)}
+    g = m.grown()
+    assert g.version == m.version + 1 and len(g.moved) == 455
+    assert all(b == a or b == 8 for a, b in zip(m.shard_of, g.shard_of, strict=True))
+    r = m.rebalanced({s: 1000 if s % 8 == 0 else 1 for s in range(4096)}, 0.05)
+    load = collections.Counter()
+    for s, shard in enumerate(r.shard_of):
+        load[shard] += 1000 if s % 8 == 0 else 1
+    assert max(load.values()) <= 1.06 * sum(load.values()) / 8 and r.moved
+    with pytest.raises(ValueError):
+        sharding.SlotMap.of(0)
+
+
+def test_sharding_odd(spark):
+    rows, _ = sharding.sharded(odd(spark), 8)
+    got = rows.collect()
+    assert len(got) == 12 and len({r["shard"] for r in got if r["doc_id"] is None}) == 1
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    rows, stored = sharding.sharded(empty(spark), 8)
+    assert rows.count() == 0 and stored.agg(F.sum("bytes")).first()[0] == 0
+
+
+# ---------------------------------------------------------------- 5
+
+
+def plain_counts(text):
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    n = collections.Counter(grams)
+    repeated = {j for i, g in enumerate(grams) if n[g] > 1 for j in (i, i + 1, i + 2)}
+    dup, seen = 0, set()
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(repeated)
+
+
+def test_quality_counts(spark):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    for d in (docs(spark), odd(spark), table(spark, ["a b c a b c\n\na b\na b\n \n ", "x\u00a0y \u2003z\x1ck", "a a a a a"])):
+        got = collections.Counter((r["doc_id"], *(r[n] for n in names), r["base_failed"]) for r in quality.measured(d).collect())
+        want = collections.Counter()
+        for r in d.collect():
+            c = plain_counts(r["text"])
+            want[(r["doc_id"], *c, c[0] < 50 or 100 * c[4] > 50 * c[0])] += 1
+        assert got == want
+    assert quality.measured(empty(spark)).count() == 0
+
+
+def test_bounds_are_exact():
+    assert quality.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
+    p = quality.upper_bound(3, 50, 0.05)
+    assert sum(math.comb(50, i) * p**i * (1 - p) ** (50 - i) for i in range(4)) == pytest.approx(0.05, abs=1e-9)
+    assert quality.upper_bound(5, 5, 0.05) == 1.0 and quality.upper_bound(0, 0, 0.05) == 1.0
+    # no cutoff without proof; with proof, the junk above it goes
+    good, junk = [0] * (quality.GRID + 1), [0] * (quality.GRID + 1)
+    good[1], junk[100] = 30, 20
+    assert quality.certified(good, junk, 0.005, 0.003) is None
+    good[1] = 3000
+    assert quality.certified(good, junk, 0.005, 0.003) == 0.5
+
+
+def test_quality_verdicts(spark):
+    rng = random.Random(4)
+    clean = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(2500)]
+    dirty = [" ".join(f"w{rng.randrange(5000)}%%%%" for _ in range(80)) for _ in range(200)]
+    d = table(spark, clean + dirty)
+    lab = spark.createDataFrame([(i, int(i < 2500)) for i in range(2700)] + [(None, 1), (3, None), (99999, 0)], "doc_id long, quality int")
+    rows = quality.measured(d)
+    kept = {r["doc_id"] for r in quality.judged(rows, quality.cutoffs(rows, lab)).where("kept").collect()}
+    assert len(kept & set(range(2500))) >= 2490 and not kept & set(range(2500, 2700))
+    stays = quality.accepted(d, quality.cutoffs(rows, lab))
+    assert stays.columns == d.columns and {r["doc_id"] for r in stays.select("doc_id").collect()} == kept
+    none = quality.cutoffs(rows, lab.where("false"))
+    assert quality.judged(rows, none).where("kept").count() == quality.judged(rows, none).where("not base_failed").count()
+
+
+# ---------------------------------------------------------------- 6
+
+
+def test_language_model(spark):
+    rng = random.Random(5)
+    syllables = ["ka", "to", "mi", "re", "su", "no", "vé"]
+    lexicon = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(600)]
+    weights = [1 / (i + 1) for i in range(600)]
+    texts = [" ".join(rng.choices(lexicon, weights, k=rng.randrange(1, 150))) for _ in range(500)]
+    d = table(spark, texts)
+    rows = {r["doc_id"]: r for r in lm_score.scored(d).collect()}
+    count, total = collections.Counter(), 0
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            own = t.encode().lower().split() + [b"\t"]
+            count.update(own)
+            total += len(own)
+    held = base = 0.0
+    for i, t in enumerate(texts):
+        own, r = t.encode().lower().split() + [b"\t"], rows[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(count[w] > 0 for w in own), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in own))
+        assert r["score"] < 0
+        if r["held_out"]:
+            held, base = held + r["score"], base + r["base_score"]
+    assert held > base
+    noise = lm_score.scored(table(spark, texts[:100] + ["qxzj wvkq jjxx zzqp " * 5])).where("doc_id = 100").first()
+    assert noise["bits_per_byte"] > 2 * max(r["bits_per_byte"] for r in rows.values() if r["n_tokens"] > 20)
+
+
+def test_language_model_sums_to_one():
+    """All continuations of a prefix together, spelled bit by bit, have the prefix' probability."""
+    m = lm_score.Model()
+    words, states = [b"aa", b"ab", b"b"], np.zeros(3, dtype=np.uint8)
+    lm_score.add_counts(m, words, states, np.array([5, 3, 2]))
+    lm_score.learn(m, words, states, np.array([5, 3, 2]))
+    s = lm_score.Scorer(m.counts, m.check, m.weights, m.ones / m.seen)
+    one = [bytes([b]) for b in range(256) if b != 32]
+    cost = np.array([s.bits([w], np.zeros(1, dtype=np.uint8))[0] for w in one])
+    spelled = lm_score.Spelled([b"a"], np.zeros(1, dtype=np.uint8))
+    assert len(spelled.data) == 2 and 0 < np.exp2(-cost).sum() <= 1 + 1e-6
+
+
+def test_language_model_odd(spark):
+    got = lm_score.scored(odd(spark)).collect()
+    assert len(got) == 12 and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    assert lm_score.scored(empty(spark)).count() == 0
+    assert all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 3))
+
+
+# ---------------------------------------------------------------- 7
+
+
+def plain_components(texts, k, t):
+    sets = {}
+    for i, x in texts.items():
+        w = (x or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * 100 >= t * max(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= t * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        i = rng.randrange(len(w))
+        w[i] = f"e{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize(("k", "t"), [(4, 85), (5, 80)])
+def test_near_duplicates_equal_brute_force(spark, k, t):
+    rng = random.Random(k)
+    texts = [""] * 2 + ["One two", "one TWO", "three"]
+    for size in (4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 30, 50, 80, 130, 300, 900):
+        base = " ".join(f"b{rng.randrange(10**6)}" for _ in range(size))
+        texts.append(base)
+        texts += [edited(rng, base, n) for n in (0, 1, 1, 2, 3, max(1, size // 60), max(1, size // 40), max(1, size // 25))]
+        texts += [" ".join(base.split()[: max(1, size - n)]) for n in (1, 2, max(1, size // 8), max(1, size // 6))]
+        texts += [base + " " + " ".join(f"c{rng.randrange(10**6)}" for _ in range(n)) for n in (1, 2, max(1, size // 9))]
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts += [passage + " " + " ".join(f"d{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 40))) for _ in range(60)]
+    group = " ".join(f"g{i}" for i in range(100))
+    texts += [edited(rng, group, rng.randrange(0, 6)) for _ in range(60)]
+    d = table(spark, texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(d, k, t, block=24).collect()}
+    want = plain_components(dict(enumerate(texts)), k, t)
+    assert got == want
+
+
+def test_near_duplicates_on_given_documents(spark):
+    d = docs(spark)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op7_ngram_join(spark, DATA).collect()}
+    assert got == plain_components({r["doc_id"]: r["text"] for r in d.collect()}, 4, 85)
+
+
+def test_differences_change_at_most_one_cell():
+    rng = np.random.default_rng(0)
+    for size in (10, 60, 200, 1000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[:-1], rng.integers(0, 1 << 63, 1, dtype=np.uint64)]))
+        x, y = ngram_join.keys_of(a, 85)[0], ngram_join.keys_of(b, 85)[0]
+        if size >= 200:
+            assert len(np.setdiff1d(x, y)) <= 2
+        assert size < 14 or len(np.intersect1d(x, y))
+
+
+def test_near_duplicates_odd(spark):
+    got = ngram_join.near_duplicates(odd(spark)).collect()
+    assert len(got) == 12
+    of = {r["doc_id"]: r["component_id"] for r in got}
+    assert of[1] == 1 and of[2] == 2 and of[4] == of[5] == of[None] == 4 and of[7] == of[6] == 6
+    assert ngram_join.near_duplicates(empty(spark)).count() == 0
+    kept = ngram_join.one_of_each(odd(spark))
+    assert kept.columns == empty(spark).columns
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} >= {1, 2, 3, 4, 6, 8, 9}
+    assert not {5, 7} & {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {x: find(x) for a, b in links if a != b for x in (a, b)}
+    assert {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---------------------------------------------------------------- 8
+
+
+def test_exact_duplicates(spark):
+    con = duck("documents")
+    got = sorted(map(tuple, queries.op8_exact_dedup(spark, DATA).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()))
+    want = sorted(con.execute(f"select doc_id, keep_id, group_size, kept, text_sha256 from ({exact_dedup.SQL})").fetchall())
+    assert got == want
+
+
+def test_exact_duplicates_odd(spark):
+    got = exact_dedup.exact_groups(odd(spark)).collect()
+    assert len(got) == 12
+    ones = [r for r in got if r["text_sha256"] == hashlib.sha256(b"one").hexdigest()]
+    assert {r["keep_id"] for r in ones} == {5} and {r["group_size"] for r in ones} == {4} and sum(r["kept"] for r in ones) == 2
+    none = [r for r in got if r["text_sha256"] == hashlib.sha256(b"").hexdigest()]
+    assert {r["keep_id"] for r in none} == {2} and len(none) == 3
+    assert exact_dedup.exact_groups(empty(spark)).count() == 0
+    kept = exact_dedup.drop_exact(odd(spark))
+    assert kept.columns == empty(spark).columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 6, 7, 8, 9]
+    prefix = "p" * 300
+    t = table(spark, [prefix + "a", prefix + "b", prefix + "a"])
+    assert [r["group_size"] for r in exact_dedup.exact_groups(t).orderBy("doc_id").collect()] == [2, 1, 2]
+
+
+def test_exact_duplicates_run_no_python(spark):
+    plan = exact_dedup.exact_groups(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    pages = docs(spark, "pages")
+    listed = url_filter.listing(url_filter.RULES, url_filter.listed_urls(pages))
+    plan = url_filter.judged(pages, listed, [4, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
+
+
+# ---------------------------------------------------------------- 9
+
+
+def test_bpe(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = bpe.encoding(path)
+    for d in (docs(spark), odd(spark), empty(spark)):
+        got = collections.Counter(map(tuple, bpe.round_trip(d, path).collect()))
+        want = collections.Counter()
+        for r in d.collect():
+            ids = enc.encode_ordinary(r["text"] or "")
+            want[(r["doc_id"], len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())] += 1
+        assert got == want
+    ids = bpe.encoded(docs(spark), path)
+    back = {r["doc_id"]: bytes(r["data"]).decode() for r in bpe.decoded(ids, path).collect()}
+    assert back == {r["doc_id"]: r["text"] for r in docs(spark).collect()}
+
+
+def test_safe_boundaries():
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(7)
+    alphabet = ["a", "é", " ", "  ", "\n", "'s", "1", "!", "\u00a0", "word", "漢", "<|endoftext|>", "\t "]
+    for size in (1, 5, 50):
+        for _ in range(40):
+            text = "".join(rng.choice(alphabet) for _ in range(300))
+            parts = list(bpe.pieces(text, size))
+            assert "".join(parts) == text
+            assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+    assert list(bpe.pieces("x" * 500, 10)) == ["x" * 500]
+
+
+# ---------------------------------------------------------------- 10
+
+
+def plain_cover(texts, n=50):
+    words = {i: (t or "").encode().split() for i, t in texts.items()}
+    where = collections.defaultdict(set)
+    for i, w in words.items():
+        for j in range(len(w) - n + 1):
+            where[tuple(w[j : j + n])].add(i)
+    out = {i: set() for i in words}
+    for i, w in words.items():
+        for j in range(len(w) - n + 1):
+            if len(where[tuple(w[j : j + n])]) > 1:
+                out[i].update(range(j, j + n))
+    return out
+
+
+def passages(seed):
+    rng = random.Random(seed)
+    shared = [[f"s{p}x{i}" for i in range(n)] for p, n in enumerate((30, 49, 50, 51, 60, 120, 400))]
+    texts = []
+    for _ in range(70):
+        parts = [[f"u{rng.randrange(10**7)}" for _ in range(rng.randrange(0, 90))] for _ in range(3)]
+        for p in rng.sample(shared, rng.randrange(0, 3)):
+            a = rng.randrange(0, max(1, len(p) - 40))
+            parts.insert(rng.randrange(4), p[a:] if rng.random() < 0.4 else p)
+        texts.append(" ".join(w for part in parts for w in part))
+    own = " ".join(f"r{i}" for i in range(60))
+    texts += [own + " z " + own, "q " * 300, "q " * 200 + "end"]
+    return texts
+
+
+def test_repeated_passages_equal_brute_force(spark):
+    texts = passages(8)
+    d = table(spark, texts)
+    got = collections.defaultdict(set)
+    for r in suffix_dedup.repeated_spans(d).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+        cut = texts[r["doc_id"]][r["start_char"] : r["end_char"]]
+        assert cut.split() == texts[r["doc_id"]].split()[r["start_word"] : r["end_word"]] and r["n_words"] >= 50
+    want = plain_cover(dict(enumerate(texts)))
+    assert all(got.get(i, set()) == c for i, c in want.items())
+    assert not got.get(70)  # a passage that repeats in one document only
+
+
+def test_cut_texts_hold_no_repeats_and_lose_nothing_else(spark):
+    texts = passages(9)
+    out = suffix_dedup.without_repeats(table(spark, texts))
+    assert out.columns == empty(spark).columns
+    left = {r["doc_id"]: r["text"] for r in out.collect()}
+    want = plain_cover(dict(enumerate(texts)))
+    assert all(left[i] == t for i, t in enumerate(texts) if not want[i])
+    seen = collections.Counter()
+    for t in left.values():
+        w = t.split()
+        seen.update({tuple(w[j : j + 50]) for j in range(len(w) - 49)})
+    assert max(seen.values()) == 1
+    windows = {tuple(t.split()[j : j + 50]) for t in texts for j in range(len(t.split()) - 49)}
+    whole = {w for w in windows if seen[w]}
+    alone = [w for w in windows if sum(1 for t in texts if " ".join(w) in t) == 1]
+    assert all(w in whole for w in alone if all(not want[i] for i, t in enumerate(texts) if " ".join(w) in t))
+
+
+def test_minimisers_follow_from_content():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 1 << 62, 500, dtype=np.uint64)
+    g = chunks.grams(words, 18)
+    assert len(g) == 483 and np.array_equal(chunks.grams(words[7:], 18), g[7:])
+    low = chunks.sliding(g, 33, np.minimum)
+    assert all(low[i] == g[i : i + 33].min() for i in range(len(low)))
+    with pytest.raises(ZeroDivisionError):
+        _ = 1 // len(chunks.grams(words[:5], 18))
+
+
+def test_repeated_passages_odd(spark):
+    spans = suffix_dedup.repeated_spans(odd(spark)).collect()
+    assert {r["doc_id"] for r in spans} == {6, 7}
+    assert suffix_dedup.repeated_spans(empty(spark)).count() == 0 and suffix_dedup.without_repeats(empty(spark)).count() == 0
+    kept = suffix_dedup.without_repeats(odd(spark)).collect()
+    assert sum(r["text"] is None for r in kept) == 2 and len(kept) >= 11
