@@ -77,8 +77,8 @@ def listing(rules: Sequence[tuple[str, str, str]], urls: DataFrame) -> DataFrame
 
     A rule that is listed with both verdicts blocks. Null URLs and rules listed twice do no harm.
     """
-    spark = urls.sparkSession
-    fixed = spark.createDataFrame([("r" + h + p, v, h + p) for v, h, p in rules], "key string, verdict string, rule string")
+    structs = [F.struct(F.lit("r" + h + p).alias("key"), F.lit(v).alias("verdict"), F.lit(h + p).alias("rule")) for v, h, p in rules]
+    fixed = urls.sparkSession.range(1).select(F.inline(F.array(*structs)))
     rule = fixed.groupBy("key").agg(F.max("verdict").alias("verdict"), F.first("rule").alias("rule"))
     return rule.unionByName(
         urls.where("canon is not null").select(F.concat(F.lit("u"), "canon").alias("key")).distinct()

@@ -248,10 +248,11 @@ def test_slot_maps():
     g = m.grown()
     assert g.version == m.version + 1 and len(g.moved) == 455
     assert all(b == a or b == 8 for a, b in zip(m.shard_of, g.shard_of, strict=True))
-    r = m.rebalanced({s: 1000 if s % 8 == 0 else 1 for s in range(4096)}, 0.05)
+    weigh = {s: 1000 if m.shard_of[s] == 0 else 1 for s in range(4096)}
+    r = m.rebalanced(weigh, 0.05)
     load = collections.Counter()
     for s, shard in enumerate(r.shard_of):
-        load[shard] += 1000 if s % 8 == 0 else 1
+        load[shard] += weigh[s]
     assert max(load.values()) <= 1.06 * sum(load.values()) / 8 and r.moved
     with pytest.raises(ValueError):
         sharding.SlotMap.of(0)
@@ -352,8 +353,10 @@ def test_language_model(spark):
         assert r["score"] < 0
         if r["held_out"]:
             held, base = held + r["score"], base + r["base_score"]
-    assert held > base
-    noise = lm_score.scored(table(spark, texts[:100] + ["qxzj wvkq jjxx zzqp " * 5])).where("doc_id = 100").first()
+    # words drawn one by one: the unigram model is the true one here, spelling must come near it
+    assert held > 1.05 * base
+    unseen = next(i for i in range(500, 600) if zlib.crc32(str(i).encode()) % 7 == 2)
+    noise = lm_score.scored(d.unionByName(table(spark, ["qxzj wvkq jjxx zzqp " * 5], unseen))).where(f"doc_id = {unseen}").first()
     assert noise["bits_per_byte"] > 2 * max(r["bits_per_byte"] for r in rows.values() if r["n_tokens"] > 20)
 
 
@@ -451,8 +454,8 @@ def test_differences_change_at_most_one_cell():
 def test_near_duplicates_odd(spark):
     got = ngram_join.near_duplicates(odd(spark)).collect()
     assert len(got) == 12
-    of = {r["doc_id"]: r["component_id"] for r in got}
-    assert of[1] == 1 and of[2] == 2 and of[4] == of[5] == of[None] == 4 and of[7] == of[6] == 6
+    of = {(r["doc_id"], r["n_shingles"] > 0): r["component_id"] for r in got}
+    assert of[1, False] == 1 and of[2, False] == 2 and of[4, True] == of[5, True] == of[None, True] == 4 and of[None, False] is None and of[7, True] == of[6, True] == 6
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
     kept = ngram_join.one_of_each(odd(spark))
     assert kept.columns == empty(spark).columns
@@ -503,13 +506,14 @@ def test_exact_duplicates_odd(spark):
     assert [r["group_size"] for r in exact_dedup.exact_groups(t).orderBy("doc_id").collect()] == [2, 1, 2]
 
 
-def test_exact_duplicates_run_no_python(spark):
+def test_native_operators_run_no_python(spark):
     plan = exact_dedup.exact_groups(docs(spark))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
     pages = docs(spark, "pages")
     listed = url_filter.listing(url_filter.RULES, url_filter.listed_urls(pages))
     plan = url_filter.judged(pages, listed, [4, 5])._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    assert all("html:string" not in line for line in plan.split("\n") if "ReadSchema" in line)
 
 
 # ---------------------------------------------------------------- 9
