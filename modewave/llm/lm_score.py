@@ -9,9 +9,13 @@ follow from (word, state), and are counted once for each distinct pair of the co
 
 Each shard of the vocabulary is learned apart. Its pairs are counted, frequent ones first; a slot of a table belongs to the
 first context that claims it, known by a check byte, so that rare contexts don't blur frequent ones. Weights and map are
-then learned online, block by block in hashed order: a block is predicted from the tables less one occurrence of
+then learned online, block by block, each a sample of the alphabet: a block is predicted from the tables less one occurrence of
 each pair, as if that were still to come, and they take a step. Tables of shards are summed, weights and maps averaged. Scores are taken from the finished model, so that a text's score doesn't hang on
 its neighbours. Tables have a fixed size whatever the corpus; the vocabulary is dealt by hash and never leaves the executors.
+
+One context no table of fixed size can hold: the whole word with its end. Its counts are exact in the vocabulary, so this
+predictor joins last, word by word: P = known * P(word | state) + (1 - known) * P(spelling | state), where ``known`` is one less the
+Good-Turing share of unseen words (singletons over tokens), and a state's counts are smoothed towards those of all states.
 """
 
 from __future__ import annotations
@@ -43,15 +47,19 @@ GATES = (len(LEVELS) + 1) ** 2
 BUCKETS = 33
 BLOCK = 20_000
 LEARN_BLOCK = 4_000
+#: Pairs seen as often as this claim slots first.
+COMMON = 8
 STEP = 0.05
+#: Tokens of all states that weigh as much as a state's own, in a word's probability.
+PRIOR = 5000.0
 END = b"\t"
 
 
 class Model:
-    """Counts and check bytes of all slots, weights (bit, gate, context), and the refining map (bits so far, bucket of the logit)."""
+    """Counts (zeros and ones in turn) and check bytes of all slots, weights (bit, gate, context), and the refining map (bits so far, bucket of the logit)."""
 
     def __init__(self) -> None:
-        self.counts = np.zeros((OFFSETS[-1], 2), dtype=np.float32)
+        self.counts = np.zeros(2 * OFFSETS[-1], dtype=np.float32)
         self.check = np.zeros(OFFSETS[-1], dtype=np.uint8)
         self.weights = np.full((8, GATES, N_CONTEXTS), 0.25)
         self.moved = np.full((8, GATES, N_CONTEXTS), 1e-3)
@@ -61,95 +69,107 @@ class Model:
 
 
 def logit(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2))), -10, 10).astype(np.float32)
+    return np.clip(np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2))), -10, 10)
 
 
 def levels(n: np.ndarray) -> np.ndarray:
-    return sum((n >= x).astype(np.int64) for x in LEVELS)
+    out = (n >= LEVELS[0]).astype(np.intp)
+    for x in LEVELS[1:]:
+        out += n >= x
+    return out
 
 
 class Spelled:
-    """A block of words in bytes, and the context hashes of each byte."""
+    """A block of words in bytes. Bytes with the same state, prefix and value have the same bits, so each such place is held once:
+    ``of`` leads from the words' bytes to the places, ``starts`` to each word's first byte."""
 
     def __init__(self, words: list[bytes], states: np.ndarray):
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        self.data = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
+        data = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
         self.starts = np.cumsum(sizes) - sizes
         self.word = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(self.data)) - self.starts[self.word]
+        place = np.arange(len(data)) - self.starts[self.word]
+        powers = np.cumprod(np.concatenate([[U64(1)], np.full(int(place.max(initial=0)), ODD | U64(1), dtype=U64)]), dtype=U64)
+        terms = (data.astype(U64) + U64(1)) * powers[place]
+        before = np.cumsum(terms, dtype=U64) - terms
+        prefix = before - before[self.starts][self.word] + powers[place]
         state = states.astype(U64)[self.word] + U64(1)
+        both = prefix * U64(0xBF58476D1CE4E5B9) + state
+        _, rows, self.of = np.unique((both ^ both >> U64(31)) * ODD + data, return_index=True, return_inverse=True)
+        self.data = data[rows].astype(np.intp)
         back = []
         for k in range(1, 5):
-            b = np.zeros(len(self.data), dtype=U64)
-            b[k:] = self.data[:-k]
-            b[place < k] = 0
+            b = data[np.maximum(rows - k, 0)].astype(U64)
+            b[place[rows] < k] = 0
             back.append(b)
-        powers = np.cumprod(np.concatenate([[U64(1)], np.full(int(place.max(initial=0)), ODD | U64(1), dtype=U64)]), dtype=U64)
-        terms = (self.data.astype(U64) + U64(1)) * powers[place]
-        before = np.cumsum(terms, dtype=U64) - terms
-        prefix = before - before[self.starts][self.word]
         self.contexts = [
             back[0],
-            back[0] | back[1] << U64(8) | state << U64(16),
+            back[0] | back[1] << U64(8) | state[rows] << U64(16),
             back[0] | back[1] << U64(8) | back[2] << U64(16) | back[3] << U64(24),
-            prefix + powers[place],
-            (prefix + powers[place]) * U64(0xBF58476D1CE4E5B9) + state,
+            prefix[rows],
+            both[rows],
         ]
 
+    def weigh(self, counts: np.ndarray) -> np.ndarray:
+        """Of each place, how often it occurs."""
+        return np.bincount(self.of, counts.astype(np.float64)[self.word], len(self.data))
+
     def step(self, bit: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Of each byte: the bits before this one with a leading 1, the bit itself, and slot and check byte of each predictor."""
-        node = (1 << bit) | (self.data >> (8 - bit) if bit else np.zeros_like(self.data)).astype(np.int64)
-        slots, checks = [(self.contexts[0].astype(np.int64) << 8) + node], [np.ones(len(node), dtype=np.uint8)]
+        """Of each place: the bits before this one with a leading 1, the bit itself, and slot and check byte of each predictor."""
+        node = (1 << bit) | (self.data >> (8 - bit) if bit else 0 * self.data)
+        slots, checks = [(self.contexts[0].astype(np.intp) << 8) + node], [np.ones(len(node), dtype=np.uint8)]
         salt = node.astype(U64) * U64(0x94D049BB133111EB)
         for c, size, at in zip(self.contexts[1:], SIZES[1:], OFFSETS[1:], strict=False):
             h = (c + salt) * ODD
             h ^= h >> U64(29)
             h *= U64(0xBF58476D1CE4E5B9)
-            slots.append((h >> U64(64 - size)).astype(np.int64) + at)
+            slots.append((h >> U64(64 - size)).astype(np.intp) + at)
             checks.append(np.maximum((h >> U64(8)).astype(np.uint8), 1))
         return node, (self.data >> (7 - bit)) & 1, slots, checks
 
 
 def bucket(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(2 * x) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int64)
+    return np.clip(np.rint(2 * x) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.intp)
 
 
 def add_counts(model: Model, words: list[bytes], states: np.ndarray, counts: np.ndarray) -> None:
     """Adds a block of pairs to the tables; a slot belongs to the first context that claims it."""
     s = Spelled(words, states)
-    added = counts.astype(np.float32)[s.word]
+    added = s.weigh(counts).astype(np.float32)
     for bit in range(8):
         _, value, slots, checks = s.step(bit)
         for i, c in zip(slots, checks, strict=True):
-            free = model.check[i] == 0
-            model.check[i[free]] = c[free]
-            own = model.check[i] == c
-            np.add.at(model.counts, (i[own], value[own]), added[own])
+            there = model.check[i]
+            free = np.flatnonzero(there == 0)
+            if len(free):
+                model.check[i[free]] = c[free]
+                there = model.check[i]
+            np.add.at(model.counts, 2 * i + value, added * (there == c))
 
 
 def learn(model: Model, words: list[bytes], states: np.ndarray, counts: np.ndarray) -> None:
-    """One online step over a block: each pair is predicted from the tables less one of its occurrences, then weights and map move."""
+    """One online step over a block: each place is predicted from the tables less one of its occurrences, then weights and map move."""
     s = Spelled(words, states)
-    weight = counts.astype(np.float64)[s.word]
+    weight = s.weigh(counts)
     for bit in range(8):
         node, value, slots, checks = s.step(bit)
-        inputs, often = [], []
-        for i, c in zip(slots, checks, strict=True):
-            own = model.check[i] == c
-            n = model.counts[i] * own[:, None]
-            n[np.arange(len(i)), value] -= own
-            np.maximum(n, 0, out=n)
-            inputs.append(logit(n[:, 0], n[:, 1]))
-            often.append(n[:, 0] + n[:, 1])
-        gate = levels(often[-2]) * (len(LEVELS) + 1) + levels(often[-1])
+        one = value.astype(np.float32)
+        inputs, often = np.empty((N_CONTEXTS, len(node)), dtype=np.float32), []
+        for k, (i, c) in enumerate(zip(slots, checks, strict=True)):
+            own = (model.check[i] == c).astype(np.float32)
+            n1 = np.maximum(model.counts[2 * i + 1] - one, 0) * own
+            n0 = np.maximum(model.counts[2 * i] - (1 - one), 0) * own
+            inputs[k] = logit(n0, n1)
+            if k >= N_CONTEXTS - 2:
+                often.append(n0 + n1)
+        gate = levels(often[0]) * (len(LEVELS) + 1) + levels(often[1])
         w, moved = model.weights[bit], model.moved[bit]
-        x = sum(w[gate, k] * v for k, v in enumerate(inputs))
-        miss = (value - 1 / (1 + np.exp(-x))) * weight
+        x = np.einsum("nk,kn->n", w.astype(np.float32)[gate], inputs)
+        miss = (one - 1 / (1 + np.exp(-x))) * weight
         total = np.bincount(gate, weight, GATES) + 1e-9
-        for k, v in enumerate(inputs):
-            g = np.bincount(gate, miss * v, GATES) / total
-            moved[:, k] += g * g
-            w[:, k] += STEP * g / np.sqrt(moved[:, k])
+        g = np.stack([np.bincount(gate, miss * v, GATES) for v in inputs], axis=1) / total[:, None]
+        moved += g * g
+        w += STEP * g / np.sqrt(moved)
         at = node * BUCKETS + bucket(x)
         model.seen += np.bincount(at, weight, 256 * BUCKETS).reshape(256, BUCKETS)
         model.ones += np.bincount(at, weight * value, 256 * BUCKETS).reshape(256, BUCKETS)
@@ -159,33 +179,40 @@ class Scorer:
     """A finished model: the bits of (word, state) pairs."""
 
     def __init__(self, counts: np.ndarray, check: np.ndarray, weights: np.ndarray, shares: np.ndarray):
-        self.logits, self.check = logit(counts[:, 0], counts[:, 1]), check
-        self.often = levels(counts.sum(axis=1)).astype(np.uint8)
+        self.logits, self.check = logit(counts[0::2], counts[1::2]), check
+        self.often = levels(counts[0::2] + counts[1::2]).astype(np.uint8)
         self.weights, self.shares = weights.astype(np.float32), shares.astype(np.float32)
 
     @classmethod
     def blank(cls) -> Scorer:
         """Of no texts: every bit is even."""
-        return cls(np.zeros((OFFSETS[-1], 2), dtype=np.float32), np.zeros(OFFSETS[-1], dtype=np.uint8), np.zeros((8, GATES, N_CONTEXTS)), np.full((256, BUCKETS), 0.5))
+        return cls(np.zeros(2 * OFFSETS[-1], dtype=np.float32), np.zeros(OFFSETS[-1], dtype=np.uint8), np.zeros((8, GATES, N_CONTEXTS)), np.full((256, BUCKETS), 0.5))
 
     def bits(self, words: list[bytes], states: np.ndarray) -> np.ndarray:
+        """In the order of the words; they are scored in alphabetical blocks, which share most places."""
+        order = alphabetical(words)
         out = np.zeros(len(words))
         for a in range(0, len(words), BLOCK):
-            out[a : a + BLOCK] = self._block(words[a : a + BLOCK], states[a : a + BLOCK])
+            i = order[a : a + BLOCK]
+            out[i] = self._block([words[x] for x in i.tolist()], states[i])
         return out
 
     def _block(self, words: list[bytes], states: np.ndarray) -> np.ndarray:
         s = Spelled(words, states)
-        cost = np.zeros(len(s.data))
+        cost = np.zeros(len(s.data), dtype=np.float32)
         for bit in range(8):
             node, value, slots, checks = s.step(bit)
             own = [self.check[i] == c for i, c in zip(slots, checks, strict=True)]
-            gate = (self.often[slots[-2]] * own[-2]).astype(np.int64) * (len(LEVELS) + 1) + self.often[slots[-1]] * own[-1]
-            w = self.weights[bit]
-            x = sum(w[gate, k] * (self.logits[i] * m) for k, (i, m) in enumerate(zip(slots, own, strict=True)))
+            gate = (self.often[slots[-2]] * own[-2]).astype(np.intp) * (len(LEVELS) + 1) + self.often[slots[-1]] * own[-1]
+            inputs = np.stack([self.logits[i] * m for i, m in zip(slots, own, strict=True)])
+            x = np.einsum("nk,kn->n", self.weights[bit][gate], inputs)
             p = (1 / (1 + np.exp(-x)) + self.shares[node, bucket(x)]) / 2
             cost -= np.log2(np.clip(np.where(value == 1, p, 1 - p), 1e-6, 1))
-        return np.add.reduceat(cost, s.starts)
+        return np.add.reduceat(cost.astype(np.float64)[s.of], s.starts)
+
+
+def alphabetical(words: list[bytes]) -> np.ndarray:
+    return np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.intp)
 
 
 def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -304,15 +331,17 @@ def trained(vocab: DataFrame, n_shards: int) -> Scorer:
         parts = [read_pairs(r) for r in sorted(t.to_pylist(), key=lambda r: r["bucket"])]
         states, counts = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         words = [w for p in parts for w in p[3]]
-        order = np.argsort(-counts, kind="stable")
-        for a in range(0, len(words), BLOCK):
-            i = order[a : a + BLOCK]
-            add_counts(model, [words[x] for x in i.tolist()], states[i], counts[i])
-        mixed = np.argsort(np.concatenate([p[0] for p in parts]) * ODD, kind="stable")
-        for a in range(0, len(words), LEARN_BLOCK):
-            i = mixed[a : a + LEARN_BLOCK]
+        order = alphabetical(words)
+        for some in (order[counts[order] >= COMMON], order[counts[order] < COMMON]):
+            for a in range(0, len(some), BLOCK):
+                i = some[a : a + BLOCK]
+                add_counts(model, [words[x] for x in i.tolist()], states[i], counts[i])
+        n_blocks = max(1, len(words) // LEARN_BLOCK)
+        for a in range(n_blocks):  # every n-th pair of the alphabet, so that blocks are alike
+            i = order[a::n_blocks]
             learn(model, [words[x] for x in i.tolist()], states[i], counts[i])
-        rows = [(i, c.tobytes() + k.tobytes()) for i, (c, k) in enumerate(zip(np.array_split(model.counts, SEGMENTS), np.array_split(model.check, SEGMENTS), strict=True))]
+        size = OFFSETS[-1] // SEGMENTS
+        rows = [(i, model.counts[2 * size * i : 2 * size * (i + 1)].tobytes() + model.check[size * i : size * (i + 1)].tobytes()) for i in range(SEGMENTS)]
         rows.append((SEGMENTS, np.concatenate([[1.0], model.weights.ravel(), model.seen.ravel(), model.ones.ravel()]).tobytes()))
         return pa.table({"segment": pa.array([i for i, _ in rows], pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
@@ -322,15 +351,15 @@ def trained(vocab: DataFrame, n_shards: int) -> Scorer:
             out = np.sum([np.frombuffer(x) for x in data], axis=0).tobytes()
         else:  # of the shards' claims to a slot the one with most counts holds; equal claims add up
             counts, check = open_segment(data[0])
-            best, counts, check = counts.sum(axis=1), counts.copy(), check.copy()
+            best = counts[0::2] + counts[1::2]
             for x in data[1:]:
-                c, _ = open_segment(x)
-                check = np.where(c.sum(axis=1) > best, open_segment(x)[1], check)
-                best = np.maximum(best, c.sum(axis=1))
-            counts[:] = 0
+                c, k = open_segment(x)
+                n = c[0::2] + c[1::2]
+                check, best = np.where(n > best, k, check), np.maximum(best, n)
+            counts = np.zeros_like(counts)
             for x in data:
                 c, k = open_segment(x)
-                counts += c * (k == check)[:, None]
+                counts += c * np.repeat(k == check, 2)
             out = counts.tobytes() + check.tobytes()
         return pa.table({"segment": t.column("segment").slice(0, 1), "data": pa.array([out], pa.binary())})
 
@@ -348,7 +377,7 @@ def trained(vocab: DataFrame, n_shards: int) -> Scorer:
 
 def open_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // 9
-    return np.frombuffer(data, dtype="<f4", count=2 * n).reshape(n, 2), np.frombuffer(data, dtype=np.uint8, offset=8 * n)
+    return np.frombuffer(data, dtype="<f4", count=2 * n), np.frombuffer(data, dtype=np.uint8, offset=8 * n)
 
 
 ASK = "bucket int, chunk int, keys binary, states binary"
@@ -372,11 +401,15 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     def sizes(batches):
         for b in batches:
             for r in b.to_pylist():
-                keys, _, counts, _ = read_pairs(r)
-                yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())]), pa.array([len(np.unique(keys))])], ["n", "v"])
-
-    seen = vocab.mapInArrow(sizes, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n_train, n_distinct = int(seen["n"] or 0), int(seen["v"] or 0)
+                keys, states, counts, _ = read_pairs(r)
+                of_word = np.add.reduceat(counts, np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]))
+                per_state = np.bincount(states, counts, N_STATES).astype(np.int64).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([len(of_word)]), pa.array([int((of_word == 1).sum())]), pa.array([per_state], pa.list_(pa.int64()))], ["v", "once", "n"])
+
+    seen = vocab.mapInArrow(sizes, "v long, once long, n array<long>").agg(F.sum("v").alias("v"), F.sum("once").alias("once"), *(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(N_STATES))).first()
+    per_state = np.array([int(seen[f"n{i}"] or 0) for i in range(N_STATES)], dtype=np.float64)
+    n_train, n_distinct = int(per_state.sum()), int(seen["v"] or 0)
+    known = 1.0 - max(1, int(seen["once"] or 0)) / max(2, n_train) if n_train > 1 else 0.0
     model = trained(vocab, max(2, n_buckets // 8))
     shared = spark.sparkContext.broadcast(model)
     chunks = chunks.select("chunk", "tag", "doc_id", "held_out", "text")
@@ -391,28 +424,31 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
         return pa.table({n.split()[0]: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(ASK.split(", "))})
 
     def answer(asked: pa.Table, vocab: pa.Table) -> pa.Table:
-        if vocab.num_rows:
+        """Of each pair asked for: the word's training count and the pair's bits; NaN where the word is not known."""
+        rows = asked.to_pylist()
+        if not rows:
+            out: list[tuple] = []
+        elif not vocab.num_rows:
+            out = [(r["chunk"], r["bucket"], bytes(8 * len(r["states"])), np.full(len(r["states"]), np.nan, dtype=np.float32).tobytes()) for r in rows]
+        else:
             keys, states, counts, words = read_pairs(vocab.to_pylist()[0])
-            bits = shared.value.bits(words, states).astype(np.float32)
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            word_keys, word_counts = keys[first], np.add.reduceat(counts, first)
-            pair_keys = keys * U64(N_STATES) + states  # unique while keys are: a collision would need equal low bits
-        else:
-            word_keys = pair_keys = np.zeros(0, dtype=U64)
-            word_counts, bits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
-        order = np.argsort(pair_keys)
-        sorted_pairs = pair_keys[order]
-        out: list[tuple] = []
-        for r in asked.to_pylist():
-            k, s = np.frombuffer(r["keys"], dtype=U64), np.frombuffer(r["states"], dtype=np.uint8)
-            c, b = np.zeros(len(k), dtype=np.int64), np.full(len(k), np.nan, dtype=np.float32)
-            if len(word_keys):
-                i = np.minimum(np.searchsorted(word_keys, k), len(word_keys) - 1)
-                c = np.where(word_keys[i] == k, word_counts[i], 0)
-                pair = k * U64(N_STATES) + s
-                j = np.minimum(np.searchsorted(sorted_pairs, pair), len(sorted_pairs) - 1)
-                b = np.where(sorted_pairs[j] == pair, bits[order[j]], np.float32("nan"))
-            out.append((r["chunk"], r["bucket"], c.astype(np.int64).tobytes(), b.astype(np.float32).tobytes()))
+            of_word = np.add.reduceat(counts, first)
+            ask_key = np.concatenate([np.frombuffer(r["keys"], dtype=U64) for r in rows])
+            ask_state = np.concatenate([np.frombuffer(r["states"], dtype=np.uint8) for r in rows]).astype(np.int64)
+            w = np.minimum(np.searchsorted(keys[first], ask_key), len(first) - 1)
+            there = keys[first][w] == ask_key
+            pairs, of = np.unique(w[there] * N_STATES + ask_state[there], return_inverse=True)
+            word, state = pairs // N_STATES, pairs % N_STATES
+            own = np.zeros(len(first) * N_STATES)
+            own[np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)])) * N_STATES + states] = counts
+            spelled = shared.value.bits([words[i] for i in first[word].tolist()], state)
+            whole = (own[pairs] + PRIOR * of_word[word] / n_train) / (per_state[state] + PRIOR)
+            bits = -np.log2(known * whole + (1 - known) * np.exp2(-spelled))
+            c, b = np.zeros(len(ask_key), dtype=np.int64), np.full(len(ask_key), np.nan, dtype=np.float32)
+            c[there], b[there] = of_word[w[there]], bits[of]
+            ends = np.cumsum([len(r["states"]) for r in rows])
+            out = [(r["chunk"], r["bucket"], c[e - len(r["states"]) : e].tobytes(), b[e - len(r["states"]) : e].tobytes()) for r, e in zip(rows, ends.tolist(), strict=True)]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({n.split()[0]: pa.array([r[i] for r in out], kinds[i]) for i, n in enumerate(ANSWER.split(", "))})
 
@@ -428,7 +464,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
         bits = np.frombuffer(b"".join(r["bits"] for r in rows), dtype=np.float32).astype(np.float64)
         new = np.flatnonzero(np.isnan(bits))
         if len(new):
-            bits[new] = shared.value.bits([words[i] for i in word[new].tolist()], state[new])
+            bits[new] = shared.value.bits([words[i] for i in word[new].tolist()], state[new]) - np.log2(1 - known)
         base = np.log10((counts + 1) / (n_train + n_distinct + 1))
         starts = at[:-1]
         n = np.diff(at)
