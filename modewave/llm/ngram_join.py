@@ -10,9 +10,10 @@ cell differs by one element at most, and the keys are the cell's XOR and those o
 m leaves room for cells that say little: empty ones, and frequent ones, whose key many sets share (one common
 passage may fill a small cell). Two sets that agree in more cells than both have room for agree in one that
 is rare. A set with more empty or more frequent cells than room uses those as keys too, but only against sets that
-also do. So no pair is lost, and a common passage does not bind strangers.
+also do. m has WITNESSES - 1 cells more, so a similar pair shares as many rare keys, and pairs that share fewer
+are strangers with a line in common. So no pair is lost.
 
-Sets that share a key meet in a cluster. Within a cluster a finer sketch of parity bits rules out pairs
+Sets that share enough keys meet in a cluster. Within a cluster a finer sketch of parity bits rules out pairs
 whose Hamming distance exceeds D, and the others are verified on the sets themselves. Clusters beyond
 BLOCK sets are dealt into blocks, and pairs of blocks are compared apart.
 """
@@ -37,6 +38,8 @@ SKETCH_BITS = 4096
 KEYS_PER_BUCKET = 1 << 20
 #: A key that more sets than this share is frequent.
 FREQUENT = 16
+#: Rare keys that a pair shares at least.
+WITNESSES = 3
 #: Sets up to this size have keys for cells less one element.
 SMALL = 96
 #: Share of the sets of a band that may have more empty cells than there is room for.
@@ -93,15 +96,15 @@ def parts_of(band: int, t: int) -> tuple[int, int, int, bool]:
     lo, hi = bands(t)[band], bands(t)[band + 1] - 1
     top = hi + hi * 100 // t
     d = max(max_difference(s, t) for s in range(max(2, top - 3), top + 1))
-    if d <= 0:
-        return 1, 0, 0, False
+    if d <= 0:  # only equal sets are similar, and they are one class
+        return 0, 0, 0, False
     small = hi <= SMALL
     spoilt = d // 2 if small else d  # cells that differences can spoil
     best = None
     for room in range(max(1, lo // 3) + 1):
-        often = 1 + (spoilt + 1 + room) // 20 if spoilt else 0
-        m = spoilt + 1 + room + often
-        p = poisson_above(m * math.exp(-lo / m) * (1 + lo / m if small else 1), room) if m > 1 else 0.0
+        often = 1 + (spoilt + WITNESSES + room) // 20
+        m = spoilt + WITNESSES + room + often
+        p = poisson_above(m * math.exp(-lo / m) * (1 + lo / m if small else 1), room)
         if best is None or p < best[0]:
             best = (p, (m, room, often, small))
         if p < CROWDED or p > 2 * best[0]:
@@ -114,6 +117,9 @@ def keys_of(own: np.ndarray, t: int) -> list[np.ndarray]:
     band, out = band_of(len(own), t), []
     for b in (band, band - 1) if band else (band,):
         m, room, _, less_one = parts_of(b, t)
+        if not m:
+            out.append(own[:0])
+            continue
         salt = U64(b + 1) << U64(40)
         one = mix(own + U64(b + 1))
         cell = (one >> U64(32)) % U64(m)
@@ -219,7 +225,7 @@ def measured(chunks: DataFrame, k: int) -> DataFrame:
 
 
 def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> DataFrame:
-    """(a, b): links that connect all classes (nodes) that share a rare key, or a frequent one where both have too many.
+    """(a, b): pairs of classes (nodes) that share enough rare keys, and links that connect those that share a frequent one and have too many.
 
     Keys leave a task in bundles, one per bucket; of the texts of a bundle with equal sets one counts, so a
     set that a third of all rows share is one entry per bundle.
@@ -232,6 +238,8 @@ def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> DataFr
         key_parts, who_parts, names, joins, rooms = [], [], [], [], []
         for i in first.tolist():
             for join, found in enumerate(keys_of(sets[i], t) if len(sets[i]) else ()):
+                if not len(found):
+                    continue
                 key_parts.append(found)
                 who_parts.append(np.full(len(found), len(names)))
                 names.append(node[i])
@@ -273,16 +281,24 @@ def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> DataFr
         # a set that several bundles saw counts once
         new = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])] if len(key) else np.zeros(0, dtype=bool)
         key, who, join, room = key[new], who[new], join[new], room[new]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
         n = np.diff(np.r_[starts, len(key)])
         often = np.repeat(n > FREQUENT, n)
-        same = (key[1:] == key[:-1]) & ~often[1:]
-        a, b = forest(who[1:][same], who[:-1][same]) if same.any() else (who[:0], who[:0])
-        m = int(often.sum())
+        rare_key, rare_who = key[~often], who[~often]
+        a_parts, b_parts = [who[:0]], [who[:0]]
+        for apart in range(1, FREQUENT):
+            same = np.flatnonzero(rare_key[apart:] == rare_key[:-apart])
+            a_parts.append(rare_who[same])
+            b_parts.append(rare_who[same + apart])
+        a, b = np.concatenate(a_parts), np.concatenate(b_parts)
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        count = np.diff(np.r_[at, len(a)])
         return pa.table({
-            "a": pa.array(np.concatenate([a, who[often]]), pa.int64()), "b": pa.array(np.concatenate([b, key[often].view(np.int64)]), pa.int64()),
-            "join": pa.array(np.concatenate([np.full(len(a), -1), join[often].astype(np.int64)]), pa.int32()), "room": pa.array(np.concatenate([np.zeros(len(a), dtype=np.int64), room[often].astype(np.int64)]), pa.int32()),
-        }) if m or len(a) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "join": pa.array([], pa.int32()), "room": pa.array([], pa.int32())})
+            "a": pa.array(np.concatenate([a[at], who[often]]), pa.int64()), "b": pa.array(np.concatenate([b[at], key[often].view(np.int64)]), pa.int64()),
+            "join": pa.array(np.concatenate([np.full(len(at), -1), join[often].astype(np.int64)]), pa.int32()), "room": pa.array(np.concatenate([count, room[often].astype(np.int64)]), pa.int32()),
+        })
 
     def shared(tbl: pa.Table) -> pa.Table:
         who, key = np.asarray(tbl.column("a")), np.asarray(tbl.column("b"))
@@ -297,7 +313,8 @@ def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> DataFr
     frequent = found.where("join >= 0")
     crowded = frequent.groupBy("a", "join").agg(F.count(F.lit(1)).alias("n"), F.max("room").alias("most")).where("n > most").select("a", "join")
     again = frequent.join(crowded, ["a", "join"]).select("a", "b", F.pmod(F.xxhash64("b"), F.lit(n_buckets)).alias("bucket")).groupBy("bucket").applyInArrow(shared, "a long, b long")
-    return found.where("join < 0").select("a", "b").unionByName(again)
+    pairs = found.where("join < 0").groupBy("a", "b").agg(F.sum("room").alias("n")).where(F.col("n") >= WITNESSES).select("a", "b")
+    return pairs.unionByName(again)
 
 
 def verified_links(chunks: DataFrame, members: DataFrame, k: int, t: int) -> DataFrame:
