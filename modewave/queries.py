@@ -69,9 +69,9 @@ def sql(select: str) -> str:
     return f"WITH {CUBE} {select}"
 
 
-@query(sql("SELECT t, cell, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v, round(eta, 6) + 0.0 AS eta FROM cube"))
+@query(sql("SELECT t, cell, round(u + 1.3e-8, 6) + 0.0 AS u, round(v + 1.3e-8, 6) + 0.0 AS v, round(eta + 1.3e-8, 6) + 0.0 AS eta FROM cube"))
 def cube_month_nation(spark, sf_dir):
-    return C.cube(spark, sf_dir).select("t", F.col("cell"), r("u").alias("u"), r("v").alias("v"), r("eta").alias("eta"))
+    return C.cube(spark, sf_dir).select("t", F.col("cell"), *(r(F.col(c) + 1.3e-8).alias(c) for c in ("u", "v", "eta")))
 
 
 @query(sql("SELECT cell, round(fraction, 9) AS fraction, fraction >= 0.95 AS kept FROM frac"))
@@ -84,9 +84,9 @@ def complete_time_filter(spark, sf_dir):
     return C.prepared(spark, sf_dir).select("t").distinct()
 
 
-@query(sql("SELECT cell, component, round(avg(x), 6) + 0.0 AS mean FROM long GROUP BY ALL"))
+@query(sql("SELECT cell, component, round(avg(x) + 1.3e-8, 6) + 0.0 AS mean FROM long GROUP BY ALL"))
 def feature_mean(spark, sf_dir):
-    return standardize.feature_means(C.long(spark, sf_dir), "x", "cell", "component").select("cell", "component", r("mean").alias("mean"))
+    return standardize.feature_means(C.long(spark, sf_dir), "x", "cell", "component").select("cell", "component", r(F.col("mean") + 1.3e-8).alias("mean"))
 
 
 @query(sql("SELECT feature_group, round(rms, 6) AS rms FROM rms"))
