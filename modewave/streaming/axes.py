@@ -27,14 +27,18 @@ def prefer_last_sink(path: str, time: str, src: str, *keys: str):
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        here, aside = hadoop.Path(path), hadoop.Path(f"{path}.next")
+        fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         rows = prefer_last(batch, time, src, *keys).withColumn("day", F.date_format(time, "yyyyMMdd"))
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-            old = spark.read.schema(rows.schema).parquet(path).join(rows.select("day").distinct(), "day", "left_semi")
+        schema = rows.schema
+        if fs.exists(here):
+            old = spark.read.schema(schema).parquet(path).join(rows.select("day").distinct(), "day", "left_semi")
             rows = prefer_last(old.unionByName(rows), time, src, *keys, "day")
-            # what is read is being replaced, so it is set down first
-            rows = rows.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else spark.createDataFrame(rows.toArrow(), rows.schema)
-        rows.write.mode("overwrite").partitionBy("day").parquet(path)
+            # what is read is being replaced, so it is set down beside the table first
+            rows.write.mode("overwrite").parquet(f"{path}.next")
+            rows = spark.read.schema(rows.schema).parquet(f"{path}.next")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        fs.delete(aside, True)
 
     return merge
