@@ -12,6 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PREFIX_BYTES = 256
+#: Parts into which the rows of a key are dealt for joins, so that no task holds all copies of a text.
+SALTS = 16
+
+
+def _salted(keys: DataFrame) -> DataFrame:
+    """Each row once for each salt."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
@@ -28,20 +35,21 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.octet_length(text).alias("len"),
         F.xxhash64(F.substring(text, 1, prefix_bytes)).alias("prefix"),
         F.sha2(text, 256).alias("text_sha256"),
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(SALTS)).alias("salt"),
     )
     by_length = rows.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
     by_prefix = (
-        rows.join(by_length, "len", "left_semi")
+        rows.join(_salted(by_length), ["len", "salt"], "left_semi")
         .groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("len", "prefix")
     )
     groups = (
-        rows.join(by_prefix, ["len", "prefix"], "left_semi")
+        rows.join(_salted(by_prefix), ["len", "prefix", "salt"], "left_semi")
         .groupBy("text_sha256").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return rows.join(groups, "text_sha256", "left").select(
+    return rows.join(_salted(groups), ["text_sha256", "salt"], "left").select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
