@@ -224,8 +224,8 @@ def measured(chunks: DataFrame, k: int) -> DataFrame:
     return chunks.select("doc_id", "tag", "chunk", "text").mapInArrow(run, f"doc_id {id_type}, tag long, chunk int, n_shingles long, node long, print long")
 
 
-def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> DataFrame:
-    """(a, b): pairs of classes (nodes) that share enough rare keys, and links that connect those that share a frequent one and have too many.
+def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b), and the written table that it reads: pairs of classes (nodes) that share enough rare keys, and links that connect those that share a frequent one and have too many.
 
     Keys leave a task in bundles, one per bucket; of the texts of a bundle with equal sets one counts, so a
     set that a third of all rows share is one entry per bundle.
@@ -314,7 +314,7 @@ def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> DataFr
     crowded = frequent.groupBy("a", "join").agg(F.count(F.lit(1)).alias("n"), F.max("room").alias("most")).where("n > most").select("a", "join")
     again = frequent.join(crowded, ["a", "join"]).select("a", "b", F.pmod(F.xxhash64("b"), F.lit(n_buckets)).alias("bucket")).groupBy("bucket").applyInArrow(shared, "a long, b long")
     pairs = found.where("join < 0").groupBy("a", "b").agg(F.sum("room").alias("n")).where(F.col("n") >= WITNESSES).select("a", "b")
-    return pairs.unionByName(again)
+    return pairs.unionByName(again), found
 
 
 def verified_links(chunks: DataFrame, members: DataFrame, k: int, t: int) -> DataFrame:
@@ -366,8 +366,9 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
     classes = rows.where("n_shingles > 0").groupBy("node", "print").agg(F.min("doc_id").alias("low"), F.min(F.struct("chunk", "tag")).alias("rep"), F.first("n_shingles").alias("n_shingles"))
     reps = stash(classes.select("node", "print", "low", "rep.chunk", "rep.tag", "n_shingles"), "ngram-classes")
     total = reps.agg(F.sum("n_shingles")).first()[0] or 0
-    candidates = stash(candidate_links(chunks, k, t, max(1, min(1 << 30, total // (2 * KEYS_PER_BUCKET)) + 8)), "ngram-candidates")
+    candidates, keys = candidate_links(chunks, k, t, max(1, min(1 << 30, total // (2 * KEYS_PER_BUCKET)) + 32))
     clusters = stash(components(candidates), "ngram-clusters")
+    drop_stash(keys)
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     members = (
         clusters.join(sizes, "root").join(reps.select("node", "chunk", "tag"), "node")
@@ -378,14 +379,15 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
         )
     )
     links = stash(verified_links(chunks, members, k, t), "ngram-links")
+    drop_stash(clusters)
     roots = components(links)
+    drop_stash(links)
     named = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_class = named.join(lows, "root").select("node", "print", "component_id")
     out = rows.join(of_class, ["node", "print"], "left").select(
         "doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
-    drop_stash(candidates)
     return out
 
 

@@ -27,6 +27,7 @@ from .common import SPACES, documents
 PASSAGE = 50
 SEED = 18
 CHUNKS_PER_BUCKET = 4
+LEAST_BUCKETS = 32
 WORD = re.compile(rf"[^{SPACES}]+")
 
 ASK = "bucket int, chunk int, keys binary, many binary"
@@ -204,7 +205,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = docs.schema["doc_id"].dataType.simpleString()
     chunks, n = in_chunks(docs)
     chunks = chunks.select("chunk", "tag", "doc_id", "text")
-    got = _asked(chunks, passage, seed, max(8, n // CHUNKS_PER_BUCKET))
+    got = _asked(chunks, passage, seed, max(LEAST_BUCKETS, n // CHUNKS_PER_BUCKET))
 
     def find(t: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "first", "start_word", "end_word", "n_words", "start_char", "end_char"]
@@ -230,7 +231,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema, cols = df.schema, df.columns
     docs = df.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols))).alias("rest"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{text_col}`").isNull().alias("none"))
     chunks, n = in_chunks(docs)
-    got = _asked(chunks.select("chunk", "tag", "doc_id", "text"), passage, seed, max(8, n // CHUNKS_PER_BUCKET))
+    got = _asked(chunks.select("chunk", "tag", "doc_id", "text"), passage, seed, max(LEAST_BUCKETS, n // CHUNKS_PER_BUCKET))
     rest = chunks.select("rest", "none", "text", "tag", "chunk")
     place = cols.index(text_col)
     rest = rest.withColumn("rest", F.col("rest").dropFields(f"c{place}")) if len(cols) > 1 else rest.withColumn("rest", F.struct(F.lit(0).alias("c")))
