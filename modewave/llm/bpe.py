@@ -59,7 +59,7 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         enc = encoding(path)
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             ids = [encode_bytes(enc, t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 

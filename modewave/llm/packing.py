@@ -26,6 +26,8 @@ MAX_TOKENS = 1024
 #: Tokens at which attention costs as much as the linear layers.
 QUADRATIC = 512
 GROUP_ROWS = 2048
+#: Documents whose ids a task holds at once.
+ROWS_AT_ONCE = 500
 #: The id after each document.
 END = 0
 
@@ -96,7 +98,7 @@ def packed(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def cut(batches):
         enc, end = json_encoding(path), np.array([END], dtype="<u4").tobytes()
         names = ["doc_id", "key", "start", "length", "doc_tokens", "ids", "ids_crc32"]
-        for b in batches:
+        for b in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             rows: list[list] = [[] for _ in names[1:]]
             at: list[int] = []
             for i, (text, key) in enumerate(zip(b.column(1), b.column(2).to_pylist(), strict=True)):
