@@ -47,6 +47,7 @@ GATES = (len(LEVELS) + 1) ** 2
 BUCKETS = 33
 BLOCK = 20_000
 LEARN_BLOCK = 4_000
+NEIGHBOURS = 50
 #: Pairs seen as often as this claim slots first.
 COMMON = 8
 STEP = 0.05
@@ -227,7 +228,7 @@ def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.
     words = list(code)
     codes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
     starts = np.array(at[:-1], dtype=np.int64)
-    kind = np.fromiter(map(accent, words), dtype=np.int64, count=len(words))[codes] if words else codes
+    kind = np.array([0 if w.isascii() else accent(w) for w in words], dtype=np.int64)[codes] if words else codes
     place = np.arange(len(codes))
     first = np.repeat(starts, np.diff(at))
     last = np.maximum.accumulate(np.where(kind > 0, place, -1)) if len(codes) else place
@@ -237,9 +238,7 @@ def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.
 
 
 def accent(word: bytes) -> int:
-    """0 for plain words, else the class of the first letter beyond ASCII."""
-    if word.isascii():
-        return 0
+    """The class of a word's first letter beyond ASCII."""
     i = next(k for k, b in enumerate(word) if b > 127)
     return 1 + (sum(word[i : i + 2]) * 5 >> 1) % (N_STATES - 1)
 
@@ -337,8 +336,9 @@ def trained(vocab: DataFrame, n_shards: int) -> Scorer:
                 i = some[a : a + BLOCK]
                 add_counts(model, [words[x] for x in i.tolist()], states[i], counts[i])
         n_blocks = max(1, len(words) // LEARN_BLOCK)
-        for a in range(n_blocks):  # every n-th pair of the alphabet, so that blocks are alike
-            i = order[a::n_blocks]
+        block = np.arange(len(words)) // NEIGHBOURS % n_blocks
+        for a in range(n_blocks):  # neighbours share places; groups of them from all of the alphabet make blocks alike
+            i = order[block == a]
             learn(model, [words[x] for x in i.tolist()], states[i], counts[i])
         size = OFFSETS[-1] // SEGMENTS
         rows = [(i, model.counts[2 * size * i : 2 * size * (i + 1)].tobytes() + model.check[size * i : size * (i + 1)].tobytes()) for i in range(SEGMENTS)]
