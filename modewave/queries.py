@@ -414,7 +414,7 @@ def node_runs(spark, sf_dir):
 
 # ---------------------------------------------------------------- masks, boxes, features
 
-GRID = "grid AS (SELECT n_nationkey // 5 AS row, n_nationkey % 5 AS col, 120 + 0.01 * (n_nationkey % 5) AS lon, 22 + 0.01 * (n_nationkey // 5) AS lat, 10.0 * (n_nationkey % 7) AS bathymetry, n_nationkey FROM nation)"
+GRID = "grid AS (SELECT (n_nationkey // 5)::BIGINT AS row, n_nationkey % 5 AS col, 120 + 0.01 * (n_nationkey % 5) AS lon, 22 + 0.01 * (n_nationkey // 5) AS lat, 10.0 * (n_nationkey % 7) AS bathymetry, n_nationkey FROM nation)"
 
 
 def _grid(spark, sf_dir) -> DataFrame:
@@ -428,7 +428,7 @@ def bbox_filter(spark, sf_dir):
     return masks.geometry(_grid(spark, sf_dir), (120.01, 120.03, 22.0, 22.02)).where("inside").select("row", "col")
 
 
-@query(f"WITH {GRID}, a AS (SELECT DISTINCT col, lon FROM grid) SELECT max(col) FILTER (lon <= 120.015) AS start, min(col) FILTER (lon >= 120.025) + 1 AS stop FROM a")
+@query(f"WITH {GRID}, a AS (SELECT DISTINCT col, lon FROM grid) SELECT (max(col) FILTER (lon <= 120.015))::BIGINT AS start, (min(col) FILTER (lon >= 120.025) + 1)::BIGINT AS stop FROM a")
 def axis_snap(spark, sf_dir):
     a, b = masks.snap_axis(_grid(spark, sf_dir).select("col", "lon").distinct(), "lon", "col", 120.015, 120.025)
     return _one(spark, start=a, stop=b)
