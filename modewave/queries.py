@@ -194,8 +194,7 @@ def two_component_axes(spark, sf_dir):
     own = C.scaled(spark, sf_dir).where("component <> 'eta'")
     first = own.agg(F.min("cell")).first()[0]
     rows = own.where(F.col("cell") == first).groupBy("t").pivot("component", ["u", "v"]).agg(F.first("x"))
-    vectors = rows.selectExpr("array(u, v) as vec", "row_number() over (order by t) - 1 as i")  # one cell: a row per time
-    s = solvers.by_covariance(blocks.from_rows(vectors, 2, "vec", "i"), 2)
+    s = solvers.by_covariance(blocks.from_rows(rows.selectExpr("array(u, v) as vec", "t"), 2, "vec", "t"), 2)
     lam = s.s**2 / (len(s.v) - 1)
     return _one(spark, major=round(float(lam[0]), 5), minor=round(float(lam[1]), 5))
 
@@ -228,8 +227,7 @@ def direct_svd_embeddings(spark, sf_dir):
     """The direct solver on all vectors: all singular values together are the matrix' sum of squares."""
     e = C.read(spark, sf_dir, "embeddings")
     width = len(e.first()["embedding"])
-    rows = e.selectExpr("embedding", "row_number() over (order by vec_id) - 1 as i")
-    s = solvers.direct(blocks.from_rows(rows, width, "embedding", "i"), width)
+    s = solvers.direct(blocks.from_rows(e, width, "embedding", "vec_id"), width)
     return _one(spark, total=round(float((s.s**2).sum()), 3), vectors=len(s.v), converged=max(s.left_residual, s.right_residual) < 1e-8)
 
 
@@ -238,7 +236,7 @@ def krylov_svd_embeddings(spark, sf_dir):
     """The Krylov and QR-tree solvers agree with the dense one on the leading modes."""
     e = C.read(spark, sf_dir, "embeddings")
     width = len(e.first()["embedding"])
-    m = blocks.from_rows(e.selectExpr("embedding", "row_number() over (order by vec_id) - 1 as i"), width, "embedding", "i")
+    m = blocks.from_rows(e, width, "embedding", "vec_id")
     k, d, q = solvers.krylov(m, 5), solvers.dense(m, 5), solvers.qr_tree(m, 5)
     return _one(spark, modes=len(k.s), converged=max(k.left_residual, k.right_residual) < 1e-8, agrees=bool(np.allclose(k.s, d.s, rtol=1e-9) and np.allclose(q.s, d.s, rtol=1e-9)), below_total=bool((k.s**2).sum() <= k.total))
 
