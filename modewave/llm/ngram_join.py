@@ -15,7 +15,7 @@ are strangers with a line in common. So no pair is lost.
 
 Sets that share enough keys meet in a cluster. Within a cluster a finer sketch of parity bits rules out pairs
 whose Hamming distance exceeds D, and the others are verified on the sets themselves. Clusters beyond
-BLOCK sets are dealt into blocks, and pairs of blocks are compared apart.
+BLOCK sets, or BLOCK_SHINGLES shingles, are dealt into blocks, and pairs of blocks are compared apart.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from .components import components
 
 #: Documents of one cluster that one task compares.
 BLOCK = 8192
+#: And their shingles together, on average.
+BLOCK_SHINGLES = 4 << 20
 SKETCH_BITS = 4096
 KEYS_PER_BUCKET = 1 << 20
 #: A key that more sets than this share is frequent.
@@ -369,15 +371,11 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
     candidates, keys = candidate_links(chunks, k, t, max(1, min(1 << 30, total // (2 * KEYS_PER_BUCKET)) + 32))
     clusters = stash(components(candidates), "ngram-clusters")
     drop_stash(keys)
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = (
-        clusters.join(sizes, "root").join(reps.select("node", "chunk", "tag"), "node")
-        .select(
-            "chunk", "tag", "node", F.col("root").alias("cluster"),
-            F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)).cast("int").alias("block"),
-            F.ceil(F.col("n") / block).cast("int").alias("n_blocks"),
-        )
-    )
+    placed = clusters.join(reps.select("node", "chunk", "tag", "n_shingles"), "node")
+    sizes = placed.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
+    members = placed.join(sizes, "root").select(
+        "chunk", "tag", "node", F.col("root").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"), "n_blocks"
+    )
     links = stash(verified_links(chunks, members, k, t), "ngram-links")
     drop_stash(clusters)
     roots = components(links)
