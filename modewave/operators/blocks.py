@@ -23,6 +23,13 @@ class BlockMatrix:
     n_times: int
 
 
+def kept(m: BlockMatrix) -> BlockMatrix:
+    """The matrix with its blocks kept on the executors: solvers pass over them again and again. A lost block is made again."""
+    from pyspark import StorageLevel
+
+    return BlockMatrix(m.blocks.persist(StorageLevel.MEMORY_AND_DISK), m.n_features, m.n_times)
+
+
 def opened(data: bytes, n_features: int) -> np.ndarray:
     return np.frombuffer(data, dtype="<f8").reshape(n_features, -1)
 

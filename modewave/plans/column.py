@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ def solve(s: Selected, grid: DataFrame, config: ColumnConfig) -> Solved:
     rms = {r["feature_group"]: r["rms"] for r in scales.collect()}
     rows = standardize.scaled(anomaly, scales)
     feats = rows.groupBy("feature_id", *keys).agg(F.first("mean").alias("mean"), F.first("scale").alias("scale"))
-    matrix = blocks.to_blocks(rows, s.report["features"], len(s.axis), config.block_times)
+    matrix = blocks.kept(blocks.to_blocks(rows, s.report["features"], len(s.axis), config.block_times))
     svd = solvers.direct(matrix, config.modes, config.least_modes, config.memory_bytes, config.tolerance, attempts=config.attempts, seed=config.seed)
     anchors = []
     for c, lv in (("u", 0), ("v", 0), ("eta", -1)):  # each has its own nearest feature
@@ -176,8 +177,6 @@ def run(spark: SparkSession, config: ColumnConfig, native_root: str, surface_roo
             values = candidate_values(arrays.surface(spark, surface_root, config.domain, months), arrays.native(spark, native_root, config.domain, deep, nodes), mesh, layout, times)
         folder = f"{recovery}-{runs.science_hash(config.raw)[:8]}"
         with watch.measure("selection"):
-            from pyspark import StorageLevel
-
             values = values.persist(StorageLevel.DISK_ONLY)
             s = select(values, layout, times, config)
     try:

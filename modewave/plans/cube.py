@@ -43,7 +43,7 @@ def fractions(spark: SparkSession, sf_dir: str, data: DataFrame | None = None) -
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cube rows of cells that are valid often enough, at times at which all of them are there."""
-    data = cube(spark, sf_dir)
+    data = cube(spark, sf_dir).persist()  # three passes follow
     kept = fractions(spark, sf_dir, data).where(F.col("fraction") >= LEAST_FRACTION).select("cell")
     own = data.join(kept, "cell", "left_semi")
     n = kept.count()
@@ -63,7 +63,7 @@ def anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anomalies over their group's RMS, by the root of the area: x; and scale."""
-    own = anomaly(spark, sf_dir).drop("x")
+    own = anomaly(spark, sf_dir).drop("x").persist()  # its scales, then itself
     return standardize.scaled(own, standardize.group_scales(own))
 
 
@@ -83,12 +83,12 @@ class Solved:
 
 def solve(spark: SparkSession, sf_dir: str, requested: int = 100, solver: str = "covariance") -> Solved:
     """The decomposition of the scaled cube, signed by the first cell's loadings."""
-    rows = with_ids(scaled(spark, sf_dir))
+    rows = with_ids(scaled(spark, sf_dir)).persist()  # features, axis and matrix are drawn from it
     feats = rows.select("feature_id", "component", "cell", "mean", "scale").distinct()
     axis = np.array(sorted(r[0] for r in rows.select("t").distinct().collect()), dtype=np.int64)
     n = feats.count()
     index = spark.createDataFrame(list(enumerate(axis.tolist())), "t_idx long, t long")
-    matrix = blocks.to_blocks(rows.join(F.broadcast(index), "t"), n, len(axis), 32)
+    matrix = blocks.kept(blocks.to_blocks(rows.join(F.broadcast(index), "t"), n, len(axis), 32))
     svd = solvers.by_covariance(matrix, requested) if solver == "covariance" else solvers.direct(matrix, requested)
     third = n // 3
     flips, _ = modes.signs(svd.u, [("u", 0), ("v", third), ("eta", 2 * third)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def prepare(cube: DataFrame, axis: DataFrame, grid: DataFrame, config: SurfaceCo
         "canonicalization": {"policy": done.policy, "rows_in": done.rows_in, "rows_out": done.rows_out, "reordered": done.reordered, "dropped": done.dropped},
         "cadence": {"median_hours": cadence.median_hours, "maximum_gap_hours": cadence.maximum_hours, "gap_break_count": cadence.breaks},
     }
-    return Prepared(filled.join(F.broadcast(index), "t"), cells, times, all_cells, report)
+    return Prepared(filled.join(F.broadcast(index), "t").persist(StorageLevel.MEMORY_AND_DISK), cells, times, all_cells, report)
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ def solve(p: Prepared, config: SurfaceConfig) -> Solved:
     rows = standardize.scaled(weighted, scales).join(F.broadcast(ids), ["component", "row", "col"])
     feats = rows.groupBy("feature_id", "component", "row", "col").agg(F.first("mean").alias("mean"), F.first("scale").alias("scale"))
     n_cells = p.report["common_ocean_cell_count"]
-    matrix = blocks.to_blocks(rows, 3 * n_cells, len(p.axis), TIMES_PER_BLOCK)
+    matrix = blocks.kept(blocks.to_blocks(rows, 3 * n_cells, len(p.axis), TIMES_PER_BLOCK))
     svd = solvers.by_covariance(matrix, config.modes, config.least_modes)
     anchor = masks.nearest(p.cells, *config.anchor).join(ids, ["row", "col"]).select("component", "feature_id").collect()
     at = {r["component"]: r["feature_id"] for r in anchor}
