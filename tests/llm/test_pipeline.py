@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from modewave.llm import bpe
 from modewave.llm.common import stash
-from test_operators import DATA, empty, odd, plain_components, plain_counts, plain_cover
+from test_text_operators import DATA, empty, odd, plain_components, plain_counts, plain_cover
 
 
 def test_stages(spark):
