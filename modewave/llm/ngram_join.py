@@ -353,11 +353,12 @@ def verified_links(chunks: DataFrame, members: DataFrame, k: int, t: int) -> Dat
 
 
 def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row: doc_id, tag, n_shingles, component_id.
+    """One row per row: doc_id, tag, n_shingles, component_id, root.
 
     Two documents link when their sets' Jaccard similarity is at least t %; a component is what links reach. Its id is
     its smallest doc_id, nulls aside (null only if all are). Words are what white space parts, A-Z lowered. Equal sets are
-    one class and link whatever the texts. A document without words has no shingles and a component to itself. ``tag`` is a hash of
+    one class and link whatever the texts. A document without words has no shingles and a component to itself. ``root`` names the
+    component whatever the ids (null for a document without words): components may share a component_id, where ids repeat or are null. ``tag`` is a hash of
     id and text; rows that repeat both get the same result. An empty table gives an empty result. Other columns
     are not read.
     """
@@ -382,9 +383,9 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
     drop_stash(links)
     named = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_class = named.join(lows, "root").select("node", "print", "component_id")
+    of_class = named.join(lows, "root").select("node", "print", "component_id", "root")
     out = rows.join(of_class, ["node", "print"], "left").select(
-        "doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root"
     )
     return out
 
@@ -396,7 +397,7 @@ def one_of_each(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id",
     """
     near = near_duplicates(df, k, t, id_col, text_col)
     keep = (
-        near.groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("tag")).alias("alone"))
+        near.groupBy("root", F.when(F.col("n_shingles") == 0, F.col("tag")).alias("alone"))
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("first"))
         .select(F.col("first.tag").alias("__tag"))
     )

@@ -463,6 +463,15 @@ def test_near_duplicates_odd(spark):
     assert not {5, 7} & {r["doc_id"] for r in kept.select("doc_id").collect()}
 
 
+def test_one_of_each_component_whatever_the_ids(spark):
+    """Unlike texts under null ids, or under one id, are components of their own; near copies among them still go."""
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " z"), (7, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[4] + " z"), (9, texts[5]), (None, " ")]
+    d = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], SCHEMA)
+    kept = collections.Counter((r["doc_id"], (r["text"].split() or [""])[0][:1]) for r in ngram_join.one_of_each(d).collect())
+    assert kept == {(None, "a"): 1, (None, "b"): 1, (7, "c"): 1, (7, "d"): 1, (7, "e"): 1, (9, "f"): 1, (None, ""): 1}
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
