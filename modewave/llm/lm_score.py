@@ -7,14 +7,15 @@ map from the combined logit and the bits so far to the observed share refines th
 word, but for a state: which of a few classes of accented letter the last words showed. So the bits of a word
 follow from (word, state), and are counted once for each distinct pair of the corpus rather than at each place.
 
-Each shard of the vocabulary is learned apart. Its pairs are counted, frequent ones first; a slot of a table belongs to the
-first context that claims it, known by a check byte, so that rare contexts don't blur frequent ones. Weights and map are
-then learned online, block by block, each a sample of the alphabet: a block is predicted from the tables less one occurrence of
-each pair, as if that were still to come, and they take a step. Tables of shards are summed, weights and maps averaged. Scores are taken from the finished model, so that a text's score doesn't hang on
-its neighbours. Tables have a fixed size whatever the corpus; the vocabulary is dealt by hash and never leaves the executors.
-
-One context no table of fixed size can hold: the whole word with its end. Its counts are exact in the vocabulary, so this
-predictor joins last, word by word: P = known * P(word | state) + (1 - known) * P(spelling | state), where ``known`` is one less the
+The vocabulary holds the pairs of all texts, with the counts of the training texts, and is dealt by hash. A place is a context and the
+byte after it; each bucket of the vocabulary sends its places to buckets of contexts, where counts of all buckets are added up, and gets
+back, for 0 to 8 bits of the byte, how often the context was followed by them. So no context is dropped and none shares a slot with
+another (but for equal 56-bit hashes), whatever the size of the corpus. Weights and map are then learned online in each bucket, block by
+block: a block is predicted from the counts less one occurrence of each place, as if that were still to come, and they take a step.
+Weights and maps of buckets are averaged; they alone reach the driver. Scores are taken from the finished model, so that a text's
+score doesn't hang on its neighbours.
+
+The counts of the whole word with its end join last, word by word: P = known * P(word | state) + (1 - known) * P(spelling | state), where ``known`` is one less the
 Good-Turing share of unseen words (singletons over tokens), and a state's counts are smoothed towards those of all states.
 """
 
@@ -29,14 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ODD, U64, in_chunks
+from .chunks import ODD, U64, in_chunks, mix
 from .common import documents, stash
 
-#: log2 of the slots of each predictor: last byte; last 2 and state; last 4; whole prefix; whole prefix and state.
-SIZES = (16, 18, 19, 21, 21)
-N_CONTEXTS = len(SIZES)
-#: Where each predictor's slots begin in the one table.
-OFFSETS = tuple(sum(1 << s for s in SIZES[:i]) for i in range(N_CONTEXTS + 1))
+#: Contexts: last byte; last 2 and state; last 4; whole prefix; whole prefix and state.
+N_CONTEXTS = 5
 SEGMENTS = 8
 N_STATES = 8
 #: Words after which a state is forgotten.
@@ -46,10 +44,9 @@ LEVELS = (1, 4, 32)
 GATES = (len(LEVELS) + 1) ** 2
 BUCKETS = 33
 BLOCK = 20_000
-LEARN_BLOCK = 4_000
-NEIGHBOURS = 50
-#: Pairs seen as often as this claim slots first.
-COMMON = 8
+#: Places of one step of learning, and steps of a bucket at least.
+LEARN_BLOCK = 16_000
+LEARN_STEPS = 16
 STEP = 0.05
 #: Tokens of all states that weigh as much as a state's own, in a word's probability.
 PRIOR = 5000.0
@@ -57,11 +54,10 @@ END = b"\t"
 
 
 class Model:
-    """Counts (zeros and ones in turn) and check bytes of all slots, weights (bit, gate, context), and the refining map (bits so far, bucket of the logit)."""
+    """Places and their counts (empty where those stay in the buckets of contexts), weights (bit, gate, context), and the refining map (bits so far, bucket of the logit)."""
 
     def __init__(self) -> None:
-        self.counts = np.zeros(2 * OFFSETS[-1], dtype=np.float32)
-        self.check = np.zeros(OFFSETS[-1], dtype=np.uint8)
+        self.counts, self.check = np.zeros(0), np.zeros(0, dtype=U64)
         self.weights = np.full((8, GATES, N_CONTEXTS), 0.25)
         self.moved = np.full((8, GATES, N_CONTEXTS), 1e-3)
         centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))
@@ -115,18 +111,27 @@ class Spelled:
         """Of each place, how often it occurs."""
         return np.bincount(self.of, counts.astype(np.float64)[self.word], len(self.data))
 
-    def step(self, bit: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Of each place: the bits before this one with a leading 1, the bit itself, and slot and check byte of each predictor."""
-        node = (1 << bit) | (self.data >> (8 - bit) if bit else 0 * self.data)
-        slots, checks = [(self.contexts[0].astype(np.intp) << 8) + node], [np.ones(len(node), dtype=np.uint8)]
-        salt = node.astype(U64) * U64(0x94D049BB133111EB)
-        for c, size, at in zip(self.contexts[1:], SIZES[1:], OFFSETS[1:], strict=False):
-            h = (c + salt) * ODD
-            h ^= h >> U64(29)
-            h *= U64(0xBF58476D1CE4E5B9)
-            slots.append((h >> U64(64 - size)).astype(np.intp) + at)
-            checks.append(np.maximum((h >> U64(8)).astype(np.uint8), 1))
-        return node, (self.data >> (7 - bit)) & 1, slots, checks
+    def places(self) -> np.ndarray:
+        """Of each context and place: a hash of the context in the upper 56 bits, and the byte."""
+        hashes = [mix(mix(c + U64(k + 1) * ODD) + U64(k)) for k, c in enumerate(self.contexts)]
+        return np.stack(hashes) & ~U64(255) | self.data.astype(U64)
+
+
+def sums(places: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For 0 to 8 bits of its byte: how often the context of each place asked for was followed by them. ``places`` are sorted and distinct."""
+    up = np.r_[0.0, np.cumsum(counts, dtype=np.float64)]
+    out = np.empty((9, *asked.shape), dtype=np.float32)
+    for bits in range(9):
+        low = asked & ~U64((1 << 8 - bits) - 1)
+        high = asked | U64((1 << 8 - bits) - 1)
+        out[bits] = up[np.searchsorted(places, high, side="right")] - up[np.searchsorted(places, low)]
+    return out
+
+
+def added_up(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct places in order, their counts, and where each given place stands among them."""
+    distinct, of = np.unique(places, return_inverse=True)
+    return distinct, np.bincount(of, counts, len(distinct)), of
 
 
 def bucket(x: np.ndarray) -> np.ndarray:
@@ -134,36 +139,27 @@ def bucket(x: np.ndarray) -> np.ndarray:
 
 
 def add_counts(model: Model, words: list[bytes], states: np.ndarray, counts: np.ndarray) -> None:
-    """Adds a block of pairs to the tables; a slot belongs to the first context that claims it."""
+    """Adds a block of pairs to the model's own places."""
     s = Spelled(words, states)
-    added = s.weigh(counts).astype(np.float32)
-    for bit in range(8):
-        _, value, slots, checks = s.step(bit)
-        for i, c in zip(slots, checks, strict=True):
-            there = model.check[i]
-            free = np.flatnonzero(there == 0)
-            if len(free):
-                model.check[i[free]] = c[free]
-                there = model.check[i]
-            np.add.at(model.counts, 2 * i + value, added * (there == c))
+    new = np.tile(s.weigh(counts), N_CONTEXTS)
+    model.check, model.counts, _ = added_up(np.concatenate([model.check, s.places().ravel()]), np.concatenate([model.counts, new]))
 
 
 def learn(model: Model, words: list[bytes], states: np.ndarray, counts: np.ndarray) -> None:
-    """One online step over a block: each place is predicted from the tables less one of its occurrences, then weights and map move."""
+    """One online step over a block of pairs, from the model's own places."""
     s = Spelled(words, states)
-    weight = s.weigh(counts)
+    step(model, s.data, s.weigh(counts), sums(model.check, model.counts, s.places()))
+
+
+def step(model: Model, data: np.ndarray, weight: np.ndarray, got: np.ndarray) -> None:
+    """One online step: each place is predicted from the counts less one of its occurrences, then weights and map move."""
     for bit in range(8):
-        node, value, slots, checks = s.step(bit)
+        node, value = (1 << bit) | data >> (8 - bit), (data >> (7 - bit)) & 1
         one = value.astype(np.float32)
-        inputs, often = np.empty((N_CONTEXTS, len(node)), dtype=np.float32), []
-        for k, (i, c) in enumerate(zip(slots, checks, strict=True)):
-            own = (model.check[i] == c).astype(np.float32)
-            n1 = np.maximum(model.counts[2 * i + 1] - one, 0) * own
-            n0 = np.maximum(model.counts[2 * i] - (1 - one), 0) * own
-            inputs[k] = logit(n0, n1)
-            if k >= N_CONTEXTS - 2:
-                often.append(n0 + n1)
-        gate = levels(often[0]) * (len(LEVELS) + 1) + levels(often[1])
+        own, other = np.maximum(got[bit + 1] - 1, 0), got[bit] - got[bit + 1]
+        inputs = logit(np.where(value == 1, other, own), np.where(value == 1, own, other))
+        often = own + other
+        gate = levels(often[-2]) * (len(LEVELS) + 1) + levels(often[-1])
         w, moved = model.weights[bit], model.moved[bit]
         x = np.einsum("nk,kn->n", w.astype(np.float32)[gate], inputs)
         miss = (one - 1 / (1 + np.exp(-x))) * weight
@@ -180,15 +176,9 @@ class Scorer:
     """A finished model: the bits of (word, state) pairs."""
 
     def __init__(self, counts: np.ndarray, check: np.ndarray, weights: np.ndarray, shares: np.ndarray):
-        self.logits, self.check = logit(counts[0::2], counts[1::2]), check
-        self.often = levels(counts[0::2] + counts[1::2]).astype(np.uint8)
+        self.counts, self.check = counts, check
         self.weights, self.shares = weights.astype(np.float32), shares.astype(np.float32)
 
-    @classmethod
-    def blank(cls) -> Scorer:
-        """Of no texts: every bit is even."""
-        return cls(np.zeros(2 * OFFSETS[-1], dtype=np.float32), np.zeros(OFFSETS[-1], dtype=np.uint8), np.zeros((8, GATES, N_CONTEXTS)), np.full((256, BUCKETS), 0.5))
-
     def bits(self, words: list[bytes], states: np.ndarray) -> np.ndarray:
         """In the order of the words; they are scored in alphabetical blocks, which share most places."""
         order = alphabetical(words)
@@ -200,15 +190,23 @@ class Scorer:
 
     def _block(self, words: list[bytes], states: np.ndarray) -> np.ndarray:
         s = Spelled(words, states)
+        places, of = np.unique(s.places().ravel(), return_inverse=True)
+        return self.of_places(s, sums(self.check, self.counts, places), of)
+
+    def of_places(self, s: Spelled, got: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The bits of the words of ``s``, from the sums of their distinct places, and which of those is each."""
+        of = of.reshape(N_CONTEXTS, -1)
         cost = np.zeros(len(s.data), dtype=np.float32)
-        for bit in range(8):
-            node, value, slots, checks = s.step(bit)
-            own = [self.check[i] == c for i, c in zip(slots, checks, strict=True)]
-            gate = (self.often[slots[-2]] * own[-2]).astype(np.intp) * (len(LEVELS) + 1) + self.often[slots[-1]] * own[-1]
-            inputs = np.stack([self.logits[i] * m for i, m in zip(slots, own, strict=True)])
-            x = np.einsum("nk,kn->n", self.weights[bit][gate], inputs)
-            p = (1 / (1 + np.exp(-x)) + self.shares[node, bucket(x)]) / 2
-            cost -= np.log2(np.clip(np.where(value == 1, p, 1 - p), 1e-6, 1))
+        for a in range(0, len(cost), BLOCK):
+            data, some = s.data[a : a + BLOCK], got[:, of[:, a : a + BLOCK]]
+            for bit in range(8):
+                node, value = (1 << bit) | data >> (8 - bit), (data >> (7 - bit)) & 1
+                own, other = some[bit + 1], some[bit] - some[bit + 1]
+                inputs = logit(np.where(value == 1, other, own), np.where(value == 1, own, other))
+                gate = levels(some[bit, -2]) * (len(LEVELS) + 1) + levels(some[bit, -1])
+                x = np.einsum("nk,kn->n", self.weights[bit][gate], inputs)
+                p = (1 / (1 + np.exp(-x)) + self.shares[node, bucket(x)]) / 2
+                cost[a : a + BLOCK] -= np.log2(np.clip(np.where(value == 1, p, 1 - p), 1e-6, 1))
         return np.add.reduceat(cost.astype(np.float64)[s.of], s.starts)
 
 
@@ -275,13 +273,13 @@ def _pairs(codes: np.ndarray, states: np.ndarray, keys: np.ndarray) -> tuple[np.
 
 
 def vocabulary(docs: DataFrame, n_buckets: int, flush_bytes: int = 4 << 20) -> DataFrame:
-    """One row per bucket: the (word, state) pairs of the training texts with their counts. ``docs`` has column text only."""
+    """One row per bucket: the (word, state) pairs of all texts, with their counts in the training texts. ``docs`` has columns text and held_out."""
 
-    def flushed(texts: list[bytes]) -> pa.RecordBatch:
-        words, codes, states, _ = tokens(texts)
+    def flushed(texts: list[bytes], taught: list[bool]) -> pa.RecordBatch:
+        words, codes, states, at = tokens(texts)
         keys = keys_of(words)
         word, state, of = _pairs(codes, states, keys)
-        n = np.bincount(of, minlength=len(word)).astype(np.uint32)
+        n = np.bincount(of, np.repeat(taught, np.diff(at)), len(word)).astype(np.uint32)
         own = keys[word]
         cols: list[list] = [[] for _ in range(5)]
         for a, b in _split(_buckets(own, n_buckets)):
@@ -291,17 +289,18 @@ def vocabulary(docs: DataFrame, n_buckets: int, flush_bytes: int = 4 << 20) -> D
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "states", "counts", "words"])
 
     def run(batches):
-        texts, size = [], 0
+        texts, taught, size = [], [], 0
         for b in batches:
-            for t in b.column(0):
+            for t, held in zip(b.column(0), b.column(1), strict=True):
                 data = t.as_py().encode()
                 texts.append(data)
+                taught.append(not held.as_py())
                 size += len(data)
                 if size >= flush_bytes:
-                    yield flushed(texts)
-                    texts, size = [], 0
+                    yield flushed(texts, taught)
+                    texts, taught, size = [], [], 0
         if texts:
-            yield flushed(texts)
+            yield flushed(texts, taught)
 
     def merge(t: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x.as_py(), dtype=U64) for x in t.column("keys")])
@@ -315,69 +314,94 @@ def vocabulary(docs: DataFrame, n_buckets: int, flush_bytes: int = 4 << 20) -> D
         kept = [words[i] for i in order[at].tolist()]
         return pa.table({"bucket": t.column("bucket").slice(0, 1), "keys": pa.array([k[at].tobytes()], pa.binary()), "states": pa.array([s[at].tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary()), "words": pa.array([b"\n".join(kept)], pa.binary())})
 
-    return docs.select("text").mapInArrow(run, VOCABULARY).groupBy("bucket").applyInArrow(merge, VOCABULARY)
+    return docs.select("text", "held_out").mapInArrow(run, VOCABULARY).groupBy("bucket").applyInArrow(merge, VOCABULARY)
 
 
 def read_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     return np.frombuffer(row["keys"], dtype=U64), np.frombuffer(row["states"], dtype=np.uint8), np.frombuffer(row["counts"], dtype=np.int64), row["words"].split(b"\n")
 
 
-def trained(vocab: DataFrame, n_shards: int) -> Scorer:
-    """The model of a vocabulary: shards learn apart, executors add up their tables, the driver gets the sums (a fixed size)."""
+def spelled_of(row: dict) -> tuple[Spelled, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's pairs spelled, the training count of each of its places, its distinct places of all contexts, and which of them is each."""
+    _, states, counts, words = read_pairs(row)
+    s = Spelled(words, states)
+    distinct, of = np.unique(s.places().ravel(), return_inverse=True)
+    return s, s.weigh(counts), distinct, of
+
+
+def packed(got: np.ndarray) -> bytes:
+    """Sums, without loss: few differ from those of a bit less, so each is kept as its difference in bits, by byte planes."""
+    x = np.ascontiguousarray(got, dtype=np.float32).view(np.uint32)
+    x = np.concatenate([x[:1], x[1:] ^ x[:-1]])
+    return pa.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
 
-    def train(t: pa.Table) -> pa.Table:
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=36 * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    x = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(9, size)
+    return np.bitwise_xor.accumulate(x, axis=0).view(np.float32)
+
+
+def context_sums(vocab: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, part, size, sums): of the places of each bucket of the vocabulary, in order, how often the bits were seen in the training texts."""
+
+    def send(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                _, weight, distinct, of = spelled_of(r)
+                n = np.bincount(of, np.tile(weight, N_CONTEXTS), len(distinct))
+                rows = [(int(_buckets(distinct[a : a + 1], n_buckets)[0]), r["bucket"], distinct[a:e].tobytes(), n[a:e].tobytes()) for a, e in _split(_buckets(distinct, n_buckets))]
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kinds[i]) for i in range(4)], ["part", "bucket", "places", "counts"])
+
+    def total(t: pa.Table) -> pa.Table:
+        places = [np.frombuffer(x.as_py(), dtype=U64) for x in t.column("places")]
+        counts = np.concatenate([np.frombuffer(x.as_py()) for x in t.column("counts")])
+        distinct, n, of = added_up(np.concatenate(places), counts)
+        got, ends = sums(distinct, n, distinct), np.cumsum([len(p) for p in places]).tolist()
+        data = [packed(got[:, of[e - len(p) : e]]) for p, e in zip(places, ends, strict=True)]
+        return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "size": pa.array([len(p) for p in places], pa.int32()), "sums": pa.array(data, pa.binary())})
+
+    sent = vocab.mapInArrow(send, "part int, bucket int, places binary, counts binary")
+    return sent.groupBy("part").applyInArrow(total, "bucket int, part int, size int, sums binary")
+
+
+def opened(got: pa.Table) -> np.ndarray:
+    """The sums of a bucket by bits and distinct place."""
+    rows = sorted(got.select(["part", "size", "sums"]).to_pylist(), key=lambda r: r["part"])
+    return np.concatenate([unpacked(r["sums"], r["size"]) for r in rows], axis=1)
+
+
+def trained(vocab: DataFrame, found: DataFrame) -> Scorer:
+    """Weights and map: buckets learn apart, executors add up what they learned, the driver gets the sums (a fixed size)."""
+
+    def train(t: pa.Table, got: pa.Table) -> pa.Table:
         model = Model()
-        parts = [read_pairs(r) for r in sorted(t.to_pylist(), key=lambda r: r["bucket"])]
-        states, counts = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        words = [w for p in parts for w in p[3]]
-        order = alphabetical(words)
-        for some in (order[counts[order] >= COMMON], order[counts[order] < COMMON]):
-            for a in range(0, len(some), BLOCK):
-                i = some[a : a + BLOCK]
-                add_counts(model, [words[x] for x in i.tolist()], states[i], counts[i])
-        n_blocks = max(1, len(words) // LEARN_BLOCK)
-        block = np.arange(len(words)) // NEIGHBOURS % n_blocks
-        for a in range(n_blocks):  # neighbours share places; groups of them from all of the alphabet make blocks alike
-            i = order[block == a]
-            learn(model, [words[x] for x in i.tolist()], states[i], counts[i])
-        size = OFFSETS[-1] // SEGMENTS
-        rows = [(i, model.counts[2 * size * i : 2 * size * (i + 1)].tobytes() + model.check[size * i : size * (i + 1)].tobytes()) for i in range(SEGMENTS)]
-        rows.append((SEGMENTS, np.concatenate([[1.0], model.weights.ravel(), model.seen.ravel(), model.ones.ravel()]).tobytes()))
-        return pa.table({"segment": pa.array([i for i, _ in rows], pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
+        s, weight, _, of = spelled_of(t.to_pylist()[0])
+        own_sums, of = opened(got), of.reshape(N_CONTEXTS, -1)
+        rows = np.flatnonzero(weight > 0)
+        n_blocks = max(LEARN_STEPS, len(rows) // LEARN_BLOCK)
+        for a in range(n_blocks):  # places are in the order of a hash, so blocks are alike
+            i = rows[a::n_blocks]
+            if len(i):
+                step(model, s.data[i], weight[i], own_sums[:, of[:, i]])
+        parts = np.array_split(np.concatenate([[1.0], model.weights.ravel(), model.seen.ravel(), model.ones.ravel()]), SEGMENTS)
+        return pa.table({"segment": pa.array(range(SEGMENTS), pa.int32()), "data": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
-        data = [x.as_py() for x in t.column("data")]
-        if t.column("segment")[0].as_py() == SEGMENTS:
-            out = np.sum([np.frombuffer(x) for x in data], axis=0).tobytes()
-        else:  # of the shards' claims to a slot the one with most counts holds; equal claims add up
-            counts, check = open_segment(data[0])
-            best = counts[0::2] + counts[1::2]
-            for x in data[1:]:
-                c, k = open_segment(x)
-                n = c[0::2] + c[1::2]
-                check, best = np.where(n > best, k, check), np.maximum(best, n)
-            counts = np.zeros_like(counts)
-            for x in data:
-                c, k = open_segment(x)
-                counts += c * np.repeat(k == check, 2)
-            out = counts.tobytes() + check.tobytes()
+        out = np.sum([np.frombuffer(x.as_py()) for x in t.column("data")], axis=0).tobytes()
         return pa.table({"segment": t.column("segment").slice(0, 1), "data": pa.array([out], pa.binary())})
 
-    shards = vocab.withColumn("shard", F.col("bucket") % n_shards).groupBy("shard").applyInArrow(train, "segment int, data binary")
+    shards = vocab.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(train, "segment int, data binary")
     got = {r["segment"]: bytes(r["data"]) for r in shards.groupBy("segment").applyInArrow(add, "segment int, data binary").collect()}
+    blank = Model()
     if not got:
-        return Scorer.blank()
-    parts = [open_segment(got[i]) for i in range(SEGMENTS)]
-    rest = np.frombuffer(got[SEGMENTS])
+        return Scorer(blank.counts, blank.check, blank.weights, blank.ones / blank.seen)
+    rest = np.concatenate([np.frombuffer(got[i]) for i in range(SEGMENTS)])
     cells = 8 * GATES * N_CONTEXTS
     weights = (rest[1 : 1 + cells] / rest[0]).reshape(8, GATES, N_CONTEXTS)
     seen, ones = np.split(rest[1 + cells :], 2)
-    return Scorer(np.concatenate([c for c, _ in parts]), np.concatenate([k for _, k in parts]), weights, (ones / seen).reshape(256, BUCKETS))
-
-
-def open_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 9
-    return np.frombuffer(data, dtype="<f4", count=2 * n), np.frombuffer(data, dtype=np.uint8, offset=8 * n)
+    return Scorer(blank.counts, blank.check, weights, (ones / seen).reshape(256, BUCKETS))
 
 
 ASK = "bucket int, chunk int, keys binary, states binary"
@@ -395,8 +419,8 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     docs = documents(df, id_col, text_col).withColumn("held_out", held_out("doc_id", parts, part))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     chunks, n_chunks = in_chunks(docs)
-    n_buckets = max(12, n_chunks // 4)
-    vocab = stash(vocabulary(docs.where("not held_out"), n_buckets), "vocabulary")
+    n_buckets = max(24, n_chunks // 2)
+    vocab = stash(vocabulary(docs, n_buckets), "vocabulary")
 
     def sizes(batches):
         for b in batches:
@@ -404,13 +428,14 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
                 keys, states, counts, _ = read_pairs(r)
                 of_word = np.add.reduceat(counts, np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]))
                 per_state = np.bincount(states, counts, N_STATES).astype(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([len(of_word)]), pa.array([int((of_word == 1).sum())]), pa.array([per_state], pa.list_(pa.int64()))], ["v", "once", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([int((of_word > 0).sum())]), pa.array([int((of_word == 1).sum())]), pa.array([per_state], pa.list_(pa.int64()))], ["v", "once", "n"])
 
     seen = vocab.mapInArrow(sizes, "v long, once long, n array<long>").agg(F.sum("v").alias("v"), F.sum("once").alias("once"), *(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(N_STATES))).first()
     per_state = np.array([int(seen[f"n{i}"] or 0) for i in range(N_STATES)], dtype=np.float64)
     n_train, n_distinct = int(per_state.sum()), int(seen["v"] or 0)
     known = 1.0 - max(1, int(seen["once"] or 0)) / max(2, n_train) if n_train > 1 else 0.0
-    model = trained(vocab, max(2, n_buckets // 8))
+    found = stash(context_sums(vocab, 2 * n_buckets), "lm-sums")
+    model = trained(vocab, found)
     shared = spark.sparkContext.broadcast(model)
     chunks = chunks.select("chunk", "tag", "doc_id", "held_out", "text")
 
@@ -423,32 +448,34 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({n.split()[0]: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(ASK.split(", "))})
 
-    def answer(asked: pa.Table, vocab: pa.Table) -> pa.Table:
-        """Of each pair asked for: the word's training count and the pair's bits; NaN where the word is not known."""
-        rows = asked.to_pylist()
-        if not rows:
-            out: list[tuple] = []
-        elif not vocab.num_rows:
-            out = [(r["chunk"], r["bucket"], bytes(8 * len(r["states"])), np.full(len(r["states"]), np.nan, dtype=np.float32).tobytes()) for r in rows]
-        else:
-            keys, states, counts, words = read_pairs(vocab.to_pylist()[0])
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            of_word = np.add.reduceat(counts, first)
-            ask_key = np.concatenate([np.frombuffer(r["keys"], dtype=U64) for r in rows])
-            ask_state = np.concatenate([np.frombuffer(r["states"], dtype=np.uint8) for r in rows]).astype(np.int64)
-            w = np.minimum(np.searchsorted(keys[first], ask_key), len(first) - 1)
-            there = keys[first][w] == ask_key
-            pairs, of = np.unique(w[there] * N_STATES + ask_state[there], return_inverse=True)
-            word, state = pairs // N_STATES, pairs % N_STATES
-            own = np.zeros(len(first) * N_STATES)
-            own[np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)])) * N_STATES + states] = counts
-            spelled = shared.value.bits([words[i] for i in first[word].tolist()], state)
-            whole = (own[pairs] + PRIOR * of_word[word] / n_train) / (per_state[state] + PRIOR)
-            bits = -np.log2(known * whole + (1 - known) * np.exp2(-spelled))
-            c, b = np.zeros(len(ask_key), dtype=np.int64), np.full(len(ask_key), np.nan, dtype=np.float32)
-            c[there], b[there] = of_word[w[there]], bits[of]
-            ends = np.cumsum([len(r["states"]) for r in rows])
-            out = [(r["chunk"], r["bucket"], c[e - len(r["states"]) : e].tobytes(), b[e - len(r["states"]) : e].tobytes()) for r, e in zip(rows, ends.tolist(), strict=True)]
+    def score(t: pa.Table, got: pa.Table) -> pa.Table:
+        """Of each pair of the vocabulary: the word's training count and the pair's bits."""
+        row = t.to_pylist()[0]
+        keys, states, counts, _ = read_pairs(row)
+        s, _, _, of = spelled_of(row)
+        spelled = shared.value.of_places(s, opened(got), of)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        of_word = np.repeat(np.add.reduceat(counts, first), np.diff(np.r_[first, len(keys)]))
+        whole = (counts + PRIOR * of_word / max(1, n_train)) / (per_state[states] + PRIOR)
+        bits = -np.log2(np.where(of_word > 0, known * whole, 0) + (1 - known) * np.exp2(-spelled))
+        bits = np.where(of_word > 0, bits, spelled - np.log2(1 - known)).astype(np.float32)
+        out = (row["bucket"], row["keys"], row["states"], of_word.tobytes(), bits.tobytes())
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array([x], k) for n, x, k in zip(("bucket", "keys", "states", "counts", "bits"), out, kinds, strict=True)})
+
+    def answer(asked: pa.Table, pairs: pa.Table) -> pa.Table:
+        """Of each pair asked for, which the vocabulary has: the word's training count and the pair's bits."""
+        rows, out = asked.to_pylist(), []
+        if rows:
+            own = pairs.to_pylist()[0]
+            keys, states = np.frombuffer(own["keys"], dtype=U64), np.frombuffer(own["states"], dtype=np.uint8).astype(np.int64)
+            counts, bits = np.frombuffer(own["counts"], dtype=np.int64), np.frombuffer(own["bits"], dtype=np.float32)
+            start = np.r_[True, keys[1:] != keys[:-1]]
+            word, place = keys[start], (np.cumsum(start) - 1) * N_STATES + states
+            for r in rows:
+                at = np.searchsorted(word, np.frombuffer(r["keys"], dtype=U64)) * N_STATES + np.frombuffer(r["states"], dtype=np.uint8)
+                i = np.searchsorted(place, at)
+                out.append((r["chunk"], r["bucket"], counts[i].tobytes(), bits[i].tobytes()))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({n.split()[0]: pa.array([r[i] for r in out], kinds[i]) for i, n in enumerate(ANSWER.split(", "))})
 
@@ -462,9 +489,6 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
         rows = sorted(got.to_pylist(), key=lambda r: r["bucket"])
         counts = np.frombuffer(b"".join(r["counts"] for r in rows), dtype=np.int64)
         bits = np.frombuffer(b"".join(r["bits"] for r in rows), dtype=np.float32).astype(np.float64)
-        new = np.flatnonzero(np.isnan(bits))
-        if len(new):
-            bits[new] = shared.value.bits([words[i] for i in word[new].tolist()], state[new]) - np.log2(1 - known)
         base = np.log10((counts + 1) / (n_train + n_distinct + 1))
         starts = at[:-1]
         n = np.diff(at)
@@ -474,5 +498,6 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
         return pa.table(dict(zip(names, cols, strict=True)))
 
     asked = chunks.groupBy("chunk").applyInArrow(ask, ASK)
-    answers = asked.groupBy("bucket").cogroup(vocab.groupBy("bucket")).applyInArrow(answer, ANSWER)
+    pairs = vocab.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(score, "bucket int, keys binary, states binary, counts binary, bits binary")
+    answers = asked.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(answer, ANSWER)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(total, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

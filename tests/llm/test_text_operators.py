@@ -373,6 +373,18 @@ def test_language_model_sums_to_one():
     assert len(spelled.data) == 2 and 0 < np.exp2(-cost).sum() <= 1 + 1e-6
 
 
+def test_language_model_drops_no_context():
+    """More contexts than tables of a fixed size had slots for: each keeps its own count."""
+    m, n = lm_score.Model(), 400_000
+    words = [f"{i * 7919:x}q".encode() for i in range(n)]
+    states, counts = np.zeros(n, dtype=np.uint8), np.arange(n) % 5 + 1
+    lm_score.add_counts(m, words, states, counts)
+    spelled = lm_score.Spelled(words[-20_000:], states[-20_000:])
+    ends = (spelled.starts + [len(w) for w in words[-20_000:]]).astype(int)
+    whole = lm_score.sums(m.check, m.counts, spelled.places())[8, 3][spelled.of[ends]]
+    assert (whole == counts[-20_000:]).all() and m.counts.sum() == 5 * (counts * [len(w) + 1 for w in words]).sum()
+
+
 def test_language_model_odd(spark):
     got = lm_score.scored(odd(spark)).collect()
     assert len(got) == 12 and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
