@@ -8,6 +8,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -18,6 +19,11 @@ SPLIT_CHARS = 1 << 16
 #: Between a letter or digit and a space every match of the pattern ends: no alternative of it holds white space
 #: after anything else, and none looks behind. So what stands on either side encodes alone.
 SAFE = re.compile(r"(?<=[0-9A-Za-z])(?= )")
+#: White space of the pattern (Unicode's White_Space). A run of it this long doesn't go through the pattern, which backtracks over it:
+#: the pattern takes all of a run that ends the text, else all but its last character, as one match.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = 1 << 12
+LONG_RUN = re.compile(f"[{WHITE}]{{{RUN},}}")
 
 
 @functools.cache
@@ -45,6 +51,15 @@ def pieces(text: str, size: int = SPLIT_CHARS) -> Iterator[str]:
 
 def encode_bytes(enc, text: str) -> bytes:
     """The ids as little-endian unsigned 32-bit integers."""
+    out, start = [], 0
+    for run in LONG_RUN.finditer(text) if len(text) >= RUN else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += [_by_pattern(enc, text[start : run.start()]), np.array(enc._core_bpe.encode_single_piece(text[run.start() : end].encode()), dtype="<u4").tobytes()]
+        start = end
+    return b"".join([*out, _by_pattern(enc, text[start:])])
+
+
+def _by_pattern(enc, text: str) -> bytes:
     return b"".join(enc.encode_to_numpy(p, disallowed_special=()).tobytes() for p in pieces(text) if p)
 
 

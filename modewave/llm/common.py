@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a default set only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a default only where it is unset and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         path = "/tmp/checkpoints/modewave"
     return path.rstrip("/")
 
@@ -63,16 +66,13 @@ def spread(*cols: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
 
 
-def chunked(docs: DataFrame, n_chunks: int) -> DataFrame:
-    """Adds ``chunk``, 0 to n_chunks - 1, a function of a row's id and text alone."""
-    return docs.withColumn("chunk", F.pmod(spread("doc_id", "text"), F.lit(n_chunks)).cast("int"))
+def carried(df: DataFrame, *keep: str) -> DataFrame:
+    """``rest``, a struct of all columns under their places (c0, c1, ...), and copies of some columns as k0, k1, ...: no name of a user's can clash."""
+    cols = df.columns
+    whole = df.toDF(*(f"c{i}" for i in range(len(cols))))
+    return whole.select(F.struct(*whole.columns).alias("rest"), *(F.col(f"c{cols.index(c)}").alias(f"k{i}") for i, c in enumerate(keep)))
 
 
-def lower_ascii(data: bytes) -> bytes:
-    """A-Z lowered, other bytes as they are."""
-    return data.lower()
-
-
-def word_count_sql() -> str:
-    """The words' pattern, for engines with regular expressions."""
-    return r"[^\x20\x09-\x0D]+"
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` out of ``rest``, as they were."""
+    return df.select(*(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(like.columns))).to(like.schema)

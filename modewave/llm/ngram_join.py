@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK_BYTES, U64, grams, in_chunks, mix, word_hashes
-from .common import documents, drop_stash, stash
+from .common import carried, documents, drop_stash, restored, stash
 from .components import components
 
 #: Documents of one cluster that one task compares.
@@ -393,18 +393,21 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
 def one_of_each(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near duplicates: of each component the row with the smallest id stays, nulls last.
 
-    All columns as they came. Documents without words stay; rows that repeat id and text stay or go together.
+    All columns as they came, whatever their names. Documents without words, null texts among them, stay; rows that repeat id and
+    text stay or go together; of equal ids the smallest hash of id and text decides. Texts count whole, however long. An empty table
+    gives an empty result.
     """
     near = near_duplicates(df, k, t, id_col, text_col)
     keep = (
         near.groupBy("root", F.when(F.col("n_shingles") == 0, F.col("tag")).alias("alone"))
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("first"))
-        .select(F.col("first.tag").alias("__tag"))
+        .select(F.col("first.tag").alias("tag"))
     )
-    return df.withColumn("__own", spread_of(id_col, text_col)).join(keep.distinct(), F.col("__own") == F.col("__tag"), "left_semi").drop("__own")
+    rows = carried(df, id_col, text_col)
+    own = rows.withColumn("tag", tag_of(F.col("k0"), F.coalesce("k1", F.lit(""))))
+    return restored(own.join(keep.distinct(), "tag", "left_semi"), df)
 
 
-def spread_of(id_col: str, text_col: str) -> Column:
+def tag_of(doc_id: Column, text: Column) -> Column:
     """The tag of a row, as ``in_chunks`` gives it."""
-    zero = F.lit("\0")
-    return F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), zero), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\0")), text)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, carried, restored
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -90,12 +90,8 @@ def accepted(df: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_col: s
 
     Columns travel as a struct under their places, so no name can clash and null or repeated ids do no harm.
     """
-    cols, schema = df.columns, df.schema
-    whole = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)))
-    at = {x: cols.index(x) for x in (id_col, text_col, lang_col)}
-    carried = whole.select(F.struct(*whole.columns).alias("doc_id"), F.col(f"c{at[text_col]}").alias("text"), F.col(f"c{at[lang_col]}").alias("lang"))
-    kept = judged(measured(carried), cuts).where("kept")
-    return kept.select(*(F.col(f"doc_id.c{i}").alias(c) for i, c in enumerate(cols))).to(schema)
+    rows = carried(df, text_col, lang_col).select(F.col("rest").alias("doc_id"), F.col("k0").alias("text"), F.col("k1").alias("lang"))
+    return restored(judged(measured(rows), cuts).where("kept").withColumnRenamed("doc_id", "rest"), df)
 
 
 def upper_bound(bad: int, n: int, delta: float) -> float:

@@ -24,7 +24,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = stash(url_filter.listing(url_filter.RULES, url_filter.listed_urls(pages)), "url-list")
-    return url_filter.judged(pages, listed, [len(p) for _, _, p in url_filter.RULES])
+    return url_filter.judged(pages, listed, [len(p) for _, _, p in url_filter.RULES], max(h.count(".") + 1 for _, h, _ in url_filter.RULES))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,8 @@ go through the filter: a url's candidates that the filter passes are joined with
 removes the filter's false positives. A verdict depends on host and path only, so everything runs on the
 distinct pairs, and the pages take their verdicts by one join.
 
-The filter is one 64-bit word for each block; a key sets 4 bits of one word. It has at most
-MAX_BLOCKS rows whatever the list's length, which bounds the broadcast; a longer list costs more
-false positives, which the join removes.
+The filter is one 64-bit word for each block; a key sets 4 bits of one word. It grows with the list, KEYS_PER_BLOCK keys a block.
+Up to BROADCAST_BLOCKS blocks it is broadcast; a larger one is dealt by block and meets the candidates there.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 1 << 17
+BROADCAST_BLOCKS = 1 << 18
 KEYS_PER_BLOCK = 4
 
 #: (verdict, host, path prefix)
@@ -50,13 +49,13 @@ def canonical(host: Column, path: Column) -> Column:
 
 def blocks_for(n_keys: int) -> int:
     n = 1
-    while n * KEYS_PER_BLOCK < n_keys and n < MAX_BLOCKS:
+    while n * KEYS_PER_BLOCK < n_keys:
         n *= 2
     return n
 
 
 def block_of(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
+    return F.pmod(F.xxhash64(key), F.lit(n_blocks))
 
 
 #: The four bits of a key, from the column h.
@@ -75,33 +74,35 @@ def blocked_filter(keys: DataFrame, n_blocks: int) -> DataFrame:
 def listing(rules: Sequence[tuple[str, str, str]], urls: DataFrame) -> DataFrame:
     """The list: key, verdict, rule (null for urls). ``urls`` has canonical URLs in its column ``canon``.
 
-    A rule that is listed with both verdicts blocks. Null URLs and rules listed twice do no harm.
+    A rule that is listed with both verdicts blocks. Null and empty URLs list nothing; rules listed twice do no harm.
     """
     structs = [F.struct(F.lit("r" + h + p).alias("key"), F.lit(v).alias("verdict"), F.lit(h + p).alias("rule")) for v, h, p in rules]
     fixed = urls.sparkSession.range(1).select(F.inline(F.array(*structs)))
     rule = fixed.groupBy("key").agg(F.max("verdict").alias("verdict"), F.first("rule").alias("rule"))
     return rule.unionByName(
-        urls.where("canon is not null").select(F.concat(F.lit("u"), "canon").alias("key")).distinct()
+        urls.where("canon <> ''").select(F.concat(F.lit("u"), "canon").alias("key")).distinct()
         .select("key", F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule"))
     )
 
 
-def judged(pages: DataFrame, listed: DataFrame, path_lengths: Sequence[int], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judged(pages: DataFrame, listed: DataFrame, path_lengths: Sequence[int], labels: int, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, listed.
 
-    ``path_lengths``: the distinct lengths of the rules' paths; a url has one candidate for each of its host's
-    suffixes and each such length, and one for its canonical form. The longest rule that fits decides; without
-    one, a listed canonical URL is blocked and any other url allowed. Null urls and urls without ``://`` have
-    empty host and path. Repeated rows each get a verdict. Other columns are not read.
+    ``path_lengths`` and ``labels``: the lengths of the rules' paths, and the most labels of a rule's host. A url has one candidate for
+    each suffix of its host of so many labels at most and each such length, and one for its canonical form. The longest rule that fits decides; without
+    one, a listed canonical URL is blocked and any other url allowed. Null and empty urls and urls without ``://`` have
+    empty host and path, which nothing fits. Urls are read whole, however long; a host's labels beyond the rules' cost nothing. Repeated rows each get a
+    verdict. Other columns are not read. An empty table gives an empty result.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(url_col).alias("host"), path_of(url_col).alias("path"))
-    places = rows.select("host", "path").distinct()
+    blank = (F.col("host") == "") & (F.col("path") == "")
+    places = rows.where(~blank).select("host", "path").distinct()
     lengths = sorted(set(path_lengths)) or [0]
     keys = f"""
         concat(
-          flatten(transform(sequence(1, size(split(host, '[.]'))), i ->
+          flatten(transform(array_distinct(transform(sequence(1, {max(1, labels)}), i -> substring_index(host, '.', -i))), h ->
             transform(filter(array({", ".join(map(str, lengths))}), n -> n <= length(path)), n ->
-              concat('r', array_join(slice(split(host, '[.]'), i, 1 << 30), '.'), substring(path, 1, n))))),
+              concat('r', h, substring(path, 1, n))))),
           array(concat('u', canon)))"""
     n_blocks = blocks_for(listed.count())
     words = blocked_filter(listed.select("key"), n_blocks)
@@ -109,7 +110,7 @@ def judged(pages: DataFrame, listed: DataFrame, path_lengths: Sequence[int], id_
         places.withColumn("canon", canonical(F.col("host"), F.col("path")))
         .select("host", "path", F.explode(F.expr(keys)).alias("key"))
         .select("host", "path", "key", block_of(F.col("key"), n_blocks).alias("block"), F.xxhash64("key", F.lit(1)).alias("h"))
-        .join(F.broadcast(words), "block")
+        .join(F.broadcast(words) if n_blocks <= BROADCAST_BLOCKS else words, "block")
         .where(f"word & ({BITS}) = ({BITS})")
         .select("host", "path", "key")
     )
@@ -121,12 +122,14 @@ def judged(pages: DataFrame, listed: DataFrame, path_lengths: Sequence[int], id_
             F.max(F.col("rule").isNull()).alias("listed"),
         )
     )
-    return rows.join(verdicts, ["host", "path"], "left").select(
+    told = rows.where(~blank).join(verdicts, ["host", "path"], "left").select(
         "page_id", "host", "path",
         F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.when(F.col("listed"), "block"), F.lit("allow")).alias("verdict"),
         F.coalesce("listed", F.lit(False)).alias("listed"),
     )
+    none = rows.where(blank).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))
+    return told.unionByName(none)
 
 
 #: Site names whose pages' canonical URLs make up the list of the query.
@@ -162,4 +165,4 @@ SELECT p.page_id, p.host, p.path, b.rule,
        coalesce(b.verdict, CASE WHEN s THEN 'block' ELSE 'allow' END) AS verdict, s AS listed
 FROM (SELECT *, regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.') AS s FROM p) p
 LEFT JOIN best b USING (host, path)
-""".replace("\\\\", "\\")
+"""
