@@ -20,7 +20,7 @@ from .common import carried, restored, stash
 PREFIX_BYTES = 256
 #: A key is heavy if it holds more than one in HEAVY of all rows, and LEAST_HEAVY at least.
 HEAVY = 2000
-LEAST_HEAVY = 10_000
+LEAST_HEAVY = 1000
 
 
 def _measures(text: Column, prefix_bytes: int) -> tuple[Column, Column]:

@@ -1,22 +1,14 @@
-"""Language-model scores by logistic context mixing.
-
-A text is its lower-cased words and one end; each is spelled in bytes, each byte in 8 binary decisions. For each
-decision several predictors, each a table of counts under a hashed context, give a probability; their logits are
-combined by weights that a gate selects (the bit, and how often the word's prefix was seen), and an adaptive
-map from the combined logit and the bits so far to the observed share refines the result. Contexts end at the
-word, but for a state: which of a few classes of accented letter the last words showed. So the bits of a word
-follow from (word, state), and are counted once for each distinct pair of the corpus rather than at each place.
-
-The vocabulary holds the pairs of all texts, with the counts of the training texts, and is dealt by hash. A place is a context and the
-byte after it; each bucket of the vocabulary sends its places to buckets of contexts, where counts of all buckets are added up, and gets
-back, for 0 to 8 bits of the byte, how often the context was followed by them. So no context is dropped and none shares a slot with
-another (but for equal 56-bit hashes), whatever the size of the corpus. Weights and map are then learned online in each bucket, block by
-block: a block is predicted from the counts less one occurrence of each place, as if that were still to come, and they take a step.
-Weights and maps of buckets are averaged; they alone reach the driver. Scores are taken from the finished model, so that a text's
-score doesn't hang on its neighbours.
-
-The counts of the whole word with its end join last, word by word: P = known * P(word | state) + (1 - known) * P(spelling | state), where ``known`` is one less the
-Good-Turing share of unseen words (singletons over tokens), and a state's counts are smoothed towards those of all states.
+"""Language-model scores by logistic context mixing over the running text (see ``lm_model`` for the model).
+
+Texts are cut into blocks of about BLOCK_BYTES, written once as tokens. The vocabulary is dealt by key, a word's first two bytes and a hash,
+into buckets that hold about equally many words; buckets add up the counts of the training texts and tell each block its words' counts and their places in
+their class. Then each block asks for the counts of the contexts of its texts; entries are dealt by context, added up over all blocks,
+and go back to the blocks that asked. So no context is dropped, and what is counted grows with the corpus. Only tables of a
+fixed size reach the driver: words and tokens of each class and bucket (MOST_BUCKETS at most).
+
+Each block then is scored online, text by text in its order: weights and maps start as they are in every block, and each training text teaches them once it is
+scored. Held-out texts teach nothing. A text's own tokens so far are a context of their own, and of a training text its own word pairs are taken off the counts, so that
+it is scored as if it had not been learned.
 """
 
 from __future__ import annotations
@@ -27,222 +19,23 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ODD, U64, in_chunks, mix
-from .common import documents, stash
-
-#: Contexts: last byte; last 2 and state; last 4; whole prefix; whole prefix and state.
-N_CONTEXTS = 5
-SEGMENTS = 8
-N_STATES = 8
-#: Words after which a state is forgotten.
-STATE_WORDS = 8
-#: A gate is how often the prefix was seen, alone and with the state: below the first step, below the second, and so on.
-LEVELS = (1, 4, 32)
-GATES = (len(LEVELS) + 1) ** 2
-BUCKETS = 33
-BLOCK = 20_000
-#: Places of one step of learning, and steps of a bucket at least.
-LEARN_BLOCK = 16_000
-LEARN_STEPS = 16
-STEP = 0.05
-#: Tokens of all states that weigh as much as a state's own, in a word's probability.
-PRIOR = 5000.0
-END = b"\t"
-
-
-class Model:
-    """Places and their counts (empty where those stay in the buckets of contexts), weights (bit, gate, context), and the refining map (bits so far, bucket of the logit)."""
-
-    def __init__(self) -> None:
-        self.counts, self.check = np.zeros(0), np.zeros(0, dtype=U64)
-        self.weights = np.full((8, GATES, N_CONTEXTS), 0.25)
-        self.moved = np.full((8, GATES, N_CONTEXTS), 1e-3)
-        centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))
-        self.seen = np.full((256, BUCKETS), 4.0)
-        self.ones = self.seen * centre
-
-
-def logit(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2))), -10, 10)
-
-
-def levels(n: np.ndarray) -> np.ndarray:
-    out = (n >= LEVELS[0]).astype(np.intp)
-    for x in LEVELS[1:]:
-        out += n >= x
-    return out
-
-
-class Spelled:
-    """A block of words in bytes. Bytes with the same state, prefix and value have the same bits, so each such place is held once:
-    ``of`` leads from the words' bytes to the places, ``starts`` to each word's first byte."""
-
-    def __init__(self, words: list[bytes], states: np.ndarray):
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        data = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
-        self.starts = np.cumsum(sizes) - sizes
-        self.word = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(data)) - self.starts[self.word]
-        powers = np.cumprod(np.concatenate([[U64(1)], np.full(int(place.max(initial=0)), ODD | U64(1), dtype=U64)]), dtype=U64)
-        terms = (data.astype(U64) + U64(1)) * powers[place]
-        before = np.cumsum(terms, dtype=U64) - terms
-        prefix = before - before[self.starts][self.word] + powers[place]
-        state = states.astype(U64)[self.word] + U64(1)
-        both = prefix * U64(0xBF58476D1CE4E5B9) + state
-        _, rows, self.of = np.unique((both ^ both >> U64(31)) * ODD + data, return_index=True, return_inverse=True)
-        self.data = data[rows].astype(np.intp)
-        back = []
-        for k in range(1, 5):
-            b = data[np.maximum(rows - k, 0)].astype(U64)
-            b[place[rows] < k] = 0
-            back.append(b)
-        self.contexts = [
-            back[0],
-            back[0] | back[1] << U64(8) | state[rows] << U64(16),
-            back[0] | back[1] << U64(8) | back[2] << U64(16) | back[3] << U64(24),
-            prefix[rows],
-            both[rows],
-        ]
-
-    def weigh(self, counts: np.ndarray) -> np.ndarray:
-        """Of each place, how often it occurs."""
-        return np.bincount(self.of, counts.astype(np.float64)[self.word], len(self.data))
-
-    def places(self) -> np.ndarray:
-        """Of each context and place: a hash of the context in the upper 56 bits, and the byte."""
-        hashes = [mix(mix(c + U64(k + 1) * ODD) + U64(k)) for k, c in enumerate(self.contexts)]
-        return np.stack(hashes) & ~U64(255) | self.data.astype(U64)
-
-
-def sums(places: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """For 0 to 8 bits of its byte: how often the context of each place asked for was followed by them. ``places`` are sorted and distinct."""
-    up = np.r_[0.0, np.cumsum(counts, dtype=np.float64)]
-    out = np.empty((9, *asked.shape), dtype=np.float32)
-    for bits in range(9):
-        low = asked & ~U64((1 << 8 - bits) - 1)
-        high = asked | U64((1 << 8 - bits) - 1)
-        out[bits] = up[np.searchsorted(places, high, side="right")] - up[np.searchsorted(places, low)]
-    return out
-
-
-def added_up(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct places in order, their counts, and where each given place stands among them."""
-    distinct, of = np.unique(places, return_inverse=True)
-    return distinct, np.bincount(of, counts, len(distinct)), of
-
-
-def bucket(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(2 * x) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.intp)
-
-
-def add_counts(model: Model, words: list[bytes], states: np.ndarray, counts: np.ndarray) -> None:
-    """Adds a block of pairs to the model's own places."""
-    s = Spelled(words, states)
-    new = np.tile(s.weigh(counts), N_CONTEXTS)
-    model.check, model.counts, _ = added_up(np.concatenate([model.check, s.places().ravel()]), np.concatenate([model.counts, new]))
-
-
-def learn(model: Model, words: list[bytes], states: np.ndarray, counts: np.ndarray) -> None:
-    """One online step over a block of pairs, from the model's own places."""
-    s = Spelled(words, states)
-    step(model, s.data, s.weigh(counts), sums(model.check, model.counts, s.places()))
-
-
-def step(model: Model, data: np.ndarray, weight: np.ndarray, got: np.ndarray) -> None:
-    """One online step: each place is predicted from the counts less one of its occurrences, then weights and map move."""
-    for bit in range(8):
-        node, value = (1 << bit) | data >> (8 - bit), (data >> (7 - bit)) & 1
-        one = value.astype(np.float32)
-        own, other = np.maximum(got[bit + 1] - 1, 0), got[bit] - got[bit + 1]
-        inputs = logit(np.where(value == 1, other, own), np.where(value == 1, own, other))
-        often = own + other
-        gate = levels(often[-2]) * (len(LEVELS) + 1) + levels(often[-1])
-        w, moved = model.weights[bit], model.moved[bit]
-        x = np.einsum("nk,kn->n", w.astype(np.float32)[gate], inputs)
-        miss = (one - 1 / (1 + np.exp(-x))) * weight
-        total = np.bincount(gate, weight, GATES) + 1e-9
-        g = np.stack([np.bincount(gate, miss * v, GATES) for v in inputs], axis=1) / total[:, None]
-        moved += g * g
-        w += STEP * g / np.sqrt(moved)
-        at = node * BUCKETS + bucket(x)
-        model.seen += np.bincount(at, weight, 256 * BUCKETS).reshape(256, BUCKETS)
-        model.ones += np.bincount(at, weight * value, 256 * BUCKETS).reshape(256, BUCKETS)
-
-
-class Scorer:
-    """A finished model: the bits of (word, state) pairs."""
-
-    def __init__(self, counts: np.ndarray, check: np.ndarray, weights: np.ndarray, shares: np.ndarray):
-        self.counts, self.check = counts, check
-        self.weights, self.shares = weights.astype(np.float32), shares.astype(np.float32)
-
-    def bits(self, words: list[bytes], states: np.ndarray) -> np.ndarray:
-        """In the order of the words; they are scored in alphabetical blocks, which share most places."""
-        order = alphabetical(words)
-        out = np.zeros(len(words))
-        for a in range(0, len(words), BLOCK):
-            i = order[a : a + BLOCK]
-            out[i] = self._block([words[x] for x in i.tolist()], states[i])
-        return out
-
-    def _block(self, words: list[bytes], states: np.ndarray) -> np.ndarray:
-        s = Spelled(words, states)
-        places, of = np.unique(s.places().ravel(), return_inverse=True)
-        return self.of_places(s, sums(self.check, self.counts, places), of)
-
-    def of_places(self, s: Spelled, got: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """The bits of the words of ``s``, from the sums of their distinct places, and which of those is each."""
-        of = of.reshape(N_CONTEXTS, -1)
-        cost = np.zeros(len(s.data), dtype=np.float32)
-        for a in range(0, len(cost), BLOCK):
-            data, some = s.data[a : a + BLOCK], got[:, of[:, a : a + BLOCK]]
-            for bit in range(8):
-                node, value = (1 << bit) | data >> (8 - bit), (data >> (7 - bit)) & 1
-                own, other = some[bit + 1], some[bit] - some[bit + 1]
-                inputs = logit(np.where(value == 1, other, own), np.where(value == 1, own, other))
-                gate = levels(some[bit, -2]) * (len(LEVELS) + 1) + levels(some[bit, -1])
-                x = np.einsum("nk,kn->n", self.weights[bit][gate], inputs)
-                p = (1 / (1 + np.exp(-x)) + self.shares[node, bucket(x)]) / 2
-                cost[a : a + BLOCK] -= np.log2(np.clip(np.where(value == 1, p, 1 - p), 1e-6, 1))
-        return np.add.reduceat(cost.astype(np.float64)[s.of], s.starts)
-
-
-def alphabetical(words: list[bytes]) -> np.ndarray:
-    return np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.intp)
-
-
-def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words, the word and state of each token of all texts in turn, and where each text starts."""
-    code: dict[bytes, int] = defaultdict(count().__next__)
-    parts, at = [], [0]
-    for t in texts:
-        own = list(map(code.__getitem__, t.lower().split()))
-        own.append(code[END])
-        parts.append(np.array(own, dtype=np.int64))
-        at.append(at[-1] + len(own))
-    words = list(code)
-    codes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    starts = np.array(at[:-1], dtype=np.int64)
-    kind = np.array([0 if w.isascii() else accent(w) for w in words], dtype=np.int64)[codes] if words else codes
-    place = np.arange(len(codes))
-    first = np.repeat(starts, np.diff(at))
-    last = np.maximum.accumulate(np.where(kind > 0, place, -1)) if len(codes) else place
-    before = np.r_[-1, last[:-1]] if len(codes) else place
-    near = (before >= first) & (place - before <= STATE_WORDS)
-    return words, codes, np.where(near, kind[np.maximum(before, 0)], 0) if len(codes) else codes, np.array(at, dtype=np.int64)
-
-
-def accent(word: bytes) -> int:
-    """The class of a word's first letter beyond ASCII."""
-    i = next(k for k, b in enumerate(word) if b > 127)
-    return 1 + (sum(word[i : i + 2]) * 5 >> 1) % (N_STATES - 1)
+from .chunks import U64
+from .common import documents, drop_stash, settled, stash
+from .lm_model import LEAST_SEEN, N_CLASSES, Block, Codes, Model, classes, opened_answer, opened_asks, packed, packed_answer, ragged, totals, unpacked
 
+BLOCK_BYTES = 6 << 20
+#: Buckets of the vocabulary, at most: they bound what the driver holds.
+MOST_BUCKETS = 4096
+END = b"\t"
+HASH = U64((1 << 48) - 1)
+CUT_AT = b" \t\n\v\f\r"
 
-def keys_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=U64, count=len(words))
+TEXT = "block long, rows binary, held binary, sizes binary, bytes binary, tokens binary, n_texts int, n_tokens int, n_words int, keys binary, seen binary, words binary"
+CODED = "block long, rows binary, held binary, sizes binary, bytes binary, tokens binary, n_texts int, n_tokens int, n_words int, n binary, place binary, spelled binary"
 
 
 def held_out(id_col: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
@@ -250,254 +43,307 @@ def held_out(id_col: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == part
 
 
-VOCABULARY = "bucket int, keys binary, states binary, counts binary, words binary"
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """First two bytes, then 48 bits of a hash: words in the order of their first letters."""
+    n = len(words)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=U64, count=n)
+    one = np.fromiter((w[0] for w in words), dtype=U64, count=n)
+    two = np.fromiter((w[1] if len(w) > 1 else 0 for w in words), dtype=U64, count=n)
+    return one << U64(56) | two << U64(48) | hashes & HASH
 
 
-def _split(bucket_ids: np.ndarray) -> list[tuple[int, int]]:
-    starts = np.flatnonzero(np.r_[True, bucket_ids[1:] != bucket_ids[:-1]]).tolist()
-    return list(zip(starts, [*starts[1:], len(bucket_ids)], strict=True))
+def bucket_of(keys: np.ndarray, shares: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets are ranges of the keys; ``shares`` (65,537 numbers from 0 to 1) says which share of the words lies before each pair of first bytes."""
+    first = (keys >> U64(48)).astype(np.intp)
+    at = shares[first] + (shares[first + 1] - shares[first]) * ((keys & HASH).astype(np.float64) / float(1 << 48))
+    return np.minimum((at * n_buckets).astype(np.int64), n_buckets - 1)
 
 
-def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
-    return (keys >> U64(33)) * U64(n) >> U64(31)
+def pieces(data: bytes, size: int) -> list[bytes]:
+    """A long text in pieces that end at white space."""
+    out, at = [], 0
+    while len(data) - at > size:
+        cut = min((i for c in CUT_AT if (i := data.find(bytes([c]), at + size)) >= 0), default=-1)
+        if cut < 0:
+            break
+        out.append(data[at:cut])
+        at = cut
+    return [*out, data[at:]]
 
 
-def _pairs(codes: np.ndarray, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word code, state) pairs in the order of (key, state): codes, states, and the pair of each token."""
-    pair, of = np.unique(codes * N_STATES + states, return_inverse=True)
-    word, state = pair // N_STATES, pair % N_STATES
-    order = np.lexsort((state, keys[word]))
-    back = np.empty(len(order), dtype=np.int64)
-    back[order] = np.arange(len(order))
-    return word[order], state[order], back[of]
+def _rows(kinds: dict, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
 
-def vocabulary(docs: DataFrame, n_buckets: int, flush_bytes: int = 4 << 20) -> DataFrame:
-    """One row per bucket: the (word, state) pairs of all texts, with their counts in the training texts. ``docs`` has columns text and held_out."""
+def _kinds(schema: str) -> dict:
+    of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    return {c.split()[0]: of[c.split()[1]] for c in schema.split(", ")}
 
-    def flushed(texts: list[bytes], taught: list[bool]) -> pa.RecordBatch:
-        words, codes, states, at = tokens(texts)
-        keys = keys_of(words)
-        word, state, of = _pairs(codes, states, keys)
-        n = np.bincount(of, np.repeat(taught, np.diff(at)), len(word)).astype(np.uint32)
-        own = keys[word]
-        cols: list[list] = [[] for _ in range(5)]
-        for a, b in _split(_buckets(own, n_buckets)):
-            row = (int(_buckets(own[a : a + 1], n_buckets)[0]), own[a:b].tobytes(), state[a:b].astype(np.uint8).tobytes(), n[a:b].tobytes(), b"\n".join([words[i] for i in word[a:b].tolist()]))
-            for c, x in zip(cols, row, strict=True):
-                c.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "states", "counts", "words"])
+
+def _each(batches):
+    """Rows one by one, as dicts: blocks are large."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(the blocks; row, doc_id, held_out): the texts as tokens, and the rows that they are of. ``docs``: doc_id, text, held_out."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kinds = _kinds(TEXT)
 
     def run(batches):
-        texts, taught, size = [], [], 0
+        task = TaskContext.get().partitionId()
+        number, row = count(task << 32), count(task << 40)
+        ids: list = []
+
+        def block(own: list[tuple[int, bool, bytes, bool]]) -> tuple:
+            code: dict[bytes, int] = defaultdict(count().__next__)
+            parts, sizes = [], []
+            for _, _, data, last in own:
+                t = list(map(code.__getitem__, data.split()))
+                if last:
+                    t.append(code[END])
+                sizes.append(len(t))
+                parts.append(np.array(t, dtype=np.int64))
+            words, tokens = list(code), np.concatenate(parts)
+            keys = keys_of(words)
+            order = np.argsort(keys, kind="stable")
+            back = np.empty(len(order), dtype=np.int64)
+            back[order] = np.arange(len(order))
+            tokens, words = back[tokens], [words[i] for i in order.tolist()]
+            held, sizes = np.array([h for _, h, _, _ in own], dtype=np.uint8), np.array(sizes, dtype=np.int64)
+            seen = np.bincount(tokens, np.repeat(1 - held, sizes), len(words)).astype(np.int64)
+            lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+            of = np.repeat(np.arange(len(own)), sizes)
+            size = np.bincount(of, lengths[tokens], len(own)).astype(np.int64)
+            rows = np.array([r for r, _, _, _ in own], dtype=np.int64)
+            joined = pa.compress(b"\n".join(words), codec="zstd", asbytes=True)
+            head = np.array([sum(map(len, words)) + len(words) - 1], dtype=np.int64).tobytes()
+            return (next(number), packed(rows), packed(held), packed(sizes), packed(size), packed(tokens), len(own), len(tokens), len(words), packed(np.diff(keys[order], prepend=U64(0))), packed(seen), head + joined)
+
+        held_rows: list = []
+        own, size = [], 0
         for b in batches:
-            for t, held in zip(b.column(0), b.column(1), strict=True):
-                data = t.as_py().encode()
-                texts.append(data)
-                taught.append(not held.as_py())
-                size += len(data)
-                if size >= flush_bytes:
-                    yield flushed(texts, taught)
-                    texts, taught, size = [], [], 0
-        if texts:
-            yield flushed(texts, taught)
+            for doc_id, text, held in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                r = next(row)
+                ids.append(doc_id)
+                held_rows.append((r, held.as_py()))
+                cut = pieces(text.as_py().encode().lower(), block_bytes)
+                for i, data in enumerate(cut):
+                    own.append((r, held.as_py(), data, i == len(cut) - 1))
+                    size += len(data) + 16
+                    if size >= block_bytes:
+                        yield _full([block(own)], ids, held_rows)
+                        own, size, ids, held_rows = [], 0, [], []
+        if own:
+            yield _full([block(own)], ids, held_rows)
 
-    def merge(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_py(), dtype=U64) for x in t.column("keys")])
-        states = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint8) for x in t.column("states")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32) for x in t.column("counts")]).astype(np.int64)
-        words = [w for x in t.column("words") for w in x.as_py().split(b"\n")]
-        order = np.lexsort((states, keys))
-        k, s = keys[order], states[order]
-        at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-        total = np.add.reduceat(counts[order], at)
-        kept = [words[i] for i in order[at].tolist()]
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), "keys": pa.array([k[at].tobytes()], pa.binary()), "states": pa.array([s[at].tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary()), "words": pa.array([b"\n".join(kept)], pa.binary())})
+    id_arrow = _arrow_type(docs)
 
-    return docs.select("text", "held_out").mapInArrow(run, VOCABULARY).groupBy("bucket").applyInArrow(merge, VOCABULARY)
+    def _full(block_rows: list[tuple], ids: list, held_rows: list) -> pa.RecordBatch:
+        out = _rows(kinds, block_rows)
+        whole = pa.array([[x.as_py() for x in ids]], pa.list_(id_arrow))
+        names = pa.array([[r for r, _ in held_rows]], pa.list_(pa.int64()))
+        flags = pa.array([[h for _, h in held_rows]], pa.list_(pa.bool_()))
+        return pa.RecordBatch.from_arrays([*out.columns, whole, names, flags], [*out.schema.names, "ids", "names", "flags"])
 
+    made = stash(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"{TEXT}, ids array<{id_type}>, names array<long>, flags array<boolean>"), "lm-text")
+    rows = made.select(F.explode(F.arrays_zip("names", "ids", "flags")).alias("x")).select(F.col("x.names").alias("row"), F.col("x.ids").alias("doc_id"), F.col("x.flags").alias("held_out"))
+    return made, rows
 
-def read_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    return np.frombuffer(row["keys"], dtype=U64), np.frombuffer(row["states"], dtype=np.uint8), np.frombuffer(row["counts"], dtype=np.int64), row["words"].split(b"\n")
 
+def _arrow_type(docs: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def spelled_of(row: dict) -> tuple[Spelled, np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's pairs spelled, the training count of each of its places, its distinct places of all contexts, and which of them is each."""
-    _, states, counts, words = read_pairs(row)
-    s = Spelled(words, states)
-    distinct, of = np.unique(s.places().ravel(), return_inverse=True)
-    return s, s.weigh(counts), distinct, of
+    return to_arrow_type(docs.schema["doc_id"].dataType)
 
 
-def packed(got: np.ndarray) -> bytes:
-    """Sums, without loss: few differ from those of a bit less, so each is kept as its difference in bits, by byte planes."""
-    x = np.ascontiguousarray(got, dtype=np.float32).view(np.uint32)
-    x = np.concatenate([x[:1], x[1:] ^ x[:-1]])
-    return pa.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+def _keys(r: dict) -> np.ndarray:
+    return np.cumsum(unpacked(r["keys"], r["n_words"], U64), dtype=U64)
 
 
-def unpacked(data: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=36 * size, codec="zstd", asbytes=True), dtype=np.uint8)
-    x = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(9, size)
-    return np.bitwise_xor.accumulate(x, axis=0).view(np.float32)
+def word_shares(text: DataFrame) -> np.ndarray:
+    """Which share of the blocks' words lies before each pair of first bytes: 65,537 numbers."""
 
+    def run(batches):
+        for r in _each(batches):
+            first, n = np.unique((_keys(r) >> U64(48)).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(n, pa.int64())], ["first", "n"])
 
-def context_sums(vocab: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, part, size, sums): of the places of each bucket of the vocabulary, in order, how often the bits were seen in the training texts."""
+    out = np.zeros(65_537)
+    for r in text.select("n_words", "keys").mapInArrow(run, "first int, n long").groupBy("first").agg(F.sum("n").alias("n")).collect():
+        out[r["first"] + 1] = r["n"]
+    return np.cumsum(out) / max(1.0, out.sum())
 
-    def send(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                _, weight, distinct, of = spelled_of(r)
-                n = np.bincount(of, np.tile(weight, N_CONTEXTS), len(distinct))
-                rows = [(int(_buckets(distinct[a : a + 1], n_buckets)[0]), r["bucket"], distinct[a:e].tobytes(), n[a:e].tobytes()) for a, e in _split(_buckets(distinct, n_buckets))]
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kinds[i]) for i in range(4)], ["part", "bucket", "places", "counts"])
-
-    def total(t: pa.Table) -> pa.Table:
-        places = [np.frombuffer(x.as_py(), dtype=U64) for x in t.column("places")]
-        counts = np.concatenate([np.frombuffer(x.as_py()) for x in t.column("counts")])
-        distinct, n, of = added_up(np.concatenate(places), counts)
-        got, ends = sums(distinct, n, distinct), np.cumsum([len(p) for p in places]).tolist()
-        data = [packed(got[:, of[e - len(p) : e]]) for p, e in zip(places, ends, strict=True)]
-        return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "size": pa.array([len(p) for p in places], pa.int32()), "sums": pa.array(data, pa.binary())})
-
-    sent = vocab.mapInArrow(send, "part int, bucket int, places binary, counts binary")
-    return sent.groupBy("part").applyInArrow(total, "bucket int, part int, size int, sums binary")
-
-
-def opened(got: pa.Table) -> np.ndarray:
-    """The sums of a bucket by bits and distinct place."""
-    rows = sorted(got.select(["part", "size", "sums"]).to_pylist(), key=lambda r: r["part"])
-    return np.concatenate([unpacked(r["sums"], r["size"]) for r in rows], axis=1)
-
-
-def trained(vocab: DataFrame, found: DataFrame) -> Scorer:
-    """Weights and map: buckets learn apart, executors add up what they learned, the driver gets the sums (a fixed size)."""
-
-    def train(t: pa.Table, got: pa.Table) -> pa.Table:
-        model = Model()
-        s, weight, _, of = spelled_of(t.to_pylist()[0])
-        own_sums, of = opened(got), of.reshape(N_CONTEXTS, -1)
-        rows = np.flatnonzero(weight > 0)
-        n_blocks = max(LEARN_STEPS, len(rows) // LEARN_BLOCK)
-        for a in range(n_blocks):  # places are in the order of a hash, so blocks are alike
-            i = rows[a::n_blocks]
-            if len(i):
-                step(model, s.data[i], weight[i], own_sums[:, of[:, i]])
-        parts = np.array_split(np.concatenate([[1.0], model.weights.ravel(), model.seen.ravel(), model.ones.ravel()]), SEGMENTS)
-        return pa.table({"segment": pa.array(range(SEGMENTS), pa.int32()), "data": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+ASKED = "bucket int, block long, n int, keys binary, seen binary"
+
+
+def asked_words(text: DataFrame, shares: np.ndarray, n_buckets: int) -> DataFrame:
+    """The words of each block, dealt into buckets."""
+    kinds = _kinds(ASKED)
+
+    def run(batches):
+        for r in _each(batches):
+            keys, seen = _keys(r), unpacked(r["seen"], r["n_words"], np.int64)
+            of = bucket_of(keys, shares, n_buckets)
+            at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)]).tolist()
+            yield _rows(kinds, [(int(of[a]), r["block"], b - a, packed(np.diff(keys[a:b], prepend=U64(0))), packed(seen[a:b])) for a, b in zip(at, [*at[1:], len(of)], strict=True)])
+
+    return text.select("block", "n_words", "keys", "seen").mapInArrow(run, ASKED)
+
+
+def vocabulary(asked: DataFrame) -> DataFrame:
+    """One row per bucket: its words in order, their training tokens, and by class how many words and tokens (class 0: those that are spelled, seen once; ``unseen`` apart)."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["n"], U64), dtype=U64) for r in rows])
+        seen = np.concatenate([unpacked(r["seen"], r["n"], np.int64) for r in rows])
+        distinct, of = np.unique(keys, return_inverse=True)
+        n = np.bincount(of, seen, len(distinct)).astype(np.int64)
+        k = classes(n)
+        words, tokens = np.bincount(k[n > 0], minlength=N_CLASSES), np.bincount(k, n, N_CLASSES).astype(np.int64)
+        return pa.table({"bucket": pa.array([rows[0]["bucket"]], pa.int32()), "size": pa.array([len(distinct)], pa.int32()), "keys": pa.array([packed(np.diff(distinct, prepend=U64(0)))], pa.binary()), "n": pa.array([packed(n)], pa.binary()), "words": pa.array([words.astype(np.int64).tobytes()], pa.binary()), "tokens": pa.array([tokens.tobytes()], pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(merge, "bucket int, size int, keys binary, n binary, words binary, tokens binary")
+
+
+def codes_of(vocab: DataFrame, texts: int) -> tuple[Codes, dict[int, np.ndarray]]:
+    """The codes, and for each bucket the places before it in each class: MOST_BUCKETS rows at most reach the driver."""
+    rows = sorted(vocab.select("bucket", "words", "tokens").collect(), key=lambda r: r["bucket"])
+    words = np.array([np.frombuffer(r["words"], dtype=np.int64) for r in rows]).reshape(-1, N_CLASSES)
+    tokens = np.array([np.frombuffer(r["tokens"], dtype=np.int64) for r in rows]).reshape(-1, N_CLASSES)
+    before = np.cumsum(words, axis=0) - words
+    size, mass = words.sum(axis=0), tokens.sum(axis=0)
+    return Codes(int(mass.sum()), int(size.sum()), texts, size, mass), {r["bucket"]: b for r, b in zip(rows, before, strict=True)}
+
+
+TOLD = "block long, bucket int, size int, n binary, place binary"
+
+
+def coded(text: DataFrame, asked: DataFrame, vocab: DataFrame, before: dict[int, np.ndarray]) -> DataFrame:
+    """The blocks with their words' training tokens and places in their class, and the strings of those that are spelled."""
+    told_kinds, kinds = _kinds(TOLD), _kinds(CODED)
+    shared = text.sparkSession.sparkContext.broadcast(before)
+
+    def tell(t: pa.Table, own: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        if not rows:
+            return pa.Table.from_batches([_rows(told_kinds, [])])
+        v = own.to_pylist()[0]
+        keys, n = np.cumsum(unpacked(v["keys"], v["size"], U64), dtype=U64), unpacked(v["n"], v["size"], np.int64)
+        k, place = classes(n), np.zeros(len(n), dtype=np.int64)
+        for c in np.unique(k[n > 0]).tolist():
+            i = np.flatnonzero(k == c)
+            place[i] = shared.value[v["bucket"]][c] + np.arange(len(i))
+        out = []
+        for r in rows:
+            i = np.searchsorted(keys, np.cumsum(unpacked(r["keys"], r["n"], U64), dtype=U64))
+            out.append((r["block"], r["bucket"], r["n"], packed(n[i]), packed(place[i])))
+        return pa.Table.from_batches([_rows(told_kinds, out)])
+
+    told = asked.groupBy("bucket").cogroup(vocab.select("bucket", "size", "keys", "n").groupBy("bucket")).applyInArrow(tell, TOLD)
+
+    def join(t: pa.Table, got: pa.Table) -> pa.Table:
+        answers = sorted(got.to_pylist(), key=lambda x: x["bucket"])
+        n, place = (np.concatenate([unpacked(x[c], x["size"], np.int64) for x in answers]) for c in ("n", "place"))
+        out = []
+        for r in t.to_pylist():
+            data = r["words"]
+            words = pa.decompress(data[8:], decompressed_size=int(np.frombuffer(data[:8], dtype=np.int64)[0]), codec="zstd", asbytes=True).split(b"\n")
+            spelled = [w for w, x in zip(words, n.tolist(), strict=True) if x < LEAST_SEEN]
+            out.append((r["block"], r["rows"], r["held"], r["sizes"], r["bytes"], r["tokens"], r["n_texts"], r["n_tokens"], r["n_words"], packed(n), packed(place), b"\n".join(spelled)))
+        return pa.Table.from_batches([_rows(kinds, out)])
+
+    return text.drop("ids", "names", "flags", "keys", "seen").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(join, CODED)
+
+
+FOUND = "block long, part int, size int, data binary"
+
+
+def opened(r: dict, codes: Codes) -> Block:
+    n, place = (unpacked(r[c], r["n_words"], np.int64) for c in ("n", "place"))
+    spelled = r["spelled"].split(b"\n") if (n < LEAST_SEEN).any() else []
+    sizes, held = unpacked(r["sizes"], r["n_texts"], np.int64), unpacked(r["held"], r["n_texts"], np.uint8)
+    return Block(codes, unpacked(r["tokens"], r["n_tokens"], np.int64), sizes, held, n, place, spelled)
+
+
+def counted(coded_blocks: DataFrame, codes, n_parts: int) -> DataFrame:
+    """Of the contexts and symbols that each block asks for: how often they were seen in the training texts of all blocks, by part."""
+    asked, found = _kinds("part int, block long, n_ctx int, size int, data binary"), _kinds(FOUND)
+
+    def ask(batches):
+        for r in _each(batches):
+            rows = [(p, r["block"], n_ctx, n, data) for p, n_ctx, n, data in opened(r, codes.value).asks(n_parts)]
+            yield _rows(asked, rows)
 
     def add(t: pa.Table) -> pa.Table:
-        out = np.sum([np.frombuffer(x.as_py()) for x in t.column("data")], axis=0).tobytes()
-        return pa.table({"segment": t.column("segment").slice(0, 1), "data": pa.array([out], pa.binary())})
+        rows = t.to_pylist()
+        parts = [opened_asks(r["data"], r["n_ctx"], r["size"]) for r in rows]
+        of, u, n0, other = totals(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        off, out, at = np.cumsum(u) - u, [], 0
+        for r in rows:
+            i = of[at : at + r["size"]]
+            at += r["size"]
+            out.append((r["block"], r["part"], r["size"], packed_answer(u[i], n0[i], other[ragged(off[i], u[i])])))
+        return pa.Table.from_batches([_rows(found, out)])
+
+    return coded_blocks.mapInArrow(ask, "part int, block long, n_ctx int, size int, data binary").groupBy("part").applyInArrow(add, FOUND)
+
 
-    shards = vocab.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(train, "segment int, data binary")
-    got = {r["segment"]: bytes(r["data"]) for r in shards.groupBy("segment").applyInArrow(add, "segment int, data binary").collect()}
-    blank = Model()
-    if not got:
-        return Scorer(blank.counts, blank.check, blank.weights, blank.ones / blank.seen)
-    rest = np.concatenate([np.frombuffer(got[i]) for i in range(SEGMENTS)])
-    cells = 8 * GATES * N_CONTEXTS
-    weights = (rest[1 : 1 + cells] / rest[0]).reshape(8, GATES, N_CONTEXTS)
-    seen, ones = np.split(rest[1 + cells :], 2)
-    return Scorer(blank.counts, blank.check, weights, (ones / seen).reshape(256, BUCKETS))
+def _answered(t: pa.Table, got: pa.Table, codes: Codes) -> tuple[dict, Block]:
+    r = t.to_pylist()[0]
+    block = opened(r, codes)
+    parts = [opened_answer(x["data"], x["size"]) for x in sorted(got.to_pylist(), key=lambda x: x["part"])]
+    block.answered(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+    return r, block
 
 
-ASK = "bucket int, chunk int, keys binary, states binary"
-ANSWER = "chunk int, bucket int, counts binary, bits binary"
+PARTIAL = "row long, n_tokens long, n_known long, bytes long, base double, bits double"
 
 
-def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2) -> DataFrame:
+def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Texts whose id falls in the held-out part teach nothing. base_score is the add-one unigram model's log10 probability, score
-    the mixing model's. Null counts as empty: the end alone. Rows that repeat are scored alike, each. Without training texts
-    every count is 0 and the model is uniform over bits. An empty table gives an empty result. Other columns are not read.
+    the mixing model's; bits_per_byte the latter over the bytes of words and one for each token's end. Null counts as empty: the end alone. Rows that
+    repeat are each scored, and learned, as texts of their own. Texts are scored whole, however long: longer ones than a block go on in the next, where only their own past is
+    forgotten. Without training texts every count is 0 and all is spelled by a model that has seen nothing. Other columns are not read. An empty table gives an
+    empty result.
     """
     spark = df.sparkSession
     docs = documents(df, id_col, text_col).withColumn("held_out", held_out("doc_id", parts, part))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    chunks, n_chunks = in_chunks(docs)
-    n_buckets = max(24, n_chunks // 2)
-    vocab = stash(vocabulary(docs, n_buckets), "vocabulary")
-
-    def sizes(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                keys, states, counts, _ = read_pairs(r)
-                of_word = np.add.reduceat(counts, np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]))
-                per_state = np.bincount(states, counts, N_STATES).astype(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([int((of_word > 0).sum())]), pa.array([int((of_word == 1).sum())]), pa.array([per_state], pa.list_(pa.int64()))], ["v", "once", "n"])
-
-    seen = vocab.mapInArrow(sizes, "v long, once long, n array<long>").agg(F.sum("v").alias("v"), F.sum("once").alias("once"), *(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(N_STATES))).first()
-    per_state = np.array([int(seen[f"n{i}"] or 0) for i in range(N_STATES)], dtype=np.float64)
-    n_train, n_distinct = int(per_state.sum()), int(seen["v"] or 0)
-    known = 1.0 - max(1, int(seen["once"] or 0)) / max(2, n_train) if n_train > 1 else 0.0
-    found = stash(context_sums(vocab, 2 * n_buckets), "lm-sums")
-    model = trained(vocab, found)
-    shared = spark.sparkContext.broadcast(model)
-    chunks = chunks.select("chunk", "tag", "doc_id", "held_out", "text")
-
-    def ask(t: pa.Table) -> pa.Table:
-        words, codes, states, _ = tokens([x.encode() for x in t.column("text").to_pylist()])
-        keys = keys_of(words)
-        word, state, _ = _pairs(codes, states, keys)
-        own, chunk = keys[word], t.column("chunk")[0].as_py()
-        rows = [(int(_buckets(own[a : a + 1], n_buckets)[0]), chunk, own[a:b].tobytes(), state[a:b].astype(np.uint8).tobytes()) for a, b in _split(_buckets(own, n_buckets))]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({n.split()[0]: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(ASK.split(", "))})
+    text, rows = blocks(docs, block_bytes)
+    size = text.agg(F.count(F.lit(1)).alias("blocks")).first()["blocks"]
+    n_buckets = max(16, min(MOST_BUCKETS, size))
+    asked = asked_words(text, word_shares(text), n_buckets)
+    vocab = stash(vocabulary(asked), "lm-words")
+    codes, before = codes_of(vocab, rows.where("not held_out").count())
+    told = stash(coded(text, asked, vocab, before), "lm-coded")
+    rows = stash(rows, "lm-rows")
+    drop_stash(vocab)
+    drop_stash(text)
+    settled(spark)
+    shared = spark.sparkContext.broadcast(codes)
+    found = stash(counted(told, shared, 24 + size // 3), "lm-counts")
+    settled(spark)
+    kinds = _kinds(PARTIAL)
 
     def score(t: pa.Table, got: pa.Table) -> pa.Table:
-        """Of each pair of the vocabulary: the word's training count and the pair's bits."""
-        row = t.to_pylist()[0]
-        keys, states, counts, _ = read_pairs(row)
-        s, _, _, of = spelled_of(row)
-        spelled = shared.value.of_places(s, opened(got), of)
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        of_word = np.repeat(np.add.reduceat(counts, first), np.diff(np.r_[first, len(keys)]))
-        whole = (counts + PRIOR * of_word / max(1, n_train)) / (per_state[states] + PRIOR)
-        bits = -np.log2(np.where(of_word > 0, known * whole, 0) + (1 - known) * np.exp2(-spelled))
-        bits = np.where(of_word > 0, bits, spelled - np.log2(1 - known)).astype(np.float32)
-        out = (row["bucket"], row["keys"], row["states"], of_word.tobytes(), bits.tobytes())
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array([x], k) for n, x, k in zip(("bucket", "keys", "states", "counts", "bits"), out, kinds, strict=True)})
-
-    def answer(asked: pa.Table, pairs: pa.Table) -> pa.Table:
-        """Of each pair asked for, which the vocabulary has: the word's training count and the pair's bits."""
-        rows, out = asked.to_pylist(), []
-        if rows:
-            own = pairs.to_pylist()[0]
-            keys, states = np.frombuffer(own["keys"], dtype=U64), np.frombuffer(own["states"], dtype=np.uint8).astype(np.int64)
-            counts, bits = np.frombuffer(own["counts"], dtype=np.int64), np.frombuffer(own["bits"], dtype=np.float32)
-            start = np.r_[True, keys[1:] != keys[:-1]]
-            word, place = keys[start], (np.cumsum(start) - 1) * N_STATES + states
-            for r in rows:
-                at = np.searchsorted(word, np.frombuffer(r["keys"], dtype=U64)) * N_STATES + np.frombuffer(r["states"], dtype=np.uint8)
-                i = np.searchsorted(place, at)
-                out.append((r["chunk"], r["bucket"], counts[i].tobytes(), bits[i].tobytes()))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({n.split()[0]: pa.array([r[i] for r in out], kinds[i]) for i, n in enumerate(ANSWER.split(", "))})
-
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-
-    def total(t: pa.Table, got: pa.Table) -> pa.Table:
-        texts = [x.encode() for x in t.column("text").to_pylist()]
-        words, codes, states, at = tokens(texts)
-        keys = keys_of(words)
-        word, state, of = _pairs(codes, states, keys)
-        rows = sorted(got.to_pylist(), key=lambda r: r["bucket"])
-        counts = np.frombuffer(b"".join(r["counts"] for r in rows), dtype=np.int64)
-        bits = np.frombuffer(b"".join(r["bits"] for r in rows), dtype=np.float32).astype(np.float64)
-        base = np.log10((counts + 1) / (n_train + n_distinct + 1))
-        starts = at[:-1]
-        n = np.diff(at)
-        spelled = np.fromiter(map(len, words), dtype=np.int64, count=len(words))[word] + 1
-        sums = [np.add.reduceat(x[of], starts) if len(starts) else x[:0] for x in ((counts > 0).astype(np.int64), base, bits, spelled)]
-        cols = [t.column("doc_id"), t.column("held_out"), pa.array(n, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(np.full(len(n), n_train), pa.int64()), pa.array(sums[1], pa.float64()), pa.array(-sums[2] * np.log10(2), pa.float64()), pa.array(sums[2] / sums[3], pa.float64())]
-        return pa.table(dict(zip(names, cols, strict=True)))
-
-    asked = chunks.groupBy("chunk").applyInArrow(ask, ASK)
-    pairs = vocab.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(score, "bucket int, keys binary, states binary, counts binary, bits binary")
-    answers = asked.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(answer, ANSWER)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(total, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+        codes = shared.value
+        r, block = _answered(t, got, codes)
+        n = unpacked(r["n"], r["n_words"], np.int64)
+        base = np.log10((n + 1) / (codes.total + codes.distinct + 1))
+        of = np.repeat(np.arange(r["n_texts"]), block.sizes)
+        per = lambda x: np.bincount(of, x[block.tokens], r["n_texts"])
+        cols = (unpacked(r["rows"], r["n_texts"], np.int64), block.sizes, per(n > 0).astype(np.int64), unpacked(r["bytes"], r["n_texts"], np.int64), per(base), Model().scores(block))
+        return pa.table({c: pa.array(x, k) for (c, k), x in zip(kinds.items(), cols, strict=True)})
+
+    partial = told.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, PARTIAL)
+    whole = partial.groupBy("row").agg(*(F.sum(c.split()[0]).alias(c.split()[0]) for c in PARTIAL.split(", ")[1:]))
+    return rows.join(whole, "row").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(codes.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"),
+        (F.col("bits") * float(-np.log10(2))).alias("score"), (F.col("bits") / F.col("bytes")).alias("bits_per_byte"),
+    )

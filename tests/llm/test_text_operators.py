@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from modewave.llm import bpe, chunks, components, exact_dedup, lm_score, ngram_join, packing, quality, queries, sharding, suffix_dedup, toxicity, url_filter
+from modewave.llm import bpe, chunks, components, exact_dedup, lm_model, lm_score, ngram_join, packing, quality, queries, sharding, suffix_dedup, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tag string, chunk int, key string"
@@ -385,29 +385,115 @@ def test_language_model(spark):
     assert noise["bits_per_byte"] > 2 * max(r["bits_per_byte"] for r in rows.values() if r["n_tokens"] > 20)
 
 
+def lm_block(texts, held, cut=None):
+    """The block of some texts, with the counts of its own training texts, and its words."""
+    own = [t.encode().lower().split() + [b"\t"] for t in texts]
+    count = collections.Counter(w for t, h in zip(own, held, strict=True) if not h for w in t)
+    words = sorted({w for t in own for w in t}, key=lambda w: int(lm_score.keys_of([w])[0]))
+    n = np.array([count[w] for w in words])
+    k, place = lm_model.classes(n), np.zeros(len(n), dtype=np.int64)
+    for c in np.unique(k):
+        place[k == c] = np.arange((k == c).sum())
+    codes = lm_model.Codes(int(n.sum()), int((n > 0).sum()), len(texts) - sum(held), np.bincount(k[n > 0], minlength=128), np.bincount(k, n, 128).astype(int))
+    at = {w: i for i, w in enumerate(words)}
+    block = lm_model.Block(codes, np.array([at[w] for t in own for w in t]), np.array([len(t) for t in own]), np.array(held), n, place, [w for w, x in zip(words, n, strict=True) if x < 2])
+    of, u, n0, other = lm_model.totals(block.ctx, block.syms, block.counts)
+    block.answered(u[of], n0[of], other[lm_model.ragged((np.cumsum(u) - u)[of], u[of])])
+    return block, words, n, own
+
+
+def lm_texts(n, seed=5):
+    rng = random.Random(seed)
+    syllables = ["ka", "to", "mi", "re", "su", "no", "vé"]
+    lexicon = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    return [" ".join(rng.choices(lexicon, [1 / (i + 1) for i in range(300)], k=rng.randrange(1, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 8])
+def test_language_model_counts_are_exact(monkeypatch, hot):
+    """Of each token: how often its context was followed by the bits of its code so far, against counting; with and without cut contexts. No context is dropped."""
+    monkeypatch.setattr(lm_model, "LEAST_HOT", hot)
+    texts = lm_texts(150)
+    held = [i % 5 == 0 for i in range(150)]
+    block, words, n, own = lm_block(texts, held)
+    assert (block.cut_of.max() > 0) == (hot == 8)
+    code = {w: format(int(s), "064b")[: int(x)] for w, s, x in zip(words, block.sym, block.length, strict=True)}
+    assert sum(2.0 ** -len(c) for c in {code[w] for w in words}) == pytest.approx(1, abs=1e-12)
+    name = lambda w: w if n[words.index(w)] >= 2 else None
+    pairs = collections.Counter((name(a) if a != b"" else b"", code[b]) for t, h in zip(own, held, strict=True) if not h for a, b in zip([b"", *t], t, strict=False))
+    token = 0
+    for t in own[:40]:
+        for a, b in zip([b"", *t], t, strict=False):
+            p, context = block.pair[token], name(a) if a != b"" else b""
+            for d in range(len(code[b]) + 1):
+                k = min(max(0, d - 1) // lm_model.CUT, int(block.cut_of[block.context[token]]))
+                got = block.got[block.at[block.of_pair[p, k]] + d - lm_model.CUT * k]
+                assert got == sum(x for (c, s), x in pairs.items() if c == context and s.startswith(code[b][:d]))
+            token += 1
+
+
 def test_language_model_sums_to_one():
-    """All continuations of a prefix together, spelled bit by bit, have the prefix' probability."""
-    m = lm_score.Model()
-    words, states = [b"aa", b"ab", b"b"], np.zeros(3, dtype=np.uint8)
-    lm_score.add_counts(m, words, states, np.array([5, 3, 2]))
-    lm_score.learn(m, words, states, np.array([5, 3, 2]))
-    s = lm_score.Scorer(m.counts, m.check, m.weights, m.ones / m.seen)
-    one = [bytes([b]) for b in range(256) if b != 32]
-    cost = np.array([s.bits([w], np.zeros(1, dtype=np.uint8))[0] for w in one])
-    spelled = lm_score.Spelled([b"a"], np.zeros(1, dtype=np.uint8))
-    assert len(spelled.data) == 2 and 0 < np.exp2(-cost).sum() <= 1 + 1e-6
-
-
-def test_language_model_drops_no_context():
-    """More contexts than tables of a fixed size had slots for: each keeps its own count."""
-    m, n = lm_score.Model(), 400_000
-    words = [f"{i * 7919:x}q".encode() for i in range(n)]
-    states, counts = np.zeros(n, dtype=np.uint8), np.arange(n) % 5 + 1
-    lm_score.add_counts(m, words, states, counts)
-    spelled = lm_score.Spelled(words[-20_000:], states[-20_000:])
-    ends = (spelled.starts + [len(w) for w in words[-20_000:]]).astype(int)
-    whole = lm_score.sums(m.check, m.counts, spelled.places())[8, 3][spelled.of[ends]]
-    assert (whole == counts[-20_000:]).all() and m.counts.sum() == 5 * (counts * [len(w) + 1 for w in words]).sum()
+    """After any context the codes of all words have probability 1 together, and so have all bytes."""
+    texts = lm_texts(60)
+    _, words, n, _ = lm_block(texts, [False] * 60)
+    coded = [w.decode() for w, x in zip(words, n, strict=True) if x >= 2 and w != b"\t"]
+    model = lm_model.Model()
+    for _ in range(20):
+        model.scores(lm_block(texts, [False] * 60)[0])
+    moved = model.words.weights.copy()
+    assert np.abs(moved - 0.4).max() > 0.05
+    for prefix in ("ka to", "", "unseenword mi ka"):
+        more = [f"{prefix} {w}" for w in [*coded, "zzzznovel"]] + [prefix]
+        block, *_ = lm_block(texts + more, [False] * 60 + [True] * len(more))
+        total = 0.0
+        for a, b, d in block.decisions():
+            d.taught[:] = False
+            cost = model.words.bits(d)
+            first = int(block.starts[a])
+            for i in range(max(a, 60), b):
+                last = int(block.ends[i]) - 1 if i == len(block.sizes) - 1 else int(block.ends[i]) - 2
+                total += 2.0 ** -cost[last - first]
+        assert total == pytest.approx(1, abs=1e-6) and np.array_equal(model.words.weights, moved)
+    inputs = np.random.default_rng(1).normal(size=(255, 4)).astype(np.float32)
+    gate, place = np.arange(255) % 128, np.arange(1, 256)
+    p = model.bytes.ones_of(inputs, gate, place)[0].astype(float)  # any predictions of the 255 inner nodes of a byte
+    total = sum(math.prod(p[(1 << d | b >> 8 - d) - 1] if b >> 7 - d & 1 else 1 - p[(1 << d | b >> 8 - d) - 1] for d in range(8)) for b in range(256))
+    assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_language_model_totals():
+    rng = np.random.default_rng(3)
+    ctx = rng.integers(0, 40, 3000).astype(np.uint64)
+    syms = rng.integers(0, 64, 3000).astype(np.uint64) << np.uint64(58)
+    counts = rng.integers(0, 5, 3000)
+    of, u, n0, other = lm_model.totals(ctx, syms, counts)
+    off = np.cumsum(u) - u
+    data = lm_model.packed_answer(u[of], n0[of], other[lm_model.ragged(off[of], u[of])])
+    assert all(np.array_equal(a, b) for a, b in zip(lm_model.opened_answer(data, 3000), (u[of], n0[of], other[lm_model.ragged(off[of], u[of])]), strict=True))
+    for i in range(0, 3000, 37):
+        e, now = of[i], n0[of[i]]
+        for d in range(7):
+            assert now == counts[(ctx == ctx[i]) & (syms >> np.uint64(64 - d) == syms[i] >> np.uint64(64 - d) if d else ctx == ctx[i])].sum()
+            if d < u[e]:
+                now -= other[off[e] + d]
+
+
+def test_texts_that_occur_twice_stand_out(spark):
+    texts = [" ".join(f"{w}" for w in t.split()) for t in lm_texts(400, 9) if len(t.split()) > 20]
+    d = table(spark, [*texts, *texts[:20]])
+    got = {r["doc_id"]: r for r in lm_score.scored(d).collect()}
+    twice = [got[i]["bits_per_byte"] for i in range(20)] + [got[len(texts) + i]["bits_per_byte"] for i in range(20)]
+    once = [got[i]["bits_per_byte"] for i in range(20, len(texts))]
+    assert np.quantile(twice, 0.9) < np.quantile(once, 0.1)
+
+
+def test_language_model_takes_long_texts_in_pieces(spark):
+    d = table(spark, [*lm_texts(50), " ".join(lm_texts(300, 8)), "x" * 5000])
+    small = {r["doc_id"]: r for r in lm_score.scored(d, block_bytes=2000).collect()}
+    large = {r["doc_id"]: r for r in lm_score.scored(d).collect()}
+    assert all(small[i][c] == large[i][c] for i in large for c in ("n_tokens", "n_known", "train_tokens", "held_out"))
+    assert all(small[i]["base_score"] == pytest.approx(large[i]["base_score"]) for i in large)
+    assert small[50]["score"] == pytest.approx(large[50]["score"], rel=0.15)
 
 
 def test_language_model_odd(spark):
