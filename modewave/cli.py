@@ -1,4 +1,4 @@
-"""Command line: surface, batch, column, column-replot, host-layout, replot, replot-batch, preflight."""
+"""Command line: surface, surface-export, batch, column, column-replot, host-layout, replot, replot-batch, preflight."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import json
 
 from .plans import column, products, surface
 from .session import session
+from .sources import arrays
 from .sources.config import batch_config, column_config, read_json, surface_config
 
 
@@ -26,6 +27,11 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--allow-trial", action="store_true")
         if name == "batch":
             s.add_argument("--skip-existing", action="store_true")
+        if name == "surface":
+            s.add_argument("--parquet", action="store_true", help="the root holds exported tables, on any store")
+    s = add("surface-export", "config", "surface-root", "output-root")
+    s.add_argument("--allow-partial-months", action="store_true")
+    s.add_argument("--allow-trial", action="store_true")
     s = add("column", "config", "native-root", "surface-root", "output-root")
     s.add_argument("--allow-partial-months", action="store_true")
     s.add_argument("--allow-trial", action="store_true")
@@ -47,7 +53,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     allow = {"allow_partial": getattr(a, "allow_partial_months", False), "allow_trial": getattr(a, "allow_trial", False)}
     if a.command == "surface":
-        out = surface.run(spark, surface_config(a.config), a.surface_root, a.output_root, **allow)
+        out = surface.run(spark, surface_config(a.config), a.surface_root, a.output_root, parquet=a.parquet, **allow)
+    elif a.command == "surface-export":
+        c = surface_config(a.config)
+        found = arrays.months(a.surface_root, c.domain, c.input.month_ids, required=c.input.required_kinds, schema_major=c.input.schema_major, **allow)
+        out = arrays.export(spark, a.surface_root, c.domain, found, a.output_root)
     elif a.command == "surface-preflight":
         out = surface.preflight(spark, surface_config(a.config), a.surface_root, **allow)
     elif a.command == "batch":

@@ -10,10 +10,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = "block int, t0 long, n int, data binary"
+BLOCK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -55,9 +57,10 @@ def from_rows(rows: DataFrame, n_features: int, vector: str, key: str, width: in
     """From one vector per row (``vector`` is an array) to blocks: no explode, and no order over all rows.
 
     Rows are dealt by a hash of their key and sorted by it within a block; their place in the matrix follows from the
-    blocks' sizes, of which there are ``most_blocks`` at most.
+    blocks' sizes. There are ``most_blocks`` at most while these hold no more than BLOCK_BYTES, which bounds a task's memory.
     """
-    n_blocks = max(1, min(most_blocks, -(-rows.count() // width)))
+    n = rows.count()
+    n_blocks = max(1, min(most_blocks, -(-n // width)), -(-8 * n * n_features // BLOCK_BYTES))
     src = rows.select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("block"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     first, n_times = {}, 0
     for r in src.groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect():
@@ -67,7 +70,7 @@ def from_rows(rows: DataFrame, n_features: int, vector: str, key: str, width: in
     def gather(t: pa.Table) -> pa.Table:
         t = t.sort_by("key").combine_chunks()
         block = t.column("block")[0].as_py()
-        out = np.array(t.column("v").to_pylist(), dtype=float).T
+        out = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, n_features).T
         return pa.table({"block": pa.array([block], pa.int32()), "t0": pa.array([first[block]], pa.int64()), "n": pa.array([out.shape[1]], pa.int32()), "data": pa.array([np.ascontiguousarray(out).astype("<f8").tobytes()], pa.binary())})
 
     return BlockMatrix(src.groupBy("block").applyInArrow(gather, BLOCK), n_features, n_times)
@@ -178,21 +181,18 @@ def triangle(m: BlockMatrix, fan_in: int = 8) -> np.ndarray:
                     r_factor = np.linalg.qr(r_factor, mode="r")
         if r_factor is not None:
             r_factor = np.linalg.qr(r_factor, mode="r") if len(r_factor) > rows else r_factor
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([np.ascontiguousarray(r_factor).tobytes()], pa.binary())], ["block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([first], pa.int32()), pa.array([np.ascontiguousarray(r_factor).tobytes()], pa.binary())], ["place", "block", "data"])
 
-    def merge(t: pa.Table) -> pa.Table:
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(t.column("block")))
         whole = np.vstack([np.frombuffer(t.column("data")[i].as_py()).reshape(-1, rows) for i in order.tolist()])
         whole = np.linalg.qr(whole, mode="r") if len(whole) > rows else whole
-        return pa.table({"block": pa.array([min(t.column("block").to_pylist())], pa.int32()), "data": pa.array([np.ascontiguousarray(whole).tobytes()], pa.binary())})
+        return pa.table({"place": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([min(t.column("block").to_pylist())], pa.int32()), "data": pa.array([np.ascontiguousarray(whole).tobytes()], pa.binary())})
 
-    from pyspark.sql import Window as W
-
-    parts = m.blocks.mapInArrow(local, "block int, data binary")
+    parts = m.blocks.mapInArrow(local, "place long, block int, data binary")
     n = max(1, m.blocks.rdd.getNumPartitions())
-    while n > 1:
-        placed = parts.withColumn("place", F.row_number().over(W.orderBy("block")))  # one row per task of the level below
-        parts = placed.withColumn("part", F.floor((F.col("place") - 1) / fan_in)).drop("place").groupBy("part").applyInArrow(lambda t: merge(t), "block int, data binary")
+    while n > 1:  # tasks are numbered, so their factors meet by number: none but the merging tasks sees them
+        parts = parts.groupBy(F.floor(F.col("place") / fan_in).alias("part")).applyInArrow(lambda key, t: merge(key, t), "place long, block int, data binary")
         n = -(-n // fan_in)
     whole = np.vstack([np.frombuffer(r["data"]).reshape(-1, m.n_features) for r in sorted(parts.collect(), key=lambda r: r["block"])])
     return np.linalg.qr(whole, mode="r")

@@ -18,12 +18,12 @@ def fill_short_gaps(df: DataFrame, values: tuple[str, ...], max_steps: int, cell
 
     A row is missing if any of its values is null. Rows are dense along the axis of each cell; ``basis`` index counts rows, whatever
     the times between them; basis time weighs by time and also asks that a run spans at most max_steps + 1 steps of ``step``.
-    Only a window within each cell, so cells spread over all tasks.
+    Only a window within each cell, so cells spread over all tasks; its frames are as long as a gap may be, so time is linear in the rows.
     """
     if max_steps == 0:
         return df.withColumn("imputed", F.lit(False))
     w = W.partitionBy(*cell).orderBy(time)
-    before, after = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    before, after = w.rowsBetween(-max_steps, -1), w.rowsBetween(1, max_steps)  # a bound further off is no bound of a short gap
     whole = F.lit(True)
     for c in values:
         whole = whole & F.col(c).isNotNull()

@@ -104,6 +104,19 @@ def eligible(status: str, kind: str, *, allow_partial: bool = False, allow_trial
     return status == "ready" and kind in kinds
 
 
-def thinned(df: DataFrame, step: int, u: str = "u", v: str = "v") -> DataFrame:
-    """Arrows of a map: every ``step``-th row and column with finite components."""
-    return df.where((F.col("row") % step == 0) & (F.col("col") % step == 0) & finite(u) & finite(v))
+#: Share of a map's width and height at each edge that holds no arrows.
+ARROW_MARGIN = 0.06
+
+
+def map_extent(cells: DataFrame, box: tuple[float, float, float, float], lon_step: float, lat_step: float) -> tuple[float, float, float, float]:
+    """What a map shows: the outer edges of its cells, within the box."""
+    e = cells.agg(F.min("lon").alias("a"), F.max("lon").alias("b"), F.min("lat").alias("c"), F.max("lat").alias("d")).first()
+    require(e["a"] is not None, "a map without cells")
+    return max(box[0], e["a"] - lon_step / 2), min(box[1], e["b"] + lon_step / 2), max(box[2], e["c"] - lat_step / 2), min(box[3], e["d"] + lat_step / 2)
+
+
+def thinned(df: DataFrame, step: int, extent: tuple[float, float, float, float], u: str = "u", v: str = "v") -> DataFrame:
+    """Arrows of a map that shows ``extent``: every ``step``-th row and column with finite components, away from the edges."""
+    lon, lat = ARROW_MARGIN * (extent[1] - extent[0]), ARROW_MARGIN * (extent[3] - extent[2])
+    inner = (F.col("lon") >= extent[0] + lon) & (F.col("lon") <= extent[1] - lon) & (F.col("lat") >= extent[2] + lat) & (F.col("lat") <= extent[3] - lat)
+    return df.where((F.col("row") % step == 0) & (F.col("col") % step == 0) & finite(u) & finite(v) & inner)

@@ -43,6 +43,11 @@ class Svd:
     def explained(self) -> np.ndarray:
         return self.s**2 / self.total
 
+    @property
+    def shares(self) -> np.ndarray:
+        """Explained shares of all modes that the solver found, those beyond the requested ones too where it did."""
+        return self.explained if self.all_ev is None else self.all_ev
+
     @property
     def cumulative(self) -> np.ndarray:
         return np.cumsum(self.explained)
@@ -65,8 +70,15 @@ def mode_count(values: np.ndarray, shape: tuple[int, int], requested: int, least
     return modes, rank
 
 
-def by_covariance(m: BlockMatrix, requested: int, least: int = 1) -> Svd:
-    """Features are few and times many: the covariance is summed on the executors, its eigenvectors are found on the driver."""
+def covariance_bytes(n_features: int) -> int:
+    """What the covariance and its eigenvectors take, in a task and on the driver."""
+    return 3 * 8 * n_features**2
+
+
+def by_covariance(m: BlockMatrix, requested: int, least: int = 1, memory_bytes: int = 1 << 30) -> Svd:
+    """Features are few and times many: the covariance is summed on the executors, its eigenvectors are found on the driver. Beyond ``memory_bytes`` a direct solver."""
+    if covariance_bytes(m.n_features) > memory_bytes:
+        return direct(m, requested, least, memory_bytes)
     cov = gram(m) / (m.n_times - 1)
     values, vectors = np.linalg.eigh(cov)
     values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]

@@ -1,7 +1,7 @@
 """Time axes: order, duplicates, cadence, registered repairs, segments.
 
-An axis is (src, t): the place of a record in its source, and its time in nanoseconds. It has one row per time
-step, never one per cell, so its global windows are small whatever the grid.
+An axis is (src, t): the place of a record in its source, and its time in nanoseconds. Orders over a whole axis are taken
+in parts: equal ranges of the ordering column, ranked apart, and put together from one row per part.
 """
 
 from __future__ import annotations
@@ -39,11 +39,50 @@ def prefer_last(rows: DataFrame, time: str, src: str, *keys: str) -> DataFrame:
     return rows.groupBy(time, *keys).agg(packed).select(time, *keys, "last.*")
 
 
+#: Rows of a part of an axis, about, and parts at most, which bounds what the driver sees.
+PART_ROWS, MOST_PARTS = 100_000, 4096
+
+
+def in_parts(axis: DataFrame, by: str) -> tuple[DataFrame, int]:
+    """Adds ``part``: equal ranges of the column ``by``, so parts follow one another in its order."""
+    r = axis.agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("a"), F.max(by).alias("b")).first()
+    n = max(1, min(MOST_PARTS, -(-r["n"] // PART_ROWS)))
+    width = float(r["b"] - r["a"]) + 1.0 if r["n"] else 1.0
+    at = F.floor((F.col(by) - F.lit(r["a"] or 0)).cast("double") * n / width)
+    return axis.withColumn("part", F.coalesce(F.least(at, F.lit(n - 1)), F.lit(0)).cast("int")), n
+
+
+def _known(parts: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """``parts`` with what the driver knows of each part: MOST_PARTS rows at most."""
+    return parts.join(F.broadcast(parts.sparkSession.createDataFrame(rows, f"part int, {schema}")), "part", "left")
+
+
+def placed(axis: DataFrame, by: str, *ties: str, name: str = "place") -> DataFrame:
+    """Adds the place of each row, from 0, in the order of ``by`` and ``ties``."""
+    parts, _ = in_parts(axis, by)
+    before, rows = 0, []
+    for r in parts.groupBy("part").count().orderBy("part").collect():
+        rows.append((r["part"], before))
+        before += r["count"]
+    own = F.row_number().over(W.partitionBy("part").orderBy(by, *ties)) - 1
+    return _known(parts.withColumn("own", own), rows, "before long").withColumn(name, F.col("own") + F.col("before")).drop("part", "own", "before")
+
+
+def lagged(axis: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """Adds the ``value`` of the row before in the order of ``by`` (null for the first)."""
+    parts, _ = in_parts(axis, by)
+    last, rows = None, []
+    for r in parts.groupBy("part").agg(F.max_by(value, by).alias("last")).orderBy("part").collect():
+        rows.append((r["part"], last))
+        last = r["last"]
+    own = F.lag(value).over(W.partitionBy("part").orderBy(by))
+    return _known(parts.withColumn("own", own), rows, "last long").withColumn(name, F.coalesce("own", "last")).drop("part", "own", "last")
+
+
 def reordered(axis: DataFrame, time: str = "t", src: str = "src") -> DataFrame:
     """Axis rows with their place in time order (ties by source) and whether that differs from their place in the source."""
-    by_time = F.row_number().over(W.orderBy(time, src)) - 1
-    by_src = F.row_number().over(W.orderBy(src)) - 1
-    return axis.withColumn("place", by_time).withColumn("moved", by_time != by_src)
+    both = placed(placed(axis, time, src, name="place"), src, name="from")
+    return both.withColumn("moved", F.col("place") != F.col("from")).drop("from")
 
 
 def canonicalize(axis: DataFrame, policy: str = "sort_and_deduplicate_prefer_last", time: str = "t", src: str = "src") -> tuple[DataFrame, Canonicalized]:
@@ -60,13 +99,12 @@ def canonicalize(axis: DataFrame, policy: str = "sort_and_deduplicate_prefer_las
 
 def lags(axis: DataFrame, time: str = "t") -> DataFrame:
     """Adds ``gap_hours`` to the time before; null for the first."""
-    return axis.withColumn("gap_hours", hours(F.col(time) - F.lag(time).over(W.orderBy(time))))
+    return lagged(axis, time, time, "before_t").withColumn("gap_hours", hours(F.col(time) - F.col("before_t"))).drop("before_t")
 
 
 def is_increasing(axis: DataFrame, time: str = "t", src: str = "src") -> bool:
     """Whether times rise strictly in source order."""
-    step = F.col(time) - F.lag(time).over(W.orderBy(src))
-    low = axis.select(step.alias("d")).agg(F.min("d")).first()[0]
+    low = lagged(axis.select(src, time), src, time, "before_t").agg(F.min(F.col(time) - F.col("before_t"))).first()[0]
     return low is None or low > 0
 
 
@@ -91,9 +129,17 @@ def validate_cadence(axis: DataFrame, expected_hours: float, maximum_gap_hours:
 
 def segments(axis: DataFrame, step_hours: float, time: str = "t", factor: float = 1.5, *keys: str) -> DataFrame:
     """Adds ``segment``: rows whose gaps stay within ``factor`` steps share one (gaps and islands)."""
-    w = W.partitionBy(*keys).orderBy(time) if keys else W.orderBy(time)
-    new = F.coalesce((hours(F.col(time) - F.lag(time).over(w)) > factor * step_hours).cast("int"), F.lit(0))
-    return axis.withColumn("new", new).withColumn("segment", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+    if keys:
+        w = W.partitionBy(*keys).orderBy(time)
+        new = F.coalesce((hours(F.col(time) - F.lag(time).over(w)) > factor * step_hours).cast("int"), F.lit(0))
+        return axis.withColumn("new", new).withColumn("segment", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+    marked, _ = in_parts(lags(axis, time).withColumn("new", F.coalesce((F.col("gap_hours") > factor * step_hours).cast("int"), F.lit(0))).drop("gap_hours"), time)
+    before, rows = 0, []
+    for r in marked.groupBy("part").agg(F.sum("new").alias("n")).orderBy("part").collect():
+        rows.append((r["part"], before))
+        before += r["n"]
+    own = F.sum("new").over(W.partitionBy("part").orderBy(time).rowsBetween(W.unboundedPreceding, 0))
+    return _known(marked.withColumn("own", own), rows, "before long").withColumn("segment", F.col("own") + F.col("before")).drop("new", "own", "before", "part")
 
 
 @dataclass(frozen=True)

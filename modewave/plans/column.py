@@ -47,7 +47,7 @@ def candidate_values(surface: DataFrame, native: DataFrame, mesh: DataFrame, can
     ``axis`` (t, ordinal, src) drops time steps before the wide scans. The five depths come from one pass over the native layers.
     Surface currents are masked by their validity; surface height is not.
     """
-    few = F.broadcast(axis)
+    few = axis
     top = surface.join(few, ["ordinal", "src"])
     masked = [F.when(F.coalesce("valid", F.lit(False)), F.col(c)).alias(c) for c in ("u", "v")]
     flat = features.unpivot(top.select("t", "row", "col", *masked, "eta"), ("t", "row", "col"), ("u", "v", "eta")).withColumn("level", F.when(F.col("component") == "eta", -1).otherwise(0))
@@ -57,7 +57,7 @@ def candidate_values(surface: DataFrame, native: DataFrame, mesh: DataFrame, can
     number = F.element_at(F.create_map(*(x for i, n in enumerate(LEVEL_IDS) for x in (F.lit(n), F.lit(i)))), F.col("level"))
     below = features.unpivot(on_grid.withColumn("level", number), ("t", "level", "row", "col"), ("u", "v"))
     both = flat.select("t", "component", "level", "row", "col", "x").unionByName(below.select("t", "component", "level", "row", "col", "x"))
-    kept = both.join(F.broadcast(candidates.select("component", "level", "row", "col")), ["component", "level", "row", "col"], "left_semi")
+    kept = both.join(candidates.select("component", "level", "row", "col"), ["component", "level", "row", "col"], "left_semi")
     return kept.where("x is not null").withColumn("x", F.col("x").cast("float").cast("double"))
 
 
@@ -82,7 +82,7 @@ def select(values: DataFrame, layout: DataFrame, times: DataFrame, config: Colum
     def choose(least: float) -> tuple[DataFrame, DataFrame, int]:
         own = masks.paired_selection(fractions, least)
         k = own.count()
-        return own, masks.complete_times(values.join(F.broadcast(own.select(*keys)), keys, "left_semi"), "t", "x", k), k
+        return own, masks.complete_times(values.join(own.select(*keys), keys, "left_semi"), "t", "x", k), k
 
     policy = "configured_minimum_feature_valid_fraction"
     own, whole, k = choose(config.least_feature_fraction)
@@ -99,7 +99,7 @@ def select(values: DataFrame, layout: DataFrame, times: DataFrame, config: Colum
     axis = np.array(sorted(r[0] for r in whole.collect()), dtype=np.int64)
     index = spark.createDataFrame(list(enumerate(axis.tolist())), "t_idx long, t long")
     final = features.feature_map(own, features.COLUMN_ORDER)
-    chosen = values.join(F.broadcast(index), "t").join(F.broadcast(own.select(*keys)), keys, "left_semi")
+    chosen = values.join(index, "t").join(own.select(*keys), keys, "left_semi")
     report = {"candidate_features": fractions.count(), "features": k, "times": n, "retained_times": kept, "retained_time_fraction": share, "policy": policy, "cells_per_level": {f"{c}:{lv}": m for (c, lv), m in sorted(cells.items())}}
     return Selected(chosen, final, axis, fractions, policy, report)
 
@@ -115,7 +115,7 @@ class Solved:
 
 def solve(s: Selected, grid: DataFrame, config: ColumnConfig) -> Solved:
     keys = ["component", "level", "row", "col"]
-    anomaly = standardize.anomalies(s.values, "x", *keys).drop("x").join(F.broadcast(s.layout.select(*keys, "weight", "feature_group", "feature_id")), keys)
+    anomaly = standardize.anomalies(s.values, "x", *keys).drop("x").join(s.layout.select(*keys, "weight", "feature_group", "feature_id"), keys)
     scales = standardize.group_scales(anomaly)
     rms = {r["feature_group"]: r["rms"] for r in scales.collect()}
     rows = standardize.scaled(anomaly, scales)

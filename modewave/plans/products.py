@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from typing import Any
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import require
 from ..functions.scalar import ev_class
-from ..operators import features, modes, stats, timeaxis
+from ..operators import features, masks, modes, stats, timeaxis
 from ..sources import runs
 from ..sources.config import LEVEL_DEPTHS, LEVEL_IDS, BatchConfig, surface_config
 
@@ -36,7 +37,14 @@ def mode_cells(t: dict[str, DataFrame]) -> DataFrame:
     """(mode, [level,] row, col, u, v, eta, area, lon, lat): regression patterns on the cells that take part."""
     keys = ["row", "col", *(["level"] if "level" in t["features"].columns else [])]
     wide = t["modes"].join(t["features"].select("feature_id", "component", *keys), "feature_id").groupBy("mode", *keys).pivot("component", ["u", "v", "eta"]).agg(F.first("regression"))
-    return wide.join(F.broadcast(t["cells"].select("row", "col", "lon", "lat", "area")), ["row", "col"])
+    return wide.join(t["cells"].select("row", "col", "lon", "lat", "area"), ["row", "col"])
+
+
+def _box(spark: SparkSession, run: str, e) -> tuple[float, float, float, float]:
+    """The analysis box of a run's configuration."""
+    raw = json.loads(runs.read_text(spark, f"{run}/config.json"))
+    own = raw.get("focus", raw.get("domain", {})).get("bbox_lon_lat")
+    return tuple(own) if own else (e["min_lon"], e["max_lon"], e["min_lat"], e["max_lat"])
 
 
 def figure_tables(spark: SparkSession, run: str, mode_from: int = 1, mode_to: int = 5, most_arrows: int = 16, step_hours: float = 1.0) -> dict[str, DataFrame]:
@@ -44,14 +52,17 @@ def figure_tables(spark: SparkSession, run: str, mode_from: int = 1, mode_to: in
     t = validated(spark, run)
     pick = F.col("mode").between(mode_from, mode_to)
     cells = mode_cells(t).where(pick)
-    e = t["cells"].agg((F.max("lon") - F.min("lon")).alias("w"), (F.max("row") - F.min("row") + 1).alias("rows"), (F.max("col") - F.min("col") + 1).alias("cols")).first()
+    e = t["cells"].agg(*(f(c).alias(f"{n}_{c}") for c in ("lon", "lat", "row", "col") for n, f in (("min", F.min), ("max", F.max)))).first()
+    rows, cols = (e[f"max_{c}"] - e[f"min_{c}"] + 1 for c in ("row", "col"))
+    steps = ((e["max_lon"] - e["min_lon"]) / max(1, cols - 1), (e["max_lat"] - e["min_lat"]) / max(1, rows - 1))
+    extent = masks.map_extent(cells, _box(spark, run, e), *steps)
     by = ("mode", "level") if "level" in cells.columns else ("mode",)
-    step = stats.quiver_step(e["rows"], e["cols"], most_arrows)
+    step = stats.quiver_step(rows, cols, most_arrows)
     pcs = t["pc"].where(pick)
     coverage = t["features"].groupBy(*(["component", "level"] if "level" in t["features"].columns else ["component"])).agg(F.count(F.lit(1)).alias("cells"))
     return {
-        "limits": stats.map_limits(cells, max(float(e["w"]), 1e-9), *by),
-        "arrows": cells.where((F.col("row") % step == 0) & (F.col("col") % step == 0) & F.col("u").isNotNull() & F.col("v").isNotNull()),
+        "limits": stats.map_limits(cells, max(float(e["max_lon"] - e["min_lon"]), 1e-9), *by),
+        "arrows": masks.thinned(cells, step, extent),
         "coefficients": timeaxis.segments(pcs, step_hours, "t", 1.5, "mode"),
         "daily": stats.daily_means(pcs, "standardised"),
         "scree": stats.scree(t["spectrum"]),
@@ -81,7 +92,7 @@ def feature_index(t: dict[str, DataFrame]) -> DataFrame:
     """The public index of a host matrix: a row per feature, numbered from 0 and from 1."""
     name = F.element_at(F.array(*map(F.lit, LEVEL_IDS)), F.col("level") + 1)
     depth = F.element_at(F.array(*map(F.lit, LEVEL_DEPTHS)), F.col("level") + 1)
-    rows = t["features"].join(F.broadcast(t["cells"].select("row", "col", "lon", "lat")), ["row", "col"])
+    rows = t["features"].join(t["cells"].select("row", "col", "lon", "lat"), ["row", "col"])
     return rows.select(
         F.col("feature_id").alias("host_feature_index_zero_based"), (F.col("feature_id") + 1).alias("host_feature_index_one_based"), F.lit("row_of_A_feature_by_time").alias("matrix_axis"), "component",
         F.when(F.col("level") < 0, "eta_surface").otherwise(name).alias("velocity_level_id"), F.when(F.col("level") < 0, 0.0).otherwise(depth).alias("depth_m_below_surface"),
@@ -96,7 +107,7 @@ def host_layout(spark: SparkSession, run: str, output_root: str) -> str:
     ordered = features.feature_map(t["features"].drop("feature_id").withColumn("old", F.lit(None)), features.COLUMN_ORDER).drop("old")
     keys = [c for c in ("component", "level", "row", "col") if c in t["features"].columns]
     moved = t["features"].select("feature_id", *keys).join(ordered.select(F.col("feature_id").alias("host"), *keys), keys)
-    renamed = lambda df: df.join(F.broadcast(moved.select("feature_id", "host")), "feature_id").drop("feature_id").withColumnRenamed("host", "feature_id")
+    renamed = lambda df: df.join(moved.select("feature_id", "host"), "feature_id").drop("feature_id").withColumnRenamed("host", "feature_id")
     own = {**t, "features": renamed(t["features"]), "modes": renamed(t["modes"])}
     left, right = modes.host_layout(own["modes"], own["pc"], own["spectrum"])
     difference = modes.round_trip(own["modes"].select("mode", "feature_id", "physical"), left, own["features"]).first()[0]
@@ -131,7 +142,7 @@ def reconstruction(spark: SparkSession, run: str, rank: int, times: list[int] |
     if chosen is not None:
         require(chosen.join(t["pc"].select("t").distinct(), "t", "left_anti").isEmpty(), "a time is not in the run")
     out = modes.reconstruct(t["features"], t["modes"].select("mode", "feature_id", "physical"), t["pc"], rank, chosen)
-    return out.join(F.broadcast(t["features"].drop("mean", "scale")), "feature_id").drop("feature_id")
+    return out.join(t["features"].drop("mean", "scale"), "feature_id").drop("feature_id")
 
 
 def region_report(spark: SparkSession, region_runs: dict[str, str], theoretical_times: int = 17_544) -> DataFrame:

@@ -46,12 +46,12 @@ def prepare(cube: DataFrame, axis: DataFrame, grid: DataFrame, config: SurfaceCo
     cadence = timeaxis.validate_cadence(canonical, config.input.step_hours, config.input.maximum_gap_hours)
     n = done.rows_out
     kept_axis = canonical.join(own.select("place", "ordinal", "src"), "place").select("t", "ordinal", "src")
-    timed = masks.jointly_null(cube.join(F.broadcast(kept_axis), ["ordinal", "src"]))
+    timed = masks.jointly_null(cube.join(kept_axis, ["ordinal", "src"]))
     inside = masks.geometry(grid, config.box, config.mask_policy)
     fractions = masks.cell_fraction(timed, n, "row", "col")
     all_cells = inside.join(fractions, ["row", "col"], "left").na.fill(0.0, ["fraction"])
     cells = masks.enough(all_cells.where("inside and static"), config.least_cell_fraction, config.least_cells)
-    few = F.broadcast(cells.select("row", "col"))
+    few = cells.select("row", "col")
     part = timed.join(few, ["row", "col"], "left_semi").select("t", "row", "col", "u", "v", "eta")
     full = gapfill.dense(part, kept_axis.select("t"), cells.select("row", "col"))
     filled = gapfill.fill_short_gaps(full, ("u", "v", "eta"), config.max_gap_steps, ("row", "col"))
@@ -65,7 +65,7 @@ def prepare(cube: DataFrame, axis: DataFrame, grid: DataFrame, config: SurfaceCo
         "canonicalization": {"policy": done.policy, "rows_in": done.rows_in, "rows_out": done.rows_out, "reordered": done.reordered, "dropped": done.dropped},
         "cadence": {"median_hours": cadence.median_hours, "maximum_gap_hours": cadence.maximum_hours, "gap_break_count": cadence.breaks},
     }
-    return Prepared(filled.join(F.broadcast(index), "t").persist(StorageLevel.MEMORY_AND_DISK), cells, times, all_cells, report)
+    return Prepared(filled.join(index, "t").persist(StorageLevel.MEMORY_AND_DISK), cells, times, all_cells, report)
 
 
 @dataclass(frozen=True)
@@ -83,11 +83,11 @@ class Solved:
 def solve(p: Prepared, config: SurfaceConfig) -> Solved:
     long = features.unpivot(p.state, ("t_idx", "row", "col"))
     anomaly = standardize.anomalies(long, "x", "component", "row", "col")
-    weighted = anomaly.join(F.broadcast(p.cells.select("row", "col", F.sqrt("area").alias("weight"))), ["row", "col"]).withColumn("feature_group", (F.col("component") == "eta").cast("int")).drop("x")
+    weighted = anomaly.join(p.cells.select("row", "col", F.sqrt("area").alias("weight")), ["row", "col"]).withColumn("feature_group", (F.col("component") == "eta").cast("int")).drop("x")
     scales = standardize.group_scales(weighted)
     rms = {r["feature_group"]: r["rms"] for r in scales.collect()}
     ids = features.feature_map(p.cells.select("row", "col").crossJoin(F.broadcast(p.cells.sparkSession.createDataFrame([(c,) for c in features.SURFACE_ORDER], "component string"))))
-    rows = standardize.scaled(weighted, scales).join(F.broadcast(ids), ["component", "row", "col"])
+    rows = standardize.scaled(weighted, scales).join(ids, ["component", "row", "col"])
     feats = rows.groupBy("feature_id", "component", "row", "col").agg(F.first("mean").alias("mean"), F.first("scale").alias("scale"))
     n_cells = p.report["common_ocean_cell_count"]
     matrix = blocks.kept(blocks.to_blocks(rows, 3 * n_cells, len(p.axis), TIMES_PER_BLOCK))
@@ -104,7 +104,7 @@ def result_tables(spark: SparkSession, p: Prepared, s: Solved) -> dict[str, Data
     physical = modes.regression(modes.physical(loadings, s.features), pcs)
     return {
         "spectrum": modes.spectrum_table(spark, s.svd),
-        "full_spectrum": spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(s.svd.all_ev)], "mode int, ev double"),
+        "full_spectrum": spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(s.svd.shares)], "mode int, ev double"),
         "modes": physical,
         "pc": pcs,
         "features": s.features,
@@ -113,19 +113,22 @@ def result_tables(spark: SparkSession, p: Prepared, s: Solved) -> dict[str, Data
     }
 
 
-def run(spark: SparkSession, config: SurfaceConfig, surface_root: str, output_root: str, *, allow_partial: bool = False, allow_trial: bool = False) -> str:
-    """The published folder of a region's run: tables, configuration, metadata."""
+def run(spark: SparkSession, config: SurfaceConfig, surface_root: str, output_root: str, *, allow_partial: bool = False, allow_trial: bool = False, parquet: bool = False) -> str:
+    """The published folder of a region's run: tables, configuration, metadata. With ``parquet`` the root holds tables (see ``arrays.export``) on any store."""
     watch = runs.Stopwatch()
+    allow = {"allow_partial": allow_partial, "allow_trial": allow_trial, "required": config.input.required_kinds, "schema_major": config.input.schema_major}
     with watch.measure("sources"):
-        found = arrays.months(surface_root, config.domain, config.input.month_ids, allow_partial=allow_partial, allow_trial=allow_trial, required=config.input.required_kinds, schema_major=config.input.schema_major)
+        found = (arrays.exported_months(spark, surface_root, config.domain, config.input.month_ids, **allow) if parquet else arrays.months(surface_root, config.domain, config.input.month_ids, **allow))
         name = runs.run_id(config.label, config.raw, [(m.month, m.digest) for m in found])
         final = f"{output_root}/svd/{name}"
         require(not runs.exists(spark, final), f"{final} exists")
-        grid = arrays.grid(spark, surface_root, config.domain)
+        grid = spark.read.parquet(f"{surface_root}/{config.domain}/grid") if parquet else arrays.grid(spark, surface_root, config.domain)
         r0, r1, c0, c1 = window(grid, config)
         own = grid.where(F.col("row").between(r0, r1 - 1) & F.col("col").between(c0, c1 - 1))
-        cube = arrays.surface(spark, surface_root, config.domain, found, (r0, r1, c0, c1))
-        axis = arrays.axis(spark, surface_root, config.domain, found)
+        if parquet:
+            cube, axis = arrays.exported(spark, surface_root, config.domain, found, (r0, r1, c0, c1))
+        else:
+            cube, axis = arrays.surface(spark, surface_root, config.domain, found, (r0, r1, c0, c1)), arrays.axis(spark, surface_root, config.domain, found)
     with watch.measure("preparation"):
         p = prepare(cube, axis, own, config)
     with watch.measure("solver"):
@@ -142,7 +145,7 @@ def run(spark: SparkSession, config: SurfaceConfig, surface_root: str, output_ro
             {
                 "kind": "surface", "status": status, "run_id": name, "label": config.label, "region": config.region, "domain": config.domain, "months": [[m.month, m.kind, m.digest] for m in found],
                 "window": [r0, r1, c0, c1], "preparation": p.report, "imputed_scalar_count": 3 * p.state.where("imputed").count(), "velocity_rms": s.velocity_rms, "eta_rms": s.eta_rms,
-                "mode_count": len(s.svd.s), "rank": s.svd.rank, "sign_sources": s.sign_sources, "orthogonality": s.svd.orthogonality, "sum_ev": float(s.svd.all_ev.sum()),
+                "mode_count": len(s.svd.s), "rank": s.svd.rank, "sign_sources": s.sign_sources, "orthogonality": s.svd.orthogonality, "sum_ev": float(s.svd.shares.sum()),
                 "retained_error": s.svd.retained_error, "seconds": watch.seconds,
             },
         )

@@ -475,10 +475,13 @@ def fallback_policy(spark, sf_dir):
     return _one(spark, policy=policy, features=masks.paired_selection(fr, least).where("component = 'u'").count())
 
 
-@query(f"WITH {GRID} SELECT row, col FROM grid WHERE row % 2 = 0 AND col % 2 = 0")
+@query(f"""WITH {GRID}, e AS (SELECT greatest(119.0, min(lon) - 0.005) AS a, least(120.042, max(lon) + 0.005) AS b, greatest(21.0, min(lat) - 0.005) AS c, least(22.044, max(lat) + 0.005) AS d FROM grid)
+SELECT row, col FROM grid, e WHERE row % 2 = 0 AND col % 2 = 0 AND n_nationkey <> 12 AND lon BETWEEN a + 0.06 * (b - a) AND b - 0.06 * (b - a) AND lat BETWEEN c + 0.06 * (d - c) AND d - 0.06 * (d - c)""")
 def quiver_thinning(spark, sf_dir):
-    g = _grid(spark, sf_dir).withColumn("u", F.lit(1.0)).withColumn("v", F.lit(0.0))
-    return masks.thinned(g, stats.quiver_step(5, 5, 3)).select("row", "col")
+    """Arrows of every second row and column with finite components, 6 % away from the map's edges."""
+    g = _grid(spark, sf_dir).withColumn("u", F.lit(1.0)).withColumn("v", F.expr("case when cell = 12 then double('NaN') else 0.0D end"))
+    extent = masks.map_extent(g, (119.0, 120.042, 21.0, 22.044), 0.01, 0.01)
+    return masks.thinned(g, stats.quiver_step(5, 5, 3), extent).select("row", "col")
 
 
 @query(f"WITH {GRID}, z AS (SELECT *, CASE n_nationkey % 4 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN NULL ELSE lon END AS x FROM grid) SELECT row, col, isfinite(x) IS TRUE AS ok, CASE WHEN isfinite(x) THEN x END AS x FROM z")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions.scalar import finite_or_null, sha256_json
 from ..operators.masks import eligible
+from . import runs
 
 TIMES_PER_TASK = 48
 
@@ -51,18 +52,24 @@ def months(root: str, domain: str, ids: list[str], *, allow_partial: bool = Fals
         meta_path = folder / "metadata.json"
         require(meta_path.is_file(), f"{month}: no metadata")
         meta = json.loads(meta_path.read_text(encoding="utf-8"))
-        require(str(meta.get("cache_schema_version", schema_major)).split(".")[0] == str(schema_major), f"{month}: schema version")
-        named = meta.get("domain", {})
-        require((named.get("domain_id") if isinstance(named, dict) else named) in (None, domain), f"{month}: another domain")
-        require(str(meta.get("month", month)).replace("-", "") == month, f"{month}: metadata of another month")
-        status, kind = meta.get("status"), meta.get("cache_kind")
-        require(eligible(status, kind, allow_partial=allow_partial, allow_trial=allow_trial, required=required), f"{month}: {status}, {kind}")
+        kind = _allowed(month, domain, meta, allow_partial, allow_trial, required, schema_major)
         time = load(folder / "time_utc_ns.npy")
         require(time.dtype == np.int64 and time.ndim == 1 and len(time) > 0, f"{month}: time axis")
         out.append(Month(month, kind, len(time), meta))
     return out
 
 
+def _allowed(month: str, domain: str, meta: dict[str, Any], allow_partial: bool, allow_trial: bool, required: frozenset[str], schema_major: int) -> str:
+    """The kind of a month that may be read; raises for others."""
+    require(str(meta.get("cache_schema_version", schema_major)).split(".")[0] == str(schema_major), f"{month}: schema version")
+    named = meta.get("domain", {})
+    require((named.get("domain_id") if isinstance(named, dict) else named) in (None, domain), f"{month}: another domain")
+    require(str(meta.get("month", month)).replace("-", "") == month, f"{month}: metadata of another month")
+    status, kind = meta.get("status"), meta.get("cache_kind")
+    require(eligible(status, kind, allow_partial=allow_partial, allow_trial=allow_trial, required=required), f"{month}: {status}, {kind}")
+    return kind
+
+
 def grid(spark: SparkSession, root: str, domain: str) -> DataFrame:
     """(row, col, lon, lat, area, static, bathymetry): one row per cell of the regular grid."""
     folder = Path(root) / domain / "grid"
@@ -148,14 +155,43 @@ def native(spark: SparkSession, root: str, domain: str, found: list[Month], node
     return raw.withColumns({c: finite_or_null(c) for c in ("z", "u", "v")})
 
 
-def to_parquet(df: DataFrame, path: str) -> None:
-    """Writes a long cube once, a folder per month: later runs prune months and columns at the scan."""
-    df.repartition("month").sortWithinPartitions("src").write.partitionBy("month").mode("errorifexists").parquet(path)
+def to_parquet(df: DataFrame, path: str, times: int = 240) -> None:
+    """Writes a long cube once, a folder per month and files of ``times`` steps: later runs prune months and columns at the scan."""
+    df.repartition("month", F.floor(F.col("src") / times)).sortWithinPartitions("src").write.partitionBy("month").mode("errorifexists").parquet(path)
+
+
+def export(spark: SparkSession, root: str, domain: str, found: list[Month], out: str) -> str:
+    """A domain's grid, axis, surface cube and months as tables under ``out``, for runs that read from any store."""
+    folder = f"{out}/{domain}"
+    grid(spark, root, domain).write.mode("errorifexists").parquet(f"{folder}/grid")
+    axis(spark, root, domain, found).write.mode("errorifexists").parquet(f"{folder}/axis")
+    to_parquet(surface(spark, root, domain, found), f"{folder}/cube")
+    runs.write_json(spark, f"{folder}/months.json", {m.month: {"n_times": m.n_times, "metadata": m.metadata} for m in found})
+    return folder
+
+
+def exported_months(spark: SparkSession, root: str, domain: str, ids: list[str], *, allow_partial: bool = False, allow_trial: bool = False, required: frozenset[str] = frozenset({"standard_month"}), schema_major: int = 3) -> list[Month]:
+    """As ``months``, of an exported domain."""
+    have, out = json.loads(runs.read_text(spark, f"{root}/{domain}/months.json")), []
+    for month in ids:
+        require(month in have, f"{month}: not exported")
+        meta = have[month]["metadata"]
+        out.append(Month(month, _allowed(month, domain, meta, allow_partial, allow_trial, required, schema_major), have[month]["n_times"], meta))
+    return out
+
+
+def exported(spark: SparkSession, root: str, domain: str, found: list[Month], window: tuple[int, int, int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cube, axis) of the months, numbered as they are asked for."""
+    order = spark.createDataFrame([(m.month, i) for i, m in enumerate(found)], "month string, ordinal int")
+    ids = [m.month for m in found]
+    numbered = lambda df: df.drop("ordinal").join(F.broadcast(order), "month")  # noqa: E731  one row per month
+    return numbered(from_parquet(spark, f"{root}/{domain}/cube", ids, window)), numbered(from_parquet(spark, f"{root}/{domain}/axis", ids))
 
 
 def from_parquet(spark: SparkSession, path: str, month_ids: list[str], window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """The long cube's months and window; both reach the scan."""
-    df = spark.read.parquet(path).where(F.col("month").cast("string").isin(month_ids))
+    """The long cube's months and window; both reach the scan, on any store that Spark reads."""
+    df = spark.read.parquet(path)
+    df = df.withColumn("month", F.col("month").cast("string")).where(F.col("month").isin(month_ids))
     if window:
         df = df.where(F.col("row").between(window[0], window[1] - 1) & F.col("col").between(window[2], window[3] - 1))
     return df

@@ -83,12 +83,29 @@ class Input:
         return [f"{y:04d}{m:02d}" for y in self.years for m in self.months]
 
 
+def _years(raw: dict[str, Any]) -> tuple[int, ...]:
+    """``years`` in rising order, or the older single ``year``; where both stand, the single one is the last."""
+    one, many = raw.get("year"), raw.get("years")
+    if many is None:
+        return (positive_int(one, "year"),)
+    require(isinstance(many, list) and bool(many), "years: a list")
+    out = tuple(positive_int(y, "years") for y in many)
+    require(all(a < b for a, b in zip(out, out[1:], strict=False)), "years: distinct, in rising order")
+    require(one is None or positive_int(one, "year") == out[-1], "year is not the last of years")
+    return out
+
+
+def text(value: Any, name: str) -> str:
+    require(isinstance(value, str) and bool(value.strip()), f"{name}: a text that is not blank")
+    return value
+
+
 def _input(raw: dict[str, Any]) -> Input:
     gap = raw.get("maximum_source_gap_hours")
     policy = raw.get("time_axis_canonicalization_policy", "reject")
     require(policy in ("reject", "sort_and_deduplicate_prefer_last"), f"unknown policy {policy}")
     months = unique_ints(raw["months"], "months", 1, 12)
-    years = unique_ints(raw["years"], "years", 1, 9999)
+    years = _years(raw)
     ids = {f"{y:04d}{m:02d}" for y in years for m in months}
     repairs = []
     for r in raw.get("known_time_axis_repairs") or []:
@@ -122,6 +139,8 @@ class SurfaceConfig:
     unit_id: str | None = None
     source_config: str | None = None
     source_sha256: str | None = None
+    threads: int | None = None
+    io_workers: int | None = None
 
 
 def surface_config(value: dict[str, Any] | str | Path) -> SurfaceConfig:
@@ -135,6 +154,12 @@ def surface_config(value: dict[str, Any] | str | Path) -> SurfaceConfig:
     least = positive_int(svd["minimum_reported_mode_count"], "minimum_reported_mode_count")
     modes = positive_int(svd["requested_mode_count"], "requested_mode_count")
     require(modes >= least, "more modes must be reported than are asked for")
+    require(own[0] <= anchor[0] <= own[1] and own[2] <= anchor[1] <= own[3], "the anchor lies outside of the box")
+    if policy == "analysis_bbox_cell_center" and "source_analysis_units_config_sha256" in focus:
+        text(focus.get("analysis_unit_id"), "analysis_unit_id")
+    cores = raw.get("parallel_execution", {})
+    require(isinstance(cores, dict), "parallel_execution: an object")
+    threads, workers = (None if cores.get(k) is None else positive_int(cores[k], k) for k in ("linear_algebra_threads", "io_workers"))
     return SurfaceConfig(
         raw, str(raw["analysis_label"]), str(focus["flow_domain_id"]), str(focus["focus_id"]), str(focus.get("approval_status", "candidate")), own, anchor, policy, _input(raw["input"]),
         positive_int(mask["minimum_static_ocean_cells"], "minimum_static_ocean_cells"), fraction(mask["minimum_cell_triplet_valid_fraction"], "minimum_cell_triplet_valid_fraction"),
@@ -142,6 +167,7 @@ def surface_config(value: dict[str, Any] | str | Path) -> SurfaceConfig:
         fraction(mask["minimum_retained_time_fraction"], "minimum_retained_time_fraction"), modes, least,
         focus.get("analysis_unit_id"), focus.get("source_analysis_units_config"),
         sha256_hex(focus["source_analysis_units_config_sha256"], "source_analysis_units_config_sha256") if focus.get("source_analysis_units_config_sha256") else None,
+        threads, workers,
     )
 
 
@@ -190,32 +216,41 @@ def column_config(value: dict[str, Any] | str | Path) -> ColumnConfig:
     )
 
 
+BATCH_KIND = "surface_multivariate_svd_batch"
+
+
 @dataclass(frozen=True)
 class BatchConfig:
+    label: str
     configs: tuple[Path, ...]
     units: tuple[str, ...]
+    source_config: str
+    source_sha256: str
+    least_cores: int
     max_concurrent: int
     threads: int
+    io_workers: int
 
 
 def batch_config(path: str | Path) -> BatchConfig:
-    """Regions to run together: distinct, of one source, and within the cores they were planned for."""
+    """Regions to run together: each once, all of the batch's source and with its threads, no more than run at once, within the cores they are planned for."""
     raw, base = read_json(path), Path(path).resolve().parent
-    own = raw.get("parallel_execution", raw)
-    regions = raw["regions"]
-    require(isinstance(regions, list) and bool(regions), "regions")
-    paths, units, sources = [], [], set()
-    for r in regions:
-        p = base / r["config"]
-        c = surface_config(p)
-        require(r.get("analysis_unit_id") in (None, c.unit_id), f"{p.name}: another analysis unit")
-        paths.append(p)
-        units.append(c.unit_id or c.region)
-        sources.add(c.source_sha256)
+    require(raw.get("schema_version") == SCHEMA_VERSION, "schema_version")
+    require(raw.get("analysis_kind") == BATCH_KIND, "analysis_kind")
+    label, source = text(raw.get("batch_label"), "batch_label"), text(raw.get("source_analysis_units_config"), "source_analysis_units_config")
+    digest = sha256_hex(raw.get("source_analysis_units_config_sha256"), "source_analysis_units_config_sha256")
+    plan, regions = raw.get("parallel_execution"), raw.get("region_configs")
+    require(isinstance(plan, dict), "parallel_execution: an object")
+    cores, most, threads, workers = (positive_int(plan.get(k), k) for k in ("server_minimum_cpu_cores", "max_concurrent_regions", "per_region_linear_algebra_threads", "per_region_io_workers"))
+    require(most * threads <= cores, "more threads than cores")
+    require(isinstance(regions, list) and bool(regions) and all(isinstance(x, dict) for x in regions), "region_configs: a list of objects")
+    require(len(regions) <= most, "more regions than may run at once")
+    units = tuple(text(x.get("analysis_unit_id"), "analysis_unit_id") for x in regions)
+    paths = tuple((base / text(x.get("config"), "config")).resolve() for x in regions)
     require(len(set(units)) == len(units) and len(set(paths)) == len(paths), "a region is listed twice")
-    require(len(sources) == 1, "regions come from different sources")
-    most = positive_int(own.get("max_concurrent_regions", len(paths)), "max_concurrent_regions")
-    threads = positive_int(own.get("linear_algebra_threads_per_region", 1), "linear_algebra_threads_per_region")
-    cores = own.get("minimum_server_cores")
-    require(cores is None or most * threads <= positive_int(cores, "minimum_server_cores"), "more threads than cores")
-    return BatchConfig(tuple(paths), tuple(units), most, threads)
+    for unit, p in zip(units, paths, strict=True):
+        c = surface_config(p)
+        require(c.unit_id == unit, f"{p.name}: another analysis unit")
+        require((c.source_config, c.source_sha256) == (source, digest), f"{p.name}: another source of analysis units")
+        require((c.threads, c.io_workers) == (threads, workers), f"{p.name}: threads or workers are not the batch's")
+    return BatchConfig(label, paths, units, source, digest, cores, most, threads, workers)

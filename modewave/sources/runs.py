@@ -92,16 +92,26 @@ def same_science(spark: SparkSession, run: str, config: dict[str, Any]) -> str:
     return stored
 
 
-def selection(spark: SparkSession, root: str, names: list[str], configs: dict[str, dict[str, Any]]) -> dict[str, str]:
-    """exact, stale or pending for each run name, by its science hash."""
-    out = {}
-    for name in names:
-        if not exists(spark, f"{root}/{name}/config.json"):
-            out[name] = "pending"
-        else:
-            stored = json.loads(read_text(spark, f"{root}/{name}/config.json"))
-            out[name] = "exact" if science_hash(stored) == science_hash(configs[name]) else "stale"
-    return out
+def selection(spark: SparkSession, root: str, config: dict[str, Any], *, allow_legacy: bool = True) -> tuple[str, str | None]:
+    """What becomes of a configuration among the published runs of its label, and the run.
+
+    exact: one run of the same science. pending: none of the label. legacy: one run of another science, where that may stand in
+    for it. stale: runs of another science that may not. More than one run that could be meant raises.
+    """
+    label = safe_label_text(config["analysis_label"])
+    fs, folder = _fs(spark, root)
+    found = sorted(str(f.getPath().getName()) for f in fs.listStatus(folder) if f.isDirectory()) if fs.exists(folder) else []
+    own = [f"{root}/{n}" for n in found if n.startswith(f"{label}_") and exists(spark, f"{root}/{n}/config.json") and exists(spark, f"{root}/{n}/metadata.json")]
+    same = [r for r in own if science_hash(json.loads(read_text(spark, f"{r}/config.json"))) == science_hash(config)]
+    require(len(same) <= 1, f"{label}: {len(same)} runs of this configuration")
+    if same:
+        return "exact", same[0]
+    if not own:
+        return "pending", None
+    if not allow_legacy:
+        return "stale", None
+    require(len(own) == 1, f"{label}: {len(own)} runs, none of this configuration")
+    return "legacy", own[0]
 
 
 class Stopwatch:

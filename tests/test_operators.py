@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -103,6 +104,59 @@ def test_gap_filling_equals_the_loop(spark, seed, k):
             assert (r[name] is None) == math.isnan(value) and (r[name] is None or abs(r[name] - value) < 1e-12)
 
 
+def test_axes_in_parts_equal_axes_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(timeaxis, "PART_ROWS", 7)
+    rng = np.random.default_rng(4)
+    times = [int(x) * H for x in np.r_[rng.integers(0, 60, 90), rng.integers(500, 520, 30)]]
+    a = axis(spark, times)
+    got, report = timeaxis.canonicalize(a)
+    t = np.array(times)
+    order = np.argsort(t, kind="stable")
+    assert report.reordered == int((order != np.arange(len(t))).sum()) and report.rows_out == len(set(times))
+    distinct = sorted(set(times))
+    lag = {r["t"]: r["gap_hours"] for r in timeaxis.lags(got).collect()}
+    assert lag == {b: None if a is None else (b - a) / H for a, b in zip([None, *distinct], distinct, strict=False)}
+    segment, want = 0, {}
+    for x, y in zip([None, *distinct], distinct, strict=False):
+        segment += x is not None and y - x > 1.5 * H
+        want[y] = segment
+    assert {r["t"]: r["segment"] for r in timeaxis.segments(got, 1.0).collect()} == want
+    assert not timeaxis.is_increasing(a) and timeaxis.is_increasing(axis(spark, distinct))
+    for df in (timeaxis.lags(got), timeaxis.segments(got, 1.0), timeaxis.reordered(a)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "SinglePartition" not in plan
+
+
+def test_gap_filling_is_linear(spark):
+    """One cell of 40,000 steps with frames as long as a gap may be."""
+    df = spark.range(40_000).select(F.lit(0).alias("cell"), F.col("id").alias("t"), F.when(F.col("id") % 5 != 3, F.col("id").cast("double")).alias("u"))
+    plan = gapfill.fill_short_gaps(df, ("u",), 2, ("cell",))._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan
+    began = time.monotonic()
+    assert gapfill.fill_short_gaps(df, ("u",), 2, ("cell",)).agg(F.count_if("imputed"), F.max(F.abs(F.col("u") - F.col("t")))).first()[:] == (8000, 0.0)
+    assert time.monotonic() - began < 30
+
+
+def test_large_covariances_go_to_a_direct_solver(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(200, 6))
+    m = blocks.from_rows(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(a)], "k long, v array<double>"), 6, "v", "k")
+    s = np.linalg.svd(a, compute_uv=False)
+    assert np.allclose(solvers.by_covariance(m, 3).s, s[:3], rtol=1e-9) and np.allclose(solvers.by_covariance(m, 3, memory_bytes=100).s, s[:3], rtol=1e-9)
+    assert solvers.by_covariance(m, 3, memory_bytes=100).solver != "covariance_eigh"
+    assert "Window" not in m.blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arrows_keep_off_the_edges(spark):
+    g = spark.createDataFrame([(r, c, 120 + 0.1 * c, 22 + 0.1 * r, 1.0, float("nan") if (r, c) == (4, 4) else 1.0) for r in range(9) for c in range(9)], "row int, col int, lon double, lat double, u double, v double")
+    extent = masks.map_extent(g, (119.0, 120.82, 21.0, 23.0), 0.1, 0.1)
+    assert extent == pytest.approx((119.95, 120.82, 21.95, 22.85))
+    got = {(r["row"], r["col"]) for r in masks.thinned(g, 2, extent).collect()}
+    lon, lat = 0.06 * 0.87, 0.06 * 0.9
+    want = {(r, c) for r in range(0, 9, 2) for c in range(0, 9, 2) if (r, c) != (4, 4) and 119.95 + lon <= 120 + 0.1 * c <= 120.82 - lon and 21.95 + lat <= 22 + 0.1 * r <= 22.85 - lat}
+    assert got == want and (0, 2) not in got and (2, 8) not in got
+
+
 def test_gap_filling_by_time_does_not_cross_a_break(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (0, 30, 2.0)], "cell int, t long, u double")
     assert gapfill.fill_short_gaps(df, ("u",), 2, ("cell",)).where("imputed").count() == 1

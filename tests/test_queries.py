@@ -36,7 +36,7 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
-def test_no_query_collects_into_one_window_per_row(spark):
+def test_the_cube_reads_the_columns_it_needs(spark):
     """The cube's plan reads the columns it needs and no more."""
     from modewave.plans import cube
 

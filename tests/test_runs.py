@@ -86,7 +86,7 @@ def test_surface_run(spark, tmp_path):
     assert full.count() == 27
     report = products.region_report(spark, {"demo": out})
     assert report.count() == 5 and report.where("directional_coherence between 0 and 1").count() == 5
-    assert runs.selection(spark, str(tmp_path / "out" / "svd"), [out.rsplit("/", 1)[1], "none"], {out.rsplit("/", 1)[1]: SURFACE}) == {out.rsplit("/", 1)[1]: "exact", "none": "pending"}
+    assert runs.selection(spark, str(tmp_path / "out" / "svd"), SURFACE) == ("exact", str(tmp_path / "out" / "svd" / out.rsplit("/", 1)[1]))
 
 
 def test_overlapping_months_prefer_the_last(spark, tmp_path):
@@ -102,20 +102,123 @@ def test_overlapping_months_prefer_the_last(spark, tmp_path):
         surface.preflight(spark, surface_config(raw), str(root))
 
 
-def test_batch_and_parquet(spark, tmp_path):
-    root = surface_cache(tmp_path / "cache")
+def batch_files(folder, change=lambda batch, regions: None):
+    """A batch of two regions, as it is published; ``change`` spoils it."""
+    regions = []
     for i in (1, 2):
         raw = copy.deepcopy(SURFACE)
-        raw["analysis_label"], raw["focus"]["analysis_unit_id"] = f"demo{i}", f"unit{i}"
-        (tmp_path / f"c{i}.json").write_text(json.dumps(raw))
-    (tmp_path / "batch.json").write_text(json.dumps({"regions": [{"config": "c1.json", "analysis_unit_id": "unit1"}, {"config": "c2.json"}], "parallel_execution": {"max_concurrent_regions": 2, "linear_algebra_threads_per_region": 4, "minimum_server_cores": 8}}))
+        raw["analysis_label"] = f"demo{i}"
+        raw["focus"] |= {"analysis_unit_id": f"unit{i}", "source_analysis_units_config": "units.json", "source_analysis_units_config_sha256": "ab" * 32}
+        raw["parallel_execution"] = {"io_workers": 3, "linear_algebra_threads": 4}
+        regions.append(raw)
+    batch = {
+        "schema_version": "1.0.0", "analysis_kind": "surface_multivariate_svd_batch", "batch_label": "b", "source_analysis_units_config": "units.json", "source_analysis_units_config_sha256": "ab" * 32,
+        "parallel_execution": {"server_minimum_cpu_cores": 8, "max_concurrent_regions": 2, "per_region_linear_algebra_threads": 4, "per_region_io_workers": 3},
+        "region_configs": [{"analysis_unit_id": f"unit{i}", "config": f"c{i}.json"} for i in (1, 2)],
+    }
+    change(batch, regions)
+    for i, raw in enumerate(regions):
+        (folder / f"c{i + 1}.json").write_text(json.dumps(raw))
+    (folder / "batch.json").write_text(json.dumps(batch))
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda b, r: b.update(schema_version="2.0.0"),
+        lambda b, r: b.update(analysis_kind="surface_multivariate_svd"),
+        lambda b, r: b.update(batch_label=" "),
+        lambda b, r: b.pop("source_analysis_units_config"),
+        lambda b, r: b.update(source_analysis_units_config_sha256="AB" * 32),
+        lambda b, r: b.update(source_analysis_units_config_sha256="cd" * 32),
+        lambda b, r: b.update(source_analysis_units_config="other.json"),
+        lambda b, r: b.update(parallel_execution=[]),
+        lambda b, r: b["parallel_execution"].pop("server_minimum_cpu_cores"),
+        lambda b, r: b["parallel_execution"].update(server_minimum_cpu_cores=7),
+        lambda b, r: b["parallel_execution"].update(max_concurrent_regions=True),
+        lambda b, r: b["parallel_execution"].update(max_concurrent_regions=1),
+        lambda b, r: b["parallel_execution"].update(per_region_io_workers=4),
+        lambda b, r: b.update(region_configs=[]),
+        lambda b, r: b.update(region_configs=["c1.json"]),
+        lambda b, r: b["region_configs"][1].update(analysis_unit_id="unit1"),
+        lambda b, r: b["region_configs"][1].update(config="c1.json"),
+        lambda b, r: b["region_configs"][1].update(config="./c1.json", analysis_unit_id="unit3"),
+        lambda b, r: r[1]["focus"].update(analysis_unit_id="unit9"),
+        lambda b, r: r[1]["focus"].update(source_analysis_units_config_sha256="cd" * 32),
+        lambda b, r: r[1]["parallel_execution"].update(linear_algebra_threads=2),
+        lambda b, r: r[1].pop("parallel_execution"),
+    ],
+)
+def test_batch_rules(tmp_path, change):
+    batch_files(tmp_path)
+    batch_config(tmp_path / "batch.json")
+    batch_files(tmp_path, change)
+    with pytest.raises(ContractError):
+        batch_config(tmp_path / "batch.json")
+
+
+def test_years_and_the_older_year():
+    def years(**own):
+        raw = copy.deepcopy(SURFACE)
+        raw["input"].pop("years")
+        raw["input"] |= own
+        return surface_config(raw).input.years
+
+    assert years(year=2025) == (2025,) and years(years=[2024, 2025]) == (2024, 2025) and years(years=[2024, 2025], year=2025) == (2024, 2025)
+    for bad in ({}, {"years": [2025, 2024]}, {"years": [2025, 2025]}, {"years": [2024, 2025], "year": 2024}, {"year": True}, {"years": []}):
+        with pytest.raises(ContractError):
+            years(**bad)
+
+
+def test_surface_run_from_tables(spark, tmp_path):
+    """A run from exported tables equals one from arrays; months and window reach the scan."""
+    root = surface_cache(tmp_path / "cache")
+    found = arrays.months(str(root), "demo", ["202501", "202502"])
+    arrays.export(spark, str(root), "demo", found, str(tmp_path / "tables"))
+    a = surface.run(spark, surface_config(SURFACE), str(root), str(tmp_path / "a"))
+    b = surface.run(spark, surface_config(SURFACE), str(tmp_path / "tables"), str(tmp_path / "b"), parquet=True)
+    assert a.rsplit("/", 1)[1] == b.rsplit("/", 1)[1]
+    one, two = ([r["sigma"] for r in spark.read.parquet(f"{x}/spectrum").orderBy("mode").collect()] for x in (a, b))
+    assert np.allclose(one, two, rtol=1e-12)
+    cube, axis = arrays.exported(spark, str(tmp_path / "tables"), "demo", found[1:], (1, 4, 1, 4))
+    assert cube.count() == 24 * 9 and axis.count() == 24 and {r[0] for r in axis.select("ordinal").distinct().collect()} == {0}
+    plan = cube._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "FileScan" in line)
+    assert "202502" in scan.split("PartitionFilters")[1] and "GreaterThanOrEqual(row,1)" in scan
+    with pytest.raises(ContractError):
+        arrays.exported_months(spark, str(tmp_path / "tables"), "demo", ["202503"])
+
+
+def test_selection_of_runs(spark, tmp_path):
+    def publish(name, config):
+        (tmp_path / "svd" / name).mkdir(parents=True)
+        for f, v in (("config", config), ("metadata", {})):
+            (tmp_path / "svd" / name / f"{f}.json").write_text(json.dumps(v))
+
+    root, old = str(tmp_path / "svd"), copy.deepcopy(SURFACE)
+    old["svd"]["requested_mode_count"] = 7
+    assert runs.selection(spark, root, SURFACE) == ("pending", None)
+    publish("demo_v1_0", old)
+    assert runs.selection(spark, root, SURFACE) == ("legacy", f"{root}/demo_v1_0")
+    assert runs.selection(spark, root, SURFACE, allow_legacy=False) == ("stale", None)
+    publish("demo_v1_1", {**old, "analysis_label": "x"})
+    with pytest.raises(ContractError):
+        runs.selection(spark, root, SURFACE)
+    publish("demo_v1_2", {**SURFACE, "figures": {"mode_count": 9}})
+    assert runs.selection(spark, root, SURFACE) == ("exact", f"{root}/demo_v1_2")
+    publish("demo_v1_3", SURFACE)
+    with pytest.raises(ContractError):
+        runs.selection(spark, root, SURFACE)
+
+
+def test_batch_and_parquet(spark, tmp_path):
+    root = surface_cache(tmp_path / "cache")
+    batch_files(tmp_path)
     b = batch_config(tmp_path / "batch.json")
+    assert (b.max_concurrent, b.threads, b.io_workers, b.least_cores, b.units) == (2, 4, 3, 8, ("unit1", "unit2"))
     out = products.run_batch(spark, b, str(root), str(tmp_path / "out"))
     assert [("demo1" in out[0]), ("demo2" in out[1])] == [True, True]
     assert products.run_batch(spark, b, str(root), str(tmp_path / "out"), skip_existing=True) == out
-    (tmp_path / "bad.json").write_text(json.dumps({"regions": [{"config": "c1.json"}, {"config": "c1.json"}]}))
-    with pytest.raises(ContractError):
-        batch_config(tmp_path / "bad.json")
     found = arrays.months(str(root), "demo", ["202501", "202502"])
     arrays.to_parquet(arrays.surface(spark, str(root), "demo", found), str(tmp_path / "cube"))
     one = arrays.from_parquet(spark, str(tmp_path / "cube"), ["202502"], (1, 3, 1, 3))
