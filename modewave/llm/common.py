@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again: lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of this one query go when it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,12 +58,6 @@ def drop_stash(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settled(spark: SparkSession) -> None:
-    """Lets the driver's cleaner delete the shuffle files of steps that are done; it acts when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), null text as empty, so that extra or clashing columns can't matter."""
     return df.select(

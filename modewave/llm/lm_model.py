@@ -36,7 +36,7 @@ NODE_BITS = 24
 BUCKETS = 33
 STEP, STEP_SIZE = 0.03, 1 << 15
 #: Tokens, and spelled words, of a slice: its arrays stay in the processor's cache.
-SLICE, SPELLED = 10_000, 2_500
+SLICE, SPELLED = 4_000, 600
 SMALL = np.float32(0.3)
 NOVEL_CONTEXT, START_CONTEXT = U64(0x51ED270B7F4A7C15), U64(0x2545F4914F6CDD1D)
 
@@ -234,8 +234,8 @@ class Block:
         bit = self.sym[:, None] >> (U64(63) - depth) & U64(1)
         mark = U64(1) << (U64(63) - depth)
         node = (self.sym[:, None] & ~((mark << U64(1)) - U64(1))) | mark
-        self.node = ((node ^ node >> U64(29)) * ODD >> U64(64 - NODE_BITS) << U64(1) | bit).astype(np.int64)
-        self.head = self.codes.head_len[self.kind]
+        inner = (depth[None, :] >= self.codes.head_len[self.kind][:, None].astype(U64)).astype(U64)  # beyond the class' bits
+        self.node = ((node ^ node >> U64(29)) * ODD >> U64(64 - NODE_BITS) << U64(2) | inner << U64(1) | bit).astype(np.int64)
 
     def slices(self):
         """Ranges of texts of about SLICE tokens."""
@@ -308,31 +308,35 @@ class Decisions:
         first = np.cumsum(length) - length
         here = np.arange(int(length.sum()))
         each = lambda of_token: np.repeat(of_token, length)
-        at = each(symbol * block.logit.shape[1] - first) + here
-        plain, node = block.logit.reshape(-1)[at], block.node.reshape(-1)[at]
-        bit, node = node & 1, node >> 1
+        ends = np.append(first, len(here))[block.ends[a:b] - x]
+        of_text = lambda x: np.repeat(x, np.diff(np.append(0, ends)))
+        at = each(symbol * block.logit.shape[1] - first)
+        at += here
+        node = block.node.reshape(-1)[at]
+        bit = node & 1
         depth = here - each(first)
         if block.of_pair.shape[1] > 1:
             k = np.minimum(depth // CUT, each(block.cut_of[block.context[x:y]]))
             place = block.at[block.of_pair[each(pair), k]] + depth - CUT * k
         else:
             place = each(block.at[block.of_pair[pair, 0]] - first) + here
-        text = np.repeat(np.arange(b - a), block.sizes[a:b])
-        taught = block.taught[x:y]
-        less = np.where(taught, how_often(text * block.of_pair.shape[0] + pair), 0).astype(np.float32)
-        n, own = block.got[place], block.got[place + 1]
-        other = n - own
-        own = np.maximum(own - each(less), 0)
-        zeros, ones = history(each(text), b - a, node, bit)
-        sign = (2 * bit - 1).astype(np.float32)
+        own, other = block.got[place + 1], block.got[place]
+        other -= own
+        held = block.held[a:b]
+        if not held.all():
+            text = np.repeat(np.arange(b - a), block.sizes[a:b])
+            less = np.where(block.taught[x:y], how_often(text * block.of_pair.shape[0] + pair), 0).astype(np.float32)
+            own = np.maximum(own - each(less), 0)
+        zeros, ones = history(of_text(np.arange(b - a)), b - a, node >> 2, bit)
+        self.sign = (2 * bit - 1).astype(np.float32)
         self.inputs = np.empty((len(here), 3), dtype=np.float32)
-        self.inputs[:, 0] = plain
-        self.inputs[:, 1] = logits(other, own) * sign
+        self.inputs[:, 0] = block.logit.reshape(-1)[at]
+        self.inputs[:, 1] = logits(other, own) * self.sign
         self.inputs[:, 2] = logits(zeros, ones)
         seen = level(own + other, LEVELS)
-        self.gate = (seen * N_DOC_LEVELS + level(zeros + ones, DOC_LEVELS)) * 2 + (depth >= each(block.head[symbol]))
+        self.gate = (seen * N_DOC_LEVELS + level(zeros + ones, DOC_LEVELS)) * 2 + (node >> 1 & 1)
         self.place = np.minimum(depth, DEPTHS - 1) * N_LEVELS + seen
-        self.bit, self.taught, self.first, self.length = bit, each(taught), first, length
+        self.bit, self.taught, self.first, self.length = bit, of_text((~held).astype(np.float32)), first, length
 
 
 class Spellings:
@@ -344,14 +348,14 @@ class Spellings:
         depth, byte = np.tile(np.arange(8), n), np.repeat(np.arange(first, first + n), 8)
         value = block.bytes[byte]
         self.bit = value >> (7 - depth) & 1
-        self.taught = block.byte_taught[byte]
+        self.taught = block.byte_taught[byte].astype(np.float32)
         self.inputs = np.empty((8 * n, len(ORDERS)), dtype=np.float32)
-        sign = (2 * self.bit - 1).astype(np.float32)
+        self.sign = (2 * self.bit - 1).astype(np.float32)
         for i, of in enumerate(block.of_byte):
             place = np.repeat(block.at[of[first : first + n]], 8) + depth
             total, own = block.got[place], block.got[place + 1]
             other, own = total - own, np.maximum(own - self.taught, 0)
-            self.inputs[:, i] = logits(other, own) * sign
+            self.inputs[:, i] = logits(other, own) * self.sign
             third, seen = (seen if i else None), level(other + own, BYTE_LEVELS)
         self.gate = depth * BYTE_GATES + third * N_BYTE_LEVELS + seen
         self.place = (1 << depth) | value >> (8 - depth)
@@ -389,10 +393,12 @@ class Mixer:
         n = len(self.weights)
         for a in range(0, len(d.bit), STEP_SIZE):
             i = slice(a, a + STEP_SIZE)
-            inputs, gate, bit, taught = d.inputs[i], d.gate[i], d.bit[i], d.taught[i]
+            inputs, gate, bit, sign, taught = d.inputs[i], d.gate[i], d.bit[i], d.sign[i], d.taught[i]
             p, mixed, cell = self.ones_of(inputs, gate, d.place[i])
-            cost[a + 1 : a + 1 + len(bit)] = -np.log2(np.where(bit == 1, p, 1 - p))
-            miss = (bit - mixed) * taught
+            cost[a + 1 : a + 1 + len(bit)] = -np.log2(np.float32(0.5) + sign * (p - np.float32(0.5)))
+            if not taught.any():
+                continue
+            miss = ((sign + 1) / 2 - mixed) * taught
             total = np.bincount(gate, taught, n) + 1e-9
             g = np.stack([np.bincount(gate, miss * inputs[:, k], n) for k in range(inputs.shape[1])], axis=1) / total[:, None]
             self.moved += g * g

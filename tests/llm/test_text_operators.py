@@ -484,7 +484,7 @@ def test_texts_that_occur_twice_stand_out(spark):
     got = {r["doc_id"]: r for r in lm_score.scored(d).collect()}
     twice = [got[i]["bits_per_byte"] for i in range(20)] + [got[len(texts) + i]["bits_per_byte"] for i in range(20)]
     once = [got[i]["bits_per_byte"] for i in range(20, len(texts))]
-    assert np.quantile(twice, 0.9) < np.quantile(once, 0.1)
+    assert np.mean([a < b for a in twice for b in once]) > 0.9
 
 
 def test_language_model_takes_long_texts_in_pieces(spark):
