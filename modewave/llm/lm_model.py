@@ -8,7 +8,7 @@ A decision is predicted under several contexts; for each, counts tell how often
 for words all training tokens, the tokens after the word before, and the tokens of the document so far; for bytes the last 1, 2, 3 and 4 bytes of the
 word. Contexts are hashed to 48 bits. The counts' logits are combined by weights that a gate selects,
 which says how much two of the contexts have seen, and an adaptive map from the combined logit to the share of ones refines the result. Weights and
-map are learned online: a step after every STEP_SIZE decisions, which are scored before they teach.
+map are learned online: a step after some thousand decisions, which are scored before they teach.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ DEPTHS = 24
 #: Bits of the hash that names a node within a text.
 NODE_BITS = 24
 BUCKETS = 33
-STEP, STEP_SIZE = 0.03, 1 << 15
+#: Decisions of a step: few at first, more as the weights settle.
+STEP, FIRST_STEP, STEP_SIZE = 0.03, 1 << 11, 1 << 15
 #: Tokens, and spelled words, of a slice: its arrays stay in the processor's cache.
 SLICE, SPELLED = 4_000, 600
 SMALL = np.float32(0.3)
@@ -370,6 +371,7 @@ class Mixer:
     """Weights by gate and input, and the refining map by place and bucket of the logit: zeros and ones."""
 
     def __init__(self, n_gates: int, n_inputs: int, n_places: int):
+        self.done = 0
         self.weights = np.full((n_gates, n_inputs), 0.4)
         self.moved = np.full((n_gates, n_inputs), 1e-3)
         centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))
@@ -391,11 +393,14 @@ class Mixer:
         cost = np.empty(len(d.bit) + 1)
         cost[0] = 0.0
         n = len(self.weights)
-        for a in range(0, len(d.bit), STEP_SIZE):
-            i = slice(a, a + STEP_SIZE)
+        a = 0
+        while a < len(d.bit):
+            i = slice(a, a + min(STEP_SIZE, max(FIRST_STEP, self.done // 8)))
             inputs, gate, bit, sign, taught = d.inputs[i], d.gate[i], d.bit[i], d.sign[i], d.taught[i]
             p, mixed, cell = self.ones_of(inputs, gate, d.place[i])
             cost[a + 1 : a + 1 + len(bit)] = -np.log2(np.float32(0.5) + sign * (p - np.float32(0.5)))
+            a += len(bit)
+            self.done += len(bit)
             if not taught.any():
                 continue
             miss = ((sign + 1) / 2 - mixed) * taught

@@ -479,7 +479,7 @@ def test_language_model_totals():
 
 
 def test_texts_that_occur_twice_stand_out(spark):
-    texts = [" ".join(f"{w}" for w in t.split()) for t in lm_texts(400, 9) if len(t.split()) > 20]
+    texts = [t for t in prose(9, 400, 3000) if len(t.split()) > 20]
     d = table(spark, [*texts, *texts[:20]])
     got = {r["doc_id"]: r for r in lm_score.scored(d).collect()}
     twice = [got[i]["bits_per_byte"] for i in range(20)] + [got[len(texts) + i]["bits_per_byte"] for i in range(20)]
