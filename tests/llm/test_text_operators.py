@@ -86,14 +86,41 @@ def test_toxicity_neutral_mentions_stay_clean(spark, monkeypatch):
     train = spark.createDataFrame(rows, "text string, label int")
     neutral = [" ".join([*(f"n{rng.randrange(200)}" for _ in range(20)), "muslim"]) for _ in range(200)]
     rate = {}
-    for weight in (0.0, toxicity.COUNTERFACTUAL):
-        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
-        score = toxicity.fit(train).scorer()
+    monkeypatch.setattr(toxicity, "learned_swaps", lambda *a: {})
+    for weight in (0.0, 1.0):
+        score = toxicity.fit(train, counterfactual=weight).scorer()
         rate[weight] = sum(score(t) >= 0.5 for t in neutral) / len(neutral)
         assert score("n1 n2 you idiot") > 0.5
     assert rate[0.0] > 0.5 and rate[1.0] < 0.1
 
 
+def test_toxicity_pairs_on_the_given_texts(spark):
+    """Texts and their swapped forms exist, and the penalty brings their scores together."""
+    d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    train = d.join(lab, "doc_id").select("text", F.col("toxic").alias("label")).persist()
+    plain, fair = (toxicity.fit(train, counterfactual=c) for c in (0.0, toxicity.COUNTERFACTUAL))
+    assert fair.pairs > 200 and plain.pairs == fair.pairs
+    assert fair.change < 0.7 * plain.change
+    swap = toxicity.learned_swaps(train, *(train.where(f"label = {y}").count() for y in (0, 1)))
+    assert len(swap) > 20 and all(w not in others and len(others) == toxicity.SWAPS for w, others in swap.items())
+    train.unpersist()
+
+
+def test_toxicity_loss_and_gradient():
+    rng = np.random.default_rng(2)
+    rows = [{"label": int(rng.random() < 0.4), "own": rng.integers(0, 9, rng.integers(0, 6)).astype(np.uint16).tobytes(), "swapped": [rng.integers(0, 9, rng.integers(0, 6)).astype(np.uint16).tobytes() for _ in range(rng.integers(0, 3))]} for _ in range(30)]
+    d, theta = toxicity.Design(rows, 9), rng.normal(size=10)
+    value, gradient = d.loss(theta, 0.7)
+    logit = lambda x: sum(theta[i] for i in np.frombuffer(x, dtype=np.uint16).tolist())
+    want = np.mean([math.log(1 + math.exp(logit(r["own"]) + theta[9])) - r["label"] * (logit(r["own"]) + theta[9]) for r in rows]) + toxicity.RIDGE / 2 * (theta[:9] ** 2).sum()
+    changes = [logit(r["own"]) - logit(x) for r in rows for x in r["swapped"]]
+    assert value == pytest.approx(want + 0.7 * np.mean(np.square(changes))) and d.n_pairs == len(changes)
+    for i in range(10):
+        e = np.zeros(10)
+        e[i] = 1e-6
+        assert gradient[i] == pytest.approx((d.loss(theta + e, 0.7)[0] - d.loss(theta - e, 0.7)[0]) / 2e-6, abs=1e-6)
+
+
 def test_toxicity_odd(spark):
     lab = spark.createDataFrame([(1, 1), (4, None), (None, 1), (5, 0), (6, 0)], "doc_id long, toxic int")
     got = toxicity.scored(odd(spark), lab).collect()
