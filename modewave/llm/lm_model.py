@@ -31,6 +31,7 @@ N_LEVELS, N_DOC_LEVELS, N_BYTE_LEVELS = (int(x[-1]) + 1 for x in (LEVELS, DOC_LE
 WORD_GATES = N_LEVELS * N_DOC_LEVELS * 2
 BYTE_GATES = N_BYTE_LEVELS**2
 DEPTHS = 24
+ZSTD = pa.Codec("zstd", compression_level=3)
 #: Bits of the hash that names a node within a text.
 NODE_BITS = 24
 BUCKETS = 33
@@ -48,7 +49,7 @@ NOVEL_CONTEXT, START_CONTEXT = U64(0x51ED270B7F4A7C15), U64(0x2545F4914F6CDD1D)
 def packed(a: np.ndarray) -> bytes:
     """By byte planes, compressed: the upper planes of small numbers cost nothing."""
     a = np.ascontiguousarray(a)
-    return pa.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+    return ZSTD.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), asbytes=True) if len(a) else b""
 
 
 def unpacked(data: bytes, n: int, kind) -> np.ndarray:

@@ -253,8 +253,12 @@ def coded(text: DataFrame, asked: DataFrame, vocab: DataFrame, before: dict[int,
         for r in t.to_pylist():
             data = r["words"]
             words = pa.decompress(data[8:], decompressed_size=int(np.frombuffer(data[:8], dtype=np.int64)[0]), codec="zstd", asbytes=True).split(b"\n")
-            spelled = [w for w, x in zip(words, n.tolist(), strict=True) if x < LEAST_SEEN]
-            out.append((r["block"], r["rows"], r["held"], r["sizes"], r["bytes"], r["tokens"], r["n_texts"], r["n_tokens"], r["n_words"], packed(n), packed(place), b"\n".join(spelled)))
+            tokens = unpacked(r["tokens"], r["n_tokens"], np.int64)
+            order = np.argsort(-np.bincount(tokens, minlength=r["n_words"]), kind="stable")  # frequent words first: small numbers
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            spelled = b"\n".join([words[i] for i in order[n[order] < LEAST_SEEN].tolist()])
+            out.append((r["block"], r["rows"], r["held"], r["sizes"], r["bytes"], packed(rank[tokens]), r["n_texts"], r["n_tokens"], r["n_words"], packed(n[order]), packed(place[order]), np.array([len(spelled)], dtype=np.int64).tobytes() + pa.compress(spelled, codec="zstd", asbytes=True)))
         return pa.Table.from_batches([_rows(kinds, out)])
 
     return text.drop("ids", "names", "flags", "keys", "seen").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(join, CODED)
@@ -265,7 +269,8 @@ FOUND = "block long, part int, size int, data binary"
 
 def opened(r: dict, codes: Codes) -> Block:
     n, place = (unpacked(r[c], r["n_words"], np.int64) for c in ("n", "place"))
-    spelled = r["spelled"].split(b"\n") if (n < LEAST_SEEN).any() else []
+    data = r["spelled"]
+    spelled = pa.decompress(data[8:], decompressed_size=int(np.frombuffer(data[:8], dtype=np.int64)[0]), codec="zstd", asbytes=True).split(b"\n") if (n < LEAST_SEEN).any() else []
     sizes, held = unpacked(r["sizes"], r["n_texts"], np.int64), unpacked(r["held"], r["n_texts"], np.uint8)
     return Block(codes, unpacked(r["tokens"], r["n_tokens"], np.int64), sizes, held, n, place, spelled)
 
@@ -326,7 +331,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     drop_stash(vocab)
     drop_stash(text)
     shared = spark.sparkContext.broadcast(codes)
-    found = stash(counted(told, shared, 24 + size // 3), "lm-counts")
+    found = counted(told, shared, 24 + size // 3)
     kinds = _kinds(PARTIAL)
 
     def score(t: pa.Table, got: pa.Table) -> pa.Table:
