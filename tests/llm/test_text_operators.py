@@ -364,6 +364,55 @@ def test_bounds_are_exact():
     assert quality.certified(good, junk, 0.005, 0.003) == 0.5
 
 
+def test_cutoffs_keep_their_error_rate():
+    """Over many draws of labelled documents, cutoffs that reject more than ALPHA of all good ones come up no more often than DELTA."""
+    rng = np.random.default_rng(6)
+    shares = np.r_[np.linspace(2, 0.2, 60), np.full(quality.GRID + 1 - 60, 0.05)] ** 2
+    shares /= shares.sum()
+    above = np.cumsum(shares[::-1])[::-1]
+    wrong = found = 0
+    for _ in range(1500):
+        good = rng.multinomial(400, shares).tolist()
+        junk = rng.multinomial(400, np.full(quality.GRID + 1, 1 / (quality.GRID + 1))).tolist()
+        cut = quality.certified(good, junk, quality.ALPHA, quality.DELTA)
+        found += cut is not None
+        wrong += cut is not None and above[round(cut * quality.GRID)] > quality.ALPHA
+    assert found > 500 and wrong / 1500 <= quality.DELTA
+
+
+def test_quality_cutoffs_equal_plain_ones(spark):
+    """On given documents: labelled distinct texts, steps of the largest ratio, a bound by summing, one sequence for each language; and the verdicts that follow."""
+    base = "/root/testdata/sf0.01"
+    d, lab = (spark.read.parquet(f"{base}/{n}.parquet") for n in ("documents", "labels"))
+    label = {r["doc_id"]: r["quality"] for r in lab.collect()}
+    rows = quality.measured(d).collect()
+    units = {"n_symbols": ("word_chars", 0.25), "n_dup_lines": ("n_lines", 1.0), "n_repeat_words": ("n_words", 1.0), "n_capitals": ("word_chars", 0.5)}
+    steps = {r["doc_id"]: [min(200, math.floor(r[c] / max(1, r[over]) / unit * 200)) for c, (over, unit) in units.items()] for r in rows}
+    seen = collections.defaultdict(dict)
+    for r in rows:
+        if not r["base_failed"] and label.get(r["doc_id"]) is not None:
+            was = seen[r["stratum"]].get(r["key"], (0, 0))
+            seen[r["stratum"]][r["key"]] = (max(was[0], label[r["doc_id"]]), max(was[1], *steps[r["doc_id"]]))
+    want = {}
+    for lang, own in seen.items():
+        good, junk = ([k for g, k in own.values() if g == y] for y in (1, 0))
+        best = None
+        for cut in range(200, 0, -1):
+            bad = sum(k >= cut for k in good)
+            # the bound is at most ALPHA where so few rejections have little probability at a share of ALPHA
+            if bad / max(1, len(good)) > quality.ALPHA or sum(math.comb(len(good), i) * quality.ALPHA**i * (1 - quality.ALPHA) ** (len(good) - i) for i in range(bad + 1)) > quality.DELTA / len(seen):
+                break
+            gain = sum(k >= cut for k in junk) - 10 * bad
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, cut)
+        want[lang] = best and best[1] / 200
+    assert any(want.values())
+    got = {r["stratum"]: r["cut"] for r in quality.cutoffs(quality.measured(d), lab).collect()}
+    assert got == want
+    kept = {r["doc_id"]: r["kept"] for r in queries.op5_quality(spark, base).collect()}
+    assert kept == {r["doc_id"]: not r["base_failed"] and not (want.get(r["stratum"]) and max(steps[r["doc_id"]]) >= round(want[r["stratum"]] * 200)) for r in rows}
+
+
 def test_quality_verdicts(spark):
     rng = random.Random(4)
     clean = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(2500)]
@@ -373,7 +422,7 @@ def test_quality_verdicts(spark):
     rows = quality.measured(d)
     kept = {r["doc_id"] for r in quality.judged(rows, quality.cutoffs(rows, lab)).where("kept").collect()}
     assert len(kept & set(range(2500))) >= 2490 and not kept & set(range(2500, 2700))
-    stays = quality.accepted(d, quality.cutoffs(rows, lab))
+    stays = quality.accepted(d, lab)
     assert stays.columns == d.columns and {r["doc_id"] for r in stays.select("doc_id").collect()} == kept
     none = quality.cutoffs(rows, lab.where("false"))
     assert quality.judged(rows, none).where("kept").count() == quality.judged(rows, none).where("not base_failed").count()
@@ -681,7 +730,7 @@ def test_clashing_columns_come_back(spark, stage):
     try:
         d = clashing(spark)
         if stage == "accepted":
-            out = quality.accepted(d, quality.cutoffs(quality.measured(d), spark.createDataFrame([(1, 1)], "doc_id long, quality int")))
+            out = quality.accepted(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
         else:
             out = {"drop_exact": exact_dedup.drop_exact, "one_of_each": ngram_join.one_of_each, "without_repeats": suffix_dedup.without_repeats}[stage](d)
         assert out.columns == d.columns and out.schema["doc_id"].dataType == d.schema["doc_id"].dataType
