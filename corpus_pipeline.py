@@ -15,28 +15,47 @@ from modewave.llm.common import stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the cutoffs that labelled documents prove safe."""
-    cuts = stash(quality.cutoffs(quality.measured(docs), table(spark, sf_dir, "labels")).coalesce(1), "cutoffs")
-    return quality.accepted(docs, cuts)
+    """Documents that pass the base rules and the cutoffs that labelled documents prove safe.
+
+    Null and empty texts fail the base rules; texts are measured whole, however long; rows that repeat, tie or lack an id are judged each; columns come back whatever
+    their names; an empty table, or one without labels, is judged by the base rules alone.
+    """
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id.
+
+    Null and empty texts are equal; of ties and rows that repeat one stays, a null id only where there is no other; texts of any length are compared
+    whole; columns come back whatever their names; an empty table stays empty.
+    """
     return exact_dedup.drop_exact(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of at least 80 % of 5-word shingles join, the one with the smallest id."""
+    """Of documents that links of at least 80 % of 5-word shingles join, the one with the smallest id.
+
+    Texts without words, null ones among them, link with nothing and stay; of equal ids a hash of the text decides, null ids come last, rows that repeat id and text stay or go together;
+    texts are compared whole, however long; columns come back whatever their names; an empty table stays empty.
+    """
     return ngram_join.one_of_each(docs, k=5, t=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that stand in several documents are left in one of them."""
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Passages of 50 words and more that stand in several documents are left in one of them, and n_chars follows.
+
+    Null and empty texts stay as they are; a document of which no word is left goes; rows that repeat id and text are one document; texts are searched whole, however long; columns come back
+    whatever their names; an empty table stays empty.
+    """
+    out = suffix_dedup.without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens, with their ids."""
+    """Pieces of sequences of at most 1024 tokens, with their ids.
+
+    Null and empty texts are the end alone; very long texts are cut into pieces; rows that repeat or tie are packed each; other columns are not read; an empty table gives no rows.
+    """
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
