@@ -2,8 +2,8 @@
 
 A record's key hashes to one of thousands of virtual slots for good. A versioned map says which shard
 holds a slot; only the map changes when shards are added, and then slots move into the new shard alone.
-``slot_bytes`` gives what each slot weighs, and ``rebalanced`` edits the map by those weights where an
-operator wants equal bytes more than a map that follows from the shard count.
+Maps are kept in a store, a folder with one table for each version and the bytes of its slots beside it; a version is never overwritten. ``rebalance``
+loads the last one, edits it by those bytes and saves the next, where an operator wants equal bytes more than a map that follows from the shard count.
 """
 
 from __future__ import annotations
@@ -85,15 +85,30 @@ class SlotMap:
             moved.add(s)
         return SlotMap(self.version + 1, tuple(out), tuple(sorted(moved)))
 
+    def save(self, spark: SparkSession, store: str) -> None:
+        """Adds this version to a store; raises if it is there."""
+        self.frame(spark).coalesce(1).write.mode("errorifexists").parquet(f"{store}/map/version={self.version}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, store: str, version: int | None = None) -> SlotMap:
+        """The given version of a store's map, or the last."""
+        rows = spark.read.schema("virtual_slot int, shard int, version int").parquet(f"{store}/map")
+        wanted = rows.agg(F.max("version")).first()[0] if version is None else version
+        shard = {r["virtual_slot"]: r["shard"] for r in rows.where(F.col("version") == wanted).collect()}  # as many rows as slots
+        if wanted is None or not shard:
+            raise ValueError(f"{store} has no version {wanted} of the map")
+        return cls(wanted, tuple(shard[i] for i in range(len(shard))))
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(version, virtual_slot, shard): as many rows as there are slots, never more."""
-        return spark.createDataFrame([(self.version, i, s) for i, s in enumerate(self.shard_of)], "version int, virtual_slot int, shard int")
+        """(virtual_slot, shard): as many rows as there are slots, never more."""
+        return spark.createDataFrame(list(enumerate(self.shard_of)), "virtual_slot int, shard int")
 
 
 def virtual_slots(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, n_parts: int = N_PARTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes, null none, plus 1), text_crc32, virtual_slot, part.
 
-    The slot is a hash of the id alone (rows without an id share one). The part splits a slot by id and text.
+    The slot is a hash of the id alone (rows without an id share one). The part splits a slot, by the row and by the task that reads it: rows alike in
+    all, or without an id, are dealt over parts too. Texts are read whole, however long.
     """
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     return (
@@ -104,7 +119,7 @@ def virtual_slots(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.crc32("raw").alias("text_crc32"),
         )
         .withColumn("virtual_slot", F.pmod(spread("doc_id"), F.lit(n_slots)).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_parts)).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.spark_partition_id()), F.lit(n_parts)).cast("int"))
     )
 
 
@@ -113,30 +128,32 @@ def slot_bytes(slots: DataFrame) -> DataFrame:
     return slots.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
 
 
-def sharded(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, n_parts: int = N_PARTS) -> tuple[DataFrame, DataFrame]:
-    """(rows with their shard and place, the stored map with the bytes of each slot).
+def sharded(
+    df: DataFrame, slot_map: SlotMap, id_col: str = "doc_id", text_col: str = "text", n_parts: int = N_PARTS, store: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with their shard and place, the bytes of each part of each slot, which are also saved beside the map in ``store``).
 
     Rows: doc_id, size, text_crc32, virtual_slot, shard, slot (place in the shard, gapless from 0, by virtual
     slot, part, id), grown_shard (with one more shard). Rows that repeat an id go to one shard and
-    get a place each; null ids sort first. An empty table gives no rows and a map with 0 bytes.
+    get a place each; null ids sort first; null and empty texts weigh 1; texts are read whole, however long. Other columns are not read. An empty table gives no rows and 0 bytes.
     """
-    spark = df.sparkSession
-    slots = virtual_slots(df, id_col, text_col, n_slots, n_parts)
-    now = SlotMap.of(n_shards, n_slots)
-    then = now.grown()
-    both = now.frame(spark).select("virtual_slot", "shard", F.col("version")).join(
-        then.frame(spark).select("virtual_slot", F.col("shard").alias("grown_shard")), "virtual_slot"
-    )
+    spark, n_slots = df.sparkSession, len(slot_map.shard_of)
+    # written once, as parts follow from the tasks that read the table
+    slots = stash(virtual_slots(df, id_col, text_col, n_slots, n_parts), "slots")
+    both = slot_map.frame(spark).join(slot_map.grown().frame(spark).withColumnRenamed("shard", "grown_shard"), "virtual_slot")
     weights = slot_bytes(slots)
-    # n_slots x n_parts rows at most, whatever the input: bounded, so one window and a broadcast are safe
+    # n_slots x n_parts rows at most, whatever the input: bounded, so a broadcast is safe
     cells = both.crossJoin(spark.range(n_parts).select(F.col("id").cast("int").alias("part"))).join(weights, ["virtual_slot", "part"], "left").na.fill(0, ["rows", "bytes"])
-    stored = stash(
-        cells.selectExpr(
-            "version", "virtual_slot", "part", "shard", "grown_shard", "rows", "bytes",
-            "coalesce(sum(rows) over (partition by shard order by virtual_slot, part rows between unbounded preceding and 1 preceding), 0) as before",
-        ).coalesce(1),
-        "slot-map",
-    )
+    counted = cells.selectExpr(
+        f"{slot_map.version} as version", "virtual_slot", "part", "shard", "grown_shard", "rows", "bytes",
+        "coalesce(sum(rows) over (partition by shard order by virtual_slot, part rows between unbounded preceding and 1 preceding), 0) as before",
+    ).coalesce(1)
+    if store is None:
+        stored = stash(counted, "slot-bytes")
+    else:
+        path = f"{store}/bytes/version={slot_map.version}"
+        counted.drop("version").write.mode("overwrite").parquet(path)
+        stored = spark.read.parquet(path).withColumn("version", F.lit(slot_map.version))
     place = F.broadcast(stored.select("virtual_slot", "part", "shard", "grown_shard", "before"))
     ranked = slots.join(place, ["virtual_slot", "part"]).selectExpr(
         "doc_id", "size", "text_crc32", "virtual_slot", "shard",
@@ -144,3 +161,12 @@ def sharded(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         "grown_shard",
     )
     return ranked, stored
+
+
+def rebalance(spark: SparkSession, store: str, tolerance: float = 0.05) -> SlotMap:
+    """The next version of a store's map: the last one, edited by the bytes that its slots held when rows were last placed by it, and saved."""
+    last = SlotMap.load(spark, store)
+    held = spark.read.parquet(f"{store}/bytes/version={last.version}").groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")).collect()  # as many rows as slots
+    new = last.rebalanced({r["virtual_slot"]: int(r["bytes"]) for r in held}, tolerance)
+    new.save(spark, store)
+    return new

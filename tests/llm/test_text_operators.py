@@ -280,7 +280,7 @@ def test_bloom_filter_has_no_false_negatives(spark):
 
 def test_sharding(spark):
     d = docs(spark)
-    rows, stored = sharding.sharded(d, 8)
+    rows, stored = sharding.sharded(d, sharding.SlotMap.of(8))
     got = rows.collect()
     assert len(got) == d.count()
     for s in range(8):
@@ -289,7 +289,7 @@ def test_sharding(spark):
     text = {r["doc_id"]: (r["text"] or "").encode() for r in d.collect()}
     assert all(r["size"] == len(text[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) for r in got)
     assert all(r["grown_shard"] in (r["shard"], 8) for r in got) and any(r["grown_shard"] == 8 for r in got)
-    few = {r["doc_id"]: r["shard"] for r in sharding.sharded(d.where("doc_id % 3 = 0"), 8)[0].collect()}
+    few = {r["doc_id"]: r["shard"] for r in sharding.sharded(d.where("doc_id % 3 = 0"), sharding.SlotMap.of(8))[0].collect()}
     assert all(few[r["doc_id"]] == r["shard"] for r in got if r["doc_id"] in few)
     assert stored.agg(F.sum("bytes")).first()[0] == sum(r["size"] for r in got)
 
@@ -310,13 +310,44 @@ def test_slot_maps():
         sharding.SlotMap.of(0)
 
 
+def test_slot_maps_are_stored_and_edited(spark, tmp_path):
+    """Save, place rows, rebalance by what was placed, place again: shards follow the last version, and old versions stay."""
+    store = str(tmp_path / "store")
+    first = sharding.SlotMap.of(4, 64)
+    first.save(spark, store)
+    with pytest.raises(Exception, match="exists"):
+        first.save(spark, store)
+    assert sharding.SlotMap.load(spark, store).shard_of == first.shard_of
+    d = table(spark, [("x" * 5000 if i % 50 == 0 else "y") for i in range(600)])
+    rows, stored = sharding.sharded(d, sharding.SlotMap.load(spark, store), store=store)
+    slot = {r["doc_id"]: r["virtual_slot"] for r in rows.collect()}
+    assert all(r["shard"] == first.shard_of[r["virtual_slot"]] for r in rows.collect()) and stored.agg(F.sum("bytes")).first()[0] == 12 * 5001 + 588 * 2
+    new = sharding.rebalance(spark, store)
+    assert new.version == first.version + 1 and new.moved
+    assert sharding.SlotMap.load(spark, store).shard_of == new.shard_of and sharding.SlotMap.load(spark, store, first.version).shard_of == first.shard_of
+    after, _ = sharding.sharded(d, sharding.SlotMap.load(spark, store), store=store)
+    got = after.collect()
+    assert all(r["shard"] == new.shard_of[r["virtual_slot"]] and slot[r["doc_id"]] == r["virtual_slot"] for r in got)
+    load = lambda rs: max(sum(r["size"] for r in rs if r["shard"] == s) for s in range(4))
+    assert load(got) < load(rows.collect())
+    with pytest.raises(ValueError):
+        sharding.SlotMap.load(spark, store, 99)
+
+
+def test_rows_alike_are_dealt_over_parts(spark):
+    d = spark.range(4000, numPartitions=16).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a").alias("text"))
+    rows, stored = sharding.sharded(d, sharding.SlotMap.of(8))
+    assert sorted(r["slot"] for r in rows.collect()) == list(range(4000))
+    assert stored.where("rows > 0").count() >= 4
+
+
 def test_sharding_odd(spark):
-    rows, _ = sharding.sharded(odd(spark), 8)
+    rows, _ = sharding.sharded(odd(spark), sharding.SlotMap.of(8))
     got = rows.collect()
     assert len(got) == 12 and len({r["shard"] for r in got if r["doc_id"] is None}) == 1
     for s in {r["shard"] for r in got}:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    rows, stored = sharding.sharded(empty(spark), 8)
+    rows, stored = sharding.sharded(empty(spark), sharding.SlotMap.of(8))
     assert rows.count() == 0 and stored.agg(F.sum("bytes")).first()[0] == 0
 
 
