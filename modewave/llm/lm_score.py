@@ -27,7 +27,7 @@ from .chunks import U64
 from .common import documents, drop_stash, stash
 from .lm_model import LEAST_SEEN, N_CLASSES, Block, Codes, Model, classes, opened_answer, opened_asks, packed, packed_answer, ragged, totals, unpacked
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Buckets of the vocabulary, at most: they bound what the driver holds.
 MOST_BUCKETS = 4096
 END = b"\t"
