@@ -6,16 +6,23 @@ SQL derives independently from the data.
 
 from __future__ import annotations
 
-import math
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ContractError
 from .functions import scalar
 from .operators import blocks, features, gapfill, geometry, masks, modes, regrid, solvers, standardize, stats, timeaxis
+from .plans import column, products, surface
 from .plans import cube as C
+from .sources import arrays, runs
+from .sources.config import surface_config
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,16 +114,22 @@ def anomaly_scaled(spark, sf_dir):
     return C.scaled(spark, sf_dir).select("t", "cell", "component", r("anomaly").alias("anomaly"), r("x").alias("x"))
 
 
-@query(sql("""SELECT a.cell AS cell_i, b.cell AS cell_j, round(sum(a.x * b.x) / ((SELECT count(DISTINCT t) FROM prep) - 1), 6) + 0.0 AS cov
-FROM x a JOIN x b ON a.t = b.t AND a.component = 'u' AND b.component = 'u' AND a.cell <= b.cell GROUP BY ALL"""))
+@query(sql("""SELECT a.component AS component_i, a.cell AS cell_i, b.component AS component_j, b.cell AS cell_j, round(sum(a.x * b.x) / ((SELECT count(DISTINCT t) FROM prep) - 1), 6) + 0.0 AS cov
+FROM x a JOIN x b ON a.t = b.t AND (a.component, a.cell) <= (b.component, b.cell) GROUP BY ALL"""))
 def covariance_upper(spark, sf_dir):
-    own = C.scaled(spark, sf_dir).where("component = 'u'")
-    return standardize.covariance(own, "x", "t", "cell").select(F.col("i").alias("cell_i"), F.col("j").alias("cell_j"), r("cov").alias("cov"))
+    """Covariances of all features, within and across components."""
+    own = C.scaled(spark, sf_dir).withColumn("f", F.struct("component", "cell"))
+    out = standardize.covariance(own, "x", "t", "f")
+    return out.select(F.col("i.component").alias("component_i"), F.col("i.cell").alias("cell_i"), F.col("j.component").alias("component_j"), F.col("j.cell").alias("cell_j"), r("cov").alias("cov"))
 
 
-@query(sql("SELECT round(sum(x * x), 5) AS total FROM x"))
+@query(sql("SELECT round(sum(x * x), 5) AS total, round(sum(x * x), 5) AS blocks FROM x"))
 def total_sum_squares(spark, sf_dir):
-    return C.scaled(spark, sf_dir).agg(F.round(F.sum(F.col("x") * F.col("x")), 5).alias("total"))
+    rows = C.scaled(spark, sf_dir)
+    index, n = C.with_ids(rows), rows.select("component", "cell").distinct().count()
+    times = sorted(x[0] for x in rows.select("t").distinct().collect())
+    m = blocks.to_blocks(index.join(F.broadcast(spark.createDataFrame(list(enumerate(times)), "t_idx long, t long")), "t"), n, len(times), 32)
+    return _one(spark, total=round(float(standardize.total_sum_squares(rows, "x")), 5), blocks=round(blocks.frobenius2(m), 5))
 
 
 # ---------------------------------------------------------------- solvers, by invariants
@@ -136,10 +149,31 @@ def leading_modes(spark, sf_dir) -> DataFrame:
 QUERIES["leading_modes"] = leading_modes
 
 
-@query(sql("SELECT round(sum(x * x) / ((SELECT count(DISTINCT t) FROM prep) - 1), 5) AS trace, 1.0::DOUBLE AS sum_ev, true AS descending FROM x"))
+#: The sums of the second, fourth and sixth powers of the singular values, from the Gram matrix g (i, j, v) of the features.
+MOMENTS = """(SELECT sum(v) FROM g WHERE i = j) AS s2, (SELECT sum(v * v) FROM g) AS s4,
+(SELECT sum(a.v * b.v * c.v) FROM g a JOIN g b ON a.j = b.i JOIN g c ON b.j = c.i AND c.j = a.i) AS s6"""
+GRAM = "f AS (SELECT t, dense_rank() OVER (ORDER BY component, cell) AS f, x FROM x), g AS (SELECT a.f AS i, b.f AS j, sum(a.x * b.x) AS v FROM f a JOIN f b USING (t) GROUP BY ALL)"
+
+
+def _moments(s: np.ndarray) -> dict[str, float]:
+    return {f"s{k}": float((s**k).sum()) for k in (2, 4, 6)}
+
+
+def _digits(df: DataFrame, *cols: str, digits: int = 7) -> DataFrame:
+    """Large numbers to so many significant digits: as a mantissa and an exponent, which SQL forms in the same way."""
+    return df.withColumns({c: F.round(F.col(c) / F.pow(F.lit(10.0), F.floor(F.log10(c))), digits) for c in cols}).select("*")
+
+
+def _digits_sql(c: str, digits: int = 7) -> str:
+    return f"round({c} / power(10.0, floor(log10({c}))), {digits}) AS {c}"
+
+
+@query(f"WITH {CUBE}, {GRAM}, m AS (SELECT {MOMENTS}) SELECT round(s2 / ((SELECT count(DISTINCT t) FROM prep) - 1), 5) AS trace, {_digits_sql('s2')}, {_digits_sql('s4')}, {_digits_sql('s6')}, 1.0::DOUBLE AS sum_ev FROM m")
 def spectrum_invariants(spark, sf_dir):
-    s = C.solve(spark, sf_dir).svd
-    return _one(spark, trace=round(float(s.total / (len(s.v) - 1)), 5), sum_ev=round(float(s.all_ev.sum()), 9), descending=bool((np.diff(s.all_ev) <= 0).all()))
+    """The whole spectrum by its power sums, which the data give without a decomposition."""
+    s = C.solve(spark, sf_dir, 10_000).svd
+    one = _one(spark, trace=round(float(s.total / (len(s.v) - 1)), 5), sum_ev=round(float(s.all_ev.sum()), 9), **_moments(s.s))
+    return _digits(one, "s2", "s4", "s6")
 
 
 @query(sql("SELECT t, round(sum(x * x), 5) + 0.0 AS energy FROM x GROUP BY t"))
@@ -158,45 +192,57 @@ def full_rank_reconstruction(spark, sf_dir):
     return back.join(got.features.select("feature_id", "cell", "component"), "feature_id").select("t", "cell", "component", r(F.col("value") + 1.3e-8, 5).alias("value"))
 
 
-@query("SELECT true AS monotone, true AS matches_spectrum")
-def rank_r_reconstruction(spark, sf_dir):
-    """The error falls with the rank, and is what the spectrum leaves."""
-    got = C.solve(spark, sf_dir, 10_000)
-    spark_total, errors = got.svd.total, []
-    data = C.with_ids(C.scaled(spark, sf_dir)).select("feature_id", "t", "x", "mean", "scale")
-    phys = modes.physical(modes.loadings_table(spark, got.svd.u), got.features)
-    pcs = modes.coefficients_table(spark, got.svd.pc, got.axis)
-    for rank in (1, 5, 20):
-        back = modes.reconstruct(got.features, phys, pcs, rank).join(data, ["feature_id", "t"])
-        errors.append(back.agg(F.sum(F.pow(F.col("x") - (F.col("value") - F.col("mean")) * F.col("scale"), 2))).first()[0])
-    left = [spark_total - float((got.svd.s[:k] ** 2).sum()) for k in (1, 5, 20)]
-    return _one(spark, monotone=errors == sorted(errors, reverse=True), matches_spectrum=bool(np.allclose(errors, left, rtol=1e-8)))
+#: Each cell's two velocity components apart from all others: a matrix whose singular values have a closed form, two for each cell.
+PAIRS = """p AS (SELECT a.cell, count(*) AS n, sum(a.x * a.x) AS su, sum(b.x * b.x) AS sv, sum(a.x * b.x) AS suv FROM x a JOIN x b ON a.t = b.t AND a.cell = b.cell AND a.component = 'u' AND b.component = 'v' GROUP BY ALL),
+e AS (SELECT (su + sv) / 2 + sqrt((su - sv) * (su - sv) / 4 + suv * suv) AS l FROM p UNION ALL SELECT (su + sv) / 2 - sqrt((su - sv) * (su - sv) / 4 + suv * suv) FROM p),
+o AS (SELECT (row_number() OVER (ORDER BY l DESC))::INTEGER AS mode, l, sum(l) OVER () AS total, (SELECT sum(n) FROM p) AS times FROM e)"""
+
 
+def _pairs(spark, sf_dir) -> tuple[DataFrame, blocks.BlockMatrix, np.ndarray]:
+    """(features, matrix, axis): two features for each cell, at times of the cell's own; zero elsewhere."""
+    own = C.scaled(spark, sf_dir).where("component <> 'eta'").select("cell", "t", "component", "x")
+    cells = sorted(x[0] for x in own.select("cell").distinct().collect())
+    times = sorted(x[0] for x in own.select("t").distinct().collect())
+    at = spark.createDataFrame([(c, i) for i, c in enumerate(cells)], "cell long, i long")
+    order = spark.createDataFrame(list(enumerate(times)), "k long, t long")
+    placed = own.withColumn("cell", F.col("cell").cast("long")).join(at, "cell").join(order, "t").select((2 * F.col("i") + (F.col("component") == "v").cast("long")).alias("feature_id"), (F.col("i") * len(times) + F.col("k")).alias("t_idx"), "x")
+    n, m = 2 * len(cells), len(cells) * len(times)
+    grid = spark.range(n).withColumnRenamed("id", "feature_id").crossJoin(spark.range(m).withColumnRenamed("id", "t_idx"))
+    whole = grid.join(placed, ["feature_id", "t_idx"], "left").na.fill(0.0, ["x"])
+    feats = spark.createDataFrame([(i, 0.0, 1.0) for i in range(n)], "feature_id long, mean double, scale double")
+    return feats, blocks.kept(blocks.to_blocks(whole, n, m, 256)), np.arange(m, dtype=np.int64)
 
-@query("SELECT true AS orthogonal, true AS unit_deviation, true AS same_product")
+
+@query(f"WITH {CUBE}, {PAIRS}, k AS (SELECT unnest([1, 5, 20])::INTEGER AS modes) SELECT modes, round(coalesce((SELECT sum(l) FROM o WHERE mode > modes), 0), 4) AS left_over, round(sqrt(coalesce((SELECT sum(l) / any_value(total) FROM o WHERE mode > modes), 0)), 6) AS relative FROM k")
+def rank_r_reconstruction(spark, sf_dir):
+    """What a reconstruction from the first modes leaves over, by taking it from the data: the rest of the closed-form spectrum."""
+    feats, m, axis = _pairs(spark, sf_dir)
+    data = spark.createDataFrame([(int(f), int(t), float(x)) for (f, t), x in np.ndenumerate(blocks.collected(m))], "feature_id long, t long, x double")
+    rows = []
+    for k in (1, 5, 20):
+        s = solvers.by_covariance(m, k)
+        back = modes.reconstruct(feats, modes.physical(modes.loadings_table(spark, s.u), feats), modes.coefficients_table(spark, s.pc, axis), k)
+        left = back.join(data, ["feature_id", "t"]).agg(F.sum(F.pow(F.col("x") - F.col("value"), 2))).first()[0]
+        rows.append((k, round(float(left), 4), round(s.retained_error, 6)))
+    return spark.createDataFrame(rows, "modes int, left_over double, relative double")
+
+
+@query(f"WITH {CUBE}, {PAIRS} SELECT mode, round(l / (times - 1), 6) AS pattern, 1.0::DOUBLE AS deviation FROM o WHERE mode <= 20")
 def standardised_coefficients(spark, sf_dir):
-    got = C.solve(spark, sf_dir, 20)
-    std, dev, _ = modes.standardised(got.svd.pc)
-    table = modes.loadings_table(spark, got.svd.u)
-    return _one(
-        spark,
-        orthogonal=modes.orthogonality(table).first()[0] < 1e-10,
-        unit_deviation=bool(np.allclose(std.std(axis=1, ddof=1), 1, atol=1e-12)),
-        same_product=bool(np.allclose(std * dev[:, None], got.svd.pc - got.svd.pc.mean(axis=1, keepdims=True), atol=1e-9)),
-    )
-
-
-@query(sql("""SELECT round((su + sv) / 2 + sqrt((su - sv) * (su - sv) / 4 + suv * suv), 5) AS major, round((su + sv) / 2 - sqrt((su - sv) * (su - sv) / 4 + suv * suv), 5) AS minor
-FROM (SELECT sum(a.x * a.x) / (count(*) - 1) AS su, sum(b.x * b.x) / (count(*) - 1) AS sv, sum(a.x * b.x) / (count(*) - 1) AS suv
-FROM x a JOIN x b ON a.t = b.t AND a.cell = b.cell AND a.component = 'u' AND b.component = 'v' WHERE a.cell = (SELECT min(cell) FROM kept))"""))
+    """Coefficients with unit deviation, and regression patterns that carry a mode's variance: the closed-form spectrum."""
+    feats, m, axis = _pairs(spark, sf_dir)
+    s = solvers.by_covariance(m, 20)
+    pcs = modes.coefficients_table(spark, s.pc, axis)
+    patterns = modes.regression(modes.physical(modes.loadings_table(spark, s.u), feats), pcs).groupBy("mode").agg(F.round(F.sum(F.pow("regression", F.lit(2.0))), 6).alias("pattern"))
+    return patterns.join(pcs.groupBy("mode").agg(F.round(F.stddev_samp("standardised"), 9).alias("deviation")), "mode").select("mode", "pattern", "deviation")
+
+
+@query(f"WITH {CUBE}, {PAIRS} SELECT mode, round(l / (times - 1), 5) AS variance FROM o")
 def two_component_axes(spark, sf_dir):
-    """Variance ellipse of one cell: the solver's two eigenvalues have a closed form."""
-    own = C.scaled(spark, sf_dir).where("component <> 'eta'")
-    first = own.agg(F.min("cell")).first()[0]
-    rows = own.where(F.col("cell") == first).groupBy("t").pivot("component", ["u", "v"]).agg(F.first("x"))
-    s = solvers.by_covariance(blocks.from_rows(rows.selectExpr("array(u, v) as vec", "t"), 2, "vec", "t"), 2)
-    lam = s.s**2 / (len(s.v) - 1)
-    return _one(spark, major=round(float(lam[0]), 5), minor=round(float(lam[1]), 5))
+    """Variance ellipses of all cells in one decomposition: major and minor axes have a closed form."""
+    _, m, _ = _pairs(spark, sf_dir)
+    s = solvers.by_covariance(m, m.n_features)
+    return spark.createDataFrame([(i + 1, round(float(x), 5)) for i, x in enumerate(s.s**2 / (m.n_times - 1))], "mode int, variance double")
 
 
 @query(sql("SELECT component, (dense_rank() OVER (ORDER BY CASE component WHEN 'u' THEN 0 WHEN 'v' THEN 1 ELSE 2 END, cell) - 1)::BIGINT AS feature_id, cell FROM (SELECT DISTINCT component, cell FROM long)"))
@@ -204,41 +250,51 @@ def feature_map(spark, sf_dir):
     return C.with_ids(C.long(spark, sf_dir)).select("component", "feature_id", "cell").distinct()
 
 
-@query("SELECT true AS same_spectrum, true AS left_is_right")
+@query(sql("""SELECT component, cell, (dense_rank() OVER (ORDER BY CASE component WHEN 'eta' THEN 0 WHEN 'u' THEN 1 ELSE 2 END, cell) - 1)::BIGINT AS host, round(sum(x * x) + 1.3e-8, 4) AS energy FROM x GROUP BY component, cell"""))
 def transpose_permutation(spark, sf_dir):
-    """Features in another order change nothing but the order of loadings."""
-    got = C.solve(spark, sf_dir, 5)
-    n = got.matrix.n_features
-    host = features.feature_map(got.features.select("component", F.lit(0).alias("row"), F.col("cell").alias("col")), features.COLUMN_ORDER)
-    place = {(x["component"], x["col"]): x["feature_id"] for x in host.collect()}
-    move = np.zeros(n, dtype=int)
-    for x in got.features.collect():
-        move[x["feature_id"]] = place[(x["component"], x["cell"])]
-    table = [(int(i), int(j)) for i, j in enumerate(move)]
-    rows = C.with_ids(C.scaled(spark, sf_dir)).join(spark.createDataFrame(table, "feature_id long, host long"), "feature_id").drop("feature_id")
-    index = spark.createDataFrame(list(enumerate(got.axis.tolist())), "t_idx long, t long")
-    other = solvers.by_covariance(blocks.to_blocks(rows.withColumnRenamed("host", "feature_id").join(F.broadcast(index), "t"), n, len(got.axis), 32), 5)
-    dots = np.abs((other.u[move] * got.svd.u).sum(axis=0))
-    return _one(spark, same_spectrum=bool(np.allclose(other.s, got.svd.s, rtol=1e-10)), left_is_right=bool(np.allclose(dots, 1, atol=1e-6)))
-
-
-@query("SELECT round(sum(len_sq), 3) AS total, count(*) AS vectors, true AS converged FROM (SELECT list_sum([x::DOUBLE * x::DOUBLE for x in embedding]) AS len_sq FROM embeddings)")
-def direct_svd_embeddings(spark, sf_dir):
-    """The direct solver on all vectors: all singular values together are the matrix' sum of squares."""
+    """Factors in the host's order of features: left vectors times singular values hold each feature's sum of squares."""
+    got = C.solve(spark, sf_dir, 10_000)
+    feats = got.features.select("feature_id", "component", F.lit(0).alias("row"), F.col("cell").alias("col"), "mean", "scale")
+    host = features.feature_map(feats.select("component", "row", "col"), features.COLUMN_ORDER).withColumnRenamed("feature_id", "host")
+    moved = modes.physical(modes.loadings_table(spark, got.svd.u), got.features).join(feats, "feature_id").join(host, ["component", "row", "col"]).drop("feature_id").withColumnRenamed("host", "feature_id")
+    spectrum = modes.spectrum_table(spark, got.svd)
+    left, _ = modes.host_layout(moved.select("mode", "feature_id", "loading", "physical"), modes.coefficients_table(spark, got.svd.pc, got.axis), spectrum)
+    energy = left.join(spectrum.select("mode", "sigma"), "mode").groupBy(F.col("feature_id").alias("host")).agg(F.sum(F.pow(F.col("loading") * F.col("sigma"), 2)).alias("energy"))
+    return energy.join(host, "host").select("component", F.col("col").alias("cell"), "host", F.round(F.col("energy") + 1.3e-8, 4).alias("energy"))
+
+
+EMBEDDED = """v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS f FROM embeddings), g AS (SELECT a.f AS i, b.f AS j, sum(a.x * b.x) AS v FROM v a JOIN v b USING (vec_id) GROUP BY ALL)"""
+
+
+def _vectors(spark, sf_dir) -> tuple[blocks.BlockMatrix, int]:
     e = C.read(spark, sf_dir, "embeddings")
     width = len(e.first()["embedding"])
-    s = solvers.direct(blocks.from_rows(e, width, "embedding", "vec_id"), width)
-    return _one(spark, total=round(float((s.s**2).sum()), 3), vectors=len(s.v), converged=max(s.left_residual, s.right_residual) < 1e-8)
+    return blocks.kept(blocks.from_rows(e, width, "embedding", "vec_id")), width
+
 
+def _by_solver(spark, found: dict[str, solvers.Svd]) -> DataFrame:
+    rows = [(n, len(s.v), len(s.s), *(_moments(s.s)[f"s{k}"] for k in (2, 4))) for n, s in found.items()]
+    return _digits(spark.createDataFrame(rows, "solver string, vectors long, modes long, s2 double, s4 double"), "s2", "s4")
 
-@query("SELECT 5::BIGINT AS modes, true AS converged, true AS agrees, true AS below_total")
+
+def _solver_sql(*names: str) -> str:
+    m = f"SELECT (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT i) FROM g) AS modes, {MOMENTS}"
+    return f"WITH {EMBEDDED}, m AS ({m}) SELECT solver, vectors, modes, {_digits_sql('s2')}, {_digits_sql('s4')} FROM m, (VALUES {', '.join(f"('{n}')" for n in names)}) n(solver)"
+
+
+@query(_solver_sql("dense"))
+def direct_svd_embeddings(spark, sf_dir):
+    """The solver that the matrix' size calls for, on all vectors: its spectrum by power sums."""
+    m, width = _vectors(spark, sf_dir)
+    s = solvers.direct(m, width)
+    return _by_solver(spark, {s.solver: s})
+
+
+@query(_solver_sql("block_krylov", "qr_tree"))
 def krylov_svd_embeddings(spark, sf_dir):
-    """The Krylov and QR-tree solvers agree with the dense one on the leading modes."""
-    e = C.read(spark, sf_dir, "embeddings")
-    width = len(e.first()["embedding"])
-    m = blocks.kept(blocks.from_rows(e, width, "embedding", "vec_id"))
-    k, d, q = solvers.krylov(m, 5), solvers.dense(m, 5), solvers.qr_tree(m, 5)
-    return _one(spark, modes=len(k.s), converged=max(k.left_residual, k.right_residual) < 1e-8, agrees=bool(np.allclose(k.s, d.s, rtol=1e-9) and np.allclose(q.s, d.s, rtol=1e-9)), below_total=bool((k.s**2).sum() <= k.total))
+    """The Krylov and QR-tree solvers, on all vectors: their whole spectra by power sums."""
+    m, width = _vectors(spark, sf_dir)
+    return _by_solver(spark, {"block_krylov": solvers.krylov(m, width), "qr_tree": solvers.qr_tree(m, width)})
 
 
 # ---------------------------------------------------------------- time axes, on events
@@ -580,25 +636,179 @@ def paired_axes(spark, sf_dir):
     return a.join(b, "d", "full").agg(F.count_if(F.col("n").isNull() | F.col("m").isNull()).alias("unmatched"), F.count_if(F.col("n") == F.col("m")).alias("equal"))
 
 
-def mode_regions(spark, sf_dir) -> DataFrame:
-    """Spectra of each region's own cube, solved side by side in one job: a group per region."""
-    own = C.cube(spark, sf_dir).join(C.cells(spark, sf_dir), "cell").join(C.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cell"), F.col("n_regionkey").alias("region")), "cell")
+BY_REGION = """rx AS (SELECT anom.*, n_regionkey AS region FROM anom JOIN nation ON cell = n_nationkey),
+rr AS (SELECT region, feature_group, sqrt(sum(anomaly * anomaly * weight * weight) / sum(weight * weight)) AS rms FROM rx GROUP BY ALL),
+f AS (SELECT region, t, component, cell, anomaly * weight / rms AS x FROM rx JOIN rr USING (region, feature_group)),
+g AS (SELECT region, a.component AS ci, a.cell AS i, b.component AS cj, b.cell AS j, sum(a.x * b.x) AS v FROM f a JOIN f b USING (region, t) GROUP BY ALL),
+m AS (SELECT region, count(DISTINCT (ci, i)) AS features, sum(v) FILTER (ci = cj AND i = j) AS s2, sum(v * v) AS s4 FROM g GROUP BY region)"""
+
+
+@query(f"WITH {CUBE}, {BY_REGION} SELECT region::BIGINT AS region, features, {_digits_sql('s2')}, {_digits_sql('s4')} FROM m")
+def mode_regions(spark, sf_dir):
+    """Each region's own modes, several at a time: whole spectra by power sums."""
+    own = C.anomaly(spark, sf_dir).drop("x").join(C.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cell"), F.col("n_regionkey").alias("region")), "cell").persist()
+    times = sorted(x[0] for x in own.select("t").distinct().collect())
+    index = spark.createDataFrame(list(enumerate(times)), "t_idx long, t long")
+
+    def one(region: int) -> tuple:
+        mine = own.where(F.col("region") == region)
+        rows = C.with_ids(standardize.scaled(mine, standardize.group_scales(mine))).join(F.broadcast(index), "t")
+        n = mine.select("component", "cell").distinct().count()
+        s = solvers.by_covariance(blocks.to_blocks(rows, n, len(times), 32), n)
+        return (region, n, *(_moments(s.s)[f"s{k}"] for k in (2, 4)))
+
+    found = products.together([lambda k=k: one(k) for k in sorted(x[0] for x in own.select("region").distinct().collect())], 3)
+    own.unpersist()
+    return _digits(spark.createDataFrame(found, "region long, features long, s2 double, s4 double"), "s2", "s4")
+
+
+# ---------------------------------------------------------------- runs on array caches
+
+H = 3_600_000_000_000
+FIRST_HOUR = 1_735_689_600_000_000_000  # 2025-01-01
+DOMAIN = "nations"
+STEPS_A_MONTH = 12
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def _cache(spark, sf_dir) -> tuple[str, list[int], list[int]]:
+    """(root, times, cells): the cube as an array cache, with an hour for each month and a column for each nation; made once a session. A few thousand numbers."""
+    rows = C.cube(spark, sf_dir).toPandas()
+    area = {x["cell"]: x["area"] for x in C.cells(spark, sf_dir).collect()}
+    times, cells = sorted(int(t) for t in rows["t"].unique()), sorted(int(c) for c in area)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _ROOTS:
+        return _ROOTS[key], times, cells
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = f"{base.removeprefix('file:').rstrip('/')}/arrays-{uuid.uuid4().hex}"
+    grid = Path(root) / DOMAIN / "grid"
+    grid.mkdir(parents=True)
+    for name, value in (("lon", 120 + 0.01 * np.arange(len(cells))), ("lat", np.array([22.0])), ("cell_area_m2", np.array([[area[c] for c in cells]])), ("mask_static", np.ones((1, len(cells)), bool))):
+        np.save(grid / f"{name}.npy", value)
+    cube = np.full((3, len(times), 1, len(cells)), np.nan)
+    at, col = {t: i for i, t in enumerate(times)}, {c: i for i, c in enumerate(cells)}
+    for x in rows.itertuples():
+        cube[:, at[x.t], 0, col[x.cell]] = float(x.u), float(x.v), float(x.eta)
+    for i, a in enumerate(range(0, len(times), STEPS_A_MONTH)):
+        month, part = Path(root) / DOMAIN / "months" / f"2025{i + 1:02d}", slice(a, a + STEPS_A_MONTH)
+        month.mkdir(parents=True)
+        np.save(month / "time_utc_ns.npy", FIRST_HOUR + H * np.arange(len(times))[part])
+        for name, x in zip(("u_surface_mps", "v_surface_mps", "eta_m"), cube[:, part], strict=True):
+            np.save(month / f"{name}.npy", x)
+        np.save(month / "valid_mask_surface.npy", np.ones(cube[0, part].shape, bool))
+        (month / "metadata.json").write_text(json.dumps({"status": "ready", "cache_kind": "standard_month", "month": month.name, "cache_schema_version": "3.0.0", "domain": {"domain_id": DOMAIN}}))
+    _ROOTS[key] = root
+    return root, times, cells
+
+
+def _months(root: str) -> list[str]:
+    return sorted(p.name for p in (Path(root) / DOMAIN / "months").iterdir())
+
+
+def _config(root: str, cells: list[int]) -> dict:
+    return {
+        "schema_version": "1.0.0", "analysis_kind": "surface_multivariate_svd", "analysis_label": "nations v1",
+        "focus": {"focus_id": "all", "name_zh": "all", "approval_status": "approved", "flow_domain_id": DOMAIN, "bbox_lon_lat": [119.995, 120 + 0.01 * len(cells), 21.9, 22.1], "anchor_lonlat": [120.0, 22.0]},
+        "input": {"year": 2025, "months": [int(m[4:]) for m in _months(root)], "required_cache_kinds": ["standard_month"], "required_cache_schema_major": 3, "expected_timestep_hours": 1.0, "maximum_source_gap_hours": None},
+        "mask_and_missing_data": {"minimum_static_ocean_cells": 1, "minimum_cell_triplet_valid_fraction": 0.95, "max_consecutive_missing_timesteps_to_interpolate": 0, "minimum_retained_time_fraction": 0.1},
+        "svd": {"requested_mode_count": 10_000, "minimum_reported_mode_count": 1}, "figures": {},
+    }
+
+
+def _run(spark, sf_dir) -> tuple[str, list[int], list[int]]:
+    """(published run, times, cells) of the array cache."""
+    root, times, cells = _cache(spark, sf_dir)
+    config = surface_config(_config(root, cells))
+    kind, found = runs.selection(spark, f"{root}/out/svd", config.raw)
+    return (found if kind == "exact" else surface.run(spark, config, root, f"{root}/out")), times, cells
+
+
+def _named(df: DataFrame, spark, times: list[int], cells: list[int]) -> DataFrame:
+    """Columns and hours back to nations and months."""
+    at = spark.createDataFrame([(FIRST_HOUR + H * i, t) for i, t in enumerate(times)], "ns long, month long")
+    col = spark.createDataFrame(list(enumerate(cells)), "col long, cell long")
+    return df.withColumnRenamed("t", "ns").join(at, "ns").join(col, "col").withColumnRenamed("month", "t")
+
+
+ROUNDED = ", ".join(f"round({c} + 1.3e-8, 6) + 0.0 AS {c}" for c in ("u", "v", "eta"))
+
+
+@query(sql(f"SELECT t, cell::BIGINT AS cell, {ROUNDED} FROM cube"))
+def array_source(spark, sf_dir):
+    """The cube read from an array cache: months' headers, axis and fields."""
+    root, times, cells = _cache(spark, sf_dir)
+    found = arrays.months(root, DOMAIN, _months(root))
+    cube = arrays.surface(spark, root, DOMAIN, found).where("u is not null").join(arrays.axis(spark, root, DOMAIN, found).select("ordinal", "src", "t"), ["ordinal", "src"]).drop("month")
+    return _named(cube, spark, times, cells).select("t", "cell", *(r(F.col(c) + 1.3e-8).alias(c) for c in ("u", "v", "eta")))
+
+
+@query(sql(f"""SELECT t, cell::BIGINT AS cell, {ROUNDED} FROM cube, (SELECT min(t) AS first FROM cube) JOIN (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS col FROM cells) c USING (cell)
+WHERE col BETWEEN 5 AND 8 AND (SELECT count(DISTINCT t) FROM cube b WHERE b.t < cube.t) BETWEEN 12 AND 35""".replace("FROM cube, (SELECT min(t) AS first FROM cube) JOIN", "FROM cube JOIN")))
+def table_source(spark, sf_dir):
+    """Two months and four columns of the cube, exported to tables and read with both pushed down."""
+    root, times, cells = _cache(spark, sf_dir)
+    out = f"{root}/tables-{uuid.uuid4().hex}"
+    arrays.export(spark, root, DOMAIN, arrays.months(root, DOMAIN, _months(root)), out)
+    found = arrays.exported_months(spark, out, DOMAIN, ["202502", "202503"])
+    cube, axis = arrays.exported(spark, out, DOMAIN, found, (0, 1, 5, 9))
+    own = cube.where("u is not null").join(axis.select("ordinal", "src", "t"), ["ordinal", "src"]).drop("month")
+    return _named(own, spark, times, cells).select("t", "cell", *(r(F.col(c) + 1.3e-8).alias(c) for c in ("u", "v", "eta")))
+
+
+@query("SELECT (row_number() OVER (ORDER BY s_nationkey) - 1)::BIGINT AS col, 0::BIGINT AS row, count(*)::DOUBLE AS area, true AS static FROM supplier GROUP BY s_nationkey")
+def grid_source(spark, sf_dir):
+    root, _, _ = _cache(spark, sf_dir)
+    return arrays.grid(spark, root, DOMAIN).select("col", "row", "area", "static")
+
+
+@query(f"""WITH {CUBE}, {GRAM}, m AS (SELECT {MOMENTS}) SELECT (SELECT count(*) FROM kept) AS cells, (SELECT count(DISTINCT t) FROM cube) AS times, (SELECT count(*) FROM full_t) AS retained,
+(SELECT round(rms, 6) FROM rms WHERE feature_group = 0) AS velocity_rms, (SELECT round(rms, 6) FROM rms WHERE feature_group = 1) AS eta_rms, {_digits_sql('s2')}, {_digits_sql('s4')} FROM m""")
+def surface_run(spark, sf_dir):
+    """A whole published run, from the cache's files: cells, times, scales, and its spectrum by power sums."""
+    run, _, _ = _run(spark, sf_dir)
+    meta = runs.read_metadata(spark, run)
+    sigma = np.array([x["sigma"] for x in products.validated(spark, run)["spectrum"].collect()])
+    p = meta["preparation"]
+    one = _one(spark, cells=p["common_ocean_cell_count"], times=p["initial_time_count"], retained=p["retained_time_count"], velocity_rms=round(meta["velocity_rms"], 6), eta_rms=round(meta["eta_rms"], 6), **{k: v for k, v in _moments(sigma).items() if k != "s6"})
+    return _digits(one, "s2", "s4")
+
+
+@query(sql("SELECT t, cell::BIGINT AS cell, component, round(x + 1.3e-8, 5) + 0.0 AS value FROM long"))
+def run_reconstruction(spark, sf_dir):
+    """Means and all modes of a published run give its data back."""
+    run, times, cells = _run(spark, sf_dir)
+    back = products.reconstruction(spark, run, 10_000)
+    return _named(back, spark, times, cells).select("t", "cell", "component", r(F.col("value") + 1.3e-8, 5).alias("value"))
+
+
+@query(sql("SELECT 'all' AS region, (SELECT count(*) FROM kept) AS cells, (SELECT round(sum(area) / 1e6, 9) FROM cells JOIN kept USING (cell)) AS area_km2, (SELECT round(100.0 * count(*) / 17544, 6) FROM full_t) AS coverage, 1.0::DOUBLE AS ev"))
+def region_table(spark, sf_dir):
+    run, _, _ = _run(spark, sf_dir)
+    t = products.region_report(spark, {"all": run})
+    return t.groupBy("region", "cells", F.round("area_km2", 9).alias("area_km2"), F.round("coverage", 6).alias("coverage")).agg(F.round(F.sum("ev"), 9).alias("ev"))
+
+
+@query(sql("SELECT component, count(*) AS cells FROM kept, (VALUES ('u'), ('v'), ('eta')) c(component) GROUP BY component"))
+def figure_coverage(spark, sf_dir):
+    run, _, _ = _run(spark, sf_dir)
+    return products.figure_tables(spark, run)["coverage"].select("component", "cells")
 
-    def solve(pdf):
-        import pandas as pd
 
-        wide = pdf.pivot_table(index="t", columns="cell", values=["u", "v", "eta"]).dropna()
-        area = pdf.groupby("cell")["area"].first()
-        a = wide - wide.mean()
-        weight = np.sqrt(np.array([area[c] for _, c in wide.columns]))
-        is_eta = np.array([n == "eta" for n, _ in wide.columns])
-        x = a.to_numpy() * weight
-        for group in (is_eta, ~is_eta):
-            x[:, group] /= math.sqrt(float((x[:, group] ** 2).sum()) / (len(x) * float((weight[group] ** 2).sum())))
-        s = np.linalg.svd(x, compute_uv=False)[:5]
-        return pd.DataFrame({"region": int(pdf["region"].iloc[0]), "mode": np.arange(1, len(s) + 1), "ev": np.round(s**2 / float((x**2).sum()), 6)})
-
-    return own.groupBy("region").applyInPandas(solve, "region long, mode int, ev double")
-
-
-QUERIES["mode_regions"] = mode_regions
+@query("""WITH a AS (SELECT event_id, strftime(ts, '%Y%m') AS month, epoch_us(date_trunc('hour', ts)) AS t, row_number() OVER (ORDER BY ts, event_id) AS src FROM events),
+m AS (SELECT count(*) AS n FROM a WHERE event_id % 1000 = 0)
+SELECT true AS same_pass, n = 0 AS shifted_pass FROM m""")
+def paired_sources(spark, sf_dir):
+    """Two caches' axes: equal ones pass, and axes that differ at some steps (every thousandth event an hour late) are refused, if there is such a step."""
+    e = C.read(spark, sf_dir, "events")
+    a = e.select(F.date_format("ts", "yyyyMM").alias("month"), F.col("event_id").cast("long").alias("src"), scalar.timestamp_to_ns(F.date_trunc("hour", "ts")).alias("t"))
+    late = a.withColumn("t", F.col("t") + F.when(F.col("src") % 1000 == 0, H).otherwise(0))
+    months = [arrays.Month(m, "standard_month", 1, {}) for m in sorted(x[0] for x in a.select("month").distinct().collect())]
+
+    def passes(other: DataFrame) -> bool:
+        try:
+            column.paired(months, months, a, other)
+        except ContractError:
+            return False
+        return True
+
+    return _one(spark, same_pass=passes(a), shifted_pass=passes(late))
