@@ -15,7 +15,8 @@ are strangers with a line in common. So no pair is lost.
 
 Sets that share enough keys meet in a cluster. Within a cluster a finer sketch of parity bits rules out pairs
 whose Hamming distance exceeds D, and the others are verified on the sets themselves. Clusters beyond
-BLOCK sets, or BLOCK_SHINGLES shingles, are dealt into blocks, and pairs of blocks are compared apart.
+BLOCK sets, or BLOCK_SHINGLES shingles, are dealt into blocks, and pairs of blocks are compared apart; but where few sets of such a cluster share
+keys (SPARSE pairs a set at most, as in a long chain), only the pairs that do are verified, so that work grows with the pairs.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ FREQUENT = 16
 WITNESSES = 3
 #: Sets up to this size have keys for cells less one element.
 SMALL = 96
+#: Pairs a set in a large cluster whose pairs are verified one by one.
+SPARSE = 8
 #: Share of the sets of a band that may have more empty cells than there is room for.
 CROWDED = 1e-4
 
@@ -227,7 +230,7 @@ def measured(chunks: DataFrame, k: int) -> DataFrame:
 
 
 def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b), and the written table that it reads: pairs of classes (nodes) that share enough rare keys, and links that connect those that share a frequent one and have too many.
+    """(a, b, forest), and the written table that it reads: pairs of classes (nodes) that share enough rare keys, and (forest) links that connect those that share a frequent one and have too many.
 
     Keys leave a task in bundles, one per bucket; of the texts of a bundle with equal sets one counts, so a
     set that a third of all rows share is one entry per bundle.
@@ -316,7 +319,7 @@ def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> tuple[
     crowded = frequent.groupBy("a", "join").agg(F.count(F.lit(1)).alias("n"), F.max("room").alias("most")).where("n > most").select("a", "join")
     again = frequent.join(crowded, ["a", "join"]).select("a", "b", F.pmod(F.xxhash64("b"), F.lit(n_buckets)).alias("bucket")).groupBy("bucket").applyInArrow(shared, "a long, b long")
     pairs = found.where("join < 0").groupBy("a", "b").agg(F.sum("room").alias("n")).where(F.col("n") >= WITNESSES).select("a", "b")
-    return pairs.unionByName(again), found
+    return pairs.withColumn("forest", F.lit(False)).unionByName(again.withColumn("forest", F.lit(True))), found
 
 
 def verified_links(chunks: DataFrame, members: DataFrame, k: int, t: int) -> DataFrame:
@@ -352,6 +355,31 @@ def verified_links(chunks: DataFrame, members: DataFrame, k: int, t: int) -> Dat
     return sets.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def paired_links(chunks: DataFrame, members: DataFrame, pairs: DataFrame, k: int, t: int) -> DataFrame:
+    """(a, b): those of ``pairs`` that are similar. ``members`` (chunk, tag, node) has a text of each class that occurs in them."""
+
+    def fetch(docs: pa.Table, mine: pa.Table) -> pa.Table:
+        of = {x["tag"]: x["node"] for x in mine.to_pylist()}
+        at = {tag: i for i, tag in enumerate(docs.column("tag").to_pylist()) if tag in of}
+        sets = shingles(docs.column("text").take(pa.array(list(at.values()), pa.int64())).to_pylist(), k) if at else []
+        return pa.table({"node": pa.array([of[tag] for tag in at], pa.int64()), "own": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    def verify(batches):
+        for b in batches:
+            a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
+            keep = []
+            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
+                p, q = np.frombuffer(x.as_py(), dtype=U64), np.frombuffer(y.as_py(), dtype=U64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= t * (len(p) + len(q) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([c[i] for i in keep], pa.int64())], ["a", "b"])
+
+    sets = stash(chunks.groupBy("chunk").cogroup(members.groupBy("chunk")).applyInArrow(fetch, "node long, own binary"), "ngram-sets")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+    return one.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row: doc_id, tag, n_shingles, component_id, root.
 
@@ -370,14 +398,25 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
     reps = stash(classes.select("node", "print", "low", "rep.chunk", "rep.tag", "n_shingles"), "ngram-classes")
     total = reps.agg(F.sum("n_shingles")).first()[0] or 0
     candidates, keys = candidate_links(chunks, k, t, max(1, min(1 << 30, total // (2 * KEYS_PER_BUCKET)) + 32))
-    clusters = stash(components(candidates), "ngram-clusters")
+    candidates = stash(candidates, "ngram-pairs")
     drop_stash(keys)
+    clusters = stash(components(candidates.select("a", "b")), "ngram-clusters")
     placed = clusters.join(reps.select("node", "chunk", "tag", "n_shingles"), "node")
-    sizes = placed.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
+    sizes = stash(sizes, "ngram-sizes")
+    large, found = sizes.where("n_blocks > 1"), []
+    if not large.isEmpty():
+        rooted = candidates.join(clusters.select(F.col("node").alias("a"), "root"), "a").join(large.select("root", F.col("n").alias("sets")), "root")
+        sparse = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("pairs"), F.max("forest").alias("forest"), F.first("sets").alias("sets")).where(~F.col("forest") & (F.col("pairs") <= SPARSE * F.col("sets"))).select("root")
+        sparse = stash(sparse, "ngram-sparse")
+        found.append(paired_links(chunks, placed.join(sparse, "root").select("chunk", "tag", "node"), rooted.join(sparse, "root").select("a", "b"), k, t))
+        sizes = sizes.join(sparse, "root", "left_anti")
     members = placed.join(sizes, "root").select(
         "chunk", "tag", "node", F.col("root").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"), "n_blocks"
     )
-    links = stash(verified_links(chunks, members, k, t), "ngram-links")
+    found.append(verified_links(chunks, members, k, t))
+    links = stash(functools.reduce(DataFrame.unionByName, found), "ngram-links")
+    drop_stash(candidates)
     drop_stash(clusters)
     roots = components(links)
     drop_stash(links)

@@ -665,6 +665,20 @@ def test_near_duplicates_equal_brute_force(spark, k, t):
     assert got == want
 
 
+def test_long_chains_are_verified_pair_by_pair(spark, monkeypatch):
+    """A chain of sets, each like the next: no block compares them all, and none is lost."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[4 * i : 4 * i + 100]) for i in range(700)]  # 4 of 100 words move on
+    texts += [" ".join(f"x{j}y{i}" for j in range(60)) for i in range(20)]
+    d = table(spark, texts)
+    seen = []
+    own = ngram_join.paired_links
+    monkeypatch.setattr(ngram_join, "paired_links", lambda *a: seen.append(a[2].count()) or own(*a))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(d, 5, 80, block=24).collect()}
+    assert seen and seen[0] <= ngram_join.SPARSE * 700
+    assert {got[i] for i in range(700)} == {0} and all(got[i] == i for i in range(700, 720))
+
+
 def test_near_duplicates_on_given_documents(spark):
     d = docs(spark)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op7_ngram_join(spark, DATA).collect()}
