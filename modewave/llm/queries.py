@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-SQL = {"op3_url_filter": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL}
+SQL = {"op3_url_filter": url_filter.SQL, "op7_ngram_join": ngram_join.SQL, "op8_exact_dedup": exact_dedup.SQL}
