@@ -22,7 +22,7 @@ from .operators import blocks, features, gapfill, geometry, masks, modes, regrid
 from .plans import column, products, surface
 from .plans import cube as C
 from .sources import arrays, runs
-from .sources.config import surface_config
+from .sources.config import column_config, surface_config
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -521,14 +521,51 @@ def paired_feature_mask(spark, sf_dir):
     return masks.paired_selection(_fractions(spark, sf_dir)[0], 0.3).select("level", F.col("col").alias("cell"), "component")
 
 
-@query("WITH " + FRACTIONS + """, few AS (SELECT count(*) AS k FROM f, months WHERE least(nu, nv) / n::DOUBLE >= 0.9)
-SELECT CASE WHEN k >= 1000000 THEN 'configured' ELSE 'complete_feature_fallback' END AS policy, (SELECT count(*) FROM f, months WHERE least(nu, nv) / n::DOUBLE >= 1.0) AS features FROM few""")
+#: Features of six levels and the surface by region and year; those of one level, region and year are taken out.
+PRESENT = """
+item AS (SELECT l_linenumber - 1 AS level, n_regionkey AS col, year(l_shipdate) AS t, l_discount, l_tax, l_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  WHERE NOT (l_linenumber = 1 AND n_regionkey = 0 AND year(l_shipdate) = 1995)),
+val AS (SELECT 'u' AS c, level, col, t FROM item WHERE level < 6 AND l_discount >= 0.02 UNION SELECT 'v', level, col, t FROM item WHERE level < 6 AND l_tax >= 0.02 UNION SELECT 'eta', -1, col, t FROM item WHERE l_quantity > 5),
+years AS (SELECT count(DISTINCT year(l_shipdate)) AS n FROM lineitem),
+frac AS (SELECT c, level, col, count(*) / any_value(n)::DOUBLE AS f FROM val, years GROUP BY c, level, col),
+uv AS (SELECT level, col FROM frac WHERE c <> 'eta' GROUP BY ALL HAVING count(*) = 2),
+least AS (SELECT unnest([0.5, 1.0]) AS least),
+own AS (SELECT least, c, level, col FROM frac JOIN least ON f >= least WHERE c = 'eta' UNION ALL
+  SELECT least, a.c, a.level, a.col FROM frac a JOIN uv USING (level, col) JOIN least ON (SELECT min(f) FROM frac b WHERE b.c <> 'eta' AND b.level = a.level AND b.col = a.col) >= least WHERE a.c <> 'eta'),
+k AS (SELECT least, count(*) AS features FROM own GROUP BY least),
+whole AS (SELECT q.least, count(*) AS times FROM (SELECT own.least, t, count(*) AS m FROM own JOIN val USING (c, level, col) GROUP BY own.least, t) q JOIN k ON k.least = q.least AND q.m = k.features GROUP BY q.least)
+"""
+
+
+@query("WITH " + PRESENT + """SELECT wanted, CASE WHEN a.times / n::DOUBLE >= wanted THEN 'configured_minimum_feature_valid_fraction' ELSE 'complete_feature_fallback_after_time_intersection_loss' END AS policy,
+CASE WHEN a.times / n::DOUBLE >= wanted THEN ka.features ELSE kb.features END AS features, CASE WHEN a.times / n::DOUBLE >= wanted THEN a.times ELSE b.times END AS retained
+FROM (SELECT unnest([0.5, 1.0])::DOUBLE AS wanted), years, whole a, whole b, k ka, k kb WHERE a.least = 0.5 AND b.least = 1.0 AND ka.least = 0.5 AND kb.least = 1.0""")
 def fallback_policy(spark, sf_dir):
-    """Selection at the configured share; if that keeps too little, only features that are always there."""
-    fr, _ = _fractions(spark, sf_dir)
-    first = masks.paired_selection(fr, 0.9).where("component = 'u'").count()
-    policy, least = ("configured", 0.9) if first >= 1_000_000 else ("complete_feature_fallback", 1.0)
-    return _one(spark, policy=policy, features=masks.paired_selection(fr, least).where("component = 'u'").count())
+    """Selection at the configured share of times; where that keeps too few, only features that are always there."""
+    items = C.read(spark, sf_dir, "lineitem").join(C.read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(C.read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    own = items.select((F.col("l_linenumber") - 1).cast("int").alias("level"), F.lit(0).alias("row"), F.col("n_regionkey").cast("int").alias("col"), F.year("l_shipdate").cast("long").alias("t"), "l_discount", "l_tax", "l_quantity")
+    times = own.select("t").distinct().select("t", F.lit(0).alias("ordinal"), F.col("t").alias("src"))
+    own = own.where(~((F.col("level") == 0) & (F.col("col") == 0) & (F.col("t") == 1995)))
+    parts = [own.where("level < 6 and l_discount >= 0.02").withColumn("component", F.lit("u")), own.where("level < 6 and l_tax >= 0.02").withColumn("component", F.lit("v")), own.where("l_quantity > 5").withColumn("component", F.lit("eta")).withColumn("level", F.lit(-1))]
+    values = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("t", "component", "level", "row", "col").distinct().withColumn("x", F.lit(1.0)).persist()
+    layout = spark.createDataFrame([(c, lv, 0, k, 1.0, int(c == "eta")) for k in range(5) for c, lv in [*((c, i) for c in "uv" for i in range(6)), ("eta", -1)]], "component string, level int, row int, col int, weight double, feature_group int")
+    rows = []
+    for wanted in (0.5, 1.0):
+        config = column_config(_column_config(wanted))
+        s = column.select(values, layout, times, config)
+        rows.append((wanted, s.policy, s.report["features"], s.report["retained_times"]))
+    values.unpersist()
+    return spark.createDataFrame(rows, "wanted double, policy string, features long, retained long")
+
+
+def _column_config(least_times: float) -> dict:
+    return {
+        "schema_version": "1.0.0", "analysis_kind": "water_column_multivariate_svd", "analysis_label": "regions_v1",
+        "domain": {"flow_domain_id": "regions", "bbox_lon_lat": [0, 9, 0, 9], "center_lonlat": [1, 1]}, "input": {"year": 2025, "months": [1], "expected_timestep_hours": 1.0},
+        "vertical_sampling": {"fixed_depths_m_below_vertical_datum": [10, 20, 30, 40, 50], "vertical_quadrature_weights_m": [5, 10, 10, 10, 10, 5]},
+        "mask_and_missing_data": {"minimum_feature_valid_fraction": 0.5, "minimum_retained_time_fraction": least_times, "minimum_cells_per_velocity_level": 1, "minimum_eta_cells": 1},
+        "svd": {"requested_mode_count": 2, "minimum_reported_mode_count": 1}, "solver": {"dense_memory_limit_gib": 1.0}, "figures": {},
+    }
 
 
 @query(f"""WITH {GRID}, e AS (SELECT greatest(119.0, min(lon) - 0.005) AS a, least(120.042, max(lon) + 0.005) AS b, greatest(21.0, min(lat) - 0.005) AS c, least(22.044, max(lat) + 0.005) AS d FROM grid)
