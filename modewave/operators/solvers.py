@@ -143,14 +143,18 @@ def _orthonormal(x: np.ndarray, basis: list[np.ndarray]) -> np.ndarray:
     return q[:, d > 1e-13 * max(1.0, float(d.max(initial=0.0)))] if len(d) else q
 
 
-def krylov(m: BlockMatrix, requested: int, least: int = 1, tolerance: float = 1e-9, rounds: int = 10, attempts: int = 3, seed: int = 0) -> Svd:
-    """Top modes from a block Krylov space with full reorthogonalisation. A failed attempt doubles the rounds; after the last it raises."""
+def krylov(m: BlockMatrix, requested: int, least: int = 1, tolerance: float = 1e-9, rounds: int = 10, attempts: int = 3, seed: int = 0, basis_bytes: int = 2 << 30) -> Svd:
+    """Top modes from a block Krylov space with full reorthogonalisation. A failed attempt doubles the rounds; after the last it raises.
+
+    A basis that outgrows ``basis_bytes`` on the driver is cut back to its best ``wide`` vectors, whose images follow without a pass, and grows again from there.
+    """
     total = frobenius2(m)
     k = min(requested, m.n_features, m.n_times)
     wide = min(m.n_features, m.n_times, k + 8)
     rng = np.random.default_rng(seed)
     start = np.linalg.qr(rng.standard_normal((m.n_times, wide)))[0]
     tried: list[dict] = []
+    most = max(3, basis_bytes // (8 * (m.n_features + m.n_times) * wide))  # blocks of the basis that fit
     lefts: list[np.ndarray] = []
     images: list[np.ndarray] = []  # A^T of each left block
     nxt, done = start, 0
@@ -158,6 +162,11 @@ def krylov(m: BlockMatrix, requested: int, least: int = 1, tolerance: float = 1e
     for attempt in range(attempts):
         goal, exhausted = rounds << attempt, False
         while done < goal and not exhausted:
+            if len(lefts) >= most:
+                q, b = np.hstack(lefts), np.hstack(images)
+                wt = np.linalg.svd(b, full_matrices=False)[2][:wide]
+                lefts, images = [q @ wt.T], [b @ wt.T]
+                nxt = np.linalg.qr(images[0])[0]
             left = _orthonormal(times_right(m, nxt), lefts)
             exhausted = not left.shape[1]
             if not exhausted:

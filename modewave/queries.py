@@ -462,6 +462,7 @@ def mesh_support(spark, sf_dir):
 
 @query("WITH k AS (SELECT DISTINCT l_suppkey AS x FROM lineitem WHERE l_quantity > 49) SELECT count(*) AS runs FROM k WHERE x - 1 NOT IN (SELECT x FROM k)")
 def node_runs(spark, sf_dir):
+    """Runs of consecutive numbers among suppliers of large quantities: the condition makes the gaps."""
     k = C.read(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_suppkey")
     return _one(spark, runs=regrid.island_count(k, "l_suppkey"))
 

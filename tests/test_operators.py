@@ -147,6 +147,16 @@ def test_large_covariances_go_to_a_direct_solver(spark):
     assert "Window" not in m.blocks._jdf.queryExecution().executedPlan().toString()
 
 
+def test_krylov_basis_is_cut_back(spark):
+    """A basis of three blocks at most: more passes, the same modes."""
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(90, 40)) @ np.diag(0.8 ** np.arange(40)) @ rng.normal(size=(40, 40))
+    m = blocks.kept(blocks.from_rows(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(a)], "k long, v array<double>"), 40, "v", "k"))
+    s = np.linalg.svd(a, compute_uv=False)
+    got = solvers.krylov(m, 4, basis_bytes=1, rounds=20)
+    assert np.allclose(got.s, s[:4], rtol=1e-9) and max(got.left_residual, got.right_residual) < 1e-8 and got.orthogonality < 1e-10
+
+
 def test_arrows_keep_off_the_edges(spark):
     g = spark.createDataFrame([(r, c, 120 + 0.1 * c, 22 + 0.1 * r, 1.0, float("nan") if (r, c) == (4, 4) else 1.0) for r in range(9) for c in range(9)], "row int, col int, lon double, lat double, u double, v double")
     extent = masks.map_extent(g, (119.0, 120.82, 21.0, 23.0), 0.1, 0.1)
