@@ -56,7 +56,7 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words)
     if n < k:
         return np.zeros(0, dtype=U64)
-    done, total, block, power, base = 0, np.zeros(n, dtype=U64), mix(words + ODD), 1, int(ODD) | 1
+    done, total, block, base = 0, np.zeros(n, dtype=U64), mix(words + ODD), int(ODD) | 1
     # total: hash of the first ``done`` words from each place; block: of the next power of two
     size = 1
     while size <= k:
@@ -69,7 +69,6 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
         nxt[: n - size] = block[size:]
         block = block * U64(pow(base, size, 1 << 64)) + nxt
         size *= 2
-    del power
     return mix(total[: n - k + 1])
 
 

@@ -87,68 +87,66 @@ def _each(batches):
             yield b.slice(i, 1).to_pylist()[0]
 
 
+def block_row(number: int, own: list[tuple[int, bool, bytes, bool]]) -> tuple:
+    """A block's row of TEXT, from (row, held out, text, whether it ends there) of each of its texts."""
+    code: dict[bytes, int] = defaultdict(count().__next__)
+    parts, sizes = [], []
+    for _, _, data, last in own:
+        t = list(map(code.__getitem__, data.split()))
+        if last:
+            t.append(code[END])
+        sizes.append(len(t))
+        parts.append(np.array(t, dtype=np.int64))
+    words, tokens = list(code), np.concatenate(parts)
+    keys = keys_of(words)
+    order = np.argsort(keys, kind="stable")
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    tokens, words = back[tokens], [words[i] for i in order.tolist()]
+    held, sizes = np.array([h for _, h, _, _ in own], dtype=np.uint8), np.array(sizes, dtype=np.int64)
+    seen = np.bincount(tokens, np.repeat(1 - held, sizes), len(words)).astype(np.int64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    size = np.bincount(np.repeat(np.arange(len(own)), sizes), lengths[tokens], len(own)).astype(np.int64)
+    rows = np.array([r for r, _, _, _ in own], dtype=np.int64)
+    return (number, packed(rows), packed(held), packed(sizes), packed(size), packed(tokens), len(own), len(tokens), len(words), packed(np.diff(keys[order], prepend=U64(0))), packed(seen), packed_text(b"\n".join(words)))
+
+
+def packed_text(data: bytes) -> bytes:
+    return np.array([len(data)], dtype=np.int64).tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked_text(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int(np.frombuffer(data[:8], dtype=np.int64)[0]), codec="zstd", asbytes=True)
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(the blocks; row, doc_id, held_out): the texts as tokens, and the rows that they are of. ``docs``: doc_id, text, held_out."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    kinds = _kinds(TEXT)
+    id_type, id_arrow, kinds = docs.schema["doc_id"].dataType.simpleString(), _arrow_type(docs), _kinds(TEXT)
+
+    def batch(number: int, own: list, new: list) -> pa.RecordBatch:
+        out = _rows(kinds, [block_row(number, own)])
+        lists = [([x[i] for x in new], k) for i, k in ((0, pa.int64()), (1, id_arrow), (2, pa.bool_()))]
+        return pa.RecordBatch.from_arrays([*out.columns, *(pa.array([x], pa.list_(k)) for x, k in lists)], [*out.schema.names, "names", "ids", "flags"])
 
     def run(batches):
         task = TaskContext.get().partitionId()
         number, row = count(task << 32), count(task << 40)
-        ids: list = []
-
-        def block(own: list[tuple[int, bool, bytes, bool]]) -> tuple:
-            code: dict[bytes, int] = defaultdict(count().__next__)
-            parts, sizes = [], []
-            for _, _, data, last in own:
-                t = list(map(code.__getitem__, data.split()))
-                if last:
-                    t.append(code[END])
-                sizes.append(len(t))
-                parts.append(np.array(t, dtype=np.int64))
-            words, tokens = list(code), np.concatenate(parts)
-            keys = keys_of(words)
-            order = np.argsort(keys, kind="stable")
-            back = np.empty(len(order), dtype=np.int64)
-            back[order] = np.arange(len(order))
-            tokens, words = back[tokens], [words[i] for i in order.tolist()]
-            held, sizes = np.array([h for _, h, _, _ in own], dtype=np.uint8), np.array(sizes, dtype=np.int64)
-            seen = np.bincount(tokens, np.repeat(1 - held, sizes), len(words)).astype(np.int64)
-            lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-            of = np.repeat(np.arange(len(own)), sizes)
-            size = np.bincount(of, lengths[tokens], len(own)).astype(np.int64)
-            rows = np.array([r for r, _, _, _ in own], dtype=np.int64)
-            joined = pa.compress(b"\n".join(words), codec="zstd", asbytes=True)
-            head = np.array([sum(map(len, words)) + len(words) - 1], dtype=np.int64).tobytes()
-            return (next(number), packed(rows), packed(held), packed(sizes), packed(size), packed(tokens), len(own), len(tokens), len(words), packed(np.diff(keys[order], prepend=U64(0))), packed(seen), head + joined)
-
-        held_rows: list = []
-        own, size = [], 0
+        own, new, size = [], [], 0
         for b in batches:
             for doc_id, text, held in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                r = next(row)
-                ids.append(doc_id)
-                held_rows.append((r, held.as_py()))
+                r, h = next(row), held.as_py()
+                new.append((r, doc_id.as_py(), h))
                 cut = pieces(text.as_py().encode().lower(), block_bytes)
                 for i, data in enumerate(cut):
-                    own.append((r, held.as_py(), data, i == len(cut) - 1))
+                    own.append((r, h, data, i == len(cut) - 1))
                     size += len(data) + 16
                     if size >= block_bytes:
-                        yield _full([block(own)], ids, held_rows)
-                        own, size, ids, held_rows = [], 0, [], []
+                        yield batch(next(number), own, new)
+                        own, new, size = [], [], 0
         if own:
-            yield _full([block(own)], ids, held_rows)
-
-    id_arrow = _arrow_type(docs)
-
-    def _full(block_rows: list[tuple], ids: list, held_rows: list) -> pa.RecordBatch:
-        out = _rows(kinds, block_rows)
-        whole = pa.array([[x.as_py() for x in ids]], pa.list_(id_arrow))
-        names = pa.array([[r for r, _ in held_rows]], pa.list_(pa.int64()))
-        flags = pa.array([[h for _, h in held_rows]], pa.list_(pa.bool_()))
-        return pa.RecordBatch.from_arrays([*out.columns, whole, names, flags], [*out.schema.names, "ids", "names", "flags"])
+            yield batch(next(number), own, new)
 
-    made = stash(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"{TEXT}, ids array<{id_type}>, names array<long>, flags array<boolean>"), "lm-text")
+    made = stash(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"{TEXT}, names array<long>, ids array<{id_type}>, flags array<boolean>"), "lm-text")
     rows = made.select(F.explode(F.arrays_zip("names", "ids", "flags")).alias("x")).select(F.col("x.names").alias("row"), F.col("x.ids").alias("doc_id"), F.col("x.flags").alias("held_out"))
     return made, rows
 
@@ -251,14 +249,13 @@ def coded(text: DataFrame, asked: DataFrame, vocab: DataFrame, before: dict[int,
         n, place = (np.concatenate([unpacked(x[c], x["size"], np.int64) for x in answers]) for c in ("n", "place"))
         out = []
         for r in t.to_pylist():
-            data = r["words"]
-            words = pa.decompress(data[8:], decompressed_size=int(np.frombuffer(data[:8], dtype=np.int64)[0]), codec="zstd", asbytes=True).split(b"\n")
+            words = unpacked_text(r["words"]).split(b"\n")
             tokens = unpacked(r["tokens"], r["n_tokens"], np.int64)
             order = np.argsort(-np.bincount(tokens, minlength=r["n_words"]), kind="stable")  # frequent words first: small numbers
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
             spelled = b"\n".join([words[i] for i in order[n[order] < LEAST_SEEN].tolist()])
-            out.append((r["block"], r["rows"], r["held"], r["sizes"], r["bytes"], packed(rank[tokens]), r["n_texts"], r["n_tokens"], r["n_words"], packed(n[order]), packed(place[order]), np.array([len(spelled)], dtype=np.int64).tobytes() + pa.compress(spelled, codec="zstd", asbytes=True)))
+            out.append((r["block"], r["rows"], r["held"], r["sizes"], r["bytes"], packed(rank[tokens]), r["n_texts"], r["n_tokens"], r["n_words"], packed(n[order]), packed(place[order]), packed_text(spelled)))
         return pa.Table.from_batches([_rows(kinds, out)])
 
     return text.drop("ids", "names", "flags", "keys", "seen").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(join, CODED)
@@ -269,8 +266,7 @@ FOUND = "block long, part int, size int, data binary"
 
 def opened(r: dict, codes: Codes) -> Block:
     n, place = (unpacked(r[c], r["n_words"], np.int64) for c in ("n", "place"))
-    data = r["spelled"]
-    spelled = pa.decompress(data[8:], decompressed_size=int(np.frombuffer(data[:8], dtype=np.int64)[0]), codec="zstd", asbytes=True).split(b"\n") if (n < LEAST_SEEN).any() else []
+    spelled = unpacked_text(r["spelled"]).split(b"\n") if (n < LEAST_SEEN).any() else []
     sizes, held = unpacked(r["sizes"], r["n_texts"], np.int64), unpacked(r["held"], r["n_texts"], np.uint8)
     return Block(codes, unpacked(r["tokens"], r["n_tokens"], np.int64), sizes, held, n, place, spelled)
 
