@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modewave.llm import exact_dedup, ngram_join, packing, quality, suffix_dedup
-from modewave.llm.common import stash, table
+from modewave.llm.common import drop_stash, stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +73,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_stash(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
