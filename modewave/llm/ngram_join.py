@@ -409,8 +409,9 @@ def near_duplicates(df: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_i
         rooted = candidates.join(clusters.select(F.col("node").alias("a"), "root"), "a").join(large.select("root", F.col("n").alias("sets")), "root")
         sparse = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("pairs"), F.max("forest").alias("forest"), F.first("sets").alias("sets")).where(~F.col("forest") & (F.col("pairs") <= SPARSE * F.col("sets"))).select("root")
         sparse = stash(sparse, "ngram-sparse")
-        found.append(paired_links(chunks, placed.join(sparse, "root").select("chunk", "tag", "node"), rooted.join(sparse, "root").select("a", "b"), k, t))
-        sizes = sizes.join(sparse, "root", "left_anti")
+        if not sparse.isEmpty():  # only then are the texts dealt once more
+            found.append(paired_links(chunks, placed.join(sparse, "root").select("chunk", "tag", "node"), rooted.join(sparse, "root").select("a", "b"), k, t))
+            sizes = sizes.join(sparse, "root", "left_anti")
     members = placed.join(sizes, "root").select(
         "chunk", "tag", "node", F.col("root").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"), "n_blocks"
     )
