@@ -834,7 +834,7 @@ def test_long_runs_of_white_space(run):
         for n in (bpe.RUN - 1, bpe.RUN, 10**5):
             text = before + run * n + after
             assert ids(text) == enc.encode_ordinary(text)
-    for n in (10**6, 10**7):
+    for n in (10**6, 10**7) if run in " \n" else (10**6,):
         text = "word," + run * (n // len(run)) + "word"
         got = bpe.encode_bytes(enc, text)
         assert bpe.decode_bytes(enc, got) == text.encode()
