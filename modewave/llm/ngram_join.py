@@ -11,7 +11,8 @@ m leaves room for cells that say little: empty ones, and frequent ones, whose ke
 passage may fill a small cell). Two sets that agree in more cells than both have room for agree in one that
 is rare. A set with more empty or more frequent cells than room uses those as keys too, but only against sets that
 also do. m has WITNESSES - 1 cells more, so a similar pair shares as many rare keys, and pairs that share fewer
-are strangers with a line in common. So no pair is lost.
+are strangers with a line in common. A set with fewer empty or frequent cells than room shares as many rare keys more with each
+similar one, so pairs that share fewer than either set's cells leave are dropped as well. So no pair is lost.
 
 Sets that share enough keys meet in a cluster. Within a cluster a finer sketch of parity bits rules out pairs
 whose Hamming distance exceeds D, and the others are verified on the sets themselves. Clusters beyond
@@ -117,13 +118,27 @@ def parts_of(band: int, t: int) -> tuple[int, int, int, bool]:
     return best[1]
 
 
+def spare_of(size: int, band: int, little: int, t: int) -> int:
+    """How many cells of a set with ``little`` ones that say little may be frequent, in the join of ``band``, so that it shares WITNESSES rare keys with each
+    similar set all the same. For each fewer it shares one more."""
+    m, room, _, less_one = parts_of(band, t)
+    top = size + (size * 100 // t if band_of(size, t) == band else bands(t)[band + 1] - 1)
+    d = max(max_difference(s, t) for s in range(max(2, top - 3), top + 1))
+    return m - (d // 2 if less_one else d) - min(little, room) - WITNESSES
+
+
 def keys_of(own: np.ndarray, t: int) -> list[np.ndarray]:
     """The join keys of a set, for the join of its band and for that of the band before (none before the first)."""
+    return [found for found, _ in keys_and_spare(own, t)]
+
+
+def keys_and_spare(own: np.ndarray, t: int) -> list[tuple[np.ndarray, int]]:
+    """The join keys of a set, and how many of them may be frequent (see ``spare_of``), for both joins."""
     band, out = band_of(len(own), t), []
     for b in (band, band - 1) if band else (band,):
         m, room, _, less_one = parts_of(b, t)
         if not m:
-            out.append(own[:0])
+            out.append((own[:0], 0))
             continue
         salt = U64(b + 1) << U64(40)
         one = mix(own + U64(b + 1))
@@ -142,14 +157,10 @@ def keys_of(own: np.ndarray, t: int) -> list[np.ndarray]:
         little = np.setdiff1d(np.arange(m, dtype=U64), sorted_cells[starts][sizes > 1] if less_one else sorted_cells[starts])
         if len(little) > room:
             found.append(mix(mix(little + salt)))
-        out.append(np.unique(np.concatenate(found)))
+        out.append((np.unique(np.concatenate(found)), spare_of(len(own), b, len(little), t)))
     return out
 
 
-def room_for_frequent(size: int, join: int, t: int) -> int:
-    return parts_of(band_of(size, t) - join, t)[2]
-
-
 def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each node but the roots of the graph of links x-y: the node and the smallest node of its component."""
     nodes, flat = np.unique(np.concatenate([x, y]), return_inverse=True)
@@ -242,14 +253,14 @@ def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> tuple[
         _, first = np.unique(node, return_index=True)
         key_parts, who_parts, names, joins, rooms = [], [], [], [], []
         for i in first.tolist():
-            for join, found in enumerate(keys_of(sets[i], t) if len(sets[i]) else ()):
+            for join, (found, spare) in enumerate(keys_and_spare(sets[i], t) if len(sets[i]) else ()):
                 if not len(found):
                     continue
                 key_parts.append(found)
                 who_parts.append(np.full(len(found), len(names)))
                 names.append(node[i])
                 joins.append(join)
-                rooms.append(room_for_frequent(len(sets[i]), join, t))
+                rooms.append(spare)
         out: list[list] = [[] for _ in range(6)]
         if names:
             key, who = np.concatenate(key_parts), np.concatenate(who_parts)
@@ -289,24 +300,29 @@ def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> tuple[
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
         n = np.diff(np.r_[starts, len(key)])
         often = np.repeat(n > FREQUENT, n)
-        rare_key, rare_who = key[~often], who[~often]
-        a_parts, b_parts = [who[:0]], [who[:0]]
+        rare = np.flatnonzero(~often)
+        rare_key, second = key[rare], join[rare] == 1
+        x_parts, y_parts = [rare[:0]], [rare[:0]]
         for apart in range(1, FREQUENT):
-            same = np.flatnonzero(rare_key[apart:] == rare_key[:-apart])
-            a_parts.append(rare_who[same])
-            b_parts.append(rare_who[same + apart])
-        a, b = np.concatenate(a_parts), np.concatenate(b_parts)
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
+            same = np.flatnonzero((rare_key[apart:] == rare_key[:-apart]) & ~(second[apart:] & second[:-apart]))  # two sets of one band meet in its own join
+            x_parts.append(rare[same])
+            y_parts.append(rare[same + apart])
+        x, y = np.concatenate(x_parts), np.concatenate(y_parts)
+        by = np.lexsort((who[y], who[x]))
+        x, y = x[by], y[by]
+        a, b = who[x], who[y]
         at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
-        count = np.diff(np.r_[at, len(a)])
+        count, none = np.diff(np.r_[at, len(a)]), np.zeros(int(often.sum()), dtype=np.int32)
         return pa.table({
             "a": pa.array(np.concatenate([a[at], who[often]]), pa.int64()), "b": pa.array(np.concatenate([b[at], key[often].view(np.int64)]), pa.int64()),
             "join": pa.array(np.concatenate([np.full(len(at), -1), join[often].astype(np.int64)]), pa.int32()), "room": pa.array(np.concatenate([count, room[often].astype(np.int64)]), pa.int32()),
+            "spare_a": pa.array(np.concatenate([room[x[at]], none]), pa.int32()), "spare_b": pa.array(np.concatenate([room[y[at]], none]), pa.int32()),
         })
 
     def shared(tbl: pa.Table) -> pa.Table:
         who, key = np.asarray(tbl.column("a")), np.asarray(tbl.column("b"))
+        own = np.isin(key, key[np.asarray(tbl.column("join")) == 0])  # two sets of one band meet in its own join
+        who, key = who[own], key[own]
         order = np.lexsort((who, key))
         who, key = who[order], key[order]
         same = key[1:] == key[:-1]
@@ -314,11 +330,17 @@ def candidate_links(chunks: DataFrame, k: int, t: int, n_buckets: int) -> tuple[
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blobs = chunks.select("text").mapInArrow(keys, "bucket int, keys binary, idx binary, nodes binary, joins binary, rooms binary")
-    found = stash(blobs.groupBy("bucket").applyInArrow(runs, "a long, b long, join int, room int"), "ngram-keys")
+    found = stash(blobs.groupBy("bucket").applyInArrow(runs, "a long, b long, join int, room int, spare_a int, spare_b int"), "ngram-keys")
     frequent = found.where("join >= 0")
-    crowded = frequent.groupBy("a", "join").agg(F.count(F.lit(1)).alias("n"), F.max("room").alias("most")).where("n > most").select("a", "join")
-    again = frequent.join(crowded, ["a", "join"]).select("a", "b", F.pmod(F.xxhash64("b"), F.lit(n_buckets)).alias("bucket")).groupBy("bucket").applyInArrow(shared, "a long, b long")
-    pairs = found.where("join < 0").groupBy("a", "b").agg(F.sum("room").alias("n")).where(F.col("n") >= WITNESSES).select("a", "b")
+    often = frequent.groupBy("a", "join").agg(F.count(F.lit(1)).alias("n"), F.max("room").alias("most"))
+    crowded = often.where("n > most").select("a", "join")
+    again = frequent.join(crowded, ["a", "join"]).select("a", "b", "join", F.pmod(F.xxhash64("b"), F.lit(n_buckets)).alias("bucket")).groupBy("bucket").applyInArrow(shared, "a long, b long")
+    pairs = found.where("join < 0").groupBy("a", "b").agg(F.sum("room").alias("n"), F.max("spare_a").alias("spare_a"), F.max("spare_b").alias("spare_b")).where(F.col("n") >= WITNESSES)
+    most = often.groupBy("a").agg(F.max("n").alias("often"))
+    for c in "ab":  # a set with fewer frequent keys than it could spare shares as many rare ones more with each similar set
+        pairs = pairs.join(most.select(F.col("a").alias(c), F.col("often").alias(f"often_{c}")), c, "left")
+        pairs = pairs.where(F.col("n") >= WITNESSES + F.col(f"spare_{c}") - F.coalesce(f"often_{c}", F.lit(0)))
+    pairs = pairs.select("a", "b")
     return pairs.withColumn("forest", F.lit(False)).unionByName(again.withColumn("forest", F.lit(True))), found
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import time
@@ -696,6 +697,25 @@ def test_differences_change_at_most_one_cell():
         assert size < 14 or len(np.intersect1d(x, y))
 
 
+def test_similar_sets_share_as_many_keys_as_their_cells_leave():
+    """Of each two similar sets, down to the bound: the keys they share in the join of the smaller one's band are no fewer than either set's cells leave."""
+    rng = np.random.default_rng(1)
+    for t, size in itertools.product((80, 85), (8, 12, 20, 33, 58, 59, 80, 92, 93, 120, 300, 700)):
+        most = max(ngram_join.max_difference(s, t) for s in (2 * size, 2 * size + 1))
+        for apart in range(0, most + 1, max(1, most // 4)):
+            for less in {0, apart // 2, apart}:
+                pool = rng.integers(0, 1 << 63, size + apart, dtype=np.uint64)
+                a, b = np.unique(pool[:size]), np.unique(pool[less : size + apart - less])
+                both = len(np.intersect1d(a, b))
+                if 100 * both < t * (len(a) + len(b) - both):
+                    continue
+                a, b = sorted((a, b), key=len)
+                step = ngram_join.band_of(len(b), t) - ngram_join.band_of(len(a), t)
+                (x, spare_x), (y, spare_y) = ngram_join.keys_and_spare(a, t)[0], ngram_join.keys_and_spare(b, t)[step]
+                if ngram_join.parts_of(ngram_join.band_of(len(a), t), t)[0]:
+                    assert len(np.intersect1d(x, y)) >= ngram_join.WITNESSES + max(spare_x, spare_y), (t, size, apart, less)
+
+
 def test_near_duplicates_odd(spark):
     got = ngram_join.near_duplicates(odd(spark)).collect()
     assert len(got) == 12
