@@ -569,6 +569,20 @@ def test_language_model_sums_to_one():
     assert total == pytest.approx(1, abs=1e-9)
 
 
+def test_language_model_answers_tell_shared_bits_once():
+    """What entries of one context share is told with the first of them, and all comes back."""
+    rng = np.random.default_rng(4)
+    pairs = np.unique(np.stack([rng.integers(0, 60, 30_000).astype(np.uint64), rng.integers(0, 1 << 12, 30_000).astype(np.uint64) << np.uint64(52)]), axis=1)
+    of, u, n0, other = lm_model.totals(*pairs, rng.integers(0, 5, pairs.shape[1]))
+    off = np.cumsum(u) - u
+    for share in (1.0, 0.3, 0.0):  # of all entries, as a block asks for them
+        own = np.flatnonzero(rng.random(len(of)) < share)
+        (ctx, syms), i = pairs[:, own], of[own]
+        told = lm_model.told_once(ctx, syms, u[i], off[i], other)
+        assert np.array_equal(lm_model.told_whole(ctx, syms, u[i], told), other[lm_model.ragged(off[i], u[i])])
+        assert not share or len(told) < 0.6 * u[i].sum()
+
+
 def test_language_model_totals():
     rng = np.random.default_rng(3)
     ctx = rng.integers(0, 40, 3000).astype(np.uint64)
