@@ -583,6 +583,16 @@ def test_language_model_answers_tell_shared_bits_once():
         assert not share or len(told) < 0.6 * u[i].sum()
 
 
+def test_language_model_entries_are_ordered_by_whole_symbols():
+    rng = np.random.default_rng(5)
+    ctx = rng.integers(0, 50, 4000).astype(np.uint64) << np.uint64(42)
+    syms = rng.integers(0, 8, 4000).astype(np.uint64) << np.uint64(60) | rng.integers(0, 8, 4000).astype(np.uint64) << np.uint64(40)
+    for n in (4000, 1, 0):
+        order, want = lm_model.in_order(ctx[:n], syms[:n]), np.lexsort((syms[:n], ctx[:n]))
+        assert sorted(order.tolist()) == list(range(n))
+        assert np.array_equal(ctx[order], ctx[want]) and np.array_equal(syms[order], syms[want])
+
+
 def test_language_model_totals():
     rng = np.random.default_rng(3)
     ctx = rng.integers(0, 40, 3000).astype(np.uint64)
