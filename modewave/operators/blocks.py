@@ -32,6 +32,55 @@ def kept(m: BlockMatrix) -> BlockMatrix:
     return BlockMatrix(m.blocks.persist(StorageLevel.MEMORY_AND_DISK), m.n_features, m.n_times)
 
 
+@dataclass(frozen=True)
+class Held:
+    """A factor (times by k) that the driver holds."""
+
+    values: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return self.values.shape[1]
+
+    def rows(self, x: np.ndarray, t0: int) -> np.ndarray:
+        return self.values[t0 : t0 + x.shape[1]]
+
+    def scaled(self, by: np.ndarray) -> Held:
+        return Held(self.values * by)
+
+
+@dataclass(frozen=True)
+class Spread:
+    """A factor A^T W C (times by k) that nobody holds: tasks make its rows from their blocks. W and C are as long as the features and the modes."""
+
+    w: np.ndarray
+    c: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return self.c.shape[1]
+
+    def rows(self, x: np.ndarray, t0: int) -> np.ndarray:
+        return (x.T @ self.w) @ self.c
+
+    def scaled(self, by: np.ndarray) -> Spread:
+        return Spread(self.w, self.c * by)
+
+
+@dataclass(frozen=True)
+class Drawn:
+    """A random factor (times by k), drawn block by block."""
+
+    seed: int
+    width: int
+
+    def rows(self, x: np.ndarray, t0: int) -> np.ndarray:
+        return np.random.default_rng((self.seed, t0)).standard_normal((x.shape[1], self.width))
+
+
+Factor = Held | Spread | Drawn
+
+
 def opened(data: bytes, n_features: int) -> np.ndarray:
     return np.frombuffer(data, dtype="<f8").reshape(n_features, -1)
 
@@ -115,20 +164,54 @@ def gram(m: BlockMatrix, stripe_rows: int = 256) -> np.ndarray:
     return _summed(m.blocks.mapInArrow(run, "block int, stripe int, data binary"), m.n_features, m.n_features, stripe_rows)
 
 
-def times_right(m: BlockMatrix, v: np.ndarray, stripe_rows: int = 4096) -> np.ndarray:
-    """A V for a thin V (times by k)."""
-    rows, shared = m.n_features, m.blocks.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
+def _folded(m: BlockMatrix, shared, part, n_rows: int, n_cols: int, stripe_rows: int = 4096) -> np.ndarray:
+    """The sum over blocks of ``part(x, t0, shared)``, a matrix of a size that doesn't depend on the times."""
+    rows, sent = m.n_features, m.blocks.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches):
         total, first = None, 0
         for b in batches:
             for r in b.to_pylist():
-                y = opened(r["data"], rows) @ shared.value[r["t0"] : r["t0"] + r["n"]]
+                y = part(opened(r["data"], rows), r["t0"], sent.value)
                 total, first = (y, r["block"]) if total is None else (total + y, min(first, r["block"]))
         if total is not None:
-            yield _stripes([(first, total)], stripe_rows)
+            yield _stripes([(first, np.ascontiguousarray(total))], stripe_rows)
+
+    return _summed(m.blocks.mapInArrow(run, "block int, stripe int, data binary"), n_rows, n_cols, stripe_rows)
+
+
+def times_right(m: BlockMatrix, v: Factor | np.ndarray) -> np.ndarray:
+    """A V for a thin V (times by k)."""
+    v = Held(np.ascontiguousarray(v)) if isinstance(v, np.ndarray) else v
+    return _folded(m, v, lambda x, t0, f: x @ f.rows(x, t0), m.n_features, v.width)
+
 
-    return _summed(m.blocks.mapInArrow(run, "block int, stripe int, data binary"), m.n_features, v.shape[1], stripe_rows)
+def factor_gram(m: BlockMatrix, v: Factor) -> np.ndarray:
+    """V^T V."""
+
+    def part(x, t0, f):
+        y = f.rows(x, t0)
+        return y.T @ y
+
+    return _folded(m, v, part, v.width, v.width)
+
+
+def departures(m: BlockMatrix, u: np.ndarray, s: np.ndarray, v: Factor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(A V, V^T V, squared norms of the columns of A^T U - V S), in one pass."""
+
+    def part(x, t0, shared):
+        u, s, f = shared
+        y = f.rows(x, t0)
+        return np.vstack([x @ y, y.T @ y, ((x.T @ u - y * s) ** 2).sum(axis=0)])
+
+    n, k = u.shape
+    out = _folded(m, (np.ascontiguousarray(u), s, v), part, n + k + 1, k)
+    return out[:n], out[n:-1], out[-1]
+
+
+def together(m: BlockMatrix, v: Factor) -> np.ndarray:
+    """A factor's rows on the driver (times by k): for axes that it has room for."""
+    return v.values if isinstance(v, Held) else times_left(m, v.w) @ v.c
 
 
 def times_left(m: BlockMatrix, u: np.ndarray) -> np.ndarray:
@@ -166,16 +249,19 @@ def collected(m: BlockMatrix) -> np.ndarray:
     return out
 
 
-def triangle(m: BlockMatrix, fan_in: int = 8) -> np.ndarray:
-    """R of A^T = Q R by a tree of QR decompositions; A^T A is never formed."""
+def triangle(m: BlockMatrix, fan_in: int = 8, basis: np.ndarray | None = None) -> np.ndarray:
+    """R of A^T = Q R by a tree of QR decompositions; A^T A is never formed. With a ``basis`` (features by k), of A^T times it."""
 
-    rows = m.n_features
+    n_features = m.n_features
+    rows = n_features if basis is None else basis.shape[1]
+    shared = None if basis is None else m.blocks.sparkSession.sparkContext.broadcast(np.ascontiguousarray(basis))
 
     def local(batches):
         r_factor, first = None, 0
         for b in batches:
             for r in b.to_pylist():
-                x = opened(r["data"], rows).T
+                x = opened(r["data"], n_features).T
+                x = x if shared is None else x @ shared.value
                 r_factor, first = (x, r["block"]) if r_factor is None else (np.vstack([r_factor, x]), min(first, r["block"]))
                 if len(r_factor) > 2 * rows:
                     r_factor = np.linalg.qr(r_factor, mode="r")
@@ -194,5 +280,5 @@ def triangle(m: BlockMatrix, fan_in: int = 8) -> np.ndarray:
     while n > 1:  # tasks are numbered, so their factors meet by number: none but the merging tasks sees them
         parts = parts.groupBy(F.floor(F.col("place") / fan_in).alias("part")).applyInArrow(lambda key, t: merge(key, t), "place long, block int, data binary")
         n = -(-n // fan_in)
-    whole = np.vstack([np.frombuffer(r["data"]).reshape(-1, m.n_features) for r in sorted(parts.collect(), key=lambda r: r["block"])])
+    whole = np.vstack([np.frombuffer(r["data"]).reshape(-1, rows) for r in sorted(parts.collect(), key=lambda r: r["block"])])
     return np.linalg.qr(whole, mode="r")

@@ -7,12 +7,13 @@ must pass residual and orthogonality gates.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 
 from ..errors import require
-from .blocks import BlockMatrix, collected, frobenius2, gram, times_left, times_right, triangle
+from .blocks import BlockMatrix, Drawn, Factor, Held, Spread, collected, departures, factor_gram, frobenius2, gram, times_left, times_right, together, triangle
 
 RESIDUAL_FLOOR, ORTHOGONALITY = 1e-8, 1e-10
 QR_SIDE = 3000
@@ -20,11 +21,14 @@ QR_SIDE = 3000
 
 @dataclass(frozen=True)
 class Svd:
-    """u: features by modes, s: descending, v: times by modes (unit columns), total: sum of squares of A."""
+    """u: features by modes, s: descending, right: times by modes (unit columns), total: sum of squares of A.
+
+    The right factor stays where the blocks are until ``v`` or ``pc`` is asked for, which bring it to the driver."""
 
     u: np.ndarray
     s: np.ndarray
-    v: np.ndarray
+    right: Factor
+    matrix: BlockMatrix
     total: float
     solver: str
     all_ev: np.ndarray | None = None
@@ -34,6 +38,14 @@ class Svd:
     orthogonality: float = 0.0
     attempts: list = field(default_factory=list)
 
+    @property
+    def n_times(self) -> int:
+        return self.matrix.n_times
+
+    @cached_property
+    def v(self) -> np.ndarray:
+        return together(self.matrix, self.right)
+
     @property
     def pc(self) -> np.ndarray:
         """Modes by times: sigma V^T."""
@@ -58,7 +70,7 @@ class Svd:
         return float(np.sqrt(max(0.0, 1.0 - float((self.s**2).sum()) / self.total)))
 
     def flipped(self, signs: np.ndarray) -> Svd:
-        return Svd(self.u * signs, self.s, self.v * signs, self.total, self.solver, self.all_ev, self.rank, self.left_residual, self.right_residual, self.orthogonality, self.attempts)
+        return replace(self, u=self.u * signs, right=self.right.scaled(signs))
 
 
 def mode_count(values: np.ndarray, shape: tuple[int, int], requested: int, least: int) -> tuple[int, int]:
@@ -86,9 +98,8 @@ def by_covariance(m: BlockMatrix, requested: int, least: int = 1, memory_bytes:
     k, rank = mode_count(values, (m.n_features, m.n_times), requested, least)
     u = vectors[:, :k].copy()
     s = np.sqrt(values[:k] * (m.n_times - 1))
-    pc = times_left(m, u)
     orth = float(np.abs(u.T @ u - np.eye(k)).max())
-    return Svd(u, s, pc / s, float(values.sum()) * (m.n_times - 1), "covariance_eigh", values / values.sum(), rank, orthogonality=orth)
+    return Svd(u, s, Spread(u, np.diag(1 / s)), m, float(values.sum()) * (m.n_times - 1), "covariance_eigh", values / values.sum(), rank, orthogonality=orth)
 
 
 def dense_bytes(rows: int, cols: int) -> int:
@@ -98,25 +109,34 @@ def dense_bytes(rows: int, cols: int) -> int:
     return sum(sizes) + 2 * max(sizes)
 
 
-def residuals(m: BlockMatrix, u: np.ndarray, s: np.ndarray, v: np.ndarray) -> tuple[float, float, float]:
+def residuals(m: BlockMatrix, u: np.ndarray, s: np.ndarray, v: Factor) -> tuple[float, float, float]:
     """Largest relative residuals of both sides, and the largest departure from orthonormal columns."""
-    left = np.linalg.norm(times_right(m, v) - u * s, axis=0) / s
-    right = np.linalg.norm(times_left(m, u) - v * s, axis=0) / s
+    av, vv, right2 = departures(m, u, s, v)
+    left, right = np.linalg.norm(av - u * s, axis=0) / s, np.sqrt(right2) / s
     eye = np.eye(len(s))
-    return float(left.max()), float(right.max()), float(max(np.abs(u.T @ u - eye).max(), np.abs(v.T @ v - eye).max()))
+    return float(left.max()), float(right.max()), float(max(np.abs(u.T @ u - eye).max(), np.abs(vv - eye).max()))
+
+
+def _right(m: BlockMatrix, u: np.ndarray, s: np.ndarray) -> Spread:
+    """Right vectors A^T U / S, made orthonormal among themselves (the Cholesky form of a QR decomposition), as their rounding errors grow with s[0] / s."""
+    v = Spread(u, np.diag(1 / s))
+    try:
+        return replace(v, c=np.linalg.solve(np.linalg.cholesky(factor_gram(m, v)), v.c.T).T)
+    except np.linalg.LinAlgError:  # far from orthonormal: the gates tell
+        return v
 
 
-def _gated(m: BlockMatrix, u, s, v, total, solver, tolerance, attempts=()) -> tuple[Svd, bool]:
+def _gated(m: BlockMatrix, u, s, v: Factor, total, solver, tolerance, attempts=()) -> tuple[Svd, bool]:
     left, right, orth = residuals(m, u, s, v)
     ok = max(left, right) <= max(tolerance, RESIDUAL_FLOOR) and orth <= ORTHOGONALITY
-    return Svd(u, s, v, total, solver, None, len(s), left, right, orth, list(attempts)), ok
+    return Svd(u, s, v, m, total, solver, None, len(s), left, right, orth, list(attempts)), ok
 
 
 def dense(m: BlockMatrix, requested: int, least: int = 1, tolerance: float = 1e-9) -> Svd:
     a = collected(m)
     u, s, vt = np.linalg.svd(a, full_matrices=False)
     k, _ = mode_count(s, a.shape, requested, least)
-    out, ok = _gated(m, u[:, :k], s[:k], vt[:k].T, float((s**2).sum()), "dense", tolerance)
+    out, ok = _gated(m, u[:, :k], s[:k], Held(vt[:k].T), float((s**2).sum()), "dense", tolerance)
     require(ok, f"residuals {out.left_residual:.3g}, {out.right_residual:.3g}, orthogonality {out.orthogonality:.3g}")
     return out
 
@@ -126,10 +146,7 @@ def qr_tree(m: BlockMatrix, requested: int, least: int = 1, tolerance: float = 1
     _, s, vt = np.linalg.svd(r, full_matrices=False)
     k, _ = mode_count(s, (m.n_features, m.n_times), requested, least)
     u = vt[:k].T
-    v = times_left(m, u) / s[:k]
-    v, fix = np.linalg.qr(v)
-    v = v * np.sign(np.diag(fix))
-    out, ok = _gated(m, u, s[:k], v, float((s**2).sum()), "qr_tree", tolerance)
+    out, ok = _gated(m, u, s[:k], _right(m, u, s[:k]), float((s**2).sum()), "qr_tree", tolerance)
     require(ok, f"residuals {out.left_residual:.3g}, {out.right_residual:.3g}, orthogonality {out.orthogonality:.3g}")
     return out
 
@@ -143,44 +160,64 @@ def _orthonormal(x: np.ndarray, basis: list[np.ndarray]) -> np.ndarray:
     return q[:, d > 1e-13 * max(1.0, float(d.max(initial=0.0)))] if len(d) else q
 
 
+def _unit(left: np.ndarray, r: np.ndarray) -> Spread:
+    """An orthonormal basis of A^T L from its triangular factor; directions that are rounding errors are left off."""
+    _, s, vt = np.linalg.svd(r, full_matrices=False)
+    ok = s > 1e-13 * s[0]
+    return Spread(left, vt[ok].T / s[ok])
+
+
 def krylov(m: BlockMatrix, requested: int, least: int = 1, tolerance: float = 1e-9, rounds: int = 10, attempts: int = 3, seed: int = 0, basis_bytes: int = 2 << 30) -> Svd:
     """Top modes from a block Krylov space with full reorthogonalisation. A failed attempt doubles the rounds; after the last it raises.
 
-    A basis that outgrows ``basis_bytes`` on the driver is cut back to its best ``wide`` vectors, whose images follow without a pass, and grows again from there.
+    Where times outnumber features, nothing as long as the axis comes to the driver: images and right vectors stay spread, known by triangular factors.
+    A basis that outgrows ``basis_bytes`` on the driver (an eighth of them where tasks get it) is cut back to its best ``wide`` vectors, whose images follow
+    from theirs, and grows again from there.
     """
     total = frobenius2(m)
     k = min(requested, m.n_features, m.n_times)
     wide = min(m.n_features, m.n_times, k + 8)
-    rng = np.random.default_rng(seed)
-    start = np.linalg.qr(rng.standard_normal((m.n_times, wide)))[0]
+    spread = m.n_times > m.n_features
     tried: list[dict] = []
-    most = max(3, basis_bytes // (8 * (m.n_features + m.n_times) * wide))  # blocks of the basis that fit
+    per = 8 * wide * (8 * m.n_features if spread else m.n_features + m.n_times)
+    most = max(3, basis_bytes // per)  # blocks of the basis that fit
     lefts: list[np.ndarray] = []
-    images: list[np.ndarray] = []  # A^T of each left block
-    nxt, done = start, 0
+    images: list[np.ndarray] = []  # A^T of each left block, where they are held
+    nxt: Factor = Drawn(seed, wide) if spread else Held(np.linalg.qr(np.random.default_rng(seed).standard_normal((m.n_times, wide)))[0])
+    done = 0
+
+    def best_of(q: np.ndarray) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """(V or none where it is spread, S, W^T) of A^T Q."""
+        if spread:
+            return None, *np.linalg.svd(triangle(m, basis=q), full_matrices=False)[1:]
+        return np.linalg.svd(np.hstack(images), full_matrices=False)
+
     best: Svd | None = None
     for attempt in range(attempts):
         goal, exhausted = rounds << attempt, False
         while done < goal and not exhausted:
             if len(lefts) >= most:
-                q, b = np.hstack(lefts), np.hstack(images)
-                wt = np.linalg.svd(b, full_matrices=False)[2][:wide]
-                lefts, images = [q @ wt.T], [b @ wt.T]
-                nxt = np.linalg.qr(images[0])[0]
+                q = np.hstack(lefts)
+                wt = best_of(q)[2][:wide]
+                lefts, images = [q @ wt.T], [] if spread else [np.hstack(images) @ wt.T]
+                nxt = _unit(lefts[0], triangle(m, basis=lefts[0])) if spread else Held(np.linalg.qr(images[0])[0])
             left = _orthonormal(times_right(m, nxt), lefts)
             exhausted = not left.shape[1]
             if not exhausted:
-                image = times_left(m, left)
                 lefts.append(left)
-                images.append(image)
-                nxt = np.linalg.qr(image)[0]
+                if spread:
+                    nxt = _unit(left, triangle(m, basis=left))
+                else:
+                    images.append(times_left(m, left))
+                    nxt = Held(np.linalg.qr(images[-1])[0])
                 done += 1
             if not exhausted and done % 2 and done < goal:
                 continue
-            q, b = np.hstack(lefts), np.hstack(images)
-            v, s, wt = np.linalg.svd(b, full_matrices=False)
+            q = np.hstack(lefts)
+            v, s, wt = best_of(q)
             n, _ = mode_count(s, (m.n_features, m.n_times), k, 1)
-            best, ok = _gated(m, q @ wt[:n].T, s[:n], v[:, :n], total, "block_krylov", tolerance, tried)
+            u = q @ wt[:n].T
+            best, ok = _gated(m, u, s[:n], _right(m, u, s[:n]) if spread else Held(v[:, :n]), total, "block_krylov", tolerance, tried)
             if ok:
                 require(n >= least, f"rank {n}, at least {least} modes are needed")
                 return best

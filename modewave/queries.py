@@ -172,7 +172,7 @@ def _digits_sql(c: str, digits: int = 7) -> str:
 def spectrum_invariants(spark, sf_dir):
     """The whole spectrum by its power sums, which the data give without a decomposition."""
     s = C.solve(spark, sf_dir, 10_000).svd
-    one = _one(spark, trace=round(float(s.total / (len(s.v) - 1)), 5), sum_ev=round(float(s.all_ev.sum()), 9), **_moments(s.s))
+    one = _one(spark, trace=round(float(s.total / (s.n_times - 1)), 5), sum_ev=round(float(s.all_ev.sum()), 9), **_moments(s.s))
     return _digits(one, "s2", "s4", "s6")
 
 
@@ -273,7 +273,7 @@ def _vectors(spark, sf_dir) -> tuple[blocks.BlockMatrix, int]:
 
 
 def _by_solver(spark, found: dict[str, solvers.Svd]) -> DataFrame:
-    rows = [(n, len(s.v), len(s.s), *(_moments(s.s)[f"s{k}"] for k in (2, 4))) for n, s in found.items()]
+    rows = [(n, s.n_times, len(s.s), *(_moments(s.s)[f"s{k}"] for k in (2, 4))) for n, s in found.items()]
     return _digits(spark.createDataFrame(rows, "solver string, vectors long, modes long, s2 double, s4 double"), "s2", "s4")
 
 
