@@ -85,6 +85,12 @@ def opened(data: bytes, n_features: int) -> np.ndarray:
     return np.frombuffer(data, dtype="<f8").reshape(n_features, -1)
 
 
+def _dealt(df: DataFrame, key: str, n_keys: int) -> DataFrame:
+    """Rows dealt by a key of ``n_keys`` values: to no more tasks than it has values, however many partitions shuffles have."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(n_keys, most)), key)
+
+
 def to_blocks(long: DataFrame, n_features: int, n_times: int, width: int = 64, feature: str = "feature_id", time: str = "t_idx", value: str = "x") -> BlockMatrix:
     """From (feature_id, t_idx, x), one row per element, to blocks of ``width`` times; absent elements raise."""
     src = long.select((F.col(time) / width).cast("int").alias("block"), F.col(feature).cast("long").alias("f"), F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("x"))
@@ -99,7 +105,7 @@ def to_blocks(long: DataFrame, n_features: int, n_times: int, width: int = 64, f
             raise ValueError("the matrix has missing or infinite elements")
         return pa.table({"block": pa.array([block], pa.int32()), "t0": pa.array([t0], pa.int64()), "n": pa.array([n], pa.int32()), "data": pa.array([out.astype("<f8").tobytes()], pa.binary())})
 
-    return BlockMatrix(src.groupBy("block").applyInArrow(gather, BLOCK), n_features, n_times)
+    return BlockMatrix(_dealt(src, "block", -(-n_times // width)).groupBy("block").applyInArrow(gather, BLOCK), n_features, n_times)
 
 
 def from_rows(rows: DataFrame, n_features: int, vector: str, key: str, width: int = 64, most_blocks: int = 4096) -> BlockMatrix:
@@ -140,7 +146,7 @@ def _summed(parts: DataFrame, n_rows: int, n_cols: int, stripe_rows: int) -> np.
             total = m.copy() if total is None else total + m
         return pa.table({"stripe": t.column("stripe").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
-    got = {r["stripe"]: np.frombuffer(r["data"]) for r in parts.groupBy("stripe").applyInArrow(add, "stripe int, data binary").collect()}
+    got = {r["stripe"]: np.frombuffer(r["data"]) for r in _dealt(parts, "stripe", -(-n_rows // stripe_rows)).groupBy("stripe").applyInArrow(add, "stripe int, data binary").collect()}
     out = np.zeros((n_rows, n_cols))
     for i, a in enumerate(range(0, n_rows, stripe_rows)):
         out[a : a + stripe_rows] = got[i].reshape(-1, n_cols)

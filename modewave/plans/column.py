@@ -116,8 +116,8 @@ class Solved:
 def solve(s: Selected, grid: DataFrame, config: ColumnConfig) -> Solved:
     keys = ["component", "level", "row", "col"]
     anomaly = standardize.anomalies(s.values, "x", *keys).drop("x").join(s.layout.select(*keys, "weight", "feature_group", "feature_id"), keys)
-    scales = standardize.group_scales(anomaly)
-    rms = {r["feature_group"]: r["rms"] for r in scales.collect()}
+    rms = {r["feature_group"]: r["rms"] for r in standardize.group_scales(anomaly).collect()}
+    scales = anomaly.sparkSession.createDataFrame(sorted(rms.items()), "feature_group int, rms double")  # known: not another pass over the cube
     rows = standardize.scaled(anomaly, scales)
     feats = rows.groupBy("feature_id", *keys).agg(F.first("mean").alias("mean"), F.first("scale").alias("scale"))
     matrix = blocks.kept(blocks.to_blocks(rows, s.report["features"], len(s.axis), config.block_times))

@@ -15,6 +15,7 @@ from ..sources import arrays, runs
 from ..sources.config import SurfaceConfig
 
 TIMES_PER_BLOCK = 256
+ROWS_PER_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,11 @@ class Prepared:
     report: dict
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """A table to be kept, in as many partitions as its rows need: what is kept stays in those that its last shuffle made, and each pass over it pays for them."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def window(grid: DataFrame, config: SurfaceConfig) -> tuple[int, int, int, int]:
     a, b, c, d = config.box
     cols = masks.snap_axis(grid.select("col", "lon").distinct(), "lon", "col", a, b)
@@ -41,7 +47,7 @@ def prepare(cube: DataFrame, axis: DataFrame, grid: DataFrame, config: SurfaceCo
     Absent rows count as missing. Time steps that the axis drops are dropped before anything else is done with the cube.
     """
     own, n_repaired = timeaxis.repair(axis, list(config.input.repairs))
-    own = own.withColumn("place", F.col("ordinal").cast("long") * F.lit(1 << 32) + F.col("src"))
+    own = own.withColumn("place", F.col("ordinal").cast("long") * F.lit(1 << 32) + F.col("src")).persist(StorageLevel.MEMORY_AND_DISK)  # order, cadence and cube ask for it
     canonical, done = timeaxis.canonicalize(own, config.input.policy, "t", "place")
     cadence = timeaxis.validate_cadence(canonical, config.input.step_hours, config.input.maximum_gap_hours)
     n = done.rows_out
@@ -65,7 +71,7 @@ def prepare(cube: DataFrame, axis: DataFrame, grid: DataFrame, config: SurfaceCo
         "canonicalization": {"policy": done.policy, "rows_in": done.rows_in, "rows_out": done.rows_out, "reordered": done.reordered, "dropped": done.dropped},
         "cadence": {"median_hours": cadence.median_hours, "maximum_gap_hours": cadence.maximum_hours, "gap_break_count": cadence.breaks},
     }
-    return Prepared(filled.join(index, "t").persist(StorageLevel.MEMORY_AND_DISK), cells, times, all_cells, report)
+    return Prepared(packed(filled.join(index, "t"), n_cells * n).persist(StorageLevel.MEMORY_AND_DISK), cells, times, all_cells, report)
 
 
 @dataclass(frozen=True)
@@ -84,12 +90,13 @@ def solve(p: Prepared, config: SurfaceConfig) -> Solved:
     long = features.unpivot(p.state, ("t_idx", "row", "col"))
     anomaly = standardize.anomalies(long, "x", "component", "row", "col")
     weighted = anomaly.join(p.cells.select("row", "col", F.sqrt("area").alias("weight")), ["row", "col"]).withColumn("feature_group", (F.col("component") == "eta").cast("int")).drop("x")
-    scales = standardize.group_scales(weighted)
-    rms = {r["feature_group"]: r["rms"] for r in scales.collect()}
+    rms = {r["feature_group"]: r["rms"] for r in standardize.group_scales(weighted).collect()}
+    scales = p.state.sparkSession.createDataFrame(sorted(rms.items()), "feature_group int, rms double")  # known: not another pass over the cube
     ids = features.feature_map(p.cells.select("row", "col").crossJoin(F.broadcast(p.cells.sparkSession.createDataFrame([(c,) for c in features.SURFACE_ORDER], "component string"))))
     rows = standardize.scaled(weighted, scales).join(ids, ["component", "row", "col"])
-    feats = rows.groupBy("feature_id", "component", "row", "col").agg(F.first("mean").alias("mean"), F.first("scale").alias("scale"))
     n_cells = p.report["common_ocean_cell_count"]
+    feats = rows.groupBy("feature_id", "component", "row", "col").agg(F.first("mean").alias("mean"), F.first("scale").alias("scale"))
+    feats = packed(feats, 3 * n_cells).persist(StorageLevel.MEMORY_AND_DISK)  # a row per feature, for two tables and all that is drawn from them
     matrix = blocks.kept(blocks.to_blocks(rows, 3 * n_cells, len(p.axis), TIMES_PER_BLOCK))
     svd = solvers.by_covariance(matrix, config.modes, config.least_modes)
     anchor = masks.nearest(p.cells, *config.anchor).join(ids, ["row", "col"]).select("component", "feature_id").collect()

@@ -706,17 +706,17 @@ H = 3_600_000_000_000
 FIRST_HOUR = 1_735_689_600_000_000_000  # 2025-01-01
 DOMAIN = "nations"
 STEPS_A_MONTH = 12
-_ROOTS: dict[tuple[str, str], str] = {}
+_ROOTS: dict[tuple[str, str], tuple[str, list[int], list[int]]] = {}
 
 
 def _cache(spark, sf_dir) -> tuple[str, list[int], list[int]]:
     """(root, times, cells): the cube as an array cache, with an hour for each month and a column for each nation; made once a session. A few thousand numbers."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _ROOTS:
+        return _ROOTS[key]
     rows = C.cube(spark, sf_dir).toPandas()
     area = {x["cell"]: x["area"] for x in C.cells(spark, sf_dir).collect()}
     times, cells = sorted(int(t) for t in rows["t"].unique()), sorted(int(c) for c in area)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _ROOTS:
-        return _ROOTS[key], times, cells
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     root = f"{base.removeprefix('file:').rstrip('/')}/arrays-{uuid.uuid4().hex}"
     grid = Path(root) / DOMAIN / "grid"
@@ -735,8 +735,8 @@ def _cache(spark, sf_dir) -> tuple[str, list[int], list[int]]:
             np.save(month / f"{name}.npy", x)
         np.save(month / "valid_mask_surface.npy", np.ones(cube[0, part].shape, bool))
         (month / "metadata.json").write_text(json.dumps({"status": "ready", "cache_kind": "standard_month", "month": month.name, "cache_schema_version": "3.0.0", "domain": {"domain_id": DOMAIN}}))
-    _ROOTS[key] = root
-    return root, times, cells
+    _ROOTS[key] = root, times, cells
+    return _ROOTS[key]
 
 
 def _months(root: str) -> list[str]:

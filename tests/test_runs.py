@@ -89,6 +89,24 @@ def test_surface_run(spark, tmp_path):
     assert runs.selection(spark, str(tmp_path / "out" / "svd"), SURFACE) == ("exact", str(tmp_path / "out" / "svd" / out.rsplit("/", 1)[1]))
 
 
+def test_tasks_of_a_run_follow_its_rows_not_the_shuffle_partitions(spark, tmp_path):
+    """What a run keeps, and its matrix, lie in as many partitions as their rows need."""
+    surface_cache(tmp_path / "ocm_surface")
+    config, root = surface_config(SURFACE), str(tmp_path / "ocm_surface")
+    found = arrays.months(root, config.domain, config.input.month_ids)
+    grid = arrays.grid(spark, root, config.domain)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        p = surface.prepare(arrays.surface(spark, root, config.domain, found), arrays.axis(spark, root, config.domain, found), grid, config)
+        s = surface.solve(p, config)
+        assert p.state.count() == len(p.axis) * p.report["common_ocean_cell_count"]
+        assert [df.rdd.getNumPartitions() for df in (p.state, s.features, s.matrix.blocks)] == [1, 1, 1]
+        assert surface.packed(spark.range(0, 1000, 1, 50), 250_001).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_overlapping_months_prefer_the_last(spark, tmp_path):
     root = surface_cache(tmp_path / "cache", shift_second=-24 * H)
     seen = surface.preflight(spark, surface_config(SURFACE), str(root))
